@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, langid, minhash, toxicity
-from .common import table
+from . import ann, decontaminate, htmltext, langid, minhash, mixing, sharding, toxicity
+from .common import stage, table
 
 
 def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "class_id", "n_texts")
 
 
+def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(stage(mixing.units_of(table(spark, sf_dir, "documents"))))
+    rows = made.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -23,6 +29,10 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", F.size("langs").alias("n_langs"))
 
 
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -31,6 +41,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -39,5 +54,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_probminhash, op4_language_mixture, op6_main_text, op7_decontaminate, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_probminhash, op3_pivotal_mix, op4_language_mixture, op5_kmeans_tree, op6_main_text, op7_decontaminate, op8_minimax_shards, op9_toxicity)}
 ORACLES: dict[str, str] = {}
