@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, htmltext, langid, minhash, mixing, sharding, toxicity
+from . import ann, decontaminate, htmltext, langid, licenses, minhash, mixing, pii, sharding, toxicity
 from .common import stage, table
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replaced(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op2_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classes = minhash.near_classes(docs)
@@ -54,5 +59,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_probminhash, op3_pivotal_mix, op4_language_mixture, op5_kmeans_tree, op6_main_text, op7_decontaminate, op8_minimax_shards, op9_toxicity)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
+    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "from_dir")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py, which stands at the top of the repository beside the entry points."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_probminhash, op3_pivotal_mix, op4_language_mixture, op5_kmeans_tree, op6_main_text, op7_decontaminate, op8_minimax_shards, op9_toxicity, op10_licenses, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -201,13 +201,17 @@ def _linear(doc: np.ndarray, f: np.ndarray, n: int, width: int, target: np.ndarr
     return np.concatenate([w, is_telling.astype(float)]), float(b)
 
 
-def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, score in [0, 1]. Null and empty texts get the score of a text without features."""
+def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, score in [0, 1], and the columns of also.
+
+    Null and empty texts get the score of a text without features. keep_text
+    carries the text through as well.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     also = also or {}
     rows = docs.select(F.col(doc).alias("doc_id"), *[c.alias(k) for k, c in also.items()], F.col(text).alias("text"))
-    names = rows.columns[:-1]
+    names = rows.columns if keep_text else rows.columns[:-1]
 
     def each(batches):
         m = shared.value
