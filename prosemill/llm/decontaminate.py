@@ -151,21 +151,36 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark. Null and empty texts stay."""
-    hit = stage(scan(docs, benchmark, size).where("n_hit > 0").select("doc_id").distinct())
-    key = docs.where(F.col("doc_id").isNull())
-    dirty_null = hit.where("doc_id IS NULL").limit(1).count()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(hit, "doc_id", "left_anti").select(*docs.columns)
-    if dirty_null:  # rows without an id can't be told apart by it
-        bad = stage(_null_hits(key, benchmark, size))
-        key = key.withColumn("__d", F.md5("text")).join(bad, F.col("__d").eqNullSafe(F.col("__bad")), "left_anti").drop("__d")
-    return kept.unionByName(key)
-
-
-def _null_hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    by_text = docs.select(F.md5("text").alias("doc_id"), "text")
-    return scan(by_text, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark; all columns stay.
+
+    Rows are kept or dropped where they are scanned, without a shuffle; a
+    benchmark of several automata is several scans. Null and empty texts stay.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    found = stage(windows(benchmark, size))
+    parts = max(1, -(-found.count() // most))
+    at = docs.columns.index(text)
+    for k in range(parts):
+        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)
+        shared = spark.sparkContext.broadcast([(r["window"], r["n"], []) for r in part.toLocalIterator()])
+        docs = docs.mapInArrow(_without(shared, at), docs.schema)
+    return docs
+
+
+def _without(shared, at: int):
+    def each(batches):
+        a, _ = _automaton(shared)
+        for batch in batches:
+            keep = []
+            for value in batch.column(at):
+                t = value.as_py()
+                norm = normalised(t) if t else ""
+                keep.append(not (norm and len(a) and next(a.iter(norm), None)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return each
 
 
 def brute(text: str | None, benchmark: list[tuple], size: int = 10) -> tuple[int, int, list[str]]:
