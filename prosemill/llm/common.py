@@ -86,6 +86,11 @@ def unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, also where then uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join on on where nulls equal nulls; keeps the left side's key columns."""
     r = right.withColumnsRenamed({c: f"__r_{c}" for c in on})

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import same, stage
+from .common import let, same, stage
 
 #: Wording of notices by SPDX identifier.
 TEMPLATES = (
@@ -52,8 +52,13 @@ LICENCE_NAME = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.\-_].*)?$"
 
 def _terms(text: Column) -> Column:
     """Words and version numbers, and pairs of neighbours, which tell BY from BY-NC."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|\d+(?:\.\d+)*"), F.lit(0))
-    return F.concat(w, F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+
+    def both(w):
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(none))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|\d+(?:\.\d+)*"), F.lit(0)), both)
 
 
 def headers(files: DataFrame) -> DataFrame:

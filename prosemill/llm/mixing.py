@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, same, stage, unit
+from .common import let, ranked, same, stage, unit
 
 #: Weights of the sources in order, repeating, and the most copies of a document.
 WEIGHTS, MOST_COPIES = (5.0, 2.0, 1.0), 3.0
@@ -61,11 +61,6 @@ def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.select("source", "n", "source_size", F.when(over, cap).otherwise(F.col("weight") * level).cast("double").alias("target"), F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 _ITEM = "struct<h:bigint,doc_id:{id},digest:bigint,size:bigint,n:bigint,whole:bigint,p:double,extra:int>"
 
 
@@ -93,7 +88,7 @@ def _pivot(left: Column, right: Column, seed: int) -> Column:
             .otherwise(pair(done(right, 1), moved(left, left["p"] - b / o["si"])))
         )
 
-    return _let(odds(None), step)
+    return let(odds(None), step)
 
 
 def _fold(items: Column, kind: str, seed: int) -> Column:
@@ -102,7 +97,7 @@ def _fold(items: Column, kind: str, seed: int) -> Column:
 
     def merge(acc, x):
         both = lambda r: F.struct(r["rest"].alias("rest"), F.concat(acc["decided"], F.array(r["decided"])).alias("decided"))
-        return F.when(acc["rest"].isNull(), F.struct(x.alias("rest"), acc["decided"].alias("decided"))).otherwise(_let(_pivot(acc["rest"], x, seed), both))
+        return F.when(acc["rest"].isNull(), F.struct(x.alias("rest"), acc["decided"].alias("decided"))).otherwise(let(_pivot(acc["rest"], x, seed), both))
 
     return F.aggregate(items, start, merge)
 

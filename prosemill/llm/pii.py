@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import let, stage
 
 #: Forms of address by gender.
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин")
@@ -82,8 +82,12 @@ def _luhn(digits: Column) -> Column:
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity in its canonical form: a function of the key, the entity and the attempt."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    more = F.concat(h, F.sha2(F.concat(h, F.lit("+")), 256))
+    first = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
+    return let(first, lambda h: let(F.concat(h, F.sha2(F.concat(h, F.lit("+")), 256)), lambda more: _drawn(kind, canon, key, h, more)))
+
+
+def _drawn(kind: Column, canon: Column, key: str, h: Column, more: Column) -> Column:
+    """A replacement from 64 and 128 random hex digits."""
     digits = F.translate(more, "abcdef", "274859")
     n = F.length(canon)
     byte = lambda i, m, low: (F.conv(F.substring(h, i, 4), 16, 10).cast("int") % m + low).cast("string")
@@ -93,7 +97,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     email = F.concat(letters, F.lit("@"), domain, F.lit(".example.org"))
     body = F.concat(F.substring(canon, 1, 1), F.substring(digits, F.lit(1), n - 2))
     held = (F.substring(canon, -1, 1).cast("int") - _luhn(F.substring(canon, F.lit(1), n - 1)) + 10) % 10
-    card = F.concat(body, ((_luhn(body) + held) % 10).cast("string"))
+    card = let(body, lambda b: F.concat(b, ((_luhn(b) + held) % 10).cast("string")))
     phone = F.concat(F.when(n > 10, F.substring(canon, F.lit(1), n - 10)).otherwise(""), (F.substring(digits, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(digits, F.lit(2), F.least(n, F.lit(10)) - 1))
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))
     # Secrets and accounts: each character one of its own class.
@@ -145,14 +149,16 @@ def dictionary(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFram
 
 def _in_format(kind: Column, raw: Column, new: Column) -> Column:
     """A replacement with the punctuation of the mention; names keep its case."""
-    digits = F.split(new, "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
 
-    def step(acc, c):
-        take = c.rlike("[0-9A-Za-z]")
-        return F.struct(F.concat(acc["out"], F.when(take, F.coalesce(F.get(digits, acc["i"]), c)).otherwise(c)).alias("out"), (acc["i"] + take.cast("int")).alias("i"))
+    def step(digits):
+        def one(acc, c):
+            take = c.rlike("[0-9A-Za-z]")
+            return F.struct(F.concat(acc["out"], F.when(take, F.coalesce(F.get(digits, acc["i"]), c)).otherwise(c)).alias("out"), (acc["i"] + take.cast("int")).alias("i"))
+
+        return one
 
-    dressed = F.aggregate(F.split(raw, ""), start, step)["out"]
+    dressed = let(F.split(new, ""), lambda digits: F.aggregate(F.split(raw, ""), start, step(digits)))["out"]
     named = F.when(F.upper(raw) == raw, F.upper(new)).otherwise(new)
     return F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).when(kind.rlike("^(first|last)"), named).otherwise(new)
 
