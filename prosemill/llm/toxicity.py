@@ -24,6 +24,8 @@ from .common import ship, stage, unit
 #: Buckets of hashed words and word beginnings, candidates and voters kept, and labelled rows that the models are fitted on at most.
 BUCKETS, CANDIDATES, VOTERS, FIT_ROWS = 1 << 22, 2048, 256, 20_000
 BEGINNINGS = (4, 5, 6, 7, 9)
+#: A strong candidate goes with label 1 at least this often.
+STRONG = 0.6
 #: Words that vote for toxic before any is mined.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "filth", "vermin", "idiota", "imbécile", "dummkopf")
 #: Surface patterns: share of capitals, of exclamation marks, of digits, repeated words.
@@ -31,14 +33,25 @@ PATTERNS = ("shouting", "exclaiming", "digits", "repeating")
 
 
 def _features(block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
-    """(text no., bucket) of each word and each beginning of a longer word."""
+    """(word no., bucket) of each word and each beginning of a longer word."""
     size = block.e - block.s
-    docs, ids = [block.doc], [block.words()]
+    at, ids = [np.arange(len(block.s))], [block.words()]
     for k in BEGINNINGS:
         long = np.flatnonzero(size > k)
-        docs.append(block.doc[long])
+        at.append(long)
         ids.append(block.hashes(block.s[long], block.s[long] + k, salt=k))
-    return np.concatenate(docs), (np.concatenate(ids) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return np.concatenate(at), (np.concatenate(ids) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _known(block: kernel.Block, lookup: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text no., candidate no.) once each, and how many words of each text have a strong candidate."""
+    word, b = _features(block)
+    i = lookup[b]
+    hit = i >= 0
+    word, i = word[hit], i[hit].astype(np.int64)
+    told = np.unique(word[strong[i]])
+    key = np.unique(block.doc[word] * len(strong) + i)
+    return key // len(strong), key % len(strong), np.bincount(block.doc[told], minlength=block.n)
 
 
 def _patterns(block: kernel.Block) -> np.ndarray:
@@ -62,22 +75,22 @@ def seed_buckets() -> np.ndarray:
 
 
 class Model:
-    """What fit() learned: the candidates' buckets, the linear weights and the label model's voters."""
+    """What fit() learned: the candidates' buckets, which of them are strong, the linear weights and the label model's voters."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float, voters: list[dict]):
-        self.buckets, self.weights, self.bias, self.voters = buckets, weights, bias, voters
+    def __init__(self, buckets: np.ndarray, strong: np.ndarray, weights: np.ndarray, bias: float, voters: list[dict]):
+        self.buckets, self.strong, self.weights, self.bias, self.voters = buckets, strong, weights, bias, voters
 
 
-def _mined(train: DataFrame) -> np.ndarray:
-    """Buckets that go with label 1, by counts over all training rows, most telling first."""
+def _mined(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that go with label 1, whether they rarely go with 0), by counts over all training rows, most telling first."""
 
     def each(batches):
         pos, neg = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
         for batch in batches:
             label = np.array(batch.column(0).to_pylist(), dtype=np.int64)
             for at, block in kernel.blocks(batch.column(1), kernel.LETTERS, latin=True):
-                doc, b = _features(block)
-                key = np.unique(doc * BUCKETS + b)
+                word, b = _features(block)
+                key = np.unique(block.doc[word] * BUCKETS + b)
                 y = label[key // BUCKETS + at] == 1
                 for total, part in ((pos, key[y]), (neg, key[~y])):
                     i, c = np.unique(part % BUCKETS, return_counts=True)
@@ -90,11 +103,12 @@ def _mined(train: DataFrame) -> np.ndarray:
     n = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     rate = (n["pos"] or 0) / max(1, n["n"])
     if not rate:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     hits = F.col("pos") + F.col("neg")
     z = (F.col("pos") - hits * rate) / F.sqrt(hits * rate * (1 - min(rate, 0.999)))
-    top = counts.where((F.col("pos") >= 3) & (F.col("pos") > 2.5 * rate * hits)).select("bucket", z.alias("z")).orderBy(F.desc("z"), "bucket").limit(CANDIDATES).collect()
-    return np.array([r["bucket"] for r in top], dtype=np.int64)
+    top = counts.where((F.col("pos") >= 3) & (F.col("pos") > 2.5 * rate * hits)).select("bucket", "pos", "neg", z.alias("z")).orderBy(F.desc("z"), "bucket").limit(CANDIDATES).collect()
+    strong = np.array([r["pos"] >= 4 and r["pos"] >= STRONG * (r["pos"] + r["neg"]) for r in top], dtype=bool)
+    return np.array([r["bucket"] for r in top], dtype=np.int64), strong
 
 
 def _lookup(buckets: np.ndarray) -> np.ndarray:
@@ -107,37 +121,37 @@ def fit(train: DataFrame, text: str = "text", label: str = "label", fit_rows: in
     """From all rows with a text and a label of 0 or 1; the models from fit_rows of them at most, drawn by hash."""
     ship(train.sparkSession)
     rows = train.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    mined = _mined(rows)
-    buckets = np.concatenate([mined, np.setdiff1d(seed_buckets(), mined)])
-    shared = train.sparkSession.sparkContext.broadcast(buckets)
+    mined, is_strong = _mined(rows)
+    seeds = np.setdiff1d(seed_buckets(), mined)
+    buckets, strong = np.concatenate([mined, seeds]), np.concatenate([is_strong, np.ones(len(seeds), dtype=bool)])
+    shared = train.sparkSession.sparkContext.broadcast((buckets, strong))
     n_c, n_p = len(buckets), len(PATTERNS)
 
     def each(batches):
-        lookup = _lookup(shared.value)
+        buckets, strong = shared.value
+        lookup = _lookup(buckets)
         for batch in batches:
-            feats = []
-            for at, block in kernel.blocks(batch.column(1), kernel.LETTERS, latin=True):
-                doc, b = _features(block)
-                i = lookup[b]
-                hit = i >= 0
-                key = np.unique(doc[hit] * n_c + i[hit])
+            feats, told = [], []
+            for _, block in kernel.blocks(batch.column(1), kernel.LETTERS, latin=True):
+                doc, i, occurs = _known(block, lookup, strong)
                 bits = _patterns(block)
-                cut = np.searchsorted(key // n_c, np.arange(block.n + 1))
-                feats += [(key[cut[d] : cut[d + 1]] % n_c).tolist() + (n_c + np.flatnonzero(bits[d])).tolist() for d in range(block.n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32()))], names=["label", "feats"])
+                cut = np.searchsorted(doc, np.arange(block.n + 1))
+                feats += [i[cut[d] : cut[d + 1]].tolist() + (n_c + np.flatnonzero(bits[d])).tolist() for d in range(block.n)]
+                told.append(occurs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(np.concatenate(told) if told else [], pa.int64())], names=["label", "feats", "told"])
 
-    table = stage(rows.mapInArrow(each, "label int, feats array<int>"))
+    table = stage(rows.mapInArrow(each, "label int, feats array<int>, told long"))
     exact = table.select("label", F.explode("feats").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count("label").alias("hits")).toPandas()
     n = table.count()
-    sample = table if n <= fit_rows else table.orderBy(unit("feats", "label", F.monotonically_increasing_id())).limit(fit_rows)
+    sample = table if n <= fit_rows else table.orderBy(unit("feats", "label", "told", F.monotonically_increasing_id())).limit(fit_rows)
     got = sample.toPandas()
-    return _train(got["label"].to_numpy(dtype=float), list(got["feats"]), buckets, n_c + n_p, exact)
+    return _train(got["label"].to_numpy(dtype=float), list(got["feats"]), got["told"].to_numpy(), buckets, strong, n_c + n_p, exact)
 
 
-def _train(label: np.ndarray, feats: list, buckets: np.ndarray, width: int, exact) -> Model:
+def _train(label: np.ndarray, feats: list, told: np.ndarray, buckets: np.ndarray, strong: np.ndarray, width: int, exact) -> Model:
     n = len(label)
     if not n or not label.any():
-        return Model(buckets, np.zeros(width + 1), -4.0, [])
+        return Model(buckets, strong, np.zeros(width + 2), -4.0, [])
     doc = np.repeat(np.arange(n), [len(x) for x in feats])
     f = np.concatenate([np.asarray(x, dtype=np.int64) for x in feats]) if len(doc) else np.zeros(0, np.int64)
     hits, pos = np.zeros(width), np.zeros(width)
@@ -153,9 +167,9 @@ def _train(label: np.ndarray, feats: list, buckets: np.ndarray, width: int, exac
     votes[doc[on], place[f[on]]] = 1
     votes = np.column_stack([votes, label.astype(np.float32)])
     posterior, rates, weight = label_model(votes, np.clip(0.9 * label + 0.05, 0, 1), base)
-    w, b = _linear(doc, f, n, width, posterior, np.flatnonzero((lift > 2 * base) & (np.arange(width) < len(buckets))))
-    told = [{"feature": int(v), "true_rate": float(r[1]), "false_rate": float(r[0]), "weight": float(x)} for v, r, x in zip([*voters, -1], rates, weight, strict=True)]
-    return Model(buckets, w, b, told)
+    w, b = _linear(doc, f, n, width, posterior, told)
+    accuracies = [{"feature": int(v), "true_rate": float(r[1]), "false_rate": float(r[0]), "weight": float(x)} for v, r, x in zip([*voters, -1], rates, weight, strict=True)]
+    return Model(buckets, strong, w, b, accuracies)
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,22 +197,23 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
     return q, rates, w
 
 
-def _linear(doc: np.ndarray, f: np.ndarray, n: int, width: int, target: np.ndarray, telling: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on the features and one that counts the telling ones, by gradient steps with momentum."""
-    is_telling = np.zeros(width, dtype=bool)
-    is_telling[telling] = True
-    count = np.log1p(np.bincount(doc[is_telling[f]], minlength=n))
-    w, b = np.zeros(width + 1), float(np.log(target.mean() / (1 - target.mean())))
-    m, v = np.zeros(width + 2), np.zeros(width + 2)
+def _linear(doc: np.ndarray, f: np.ndarray, n: int, width: int, target: np.ndarray, told: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression on the features and two of the number of strong words, by gradient steps with momentum."""
+    more = _counts(told)
+    w, b = np.zeros(width + 2), float(np.log(target.mean() / (1 - target.mean())))
+    m, v = np.zeros(width + 3), np.zeros(width + 3)
     for t in range(1, steps + 1):
-        z = np.bincount(doc, w[f], n) + w[-1] * count + b
+        z = np.bincount(doc, w[f], n) + more @ w[width:] + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        grad = np.concatenate([np.bincount(f, g[doc], width) + 1e-5 * w[:-1], [(g * count).sum() + 1e-6 * w[-1], g.sum()]])
+        grad = np.concatenate([np.bincount(f, g[doc], width) + 1e-5 * w[:width], g @ more + 1e-6 * w[width:], [g.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    # The count's features are marked by a bit, so that scoring needs the weights alone.
-    return np.concatenate([w, is_telling.astype(float)]), float(b)
+    return w, float(b)
+
+
+def _counts(told: np.ndarray) -> np.ndarray:
+    return np.stack([np.log1p(told), told >= 2], axis=1).astype(float)
 
 
 def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
@@ -215,21 +230,14 @@ def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "tex
 
     def each(batches):
         m = shared.value
-        lookup, n_c = _lookup(m.buckets), len(m.buckets)
+        lookup = _lookup(m.buckets)
+        n_c = len(m.buckets)
         width = n_c + len(PATTERNS)
-        w = m.weights[:width]
-        last = m.weights[width]
-        telling = m.weights[width + 1 :] > 0 if len(m.weights) > width + 1 else np.zeros(width, dtype=bool)
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            column = batch.column(batch.num_columns - 1)
-            for at, block in kernel.blocks(column, kernel.LETTERS, latin=True):
-                d, b = _features(block)
-                i = lookup[b]
-                hit = i >= 0
-                key = np.unique(d[hit] * n_c + i[hit])
-                d, i = key // n_c, key % n_c
-                z = np.bincount(d, w[i], block.n) + _patterns(block) @ w[n_c:] + last * np.log1p(np.bincount(d[telling[i]], minlength=block.n)) + m.bias
+            for at, block in kernel.blocks(batch.column(batch.num_columns - 1), kernel.LETTERS, latin=True):
+                doc, i, told = _known(block, lookup, m.strong)
+                z = np.bincount(doc, m.weights[i], block.n) + _patterns(block) @ m.weights[n_c:width] + _counts(told) @ m.weights[width:] + m.bias
                 score[at : at + block.n] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(score)], names=[*names, "score"])
 
