@@ -1,0 +1,99 @@
+"""Readers and writers of the formats that text collections come in."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+MANIFEST = "passage_id string, class string, source_id string, word_count int, char_len int, era string, chunk_method string, band string"
+READING = "subject string, sent_idx int, word_idx int, word string, FFD double, GD double, GPT double, TRT double, nFix double, theta_trt double, sentence string"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; a temporary folder only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(named or tempfile.mkdtemp(prefix='prosemill-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def read_manifest(spark: SparkSession, paths: list[str], schema: str | StructType = MANIFEST) -> DataFrame:
+    """One or several CSV files with a header as one table."""
+    return spark.read.csv(paths, header=True, schema=schema, multiLine=True, escape='"')
+
+
+def read_passages(spark: SparkSession, root: str) -> DataFrame:
+    """(class, passage_id, text): whole files under <class>/<id>.txt; a class folder may be named class=<class>."""
+    path = F.input_file_name()
+    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    at = r"(?:class=)?([^/]+)/([^/]+)\.txt$"
+    return t.select(F.regexp_extract(path, at, 1).alias("class"), F.regexp_extract(path, at, 2).alias("passage_id"), F.col("value").alias("text"))
+
+
+def read_words(spark: SparkSession, glob: str, schema: str | StructType = READING) -> DataFrame:
+    """The tables of all subjects as one."""
+    return spark.read.csv(glob, header=True, schema=schema)
+
+
+def read_labelled_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sent_id, pos, word, label) of files of word<TAB>label lines; a line <file> begins a sentence.
+
+    Lines of another form are skipped and labels brought within 0 and 2. The
+    line's place in its file is its order, so each file is read whole by a task.
+    """
+    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    return parsed_tokens(t)
+
+
+def parsed_tokens(lines: DataFrame) -> DataFrame:
+    """From (file, line, value)."""
+    w = Window.partitionBy("file").orderBy("line")
+    marked = lines.withColumn("sent_id", F.sum((F.trim("value") == "<file>").cast("long")).over(w))
+    parts = F.split("value", "\t")
+    label = F.expr("try_cast(trim(get(split(value, '\\t'), 1)) AS int)")
+    ok = marked.where(F.size(parts) == 2).withColumn("word", F.get(parts, F.lit(0))).withColumn("label", label).where("label IS NOT NULL")
+    pos = F.row_number().over(Window.partitionBy("file", "sent_id").orderBy("line")) - 1
+    return ok.select("file", "sent_id", pos.alias("pos"), "word", F.greatest(F.lit(0), F.least(F.lit(2), F.col("label"))).alias("label"))
+
+
+def last_turn(turns: DataFrame, conv: str, turn: str, role: str, roles: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(conv, turn, text): the last turn of each conversation by one of the roles."""
+    return turns.where(F.col(role).isin(*roles)).groupBy(conv).agg(F.max(turn).alias(turn), F.max_by(text, turn).alias(text))
+
+
+def write_passages(df: DataFrame, root: str, label: str = "class", text: str = "text") -> None:
+    """Parquet by class; a class can be read alone."""
+    df.write.partitionBy(label).parquet(root)
+
+
+def round_trip(df: DataFrame, form: str) -> DataFrame:
+    """df written and read again with its own schema."""
+    path = shared_path(df.sparkSession)
+    df.write.format(form).option("header", True).save(path)
+    reader = df.sparkSession.read.schema(df.schema).option("header", True)
+    return reader.format(form).load(path)
+
+
+def passage_files(df: DataFrame, label: str, key: str, text: str) -> DataFrame:
+    """df as a table by class, written and read again: (class, passage_id, text)."""
+    path = shared_path(df.sparkSession)
+    out = df.select(F.col(label).alias("class"), F.col(key).cast("string").alias("passage_id"), F.col(text).alias("text"))
+    write_passages(out, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def subject_files(df: DataFrame, subject: str) -> DataFrame:
+    """df as CSV in one folder for each subject, read by a glob over all of them."""
+    path = shared_path(df.sparkSession)
+    df.write.partitionBy(subject).option("header", True).csv(path)
+    schema = StructType([f for f in df.schema if f.name != subject] + [df.schema[subject]])
+    return df.sparkSession.read.option("basePath", path).csv(f"{path}/{subject}=*", header=True, schema=schema)
+
+
+def labelled_tokens(df: DataFrame, sentence: str, pos: str, word: str, label: str) -> DataFrame:
+    """Tokens as lines of a labelled file for each sentence, parsed again: (sent_id, pos, word, label)."""
+    lines = df.select(F.col(sentence).cast("string").alias("file"), F.col(pos).alias("line"), F.concat_ws("\t", word, F.col(label).cast("string")).alias("value"))
+    heads = df.select(F.col(sentence).cast("string").alias("file")).distinct().select("file", F.lit(0).alias("line"), F.lit("<file>").alias("value"))
+    return parsed_tokens(heads.unionByName(lines)).select(F.col("file").cast("long").alias("sent_id"), "pos", "word", "label")
