@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosemill.plans import feature_queries, lexical_queries, table_queries, text_queries
+from prosemill.plans import feature_queries, job_queries, lexical_queries, stat_queries, table_queries, text_queries
 from prosemill.plans.base import Query
 
-MODULES = (text_queries, feature_queries, table_queries, lexical_queries)
+MODULES = (text_queries, feature_queries, table_queries, lexical_queries, stat_queries, job_queries)
 
 
 def queries() -> dict[str, Query]:
