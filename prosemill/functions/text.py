@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Rules = tuple[tuple[str, str], ...]
 
@@ -129,7 +130,7 @@ def normalize_typography(text: Column) -> Column:
     return F.trim(apply_rules(text, TYPOGRAPHY))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark's functions lack; Arrow batches."""
     return text.str.normalize("NFKC")

@@ -27,7 +27,7 @@ def read_manifest(spark: SparkSession, paths: list[str], schema: str | StructTyp
 def read_passages(spark: SparkSession, root: str) -> DataFrame:
     """(class, passage_id, text): whole files under <class>/<id>.txt; a class folder may be named class=<class>."""
     path = F.input_file_name()
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    t = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     at = r"(?:class=)?([^/]+)/([^/]+)\.txt$"
     return t.select(F.regexp_extract(path, at, 1).alias("class"), F.regexp_extract(path, at, 2).alias("passage_id"), F.col("value").alias("text"))
 
@@ -43,7 +43,7 @@ def read_labelled_tokens(spark: SparkSession, path: str) -> DataFrame:
     Lines of another form are skipped and labels brought within 0 and 2. The
     line's place in its file is its order, so each file is read whole by a task.
     """
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return parsed_tokens(t)
 
 
