@@ -99,9 +99,9 @@ def blind_batches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     The order is cut into hashed blocks whose counts give each block's offset.
     """
     h = T.md5_int(F.lit(seed), F.col(key))
-    t = df.select(key, h.alias("h")).withColumn("block", F.floor(F.col("h") / (1 << 24)))
+    t = df.select(key, h.alias("h")).withColumn("block", F.floor(F.col("h") / (1 << 18)))
     n = t.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    offset = n.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # 256 rows
+    offset = n.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # 16,384 rows at most
     at = t.join(offset, "block").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("h", key)) - 1)
     s = F.col("i").cast("string")
     return at.select(key, F.concat(F.lit("p"), F.lpad(s, F.greatest(F.lit(3), F.length(s)), "0")).alias("aid"), F.floor(F.col("i") / size).cast("int").alias("batch"))
@@ -109,6 +109,7 @@ def blind_batches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 def spread_groups(df: DataFrame, group: str, value: str, order: str, n: int) -> DataFrame:
     """Every row of one group gets one of n made-up groups in turn."""
-    hit = F.col(group) == value
-    turn = F.pmod(F.row_number().over(Window.partitionBy(hit).orderBy(order)) - 1, F.lit(n))
-    return df.withColumn(group, F.when(hit, F.concat(F.lit(f"{value}_"), turn.cast("string"))).otherwise(F.col(group)))
+    hit = F.col(group).eqNullSafe(F.lit(value))
+    turn = F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, F.lit(n))
+    spread = df.where(hit).withColumn("__t", turn).withColumn(group, F.concat(F.lit(f"{value}_"), F.col("__t").cast("string"))).drop("__t")
+    return df.where(~hit).unionByName(spread)
