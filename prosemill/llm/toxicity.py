@@ -7,8 +7,9 @@ expectation-maximisation, the given labels being one more, noisy voter, and
 discounts voters that correlate beyond what the label explains. A linear
 classifier is then trained on the posterior labels and scores every text.
 
-Counting covers all training rows; only the label model and the classifier are
-fitted on a bounded sample of them.
+All is fitted on a bounded, hashed sample of the labelled rows: the lexicon on
+LABELLED_ROWS, the label model and the classifier on FIT_ROWS of these. Every
+text is scored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import ship, stage, unit
 
 #: Buckets of hashed words and word beginnings, candidates and voters kept, and labelled rows that the models are fitted on at most.
 BUCKETS, CANDIDATES, VOTERS, FIT_ROWS = 1 << 22, 2048, 256, 20_000
+#: Labelled documents that the lexicon is mined from, at most.
+LABELLED_ROWS = 40_000
 BEGINNINGS = (4, 5, 6, 7, 9)
 #: A strong candidate goes with label 1 at least this often.
 STRONG = 0.6
@@ -245,8 +248,16 @@ def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "tex
     return rows.mapInArrow(each, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
-    """(text, label): documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, most: int = LABELLED_ROWS) -> DataFrame:
+    """(text, label): documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts.
+
+    Of more than `most` labelled ids a hashed share of about that many is
+    taken. Their ids and labels, so bounded, go to where the texts are; texts
+    aren't shuffled.
+    """
     mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % parts != held))
-    mine = mine.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(mine, "doc_id").select("text", "label")
+    mine = stage(mine.groupBy("doc_id").agg(F.max("toxic").alias("label")))
+    n = mine.count()
+    if n > most:
+        mine = mine.where(unit("doc_id", F.lit("fit")) < (most - 5 * most**0.5) / n)
+    return docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").select("text", "label")
