@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 Rules = tuple[tuple[str, str], ...]
 
+# Fixed values, from here to NOT_X_BUT_Y: patterns and formats that results depend on.
 SPACES: Rules = ((r"\s+", " "),)
 
 #: Forum posts: marks of markdown, links to their label, tags such as [WP].

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 c = F.col
 
+# The thresholds of all verdicts.
 PROCEED = {"accurate": (c("ba") >= 0.65) & (c("ci_low") > 0.50), "significant": c("perm_p") < 0.01, "rhythm_in_top3": c("rhythm_in_top3"), "beats_baseline": c("margin") >= 0.05, "residual": c("resid_ci_low") > 0.50, "era": c("era_ba") >= 0.60}
 KILL = {"weak": (c("ba") <= 0.55) | (c("ci_low") <= 0.50), "not_significant": c("perm_p") >= 0.05, "residual_collapses": c("resid_ci_low") <= 0.50, "baseline_does_it": c("best_baseline") >= c("ba")}
 
