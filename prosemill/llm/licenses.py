@@ -9,6 +9,8 @@ own inherit from the nearest directory above that has one, by joins on paths.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,10 @@ TEMPLATES = (
 
 #: What a sentence of a header holds, and the least cosine that counts.
 SPEAKS = r"(?i)\b(?:licen[sc]e[ds]?|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby|redistribution and use)\b"
-SENTENCE = r"[^\n.!?]*(?i:\b(?:licen[sc]e[ds]?|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby|redistribution and use)\b)(?:[^\n!?.]|\.(?=\d))*"
+#: In lower case, what any text that does so contains: searched first, being cheap.
+STEMS = ("licen", "copyright", "spdx", "all rights reserved", "public domain", "creative commons", "permission is hereby", "redistribution and use")
+#: A sentence; a full stop within a number doesn't end it. It is read once, without going back.
+SENTENCE = r"[^\n.!?]++(?:\.(?=\d)[^\n.!?]*+)*+"
 LEAST = 0.5
 #: A file whose header has this share of its words stands for its directory.
 MOSTLY = 0.5
@@ -63,9 +68,11 @@ def _terms(text: Column) -> Column:
 
 def headers(files: DataFrame) -> DataFrame:
     """(path, header, share) of the files that speak of a licence: the distinct sentences that do, and their share of the words."""
-    said = F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    spoken = F.filter(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: x.rlike(SPEAKS))
+    said = F.transform(spoken, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     words = lambda c: F.greatest(F.regexp_count(c, F.lit(r"\S+")), F.lit(1))
-    speaking = files.where(F.col("text").rlike(SPEAKS)).withColumn("said", F.array_sort(F.array_distinct(F.filter(said, lambda x: x != "")))).where(F.size("said") > 0)
+    hint = let(F.lower("text"), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in STEMS]))
+    speaking = files.where(F.col("text").isNotNull() & hint).where(F.col("text").rlike(SPEAKS)).withColumn("said", F.array_sort(F.array_distinct(F.filter(said, lambda x: x != "")))).where(F.size("said") > 0)
     header = F.array_join("said", "\n")
     return speaking.select("path", header.alias("header"), (words(header) / words(F.col("text"))).alias("share"))
 
