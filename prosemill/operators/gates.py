@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 c = F.col
 
 # The thresholds of all verdicts.
-PROCEED = {"accurate": (c("ba") >= 0.65) & (c("ci_low") > 0.50), "significant": c("perm_p") < 0.01, "rhythm_in_top3": c("rhythm_in_top3"), "beats_baseline": c("margin") >= 0.05, "residual": c("resid_ci_low") > 0.50, "era": c("era_ba") >= 0.60}
-KILL = {"weak": (c("ba") <= 0.55) | (c("ci_low") <= 0.50), "not_significant": c("perm_p") >= 0.05, "residual_collapses": c("resid_ci_low") <= 0.50, "baseline_does_it": c("best_baseline") >= c("ba")}
+
+
+def proceed_rules() -> dict[str, Column]:
+    return {"accurate": (c("ba") >= 0.65) & (c("ci_low") > 0.50), "significant": c("perm_p") < 0.01, "rhythm_in_top3": c("rhythm_in_top3"), "beats_baseline": c("margin") >= 0.05, "residual": c("resid_ci_low") > 0.50, "era": c("era_ba") >= 0.60}
+
+
+def kill_rules() -> dict[str, Column]:
+    return {"weak": (c("ba") <= 0.55) | (c("ci_low") <= 0.50), "not_significant": c("perm_p") >= 0.05, "residual_collapses": c("resid_ci_low") <= 0.50, "baseline_does_it": c("best_baseline") >= c("ba")}
 
 
 def _all(conds) -> Column:
@@ -23,8 +29,9 @@ def _any(conds) -> Column:
     return ~_all([~x for x in conds])
 
 
-def first_gate(metrics: DataFrame, proceed: dict[str, Column] = PROCEED, kill: dict[str, Column] = KILL) -> DataFrame:
+def first_gate(metrics: DataFrame, proceed: dict[str, Column] | None = None, kill: dict[str, Column] | None = None) -> DataFrame:
     """metrics with verdict: KILL by any, PROCEED by all, DANGER in between, else NO-GO; and how many of each hold."""
+    proceed, kill = proceed or proceed_rules(), kill or kill_rules()
     count = lambda conds: sum((x.cast("int") for x in conds), F.lit(0))
     verdict = F.when(_any(kill.values()), "KILL").when(_all(proceed.values()), "PROCEED").when((c("ba") > 0.55) & (c("ba") < 0.65), "DANGER").otherwise("NO-GO")
     return metrics.withColumns({"proceed_met": count(proceed.values()), "kill_met": count(kill.values()), "verdict": verdict})

@@ -9,7 +9,6 @@ from prosemill.operators import segment
 from prosemill.plans.base import SENTENCES_CTE, TOKENS_CTE, WORDS_CTE, Registry, lit, sql_count, sql_md5_int, sql_rules, sql_sentences, sql_squeeze, sql_strip, sql_tokens, sql_unescape, sql_upper, table
 
 R = Registry()
-text = F.col("text")
 
 
 def digest(out):
@@ -29,12 +28,12 @@ _book = f"""SELECT doc_id, replace(array_to_string(list_filter(list_slice(p, CAS
 
 @R.add("c1_clean_book", f"SELECT doc_id, md5(x) AS digest, CAST(length(x) AS BIGINT) AS chars FROM ({_book})")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.clean_book(text, _BREAK)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.clean_book(F.col("text"), _BREAK)))
 
 
 @R.add("c2_clean_forum", sql_digest(sql_squeeze(sql_rules(sql_unescape("text"), T.FORUM))))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.clean_forum(text)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.clean_forum(F.col("text"))))
 
 
 _line = r"regexp_extract(text, '^\s*([^\n]*)', 1)"
@@ -42,12 +41,12 @@ _line = r"regexp_extract(text, '^\s*([^\n]*)', 1)"
 
 @R.add("c3_drop_headline", sql_digest(rf"CASE WHEN {sql_upper(_line)} THEN regexp_replace(text, '^\s*[^\n]*\n?', '') ELSE text END"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.drop_headline(text)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.drop_headline(F.col("text"))))
 
 
 @R.add("c4_clean_essay", sql_digest(sql_squeeze(sql_rules("text", T.ESSAY))))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.clean_essay(text)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.clean_essay(F.col("text"))))
 
 
 _typo = f"trim({sql_rules('text', T.TYPOGRAPHY)})"
@@ -55,23 +54,23 @@ _typo = f"trim({sql_rules('text', T.TYPOGRAPHY)})"
 
 @R.add("c5_normalize_typography", sql_digest(_typo))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.normalize_typography(text)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.normalize_typography(F.col("text"))))
 
 
 @R.add("c6_renormalize", f"SELECT count(*) AS total, count(*) FILTER (WHERE x <> text) AS changed, CAST(sum(length(x)) AS BIGINT) AS chars FROM (SELECT text, {_typo} AS x FROM documents)")
 def _(spark, d):
-    new = T.normalize_typography(text)
-    return table(spark, d, "documents").select(text, new.alias("x")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("x") != text).alias("changed"), F.sum(F.length("x")).cast("long").alias("chars"))
+    new = T.normalize_typography(F.col("text"))
+    return table(spark, d, "documents").select("text", new.alias("x")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("x") != F.col("text")).alias("changed"), F.sum(F.length("x")).cast("long").alias("chars"))
 
 
 @R.add("c7_typography_features", "SELECT doc_id, " + ", ".join(f"round(1000.0::DOUBLE * {sql_count('text', p)} / greatest(length(text), 1), 9) AS {n}" for n, p in T.GLYPHS) + " FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[F.round(c, 9).alias(n) for n, c in T.glyph_rates(text).items()])
+    return table(spark, d, "documents").select("doc_id", *[F.round(c, 9).alias(n) for n, c in T.glyph_rates(F.col("text")).items()])
 
 
 @R.add("c8_detokenize", sql_digest(f"trim({sql_rules('text', T.DETOKENIZE)})"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *digest(T.detokenize(text)))
+    return table(spark, d, "documents").select("doc_id", *digest(T.detokenize(F.col("text"))))
 
 
 @R.add("c9_page_text", sql_digest(sql_squeeze(sql_unescape(sql_rules("html", T.PAGE))), "pages", "page_id"))
@@ -99,7 +98,7 @@ def _(spark, d):
 
 @R.add("t5_lengths", f"SELECT doc_id, CAST({sql_count('text', chr(92) + 'S+')} AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.word_count(text).cast("long").alias("words"), F.length(text).cast("long").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
 
 
 STOP = ["the", "of", "and", "a", "in", "to", "is", "that", "it", "for"]
