@@ -98,8 +98,8 @@ def _mined(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for total, part in ((pos, key[y]), (neg, key[~y])):
                     i, c = np.unique(part % BUCKETS, return_counts=True)
                     total[i] += c.astype(np.int32)
-        # A bucket without a label 1 here is left to the partitions that have one: enough to rank, and exact counts follow.
-        i = np.flatnonzero(pos)
+        # Also buckets without a label 1 here: other partitions may have one, and filter, rank and strength need all counts of 0.
+        i = np.flatnonzero(pos | neg)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(pos[i].astype(np.int64)), pa.array(neg[i].astype(np.int64))], names=["bucket", "pos", "neg"])
 
     counts = train.mapInArrow(each, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

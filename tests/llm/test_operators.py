@@ -352,6 +352,22 @@ def test_toxicity(spark):
     assert toxicity.predict(empty(spark), model).count() == 0
 
 
+def test_toxicity_partitions(spark):
+    # "plainword" is as frequent under either label, but few partitions hold it under label 1.
+    rng = random.Random(10)
+    rows = []
+    for i in range(1200):
+        y = int(i % 8 == 0)
+        w = prose(rng, 20).split() + ["zogfic"] * (y and i % 3 > 0) + ["plainword"] * (i % 25 == 0)
+        rows.append((" ".join(w), y))
+    one, many = (toxicity.fit(spark.createDataFrame(rows, "text string, label int").repartition(n)) for n in (1, 200))
+    assert one.buckets.tolist() == many.buckets.tolist() and one.strong.tolist() == many.strong.tolist()
+    assert abs(one.weights - many.weights).max() < 1e-6
+    docs = spark.createDataFrame([(1, "plainword"), (2, "zogfic")], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.predict(docs, many).collect()}
+    assert scores[1] < 0.5 < scores[2]
+
+
 # --- 10
 
 
