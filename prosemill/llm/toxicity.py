@@ -7,9 +7,8 @@ expectation-maximisation, the given labels being one more, noisy voter, and
 discounts voters that correlate beyond what the label explains. A linear
 classifier is then trained on the posterior labels and scores every text.
 
-All is fitted on a bounded, hashed sample of the labelled rows: the lexicon on
-LABELLED_ROWS, the label model and the classifier on FIT_ROWS of these. Every
-text is scored.
+Counting covers all training rows; only the label model and the classifier are
+fitted on a bounded, hashed sample of them, FIT_ROWS. Every text is scored.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from .common import ship, stage, unit
 
 #: Buckets of hashed words and word beginnings, candidates and voters kept, and labelled rows that the models are fitted on at most.
 BUCKETS, CANDIDATES, VOTERS, FIT_ROWS = 1 << 22, 2048, 256, 20_000
-#: Labelled documents that the lexicon is mined from, at most.
-LABELLED_ROWS = 40_000
+#: Bits of the sieve that keeps texts without a label out of the join, and bits to a word of it.
+SIEVE, WORD = 1 << 26, 64
 BEGINNINGS = (4, 5, 6, 7, 9)
 #: A strong candidate goes with label 1 at least this often.
 STRONG = 0.6
@@ -146,7 +145,10 @@ def fit(train: DataFrame, text: str = "text", label: str = "label", fit_rows: in
     table = stage(rows.mapInArrow(each, "label int, feats array<int>, told long"))
     exact = table.select("label", F.explode("feats").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count("label").alias("hits")).toPandas()
     n = table.count()
-    sample = table if n <= fit_rows else table.orderBy(unit("feats", "label", "told", F.monotonically_increasing_id())).limit(fit_rows)
+    sample = table
+    if n > fit_rows:  # a few more than needed by their draw, so that no task ranks more
+        drawn = table.withColumn("u", unit("feats", "label", "told", F.monotonically_increasing_id()))
+        sample = drawn.where(F.col("u") < (fit_rows + 6 * fit_rows**0.5 + 10) / n).orderBy("u").limit(fit_rows).drop("u")
     got = sample.toPandas()
     return _train(got["label"].to_numpy(dtype=float), list(got["feats"]), got["told"].to_numpy(), buckets, strong, n_c + n_p, exact)
 
@@ -248,16 +250,17 @@ def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "tex
     return rows.mapInArrow(each, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, most: int = LABELLED_ROWS) -> DataFrame:
-    """(text, label): documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts.
+def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
+    """(text, label): all documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts.
 
-    Of more than `most` labelled ids a hashed share of about that many is
-    taken. Their ids and labels, so bounded, go to where the texts are; texts
-    aren't shuffled.
+    A broadcast sieve of SIEVE bits, set by hashed id, drops most texts without
+    a label where they are read; the join decides, by shuffle at every size. The more labels, the more
+    texts pass the sieve, but its size is fixed. The result is staged.
     """
     mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % parts != held))
     mine = stage(mine.groupBy("doc_id").agg(F.max("toxic").alias("label")))
-    n = mine.count()
-    if n > most:
-        mine = mine.where(unit("doc_id", F.lit("fit")) < (most - 5 * most**0.5) / n)
-    return docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").select("text", "label")
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SIEVE))
+    word, bit = F.floor(spot / WORD).alias("word"), (spot % WORD).cast("int")
+    sieve = mine.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    may = docs.select("doc_id", "text", word, bit.alias("bit")).join(F.broadcast(sieve), "word").where(F.getbit("bits", F.col("bit")) == 1)
+    return stage(may.select("doc_id", "text").join(mine.hint("merge"), "doc_id").select("text", "label"))

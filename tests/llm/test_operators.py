@@ -388,3 +388,14 @@ def test_licenses(spark):
     assert by[None][0] == "MIT"
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
     assert licenses.scan(licenses.as_files(odd(spark))).count() == 9
+def test_toxicity_training_rows(spark):
+    docs = spark.range(0, 130_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "null"), (3, "again")], "doc_id long, text string"))
+    labels = spark.range(0, 90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
+    labels = labels.union(spark.createDataFrame([(None, 1), (1, None), (3, 1), (200_000, 1)], "doc_id long, toxic int"))
+    got = sorted(map(tuple, toxicity.training_rows(docs, labels).collect()))
+    mine = [i for i in range(90_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = [(str(i), int(i % 9 == 0 or i == 3)) for i in mine] + [("again", 1)] * (3 in mine)
+    assert len(mine) > 50_000 and got == sorted(want)
+
+
