@@ -100,15 +100,15 @@ def matched(found: DataFrame) -> DataFrame:
     return best.select("sentence", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score")).where(F.col("score") >= LEAST)
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """One row for each row of files (path, text): path, license, score, origin, from_dir.
+def scan(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of files (path, text): the columns of also, path, license, score, origin, from_dir.
 
     origin is `header`, `licence file`, `inherited` or `none`. A file with
     several licences has the one with the best score, ties to the identifier
     first in order; so has a directory. Null and empty texts have no header but
     may inherit; a null path inherits nothing. Equal paths are one file each.
     """
-    whole = files.select("path", "text")
+    whole = files.select(*also, "path", "text")
     found = stage(headers(whole))
     best = matched(found)
     per_header = found.select("header").distinct().withColumn("sentence", F.explode(F.split("header", "\n"))).join(best, "sentence")
@@ -125,15 +125,21 @@ def scan(files: DataFrame) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     near = dirs.select("at", F.posexplode(ups).alias("depth", "dir")).join(by_dir, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_score")).alias("m")).select("at", "m.dir", "m.dir_license", "m.dir_score")
     one = own.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "stands")).alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"), F.col("m.stands").alias("stands"))
-    rows = same(whole.select("path", folder(F.col("path")).alias("at")), one, ["path"], "left").join(near, "at", "left")
+    rows = same(whole.select(*also, "path", folder(F.col("path")).alias("at")), one, ["path"], "left").join(near, "at", "left")
     origin = F.when(F.col("license").isNotNull() & F.col("stands"), "licence file").when(F.col("license").isNotNull(), "header").when(F.col("dir").isNotNull(), "inherited").otherwise("none")
-    return rows.select("path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), origin.alias("origin"), F.when(F.col("license").isNull(), F.col("dir")).alias("from_dir"))
+    return rows.select(*also, "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), origin.alias("origin"), F.when(F.col("license").isNull(), F.col("dir")).alias("from_dir"))
 
 
 def as_files(docs: DataFrame, per_dir: int = 20) -> DataFrame:
-    """Documents as files: source/lang/group/doc_id, so many of each id range to a directory."""
+    """(doc_id, path, text): documents as files source/lang/group/doc_id, so many of each id range to a directory.
+
+    A document without an id stands alone in a directory named by its text's
+    hash, source/lang/none/hash/none.
+    """
     unknown = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    return docs.select(F.concat_ws("/", unknown("source"), unknown("lang"), F.floor(F.col("doc_id") / per_dir).cast("string"), F.col("doc_id").cast("string")).alias("path"), "text")
+    numbered = F.concat_ws("/", F.floor(F.col("doc_id") / per_dir).cast("string"), F.col("doc_id").cast("string"))
+    alone = F.concat_ws("/", F.lit("none"), F.md5(F.coalesce("text", F.lit(""))), F.lit("none"))
+    return docs.select("doc_id", F.concat_ws("/", unknown("source"), unknown("lang"), F.when(F.col("doc_id").isNull(), alone).otherwise(numbered)).alias("path"), "text")
 
 
 def templates(spark: SparkSession) -> DataFrame:

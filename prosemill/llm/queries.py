@@ -60,8 +60,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")))
-    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "from_dir")
+    out = licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")), also=("doc_id",))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "from_dir")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

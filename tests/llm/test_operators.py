@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from prosemill.llm import ann, decontaminate, htmltext, langid, licenses, minhash, mixing, pii, sharding, toxicity
+from prosemill.llm import ann, decontaminate, htmltext, langid, licenses, minhash, mixing, pii, queries, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "stone river light field house morning winter garden letter window silver paper engine forest market candle bridge mirror summer island".split()
@@ -399,3 +399,18 @@ def test_toxicity_training_rows(spark):
     assert len(mine) > 50_000 and got == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["op1_surrogates", "op2_probminhash", "op3_pivotal_mix", "op4_language_mixture", "op7_decontaminate", "op8_minimax_shards", "op9_toxicity", "op10_licenses"])
+def test_query_on_odd_rows(spark, tmp_path, name):
+    odd(spark).drop("score").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1), (5, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "ten words of a benchmark item that no document here holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    if name in ("op1_surrogates", "op4_language_mixture", "op8_minimax_shards", "op9_toxicity", "op10_licenses"):
+        assert sorted((r["doc_id"] or 0) for r in out) == [0, 1, 2, 3, 4, 5, 5, 6, 7]
+
+
+def test_licenses_without_ids(spark):
+    rows = [(None, "Released under the MIT License.", "en", "a", 1), (None, "plain", "en", "a", 1), (None, None, "en", "a", 1)]
+    out = licenses.scan(licenses.as_files(spark.createDataFrame(rows, DOCS)), also=("doc_id",)).collect()
+    assert len({r["path"] for r in out}) == 3 and all(r["doc_id"] is None for r in out)
+    assert sorted(r["license"] or "" for r in out) == ["", "", "MIT"]
