@@ -26,8 +26,17 @@ from .common import let, stage
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа")
 #: Syllables of made-up names by script, and how first names end by gender.
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se".split(), "cyrillic": "ба бе бо да де до фа фе га го ка ке ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се".split()}
-ENDINGS = {"latin": {"m": "rd", "f": "ssa", "": "th"}, "cyrillic": {"m": "рд", "f": "сса", "": "т"}}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se".split(),
+    "cyrillic": "ба бе бо да де до фа фе га го ка ке ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се".split(),
+    "greek": "βα βε βο γα γε γο δα δε δο θα κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρι ρο σα τα".split(),
+    "armenian": "բա բե բո գա գե գո դա դե դո կա կե կո լա լե լի լո մա մե մի մո նա նե նի նո պա պե ռա ռի ռո սա տա վա".split(),
+    "georgian": "ბა ბე ბო გა გე გო და დე დო კა კე კო ლა ლე ლი ლო მა მე მი მო ნა ნე ნი ნო პა პე რა რი რო სა ტა ვა".split(),
+}
+ENDINGS = {"latin": {"m": "rd", "f": "ssa", "": "th"}, "cyrillic": {"m": "рд", "f": "сса", "": "т"}, "greek": {"m": "ρης", "f": "σσα", "": "θι"}, "armenian": {"m": "րդ", "f": "ուշ", "": "թ"}, "georgian": {"m": "რდ", "f": "სსა", "": "თ"}}
+LASTS = {"latin": "n", "cyrillic": "н", "greek": "ν", "armenian": "ն", "georgian": "ნ"}
+#: Rounds of drawing after which a name has one more syllable, and syllables added at most.
+LONGER, MORE = 3, 16
 
 _PERSON = r"(?<![\p{L}])(?:" + "|".join(MALE + FEMALE) + r")\.?[ \t]\p{Lu}[\p{L}'’-]{1,30}(?:[ \t]\p{Lu}[\p{L}'’-]{1,30})?"
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+"
@@ -64,7 +73,8 @@ def _parts(raw: Column) -> Column:
     gap = F.regexp_extract(raw, r"^\S+[ \t]\S+([ \t])", 1)
     title = F.regexp_replace(head, r"[.\s]", "")
     gender = F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise("")
-    script = lambda x: F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    others = [k for k in SYLLABLES if k != "latin"]
+    script = lambda x: F.coalesce(*[F.when(x.rlike(rf"\p{{Is{k.capitalize()}}}"), k) for k in others], F.lit("latin"))
     keep = lambda x: part(F.lit("keep"), x, F.lit(None).cast("string"))
     last = lambda x: part(F.concat_ws(":", F.lit("last"), script(x)), x, F.lower(x))
     first = part(F.concat_ws(":", F.lit("first"), script(one), gender), one, F.lower(one))
@@ -83,10 +93,10 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The replacement of an entity in its canonical form: a function of the key, the entity and the attempt."""
     first = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    return let(first, lambda h: let(F.concat(h, F.sha2(F.concat(h, F.lit("+")), 256)), lambda more: _drawn(kind, canon, key, h, more)))
+    return let(first, lambda h: let(F.concat(h, F.sha2(F.concat(h, F.lit("+")), 256)), lambda more: _drawn(kind, canon, attempt, key, h, more)))
 
 
-def _drawn(kind: Column, canon: Column, key: str, h: Column, more: Column) -> Column:
+def _drawn(kind: Column, canon: Column, attempt: Column, key: str, h: Column, more: Column) -> Column:
     """A replacement from 64 and 128 random hex digits."""
     digits = F.translate(more, "abcdef", "274859")
     n = F.length(canon)
@@ -115,14 +125,14 @@ def _drawn(kind: Column, canon: Column, key: str, h: Column, more: Column) -> Co
         )
 
     masked = F.array_join(F.transform(chars, of_class), "")
-    names = F.lit(None).cast("string")
-    for script, syl in SYLLABLES.items():
-        pick = lambda i, syl=syl: F.element_at(F.array(*[F.lit(s) for s in syl]), (F.conv(F.substring(h, i, 4), 16, 10).cast("int") % len(syl) + 1).cast("int"))
-        stem = F.initcap(F.concat(pick(1), pick(9), pick(17), pick(25)))
-        for gender, end in ENDINGS[script].items():
-            k = f"first:{script}:{gender}"
-            names = F.when(kind == k, F.concat(stem, F.lit(end))).otherwise(names)
-        names = F.when(kind == f"last:{script}", F.concat(F.initcap(F.concat(pick(33), pick(41), pick(49), pick(57))), F.lit({"latin": "n", "cyrillic": "н"}[script]))).otherwise(names)
+    script, gender, is_last = F.get(F.split(kind, ":"), F.lit(1)), F.get(F.split(kind, ":"), F.lit(2)), kind.startswith("last")
+    by_script = lambda value: F.coalesce(*[F.when(script == k, value(k)) for k in SYLLABLES])
+    chosen = by_script(lambda k: F.array(*[F.lit(s) for s in SYLLABLES[k]]))
+    at = F.concat(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i * 8 + F.when(is_last, 33).otherwise(1)), F.slice(F.array(*[F.lit(61 + 4 * j) for j in range(1, MORE + 1)]), F.lit(1), F.least(F.floor(attempt / LONGER).cast("int"), F.lit(MORE))))
+    pick = lambda syl: F.transform(at, lambda i: F.element_at(syl, (F.conv(F.substring(more, i, 4), 16, 10).cast("int") % F.size(syl) + 1).cast("int")))
+    stem = F.initcap(F.array_join(let(chosen, pick), ""))
+    end = by_script(lambda k: F.when(is_last, LASTS[k]).otherwise(F.coalesce(*[F.when(gender == g, e) for g, e in ENDINGS[k].items()])))
+    names = F.when(kind.rlike("^(first|last):"), F.concat(stem, end))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind.isin("secret", "iban"), masked).otherwise(names)
 
 
@@ -130,17 +140,22 @@ def dictionary(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFram
     """(kind, canon, surrogate) for the distinct (kind, canon) of entities.
 
     No two entities of a kind share a replacement and none is an entity of the
-    corpus. Those that would are drawn again; only they change in a round.
+    corpus. Those that would are drawn again; only they change in a round. Names
+    get longer with the rounds and don't run out. Numbers keep their length, so
+    they can: most_rounds without any fewer collisions raise an error.
     """
     known = stage(entities.select("kind", "canon").distinct())
     group = lambda c: F.substring_index(c, ":", 1)
     drawn = stage(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
     real = known.select(group(F.col("kind")).alias("g"), F.col("canon").alias("s")).distinct().withColumn("real", F.lit(True))
-    for _ in range(most_rounds):
+    least, idle = None, 0
+    while idle < most_rounds:
         at = drawn.withColumn("g", group(F.col("kind"))).withColumn("s", F.when(F.col("kind").rlike("^(first|last)"), F.lower("surrogate")).otherwise(F.col("surrogate")))
         nth = F.row_number().over(Window.partitionBy("g", "s").orderBy("attempt", "kind", "canon"))
         marked = stage(at.withColumn("nth", nth).join(real, ["g", "s"], "left").withColumn("bad", (F.col("nth") > 1) | F.col("real").isNotNull()).select("kind", "canon", "attempt", "surrogate", "bad"))
-        if not marked.where("bad").limit(1).count():
+        left = marked.where("bad").count()
+        least, idle = (left, 0) if least is None or left < least else (least, idle + 1)
+        if not left:
             return marked.select("kind", "canon", "surrogate")
         again = F.col("attempt") + F.col("bad").cast("int")
         drawn = marked.select("kind", "canon", again.alias("attempt"), F.when(F.col("bad"), surrogate(F.col("kind"), F.col("canon"), again, key)).otherwise(F.col("surrogate")).alias("surrogate"))

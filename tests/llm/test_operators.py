@@ -62,6 +62,20 @@ def test_surrogates_are_distinct(spark):
     assert not old & {r["text"].split()[-1] for r in out.collect()}
 
 
+def test_surrogates_of_more_names_than_stems(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be"])  # 16 stems
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)).capitalize() + "xq" for i in range(60)]
+    out = pii.dictionary(spark.createDataFrame([("last:latin", n.lower()) for n in names], "kind string, canon string"), "key")
+    assert len({r["surrogate"] for r in out.collect()}) == 60
+
+
+def test_surrogates_keep_the_script(spark):
+    rows = [(1, "Mr Παπαδόπουλος came"), (2, "Mrs Պետրոսյան came"), (3, "Господин Иванов"), (4, "Mr Smith came")]
+    out = {r["doc_id"]: r["text"].split()[1] for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, low, high in ((1, "Ͱ", "Ͽ"), (2, "Ա", "֏"), (3, "Ѐ", "ӿ"), (4, "A", "z")):
+        assert out[i] not in rows[i - 1][1] and all(low <= c <= high for c in out[i])
+
+
 def test_surrogates_odd(spark):
     assert pii.replaced(odd(spark)).count() == 9
     assert pii.replaced(empty(spark)).count() == 0
