@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 #: Places: outside any article, inside one, inside a part that pages repeat or that isn't the author's.
 PLAIN, ARTICLE, AROUND = 0.0, 1.0, 2.0
+#: The mark of an element around by its class alone, which an article or main element in it undoes.
+LOOSE = 3.0
 
 #: The small labelled table: (words, link density, the same of the block before and after, place, 1 for main text).
 LABELLED = (
@@ -49,15 +52,52 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AROUND = frozenset("nav header footer aside form button select option menu dialog noscript iframe object figcaption".split())
 _SILENT = frozenset("head title template svg math canvas audio video textarea".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comments?|commentlist|comment\w*|replies|reply|disqus|respond|widget\w*|pagination|pager|toolbar|login|search)(?:$|[\s_-])", re.I)
-_ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body)(?:$|[\s_-])", re.I)
+#: Parts of class names: what stands around an article; of these, what holds items that are articles themselves; what an article is named.
+_NAMES = re.compile(r"ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|respond|widget\w*|pagination|pager|toolbar|login|search", re.I)
+_LISTS = re.compile(r"ad|ads|advert\w*|promo\w*|sponsor\w*|related|recommend\w*|comment\w*|replies|reply|disqus|respond", re.I)
+_ARTICLE_NAMES = re.compile(r"article|content|post|entry|story|main|body", re.I)
+#: Class names that tell of a part of the page without being it: has-sidebar, comments-closed, content-sidebar-wrap.
+_NEGATIONS = frozenset("has no not non with without".split())
+_STATES = frozenset("open opened closed enabled disabled collapsed expanded visible layout page".split())
+_WRAPPERS = frozenset("wrap wrapper container grid inner outer".split())
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<![^>]*>|<\?[^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _OPEN_A = re.compile(r"\S+")
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes by name in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(given: dict[str, str]) -> bool:
+    return given.get("hidden", "false").strip().lower() != "false" or given.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(given.get("style", "")))
+
+
+@lru_cache(maxsize=1 << 14)
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """Whether class names are those of a part around the article, of one that holds items of its own, of the article."""
+    around = lists = article = False
+    for token in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+", token) if x]
+        if not parts or not _NEGATIONS.isdisjoint(parts) or len(parts) > 1 and parts[-1] in _STATES:
+            continue
+        of_article = any(_ARTICLE_NAMES.fullmatch(x) for x in parts)
+        article |= of_article
+        if of_article and parts[-1] in _WRAPPERS:
+            continue
+        # The header of a post holds its title.
+        found = [x for x in parts if _NAMES.fullmatch(x) and not (x == "header" and of_article)]
+        around |= bool(found)
+        lists |= any(_LISTS.fullmatch(x) for x in found)
+    return around, lists, article
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, words in links, place) of each flat block with text, in page order."""
     page = _DROP.sub(" ", page)
@@ -80,9 +120,14 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     def settle() -> None:
         nonlocal place, silent, in_article
         silent = any(x[2] for x in stack)
-        marks = [x[1] for x in stack if x[1] is not None]
-        in_article = ARTICLE in marks
-        place = AROUND if AROUND in marks else ARTICLE if in_article else PLAIN
+        in_article = around = loose = False
+        for tag, mark, _ in stack:
+            if mark == ARTICLE:
+                in_article = True
+                loose = loose and tag not in ("article", "main")
+            around |= mark == AROUND
+            loose |= mark == LOOSE
+        place = AROUND if around or loose else ARTICLE if in_article else PLAIN
 
     at = 0
     for m in _TAG.finditer(page):
@@ -112,16 +157,17 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                     break
             continue
         mark = None
-        hidden = name in _SILENT or bool(attrs and _HIDDEN.search(attrs))
+        given = _attributes(attrs) if attrs and not attrs.isspace() else {}
+        hidden = name in _SILENT or bool(given and _hidden(given))
+        around, lists, article = _named(" ".join([given.get("class", ""), given.get("id", ""), given.get("role", "")])) if given else (False, False, False)
         if name in _AROUND and not (name in ("header", "figcaption") and in_article):
             mark = AROUND
         elif name in ("article", "main"):
-            mark = ARTICLE
-        elif attrs and name not in ("html", "body"):
-            named = " ".join("".join(x) for x in _NAMED.findall(attrs))
-            if named and _NAMES.search(named):
-                mark = AROUND
-            elif named and _ARTICLE_NAMES.search(named) and name in ("div", "section", "td"):
+            mark = AROUND if name == "article" and lists else ARTICLE
+        elif name not in ("html", "body"):
+            if around:
+                mark = AROUND if lists else LOOSE
+            elif article and name in ("div", "section", "td"):
                 mark = ARTICLE
         if name == "p":  # a paragraph ends the one that is open
             if stack and stack[-1][0] == "p":

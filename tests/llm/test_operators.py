@@ -252,6 +252,33 @@ def test_main_text(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        ('<article style="overflow: hidden"><p>The text.</p></article>', True),
+        ('<div class="overflow-hidden"><article><p>The text.</p></article></div>', True),
+        ('<article><p class="visually-hidden-focusable">The text.</p></article>', True),
+        ('<article data-hidden="1" title="hidden"><p>The text.</p></article>', True),
+        ('<div class="page has-sidebar"><article><p>The text.</p></article></div>', True),
+        ('<div class="no-comments"><article><p>The text.</p></article></div>', True),
+        ('<div class="content-sidebar-wrap"><article><p>The text.</p></article></div>', True),
+        ('<div class="sidebar"><main><p>The text.</p></main></div>', True),
+        ('<article><div class="post-header"><h1>The text.</h1></div></article>', True),
+        ("<article hidden><p>The text.</p></article>", False),
+        ('<article aria-hidden="true"><p>The text.</p></article>', False),
+        ('<article style="color:red; display : none"><p>The text.</p></article>', False),
+        ('<article style="visibility:hidden"><p>The text.</p></article>', False),
+        ('<article><div class="ad-slot"><p>The text.</p></div></article>', False),
+        ('<div id="comments"><article class="comment-body"><p>The text.</p></article></div>', False),
+        ('<div class="related-posts"><article><p>The text.</p></article></div>', False),
+        ('<nav><article><p>The text.</p></article></nav>', False),
+    ],
+)
+def test_attributes_of_parts(page, kept):
+    found = htmltext.blocks(page)
+    assert [b[3] for b in found] == [htmltext.ARTICLE] if kept else all(b[3] == htmltext.AROUND for b in found)
+
+
 # --- 7
 
 
@@ -382,6 +409,17 @@ def test_toxicity_partitions(spark):
     assert scores[1] < 0.5 < scores[2]
 
 
+def test_toxicity_training_rows(spark):
+    docs = spark.range(0, 130_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "null"), (3, "again")], "doc_id long, text string"))
+    labels = spark.range(0, 90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
+    labels = labels.union(spark.createDataFrame([(None, 1), (1, None), (3, 1), (200_000, 1)], "doc_id long, toxic int"))
+    got = sorted(map(tuple, toxicity.training_rows(docs, labels).collect()))
+    mine = [i for i in range(90_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = [(str(i), int(i % 9 == 0 or i == 3)) for i in mine] + [("again", 1)] * (3 in mine)
+    assert len(mine) > 50_000 and got == sorted(want)
+
+
 # --- 10
 
 
@@ -402,15 +440,6 @@ def test_licenses(spark):
     assert by[None][0] == "MIT"
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
     assert licenses.scan(licenses.as_files(odd(spark))).count() == 9
-def test_toxicity_training_rows(spark):
-    docs = spark.range(0, 130_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    docs = docs.union(spark.createDataFrame([(None, "null"), (3, "again")], "doc_id long, text string"))
-    labels = spark.range(0, 90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
-    labels = labels.union(spark.createDataFrame([(None, 1), (1, None), (3, 1), (200_000, 1)], "doc_id long, toxic int"))
-    got = sorted(map(tuple, toxicity.training_rows(docs, labels).collect()))
-    mine = [i for i in range(90_000) if zlib.crc32(str(i).encode()) % 3 != 1]
-    want = [(str(i), int(i % 9 == 0 or i == 3)) for i in mine] + [("again", 1)] * (3 in mine)
-    assert len(mine) > 50_000 and got == sorted(want)
 
 
 @pytest.mark.parametrize("name", ["op1_surrogates", "op2_probminhash", "op3_pivotal_mix", "op4_language_mixture", "op7_decontaminate", "op8_minimax_shards", "op9_toxicity", "op10_licenses"])
