@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,16 +16,18 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and
+    all runs in one process, as in tests, a temporary folder takes its place;
+    elsewhere a folder of one machine would lose rows, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="prosemill-"))
-    return sc.getCheckpointDir().rstrip("/")
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -39,6 +42,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of tables made by stage() that nothing reads any more."""
+    for df in staged:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getParent().getName().startswith("prosemill-"):
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,12 +63,10 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     be broken by order. Null keys sort as order says.
     """
     at = "__part"
-    keys = [f"__k{i}" for i in range(len(order))]
     dealt = df.repartitionByRange(*order).withColumn(at, F.spark_partition_id())
     dealt = stage(dealt)
     counts = dealt.groupBy(at).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(at, (F.sum("__n").over(Window.orderBy(at)) - F.col("__n")).alias("__before"))
-    del keys
     return (
         dealt.withColumn(name, F.row_number().over(Window.partitionBy(at).orderBy(*order)).cast("long") - 1)
         .join(offsets, at)
@@ -101,6 +111,52 @@ def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
     return left.join(r, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
+#: A key of more than one in so many rows is a hot one, so there are at most so many hot keys.
+HOT = 2000
+
+
+def hot_keys(df: DataFrame, key: list[str], least: int = 2000) -> DataFrame | None:
+    """The keys that hold more than 1/HOT of df's rows, and more than least; None if there are none. HOT rows at most, as a local table."""
+    n = df.count()
+    if n <= least:
+        return None
+    per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(least, n / HOT)).select(*key)
+    rows = per.collect()
+    return df.sparkSession.createDataFrame(rows, per.schema) if rows else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right on key, where left may hold very many rows of one key and right only a few of each.
+
+    Hot keys of left meet their few rows of right by broadcast, so that no task
+    gets all rows of a key; the rest is shuffled. left should be staged, as it
+    is read once to count. hot: its hot keys, if known.
+    """
+    hot = hot if hot is not None else hot_keys(left, key)
+    if hot is None:
+        return left.join(right, key)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return left.join(F.broadcast(few), key).unionByName(rest)
+
+
+#: Bits of a sieve, and bits to a word of it: 8 MB whatever it holds.
+SIEVE, WORD = 1 << 26, 64
+
+
+def sieved(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """df without most of the rows whose key isn't in wanted, where they are read, ahead of the join that decides.
+
+    A broadcast of SIEVE bits, set by hashed key. The more keys, the more other
+    rows pass, but its size is fixed. Rows without a key go.
+    """
+    spot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SIEVE))
+    word, bit = F.floor(spot / WORD).alias("__word"), (spot % WORD).cast("int")
+    bits = wanted.where(F.col(key).isNotNull()).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    may = df.where(F.col(key).isNotNull()).withColumns({"__word": F.floor(spot / WORD), "__bit": bit})
+    return may.join(F.broadcast(bits), "__word").where(F.getbit("__bits", F.col("__bit")) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): (node, comp), comp the least node.
 
@@ -109,13 +165,17 @@ def components(edges: DataFrame) -> DataFrame:
     staged table; nothing but the number of changed labels reaches the driver.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    hubs = hot_keys(both, ["b"])
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        near = labels.join(heard, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("c"))
+        told = labels.select(F.col("node").alias("b"), "comp")
+        heard = (spread_join(both, told, ["b"], hubs) if hubs is not None else both.join(told, "b")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        near = stage(labels.join(heard, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("c")))
         up = labels.select(F.col("node").alias("c"), F.col("comp").alias("up"))
-        new = stage(near.join(up, "c").select("node", "was", F.least("c", "up").alias("comp")))
+        new = stage(spread_join(near, up, ["c"]).select("node", "was", F.least("c", "up").alias("comp")))
         changed = new.where("was <> comp").count()
+        discard(labels, near)
         labels = new.select("node", "comp")
         if not changed:
+            discard(both)
             return labels
