@@ -8,12 +8,14 @@ next arrival is later than all registers, so a text costs about its number of
 shingles. Two registers agree with the probability Jaccard similarity of the
 two texts, which bands of registers turn into candidates.
 
-Equal texts are one node. Candidates that share a band make blocks, by star
-edges to the bucket's earliest document: two texts that share any band are in
-one block. Within a block the pairs that could still change the classes are
-verified on their exact probability Jaccard. Large blocks are dealt into parts,
-and all pairs of parts are verified as tasks of their own: no pair of a block
-is lost, and no task gets more than two parts.
+Equal texts are one node. Texts that share a band are candidates, and every
+pair of candidates is settled on its exact probability Jaccard, in two steps:
+each text against the earliest of its bucket, which settles nearly all of a
+group of copies in linear work; then, in those buckets whose other texts still
+aren't all of one class, all pairs between different classes. For these, large
+blocks are dealt into parts and every pair of parts with different classes is a
+task of its own. So no link between candidates is lost, no task gets more than
+two parts, and a group of copies that agree with their earliest costs no pairs.
 """
 
 from __future__ import annotations
@@ -21,19 +23,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, same, ship, stage
+from .common import HOT, components, same, ship, sieved, spread_join, stage
 
 #: Words of a shingle and the similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 shares a band with probability 0.9999.
 BANDS, ROWS = 24, 5
-#: A part of a large block: so many texts and bytes of text at most, on average.
+#: A part of a large block, or of the texts that meet one centre: so many texts and bytes of text at most, on average.
 PART_TEXTS, PART_BYTES = 512, 4 << 20
 
 
@@ -85,12 +86,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, n_bytes, bands array<long>, sig binary) for each row with at least one word.
-
-    sig has the low 16 bits of each register, to tell hopeless pairs cheaply.
-    """
+    """(doc_id, digest, n_bytes, bands array<long>) for each row with at least one word."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def each(batches):
         for batch in batches:
@@ -98,25 +96,16 @@ def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
                 doc_no, shingle, weight = weighted(block)
                 ids = signatures(block.n, doc_no, shingle, weight)
                 has = np.flatnonzero(block.counts > 0)
-                low = (kernel.mix(ids[has]) & np.uint64(0xFFFF)).astype(np.uint16)
                 g = np.zeros((len(has), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     g = kernel.mix(g * np.uint64(0x9E3779B97F4A7C15) + ids[has].reshape(len(has), BANDS, ROWS)[:, :, r])
                 g = kernel.mix(g + np.arange(BANDS, dtype=np.uint64)[None, :]).view(np.int64)
                 take = pa.array(has + at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        pa.array(np.diff(block.starts)[has]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(g.ravel())),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
-                    ],
-                    schema=schema,
-                )
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(g.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.diff(block.starts)[has]), bands], schema=schema)
 
     slim = docs.select(F.col(doc).cast("long").alias("doc_id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
-    return slim.mapInArrow(each, "doc_id long, digest string, n_bytes long, bands array<long>, sig binary")
+    return slim.mapInArrow(each, "doc_id long, digest string, n_bytes long, bands array<long>")
 
 
 def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
@@ -125,94 +114,181 @@ def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", thres
     copies counts the repeated rows; class_digest is the text of class_id.
     A class holds texts that are equal or linked by similarities of at least
     the threshold; class_id is its least doc_id, n_texts its distinct texts.
-    digest is the text's MD5. Texts without any word are alike only if equal;
-    a null text is alike to none, so its class_id is its own doc_id. Rows with
-    a null doc_id are classed too; a class of such rows only has a null id.
+    digest is the text's MD5. Texts without any word, the empty one too, are
+    alike only if equal; a null text is alike to none, so its class_id is its
+    own doc_id. Rows with a null doc_id are classed too; a class of such rows
+    only has a null id. Very long texts are compared whole. An empty table has
+    no rows. Other columns aren't read, so none of them can clash.
     """
     rows = stage(docs.select(F.col(doc).cast("long").alias("doc_id"), F.md5(text).alias("digest"), F.lit(1).alias("one")).groupBy("doc_id", "digest").agg(F.count("one").alias("copies")))
     sk = stage(sketch(docs, doc, text))
     # Equal texts have equal sketches: one node for each text, numbered once and for all as its table is written.
-    first = sk.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    first = sk.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
     nodes = stage(first.withColumn("node", F.monotonically_increasing_id()))
 
-    buckets = nodes.select(F.explode("bands").alias("bucket"), F.struct(F.col("least"), F.col("node")).alias("k"))
-    centres = buckets.groupBy("bucket").agg(F.min("k").alias("centre"), F.count("k").alias("n")).where("n > 1").select("bucket", "centre")
-    stars = buckets.join(centres, "bucket").select(F.col("k.node").alias("a"), F.col("centre.node").alias("b")).where("a <> b").distinct()
-    blocks = components(stage(stars))
-
-    repeated = bool(rows.where("copies > 1").limit(1).count())
-    links = stage(_verified(docs, doc, text, nodes, blocks, threshold, repeated))
-    comps = components(links)
-    named = nodes.select("digest", "node", "least").join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp"))
-    named = stage(named)
+    comps = components(links(docs, doc, text, nodes, threshold, bool(rows.where("copies > 1").limit(1).count())))
+    named = stage(nodes.select("digest", "node", "least").join(comps, "node", "left").select("digest", "least", F.coalesce("comp", "node").alias("comp")))
     first_of = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("digest"))).alias("k")
     ids = named.groupBy("comp").agg(first_of, F.count("digest").alias("n_texts"))
-    by_digest = named.join(ids, "comp").select("digest", F.col("k.least").alias("class_id"), F.col("k.digest").alias("class_digest"), "n_texts")
+    by_digest = spread_join(named, ids, ["comp"]).select("digest", F.col("k.least").alias("class_id"), F.col("k.digest").alias("class_digest"), "n_texts")
     # Texts without words have no node.
-    bare = rows.where("digest IS NOT NULL").join(nodes.select("digest"), "digest", "left_anti")
+    some = rows.where("digest IS NOT NULL")
+    bare = some.join(nodes.select("digest"), "digest", "left_anti")
     bare_ids = bare.groupBy("digest").agg(F.min("doc_id").alias("class_id")).select("digest", "class_id", F.col("digest").alias("class_digest"), F.lit(1).cast("long").alias("n_texts"))
-    known = rows.where("digest IS NOT NULL").join(by_digest.unionByName(bare_ids), "digest")
+    known = spread_join(some, stage(by_digest.unionByName(bare_ids)), ["digest"])
     null = rows.where("digest IS NULL").select("digest", "doc_id", "copies", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"), F.lit(1).cast("long").alias("n_texts"))
     return known.unionByName(null).select("doc_id", "digest", "copies", "class_id", "class_digest", "n_texts")
 
 
-def _verified(docs: DataFrame, doc: str, text: str, nodes: DataFrame, blocks: DataFrame, threshold: float, repeated: bool) -> DataFrame:
-    """(a, b): links of at least the threshold between texts of a block, enough to connect all that such links connect."""
-    inside = nodes.select("node", "digest", "least", "n_bytes", "sig").join(blocks, "node")
-    dealt = blocks.join(nodes.select("node", "n_bytes"), "node").groupBy("comp").agg(F.ceil(F.greatest(F.count("node") / PART_TEXTS, F.sum("n_bytes") / PART_BYTES)).cast("int").alias("parts"))
-    placed = inside.join(dealt, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def links(docs: DataFrame, doc: str, text: str, nodes: DataFrame, threshold: float, repeated: bool) -> DataFrame:
+    """(a, b): links of at least the threshold between nodes that share a band, enough to connect all that such links connect."""
+    each = nodes.select("node", "least", F.explode("bands").alias("bucket"))
+    sizes = stage(each.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("k"), F.count("node").alias("n")).where("n > 1").select("bucket", F.col("k.node").alias("centre"), "n"))
+    frequent = sizes.where(F.col("n") > max(2000, nodes.count() * BANDS / HOT)).select("bucket").collect()  # HOT at most
+    hot = docs.sparkSession.createDataFrame(frequent, "bucket long") if frequent else None
+    held = each.select("node", "bucket")
+    held = stage(spread_join(held, sizes.select("bucket", "centre"), ["bucket"], hot) if hot is not None else held.join(sizes.select("bucket", "centre"), "bucket"))
+    texts = stage(_texts(docs, doc, text, nodes, held.select("node").distinct(), repeated))
+
+    # Each text against the earliest of its buckets; one centre's texts are dealt into parts.
+    edges = stage(held.where("node <> centre").select("node", F.col("centre").alias("key")).distinct())
+    parts = edges.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART_TEXTS).cast("int").alias("parts"))
+    dealt = stage(spread_join(edges, parts, ["key"]).select("node", "key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    centres = dealt.select(F.col("key").alias("node"), "key", "part").distinct()
+    by = F.struct("key", "part", F.lit(0).alias("other")).alias("task")
+    asked = dealt.select("node", by, F.lit(0).alias("side"), F.col("node").alias("label")).unionByName(centres.select("node", by, F.lit(1).alias("side"), F.col("node").alias("label")))
+    stars = stage(_settled(asked, texts, threshold))
+
+    # What other members of a bucket are still of different classes.
+    labels = components(stars)
+    named = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("comp", "node")).drop("comp")
+    others = stage(named(held.where("node <> centre").select("node", "bucket")))
+    open_ = others.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("centre")).where("lo < hi").select("bucket", "centre")
+    left = stage(spread_join(others, open_, ["bucket"], hot) if hot is not None else others.join(open_, "bucket"))
+    blocks = components(stage(left.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
+    return stars.unionByName(_settled(_tasks(stage(named(blocks.withColumnRenamed("comp", "block"))), texts), texts, threshold))
+
+
+def _texts(docs: DataFrame, doc: str, text: str, nodes: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, n_bytes, text) of the wanted nodes."""
+    mine = stage(nodes.join(wanted, "node").select("node", "least", "digest", "n_bytes"))
     source = docs.select(F.col(doc).cast("long").alias("least"), F.md5(text).alias("digest"), F.col(text).alias("text"))
-    texts = same(source, placed, ["least", "digest"]).select("comp", "parts", "part", "node", "least", "sig", "text")
-    if repeated:  # the same doc_id and text in several rows
-        texts = texts.dropDuplicates(["node"])
-    # Every pair of parts is a task of its own; a part meets itself in the pair (0, 1), or alone.
-    pairs = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 OR with <> part")
-    pairs = pairs.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with")
-
-    def each(key, table):
-        a, b = _forest(table, threshold)
+    out = same(sieved(source, mine, "digest"), mine, ["least", "digest"]).select("node", "n_bytes", "text")
+    return out.dropDuplicates(["node"]) if repeated else out  # the same doc_id and text in several rows
+
+
+def _tasks(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, task, side, label): each pair of parts of a block that hold different labels, and each part with several.
+
+    Labels of many texts have parts of their own, which needn't meet each other; the rest of a block shares parts.
+    """
+    sized = placed.join(texts.select("node", "n_bytes"), "node")
+    parts = lambda: F.ceil(F.greatest(F.count("node") / PART_TEXTS, F.sum("n_bytes") / PART_BYTES)).cast("int")
+    sized = stage(sized)
+    per = sized.groupBy("block", "label").agg(parts().alias("own"), F.count("node").alias("n"))
+    big = stage(per.where("own > 1").select("block", "label", "own"))
+    of_own = stage(sized.join(big, ["block", "label"], "left"))
+    pool = of_own.where("own IS NULL").groupBy("block").agg(parts().alias("pool"))
+    shared = spread_join(stage(of_own.where("own IS NULL").drop("own")), pool, ["block"])
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("part")
+    dealt = of_own.where("own IS NOT NULL").select("node", "block", "label", F.col("label").alias("own"), at("own")).unionByName(shared.select("node", "block", "label", F.lit(-1).cast("long").alias("own"), at("pool")))
+    dealt = stage(dealt)
+    p = dealt.select("block", "own", "part").distinct()
+    q = p.select("block", F.col("own").alias("own2"), F.col("part").alias("part2"))
+    first, second = F.struct("own", "part"), F.struct(F.col("own2").alias("own"), F.col("part2").alias("part"))
+    pairs = p.join(q, "block").where((first <= second) & ((F.col("own") != F.col("own2")) | (F.col("own") < 0)))
+    pairs = stage(pairs.withColumn("task", F.struct(F.monotonically_increasing_id().alias("key"), F.lit(0).alias("part"), (first != second).cast("int").alias("other"))))
+    sides = pairs.select("block", "own", "part", "task", F.lit(0).alias("side")).unionByName(pairs.where("task.other = 1").select("block", F.col("own2").alias("own"), F.col("part2").alias("part"), "task", F.lit(1).alias("side")))
+    return dealt.join(sides, ["block", "own", "part"]).select("node", "task", "side", "label")
+
+
+def _settled(asked: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect what the tasks' pairs connect. asked: (node, task, side, label).
+
+    The pairs of a task are those between its sides, or within side 0 if it has
+    no other, of different labels. Small tasks share a group.
+    """
+    rows = stage(asked.join(texts, "node"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
+    groups = max(1, size["n"] // PART_TEXTS, size["b"] // PART_BYTES)
+
+    def each(table):
+        a, b = [], []
+        key = np.stack([table["task"].combine_chunks().field(x).to_numpy(zero_copy_only=False) for x in ("key", "part")], axis=1)
+        node, side, label = (table[x].to_numpy() for x in ("node", "side", "label"))
+        sets = _sets(table["text"])
+        order = np.lexsort((node, side, key[:, 1], key[:, 0]))
+        cut = np.flatnonzero(np.any(np.diff(key[order], axis=0, prepend=key[order][:1] - 1) != 0, axis=1))
+        for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
+            i = order[s:e]
+            x, y = _forest(node[i], side[i], label[i], [sets[k] for k in i], threshold)
+            a += x
+            b += y
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.groupBy("comp", "lo", "hi").applyInArrow(each, "a long, b long")
+    return rows.withColumn("g", F.pmod(F.xxhash64("task.key", "task.part"), F.lit(groups))).groupBy("g").applyInArrow(each, "a long, b long")
 
 
-def _forest(table: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
-    """Edges to the first text of each group that links of at least the threshold connect."""
-    order = np.lexsort((table["node"].to_numpy(), table["least"].fill_null(-1).to_numpy()))
-    table = table.take(pa.array(order))
-    node = table["node"].to_numpy()
-    n = len(node)
-    m = BANDS * ROWS
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(n, m)
-    sets: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, block in kernel.blocks(table["text"], kernel.WORD):
+def _sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted shingles, weights) of each text."""
+    sets = []
+    for _, block in kernel.blocks(column, kernel.WORD):
         d, s, w = weighted(block)
         cut = np.searchsorted(d, np.arange(block.n + 1))
         for i in range(block.n):
             x, y = s[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
             o = np.argsort(x)
             sets.append((x[o], y[o]))
-    # So many equal registers has a pair at the threshold but once in 10,000, and it has further ways to be linked.
-    least = m * threshold - 4 * math.sqrt(m * threshold * (1 - threshold))
-    root = np.arange(n)
-    for i in range(n - 1):
-        js = np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= least) + i + 1
-        for j in js:
+    return sets
+
+
+def _forest(node: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that connect what links between the sides, or within the one side, connect.
+
+    Two texts can't be more similar than the sum of the smaller of their shares
+    in each shingle, which an index of all shingles gives for a text and all
+    others at once; only pairs for which this reaches the threshold are compared.
+    """
+    n = len(node)
+    two = side[-1] != side[0]
+    size = np.array([len(s[0]) for s in sets])
+    shingle, text = np.concatenate([s[0] for s in sets]), np.repeat(np.arange(n), size)
+    share = np.concatenate([s[1] / s[1].sum() for s in sets])
+    by = np.argsort(shingle, kind="stable")
+    held, text, share_of = shingle[by], text[by], share[by]
+    _, root = np.unique(label, return_inverse=True)
+    start = np.cumsum(size) - size
+    a, b = [], []
+    for i in range(n):
+        if two and side[i]:
+            break
+        x = sets[i][0]
+        lo, hi = np.searchsorted(held, x), np.searchsorted(held, x, "right")
+        m = hi - lo
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+        most = np.bincount(text[at], np.minimum(share_of[at], np.repeat(share[start[i] : start[i] + size[i]], m)), n)
+        most[: i + 1] = 0
+        for j in np.flatnonzero((most >= threshold - 1e-9) & (root != root[i]) & ((side != side[i]) if two else True)):
             if root[i] != root[j] and similarity(sets[i], sets[j]) >= threshold:
-                lo, hi = sorted((root[i], root[j]))
-                root[root == hi] = lo
-    moved = np.flatnonzero(root != np.arange(n))
-    return node[moved].tolist(), node[root[moved]].tolist()
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+                root[root == root[j]] = root[i]
+    return a, b
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """docs with one document of each class, that with the least doc_id; of repeated rows one stays. Null texts all stay."""
-    kept = stage(near_classes(docs, threshold=threshold).where("doc_id <=> class_id AND digest = class_digest").select("doc_id", "digest", "copies"))
-    cols = docs.columns
-    keep = same(docs.where("text IS NOT NULL").withColumn("__d", F.md5("text")), kept.withColumnRenamed("digest", "__d"), ["doc_id", "__d"])
-    out = keep.where("copies = 1").select(*cols).unionByName(docs.where("text IS NULL").select(*cols))
-    if kept.where("copies > 1").limit(1).count():
-        out = out.unionByName(keep.where("copies > 1").dropDuplicates(["doc_id", "__d"]).select(*cols))
+    """docs with one document of each class, that with the least doc_id; of repeated rows one stays.
+
+    Null texts all stay, and so does one of each class of rows without an id.
+    Texts without a word, the empty one too, are copies only if equal. All
+    columns stay, whatever their names.
+    """
+    kept = stage(near_classes(docs.select("doc_id", "text"), threshold=threshold).where("doc_id <=> class_id AND digest = class_digest").select("doc_id", F.col("digest").alias("__digest"), F.col("copies").alias("__copies")))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    keep = same(docs.where("text IS NOT NULL").withColumn("__digest", F.md5("text")), kept, ["doc_id", "__digest"])
+    out = keep.where("__copies = 1").select(*cols).unionByName(docs.where("text IS NULL").select(*cols))
+    if kept.where("__copies > 1").limit(1).count():
+        out = out.unionByName(keep.where("__copies > 1").dropDuplicates(["doc_id", "__digest"]).select(*cols))
     return out
 
 
@@ -237,7 +313,3 @@ def brute(texts: dict[int, str], threshold: float = SIMILAR) -> dict[int, int]:
                     lo, hi = sorted((root[a], root[b]))
                     root = {k: lo if v == hi else v for k, v in root.items()}
     return root
-
-
-def frame(texts: dict[int, str]) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())})
