@@ -19,12 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import ship, stage, unit
+from .common import ship, sieved, stage, unit
 
 #: Buckets of hashed words and word beginnings, candidates and voters kept, and labelled rows that the models are fitted on at most.
 BUCKETS, CANDIDATES, VOTERS, FIT_ROWS = 1 << 22, 2048, 256, 20_000
-#: Bits of the sieve that keeps texts without a label out of the join, and bits to a word of it.
-SIEVE, WORD = 1 << 26, 64
 BEGINNINGS = (4, 5, 6, 7, 9)
 #: A strong candidate goes with label 1 at least this often.
 STRONG = 0.6
@@ -101,7 +99,7 @@ def _mined(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         i = np.flatnonzero(pos | neg)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(pos[i].astype(np.int64)), pa.array(neg[i].astype(np.int64))], names=["bucket", "pos", "neg"])
 
-    counts = train.mapInArrow(each, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = train.select("label", "text").mapInArrow(each, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     rate = (n["pos"] or 0) / max(1, n["n"])
     if not rate:
@@ -119,10 +117,14 @@ def _lookup(buckets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS) -> Model:
-    """From all rows with a text and a label of 0 or 1; the models from fit_rows of them at most, drawn by hash."""
+def fit(train: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS) -> Model:
+    """From all rows with a text and a label of 0 or 1; the models from fit_rows of them at most.
+
+    These are drawn by a hash of id and text and taken in its order, so the
+    model is the same however the rows are dealt over partitions.
+    """
     ship(train.sparkSession)
-    rows = train.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
+    rows = train.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), unit(doc, text).alias("u"))
     mined, is_strong = _mined(rows)
     seeds = np.setdiff1d(seed_buckets(), mined)
     buckets, strong = np.concatenate([mined, seeds]), np.concatenate([is_strong, np.ones(len(seeds), dtype=bool)])
@@ -140,16 +142,14 @@ def fit(train: DataFrame, text: str = "text", label: str = "label", fit_rows: in
                 cut = np.searchsorted(doc, np.arange(block.n + 1))
                 feats += [i[cut[d] : cut[d + 1]].tolist() + (n_c + np.flatnonzero(bits[d])).tolist() for d in range(block.n)]
                 told.append(occurs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(np.concatenate(told) if told else [], pa.int64())], names=["label", "feats", "told"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.list_(pa.int32())), pa.array(np.concatenate(told) if told else [], pa.int64())], names=["label", "u", "feats", "told"])
 
-    table = stage(rows.mapInArrow(each, "label int, feats array<int>, told long"))
+    table = stage(rows.mapInArrow(each, "label int, u double, feats array<int>, told long"))
     exact = table.select("label", F.explode("feats").alias("f")).groupBy("f").agg(F.sum("label").alias("pos"), F.count("label").alias("hits")).toPandas()
     n = table.count()
-    sample = table
-    if n > fit_rows:  # a few more than needed by their draw, so that no task ranks more
-        drawn = table.withColumn("u", unit("feats", "label", "told", F.monotonically_increasing_id()))
-        sample = drawn.where(F.col("u") < (fit_rows + 6 * fit_rows**0.5 + 10) / n).orderBy("u").limit(fit_rows).drop("u")
-    got = sample.toPandas()
+    # A few more than needed by their draw, so that no task ranks more.
+    drawn = table.where(F.col("u") < (fit_rows + 6 * fit_rows**0.5 + 10) / n) if n > fit_rows else table
+    got = drawn.orderBy("u", "label", "told", "feats").limit(fit_rows).toPandas()
     return _train(got["label"].to_numpy(dtype=float), list(got["feats"]), got["told"].to_numpy(), buckets, strong, n_c + n_p, exact)
 
 
@@ -221,46 +221,64 @@ def _counts(told: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(told), told >= 2], axis=1).astype(float)
 
 
-def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, score in [0, 1], and the columns of also.
+def _scores(m: Model, lookup: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """The score of each text of a column."""
+    n_c = len(m.buckets)
+    width = n_c + len(PATTERNS)
+    score = np.zeros(len(texts))
+    for at, block in kernel.blocks(texts, kernel.LETTERS, latin=True):
+        doc, i, told = _known(block, lookup, m.strong)
+        z = np.bincount(doc, m.weights[i], block.n) + _patterns(block) @ m.weights[n_c:width] + _counts(told) @ m.weights[width:] + m.bias
+        score[at : at + block.n] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return score
+
+
+def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, the columns of also, and score in [0, 1].
 
-    Null and empty texts get the score of a text without features. keep_text
-    carries the text through as well.
+    Null and empty texts get the score of a text without features, very long
+    ones are read whole, repeated rows each have their row, and an empty table
+    none. Other columns aren't read, so none can clash.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    also = also or {}
-    rows = docs.select(F.col(doc).alias("doc_id"), *[c.alias(k) for k, c in also.items()], F.col(text).alias("text"))
-    names = rows.columns if keep_text else rows.columns[:-1]
+    rows = docs.select(F.col(doc).alias("doc_id"), *[c.alias(k) for k, c in (also or {}).items()], F.col(text).alias("text"))
+    names = rows.columns[:-1]
 
     def each(batches):
-        m = shared.value
-        lookup = _lookup(m.buckets)
-        n_c = len(m.buckets)
-        width = n_c + len(PATTERNS)
+        lookup = _lookup(shared.value.buckets)
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for at, block in kernel.blocks(batch.column(batch.num_columns - 1), kernel.LETTERS, latin=True):
-                doc, i, told = _known(block, lookup, m.strong)
-                z = np.bincount(doc, m.weights[i], block.n) + _patterns(block) @ m.weights[n_c:width] + _counts(told) @ m.weights[width:] + m.bias
-                score[at : at + block.n] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            score = _scores(shared.value, lookup, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(score)], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(names)]) + ", score double"
     return rows.mapInArrow(each, schema)
 
 
+def clean(docs: DataFrame, model: Model, reject: float = 0.7, text: str = "text") -> DataFrame:
+    """docs without the rows that score reject or more; all columns stay, whatever their names.
+
+    Null and empty texts have the score of a text without features, so they
+    stay unless the model rejects that. Repeated rows go or stay together.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def each(batches):
+        lookup = _lookup(shared.value.buckets)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, lookup, batch.column(at)) < reject))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
-    """(text, label): all documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts.
+    """(doc_id, text, label): all documents with a label whose crc32(doc_id as text) modulo parts isn't held. Of several labels of an id the largest counts.
 
-    A broadcast sieve of SIEVE bits, set by hashed id, drops most texts without
-    a label where they are read; the join decides, by shuffle at every size. The more labels, the more
-    texts pass the sieve, but its size is fixed. The result is staged.
+    Most texts without a label are dropped where they are read; the join
+    decides, by shuffle at every size. The result is staged.
     """
     mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % parts != held))
     mine = stage(mine.groupBy("doc_id").agg(F.max("toxic").alias("label")))
-    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SIEVE))
-    word, bit = F.floor(spot / WORD).alias("word"), (spot % WORD).cast("int")
-    sieve = mine.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    may = docs.select("doc_id", "text", word, bit.alias("bit")).join(F.broadcast(sieve), "word").where(F.getbit("bits", F.col("bit")) == 1)
-    return stage(may.select("doc_id", "text").join(mine.hint("merge"), "doc_id").select("text", "label"))
+    return stage(sieved(docs.select("doc_id", "text"), mine, "doc_id").join(mine.hint("merge"), "doc_id").select("doc_id", "text", "label"))
