@@ -7,8 +7,10 @@ text is normalised in the same way and scanned once; matches are mapped back to
 the words, and so to the character offsets, of the original text.
 
 The automaton's size is checked: up to `most` distinct windows go to the
-executors as one broadcast. A larger benchmark is dealt into parts of at most
-`most` windows by hash, one scan each, and the hits are united by document.
+executors as one broadcast. A larger benchmark is dealt into parts of about
+`most` windows by hash. Each part is a scan of its own, one after the other, so
+that no more than one automaton is held at a time; the few texts with hits are
+kept, and what they hold of all parts is united.
 """
 
 from __future__ import annotations
@@ -80,8 +82,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: str = "doc_
 
     n_hit counts the words inside any occurrence of a window; items are those
     with a window that occurs, sorted as strings; spans are the hit runs as
-    offsets in code points of the original text. A null text has no words. An
-    empty benchmark hits nothing. Repeated rows of docs each have their row.
+    offsets in code points of the original text. A null or empty text has no
+    words; a very long one is scanned whole. An empty benchmark hits nothing.
+    Repeated rows of docs each have their row, and an empty table none. Other
+    columns aren't read, so none can clash.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -90,16 +94,40 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: str = "doc_
     parts = max(1, -(-count // most))
     if parts == 1:
         return _scan(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), found)
-    # A row has no key of its own, so rows with the same id and text share one scan and are counted.
     keyed = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("digest"))
-    out = None
-    for k in range(parts):
-        part = _scan(keyed, found.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k), keep=("digest",), words=True)
-        out = part if out is None else out.unionByName(part)
-    copies = keyed.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    merged = out.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
-    whole = same(merged, copies, ["doc_id", "digest"]).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return whole.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", F.array_sort("spans").alias("spans"))
+    held = None
+    for part in _parts(found, parts):
+        one = stage(_scan(keyed, part, keep=("digest",), words=True).where("n_hit > 0").select("doc_id", "digest", "hit", "items").distinct())
+        held = one if held is None else held.unionByName(one)
+    united = held.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return _told(same(keyed, stage(united), ["doc_id", "digest"], "left").select("doc_id", "text", "hit", "items"))
+
+
+def _parts(found: DataFrame, parts: int) -> list[DataFrame]:
+    """The windows in so many parts by hash."""
+    return [found if parts == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The report of scan() from texts and the numbers of their hit words."""
+
+    def each(batches):
+        for batch in batches:
+            n_words, n_hit, spans = [], [], []
+            for value, words in zip(batch.column(1), batch.column(2), strict=True):
+                t, at = value.as_py(), words.as_py() or []
+                norm = normalised(t) if t else ""
+                hit = np.zeros(norm.count(" ") - 1 if norm else 0, dtype=bool)
+                hit[at] = True
+                n_words.append(len(hit))
+                n_hit.append(len(at))
+                spans.append([{"start": s, "end": e} for s, e in _spans(t, hit)] if at else [])
+            items = batch.column(3).fill_null([])
+            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "hit", "items").mapInArrow(each, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 def _scan(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] = (), words: bool = False) -> DataFrame:
@@ -152,21 +180,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", most: int = MOST_WINDOWS) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark; all columns stay.
+    """docs without the rows that hold a window of the benchmark; all columns stay, whatever their names.
 
-    Rows are kept or dropped where they are scanned, without a shuffle; a
-    benchmark of several automata is several scans. Null and empty texts stay.
+    Rows are kept or dropped where they are scanned, without a shuffle. For a
+    benchmark of several parts the ids and hashes of the texts with hits are
+    found first, part by part. Null and empty texts stay, and so do rows
+    without an id, and repeated ones, if their text is clean.
     """
     spark = docs.sparkSession
     ship(spark)
     found = stage(windows(benchmark, size))
     parts = max(1, -(-found.count() // most))
-    at = docs.columns.index(text)
-    for k in range(parts):
-        part = found if parts == 1 else found.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)
-        shared = spark.sparkContext.broadcast([(r["window"], r["n"], []) for r in part.toLocalIterator()])
-        docs = docs.mapInArrow(_without(shared, at), docs.schema)
-    return docs
+    if parts == 1:
+        shared = spark.sparkContext.broadcast([(r["window"], r["n"], []) for r in found.toLocalIterator()])
+        return docs.mapInArrow(_without(shared, docs.columns.index(text)), docs.schema)
+    keyed = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("digest"))
+    hit = None
+    for part in _parts(found, parts):
+        one = stage(_scan(keyed, part, keep=("digest",)).where("n_hit > 0").select(F.col("digest").alias("__digest")).distinct())
+        hit = one if hit is None else hit.unionByName(one)
+    rows = docs.withColumn("__digest", F.coalesce(F.md5(F.col(text)), F.lit("")))
+    return rows.join(hit.distinct(), "__digest", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _without(shared, at: int):
