@@ -142,7 +142,13 @@ def units_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: s
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """docs in the mix: each row as often as its copies, none for 0."""
+    """docs in the mix: each row as often as its copies, none for 0.
+
+    A null source is a source of its own. Texts that are null, empty or without
+    a word have the whole copies of their source; a very long text counts with
+    all its words. Repeated rows have the same copies each. All columns stay,
+    whatever their names; an empty table has no rows.
+    """
     copies = mix(stage(units_of(docs)), seed).where("copies > 0").select("doc_id", "source", F.col("digest").alias("__digest"), F.col("copies").alias("__copies"))
     rows = same(docs.withColumn("__digest", F.xxhash64("text")), copies, ["doc_id", "source", "__digest"])
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

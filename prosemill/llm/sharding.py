@@ -155,7 +155,8 @@ def assign(docs: DataFrame, shards: int = 8, doc: str = "doc_id", text: str = "t
 
     Rows with equal texts share a shard; null texts are groups of their own and
     have the size 1 and the checksum of no bytes. Fewer groups than shards leave
-    shards empty. slot counts the rows of a shard from 0.
+    shards empty; an empty table has no rows. slot counts the rows of a shard
+    from 0. Other columns aren't read, so none can clash.
     """
     crc = F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long")
     slim = stage(docs.select(F.col(doc).alias("doc_id"), size_of(text).alias("size"), crc.alias("text_crc32"), key_of(doc, text).alias("key")))
@@ -164,7 +165,14 @@ def assign(docs: DataFrame, shards: int = 8, doc: str = "doc_id", text: str = "t
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """docs with shard; texts are read, not shuffled."""
-    slim = stage(docs.select(key_of().alias("__key"), size_of().alias("__size")))
-    p = plan(slim.select(F.col("__key").alias("key"), F.col("__size").alias("size")), shards)
-    return docs.withColumn("shard", p.shard(key_of()))
+    """docs with shard; texts are read, not shuffled.
+
+    A column that is named shard already stays as shard_before, all others as
+    they are. Rows are placed as by assign(): equal texts together, each null
+    text by itself, an empty or very long text by its bytes like any other;
+    an empty table has no rows.
+    """
+    slim = stage(docs.select(key_of().alias("key"), size_of().alias("size")))
+    p = plan(slim, shards)
+    mine = [F.col(f"`{c}`").alias("shard_before" if c == "shard" else c) for c in docs.columns]
+    return docs.select(*mine, p.shard(key_of()).alias("shard"))

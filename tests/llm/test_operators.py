@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -27,6 +28,15 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+CLASHES = ("score", "copies", "shard", "digest", "label", "held_out", "node", "comp", "task", "u", "n", "rank", "slot", "size", "key", "target", "__n", "`")
+
+
+def clashing(spark):
+    """odd() with columns named as the operators' own."""
+    df = odd(spark).drop("score")
+    return df.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES) if c != "`"})
+
+
 # --- 1
 
 
@@ -198,6 +208,44 @@ def test_language_mixture(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_mixtures_keep_a_language():
+    import numpy as np
+
+    for ll, doc, n in (([[-10.0, -10.1, -10.05]], [0], 1), ([[-9.0] * 6, [-9.0] * 6], [0, 0], 1), ([[-9.0] * 40], [0], 1)):
+        share = langid.mixtures(np.array(ll), np.array(doc), n)
+        assert np.isclose(share.sum(axis=1), 1).all() and share.argmax(axis=1)[0] == int(np.argmax(ll[0]))
+
+
+def test_mixtures_match_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    ll = rng.normal(-20, 3, (60, 3))
+    doc = np.repeat(np.arange(6), 10)
+    got = langid.mixtures(ll, doc, 6)
+    for d in range(6):
+        x = np.exp(ll[doc == d] - ll[doc == d].max(axis=1, keepdims=True))
+        best = (-np.inf, None)
+        for on in ([1], [2], [4], [1, 2], [1, 4], [2, 4], [1, 2, 4]):
+            on = [b.bit_length() - 1 for b in on]
+            grid = [np.array([1.0])] if len(on) == 1 else [np.array([a, 1 - a]) for a in np.linspace(0.005, 0.995, 199)] if len(on) == 2 else [np.array([a, b, 1 - a - b]) for a in np.linspace(0.01, 0.98, 98) for b in np.linspace(0.01, 0.98, 98) if a + b < 0.995]
+            v = max(np.log(x[:, on] @ g).sum() for g in grid) - (len(on) - 1) * (0.5 * np.log(10) + 2)
+            best = max(best, (v, tuple(on)))
+        fit = np.log(x @ got[d]).sum() - ((got[d] > 0).sum() - 1) * (0.5 * np.log(10) + 2)
+        assert fit >= best[0] - 0.6  # backward selection comes close to the best set
+
+
+def test_language_mixture_of_many_and_short(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)}q zz{chr(97 + i % 26)} " * 3, f"l{i:03d}", "s", 0) for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = langid.predict(df, langid.fit(df)).collect()  # more languages than fit a dense table of shares
+    assert len(out) == 80 and all(r["lang_pred"] != "und" and 0 < r["score"] <= 1 for r in out)
+    short = spark.createDataFrame([(1, "x", None, None, 0), (2, "漢字", None, None, 0), (3, "qqqq " * 9, None, None, 0)], DOCS)
+    assert all(r["lang_pred"] != "und" for r in langid.predict(short, langid.fit(df)).collect())
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    assert len(langid.fit(df)[0]) == 5
+
+
 # --- 5
 
 
@@ -282,6 +330,20 @@ def test_attributes_of_parts(page, kept):
 # --- 7
 
 
+def hit_runs(text, items):
+    """Runs of hit words as offsets, by comparing all windows at all places."""
+    words = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", text or "")]
+    w = [text[a:b].lower() for a, b in words]
+    hit = set()
+    for _, other in items:
+        o = re.findall(r"[0-9a-z]+", (other or "").lower())
+        for i in range(max(1, len(o) - 9) if o else 0):
+            x = o[i : i + 10]
+            hit |= {j + k for j in range(len(w) - len(x) + 1) if w[j : j + len(x)] == x for k in range(len(x))}
+    runs = [i for i in sorted(hit) if i - 1 not in hit]
+    return [(words[i][0], words[next(j for j in range(i, len(words) + 1) if j not in hit) - 1][1]) for i in runs]
+
+
 @pytest.mark.parametrize("most", [200_000, 7])
 def test_decontamination_matches_brute_force(spark, most):
     rng = random.Random(7)
@@ -304,6 +366,8 @@ def test_decontamination_matches_brute_force(spark, most):
     assert got == sorted((i, *x[:2], tuple(x[2])) for i, t in docs for x in [decontaminate.brute(t, items)])
     r = next(r for r in decontaminate.digest(found).collect() if r["doc_id"] == 102)
     assert r["items_sha256"] == decontaminate.sha(["0"]) and r["contaminated"] and r["n_items"] == 1
+    spans = {(r["doc_id"], tuple((x["start"], x["end"]) for x in r["spans"])) for r in found.collect()}
+    assert spans == {(i, tuple(hit_runs(t, items))) for i, t in docs}
     kept = sorted(x["doc_id"] for x in decontaminate.clean(d, b, most=most).collect())
     assert kept == sorted(i for i, t in docs if not decontaminate.brute(t, items)[1])
 
@@ -381,7 +445,7 @@ def test_toxicity(spark):
             w.insert(rng.randrange(len(w)), rng.choice(bad))
         rows.append((i, " ".join(w), y))
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    train = df.where("doc_id < 400").select("text", F.when(F.col("doc_id") % 97 == 1, 1 - F.col("y")).otherwise(F.col("y")).alias("label"))
+    train = df.where("doc_id < 400").select("doc_id", "text", F.when(F.col("doc_id") % 97 == 1, 1 - F.col("y")).otherwise(F.col("y")).alias("label"))
     model = toxicity.fit(train)
     out = {r["doc_id"]: r["score"] for r in toxicity.predict(df, model).collect()}
     held = [(out[i], y) for i, _, y in rows if i >= 400]
@@ -400,10 +464,12 @@ def test_toxicity_partitions(spark):
     for i in range(1200):
         y = int(i % 8 == 0)
         w = prose(rng, 20).split() + ["zogfic"] * (y and i % 3 > 0) + ["plainword"] * (i % 25 == 0)
-        rows.append((" ".join(w), y))
-    one, many = (toxicity.fit(spark.createDataFrame(rows, "text string, label int").repartition(n)) for n in (1, 200))
-    assert one.buckets.tolist() == many.buckets.tolist() and one.strong.tolist() == many.strong.tolist()
-    assert abs(one.weights - many.weights).max() < 1e-6
+        rows.append((i, " ".join(w), y))
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    one, many, less, same = (toxicity.fit(train.repartition(n), fit_rows=k) for n, k in ((1, 5000), (200, 5000), (1, 300), (8, 300)))
+    for a, b in ((one, many), (less, same)):
+        assert a.buckets.tolist() == b.buckets.tolist() and a.strong.tolist() == b.strong.tolist()
+        assert a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
     docs = spark.createDataFrame([(1, "plainword"), (2, "zogfic")], "doc_id long, text string")
     scores = {r["doc_id"]: r["score"] for r in toxicity.predict(docs, many).collect()}
     assert scores[1] < 0.5 < scores[2]
@@ -414,7 +480,7 @@ def test_toxicity_training_rows(spark):
     docs = docs.union(spark.createDataFrame([(None, "null"), (3, "again")], "doc_id long, text string"))
     labels = spark.range(0, 90_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
     labels = labels.union(spark.createDataFrame([(None, 1), (1, None), (3, 1), (200_000, 1)], "doc_id long, toxic int"))
-    got = sorted(map(tuple, toxicity.training_rows(docs, labels).collect()))
+    got = sorted((r["text"], r["label"]) for r in toxicity.training_rows(docs, labels).collect())
     mine = [i for i in range(90_000) if zlib.crc32(str(i).encode()) % 3 != 1]
     want = [(str(i), int(i % 9 == 0 or i == 3)) for i in mine] + [("again", 1)] * (3 in mine)
     assert len(mine) > 50_000 and got == sorted(want)
@@ -457,3 +523,113 @@ def test_licenses_without_ids(spark):
     out = licenses.scan(licenses.as_files(spark.createDataFrame(rows, DOCS)), also=("doc_id",)).collect()
     assert len({r["path"] for r in out}) == 3 and all(r["doc_id"] is None for r in out)
     assert sorted(r["license"] or "" for r in out) == ["", "", "MIT"]
+
+
+# --- clashing columns, and the pipeline
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_stages_with_clashing_columns(spark, tmp_path, step):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0), (2, 1), (5, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "ten words of a benchmark item that no document here holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, function = corpus_pipeline.STAGES[step]
+    plain = function(spark, odd(spark).drop("score"), str(tmp_path))
+    docs = clashing(spark)
+    out = function(spark, docs, str(tmp_path))
+    cols = ["shard_before" if c == "shard" and step == 4 else c for c in docs.columns] + ["shard"] * (step == 4)
+    assert out.columns == cols
+    by = lambda df: sorted((str(r["doc_id"]), str(r["text"])[:40]) for r in df.collect())
+    assert by(out) == by(plain)
+    assert function(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("operate", [
+    lambda d: pii.replaced(d), lambda d: minhash.near_classes(d), lambda d: mixing.mix(mixing.units_of(d)), lambda d: langid.predict(d, langid.fit(d)),
+    lambda d: decontaminate.scan(d, d.select(F.col("doc_id").alias("item_id"), "text")), lambda d: sharding.assign(d), lambda d: toxicity.predict(d, toxicity.fit(d.withColumn("label", F.lit(0)))),
+    lambda d: licenses.scan(licenses.as_files(d), also=("doc_id",)),
+])
+def test_operators_with_clashing_columns(spark, operate):
+    a, b = operate(clashing(spark)), operate(odd(spark))
+    assert a.columns == b.columns and a.count() == b.count()
+
+
+def test_search_and_pages_with_clashing_columns(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)] + [(7, [1.0, 1.0])] * 2, "vec_id long, embedding array<float>")
+    more = vectors.withColumns({c: F.lit(1) for c in ("u", "h", "v", "q", "leaf", "cell", "block", "score", "visited", "near", "is_query")})
+    assert sorted(map(tuple, ann.search(more, F.col("vec_id") % 50 == 0).collect())) == sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 50 == 0).collect()))
+    pages = spark.createDataFrame([(1, "u", "<article><p>The text.</p></article>"), (2, "u", "<article>" + "<p>Some words of it.</p>" * 60_000)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in htmltext.extract(pages.withColumns({c: F.lit(1) for c in ("text", "n_chars", "blocks_kept")})).collect()}
+    assert out[1] == "The text." and out[2].count("\n") == 59_999
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    bad = ["zogfic", "brunkel", "moron"]
+    item = prose(rng, 30)
+    docs, toxic = [], set()
+    for i in range(400):
+        w = prose(rng, rng.randrange(20, 90)).split()
+        if i % 6 == 0:
+            toxic.add(i)
+            w[3:3] = rng.choices(bad, k=4)
+        elif i % 29 == 0:
+            w[5:5] = item.split()[4:20]
+        docs.append((i, " ".join(w), "en", f"s{i % 4}" if i % 11 else None, 0))
+    docs += [(400 + k, docs[6 * k + 1][1] + (" more" if k % 2 else ""), "en", "s1", 0) for k in range(12)]
+    docs += [(500, None, None, None, None), (501, "", "en", "s0", 0), (502, "", "en", "s0", 0), (503, "word " * 30_000, "en", "s2", 0), docs[7], docs[7]]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, DOCS).repartition(5).write.parquet(d + "/documents.parquet")
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(300)], "doc_id long, toxic int").write.parquet(d + "/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(d + "/benchmark.parquet")
+
+    key = lambda rows: sorted(((r[0], r[1]) for r in rows), key=str)
+    at, left = spark.read.parquet(d + "/documents.parquet"), docs
+    for name, function in corpus_pipeline.STAGES:
+        at = function(spark, at, d)
+        got = [tuple(r) for r in at.collect()]
+        if name == "toxicity":
+            left = [r for r in docs if r[0] not in toxic]
+        elif name == "near_duplicates":
+            texts = {}
+            for r in left:
+                if r[1] is not None:
+                    texts.setdefault(r[0], r[1])
+            classes = minhash.brute(texts)
+            left = [r for r in dict.fromkeys(left) if r[1] is None or classes[r[0]] == r[0]]
+        elif name == "decontamination":
+            left = [r for r in left if not decontaminate.brute(r[1], [(1, item)])[1]]
+        elif name == "mixing":
+            copies = {}
+            for r in got:
+                copies[r[:2]] = copies.get(r[:2], 0) + 1
+            assert set(copies) <= {r[:2] for r in left} and max(copies.values()) <= 3
+            size = {s: sum(len((r[1] or "").split()) for r in left if r[3] == s) for s in {r[3] for r in left}}
+            names = sorted(s for s in size if s) + [None]
+            weight, capped = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set()
+            while True:
+                level = (sum(size.values()) - sum(3 * size[s] for s in capped)) / max(1, sum(weight[s] for s in names if s not in capped))
+                over = {s for s in names if s not in capped and level * weight[s] > 3 * size[s]}
+                if not over:
+                    break
+                capped |= over
+            for s in names:
+                want = 3 * size[s] if s in capped else level * weight[s]
+                longest = max(len((r[1] or "").split()) for r in left if r[3] == s)
+                assert abs(sum(len((r[1] or "").split()) for r in got if r[3] == s) - want) <= longest
+            left = got
+        else:
+            groups = {}
+            for r in left:
+                groups[r[1]] = groups.get(r[1], 0) + len((r[1] or "").encode()) + 1
+            by = {}
+            for r in got:
+                by.setdefault(r[1], set()).add(r[-1])
+            assert all(len(x) == 1 for t, x in by.items() if t is not None)
+            loads = [sum(len((r[1] or "").encode()) + 1 for r in got if r[-1] == k) for k in range(8)]
+            assert max(loads) <= max(max(groups.values()), sum(groups.values()) / 8 + max(v for v in groups.values() if v < max(groups.values())))
+        assert key(got) == key(left), name
+    assert key(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == key(left)
