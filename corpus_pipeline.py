@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), calls one operator on all rows that its
 predecessor kept, and returns a DataFrame; its decisions take effect. All but
-the last return the columns of documents. SQL can express none of the first
-stages, so ORACLE_SQL is None and the tests compare with brute force.
+the last return the columns of documents, each row whole, and handle an empty
+table. SQL can express none of the first stages, so ORACLE_SQL is None and the
+tests compare with brute force.
 """
 
 from __future__ import annotations
@@ -19,30 +20,49 @@ REJECT = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score REJECT or more. Labels teach the model; a document's own label doesn't decide."""
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    carried = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")}
-    scored = toxicity.predict(docs, model, also=carried, keep_text=True)
-    return scored.where(F.col("score") < REJECT).select(*docs.columns)
+    """Without the documents that score REJECT or more. Labels teach the model; a document's own label doesn't decide.
+
+    Null and empty texts score as a text without any feature, and stay. Very
+    long texts are scored whole, repeated rows go or stay together, and extra
+    columns stay, whatever their names. Without labels nothing goes.
+    """
+    return toxicity.clean(docs, toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))), REJECT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id."""
+    """One document of each class of near duplicates, the one with the least id.
+
+    Null texts all stay; of empty texts, of texts without a word and of
+    repeated rows one stays. Extra columns stay, whatever their names.
+    """
     return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of ten words of a benchmark item."""
+    """Without the documents that hold a window of ten words of a benchmark item.
+
+    Null and empty texts stay, very long ones are scanned whole, repeated rows
+    go or stay together, and extra columns stay, whatever their names.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A null source is a source. Null and empty texts have no words and get the
+    whole copies of their source; repeated rows get the same copies each. Extra
+    columns stay, whatever their names.
+    """
     return mixing.mixed(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With its shard, 0 to 7; equal texts share one."""
+    """With its shard, 0 to 7; equal texts share one.
+
+    Each null text is a group of its own. An extra column named shard stays as
+    shard_before, others as they are.
+    """
     return sharding.sharded(docs, 8)
 
 
