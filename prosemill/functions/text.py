@@ -127,16 +127,20 @@ def clean_essay(text: Column) -> Column:
 
 
 def normalize_typography(text: Column) -> Column:
-    """Letters, order and sentence ends stay. Compatibility forms need nfkc() first."""
+    """Letters, order and sentence ends stay; all steps but the first, nfkc()."""
     return F.trim(apply_rules(text, TYPOGRAPHY))
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark's functions lack; Arrow batches."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def nfkc(text: Column | str) -> Column:
+    """Unicode NFKC, the first step of normalising typography, which Spark's functions lack; Arrow batches."""
+    return _nfkc(text)
+
+
 def detokenize(text: Column) -> Column:
     return F.trim(apply_rules(text, DETOKENIZE))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.operators import tables
 
 
 def top_per_group(df: DataFrame, group: str | list[str], order: list[Column | str], k: int) -> DataFrame:
@@ -21,7 +22,7 @@ def dedup_exact(df: DataFrame, text: str = "text", order: str = "doc_id") -> Dat
 
 def tail_by_group(df: DataFrame, group: str, score: str, q: float, k: int, tie: str) -> DataFrame:
     """The k worst rows of each group at or below its q-quantile, worst first, with rank."""
-    cut = df.groupBy(group).agg(F.percentile(score, F.lit(q)).alias("cut"))
+    cut = tables.quantiles(df, [group], score, [q]).select(group, F.col("v").alias("cut"))
     tail = df.join(cut, group).where(F.col(score) <= F.col("cut"))
     return tail.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(score, tie))).where(F.col("rank") <= k)
 
@@ -35,19 +36,20 @@ def stratified_sample(df: DataFrame, n: int, cap: int, bins: int, seed: int, key
     """Up to n rows of each group, at most cap from a source, filled from the bins evenly first.
 
     Rows are ranked within (group, source) by a hash and cut at cap; the first
-    n / bins of each (group, bin) are the quota, the rest fills up to n.
+    n / bins of each (group, bin) are the quota, the rest fills up to n. No bin
+    gives more than its first n, so no later rank sees more of it.
     """
     h = T.md5_int(F.lit(seed), F.col(key))
     capped = df.withColumn("__h", h).withColumn("__s", F.row_number().over(Window.partitionBy(group, source).orderBy("__h", key))).where(F.col("__s") <= cap)
-    binned = capped.withColumn("__b", F.row_number().over(Window.partitionBy(group, bin_).orderBy("__h", key)))
+    binned = capped.withColumn("__b", F.row_number().over(Window.partitionBy(group, bin_).orderBy("__h", key))).where(F.col("__b") <= n)
     late = (F.col("__b") > n // bins).cast("int")
     return top_per_group(binned.withColumn("__late", late), group, ["__late", "__h", key], n).drop("__h", "__s", "__b", "__late")
 
 
 def number_passages(df: DataFrame, label: str, order: str, prefix: Column) -> DataFrame:
     """passage_id: prefix and the position within the label, as three digits at least."""
-    nth = (F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1).cast("string")
-    return df.withColumn("passage_id", F.concat(prefix, F.lit("_"), F.lpad(nth, F.greatest(F.lit(3), F.length(nth)), "0")))
+    nth = (F.col("__nth") - 1).cast("string")
+    return tables.numbered(df, [label], [order], "__nth").withColumn("passage_id", F.concat(prefix, F.lit("_"), F.lpad(nth, F.greatest(F.lit(3), F.length(nth)), "0"))).drop("__nth")
 
 
 def append_classes(old: DataFrame, new: DataFrame, label: str = "class") -> DataFrame:
@@ -110,6 +112,6 @@ def blind_batches(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 def spread_groups(df: DataFrame, group: str, value: str, order: str, n: int) -> DataFrame:
     """Every row of one group gets one of n made-up groups in turn."""
     hit = F.col(group).eqNullSafe(F.lit(value))
-    turn = F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, F.lit(n))
-    spread = df.where(hit).withColumn("__t", turn).withColumn(group, F.concat(F.lit(f"{value}_"), F.col("__t").cast("string"))).drop("__t")
+    turn = F.pmod(F.col("__t") - 1, F.lit(n)).cast("string")
+    spread = tables.numbered(df.where(hit), [group], [order], "__t").withColumn(group, F.concat(F.lit(f"{value}_"), turn)).drop("__t")
     return df.where(~hit).unionByName(spread)

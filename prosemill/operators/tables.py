@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.sources import staged
+
 
 def bad_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows where any of cols is null, NaN or infinite."""
@@ -56,9 +58,57 @@ def refresh(df: DataFrame, updates: DataFrame, on: str, col: str) -> DataFrame:
     return df.join(new, on, "left").withColumn(col, F.coalesce("__new", col)).drop("__new")
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join where nulls equal nulls; keeps the left side's keys."""
+    r = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    return left.join(r, [left[c].eqNullSafe(r[f"__r_{c}"]) for c in on], how).drop(*[f"__r_{c}" for c in on])
+
+
 def compute_distinct(df: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """df with what compute makes of each distinct key, worked out once."""
-    return df.join(compute(df.select(*keys).distinct()), keys)
+    """df with what compute makes of each distinct key, worked out once. Hashes stand for the keys in the join, and null keys match."""
+    hashed = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    made = compute(df.select(*keys).distinct())
+    new = [c for c in made.columns if c not in keys]
+    return df.withColumn("__key", hashed).join(made.select(hashed.alias("__key"), *new), "__key").drop("__key")
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, qs: list[float], pieces: int = 64) -> DataFrame:
+    """(group..., q, v): exact quantiles of each group, interpolated between neighbours; nulls don't count.
+
+    No task holds or orders all values of a group: equal values are one row,
+    approximate quantiles cut each group into pieces, and only the pieces that
+    hold a wanted rank are ordered.
+    """
+    v = F.col("__v")
+    x = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    cuts = x.groupBy(*group).agg(F.percentile_approx("__v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts"), F.count(F.lit(1)).alias("total"))
+    n = null_safe(x.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("n")), cuts, group).withColumn("piece", F.size(F.filter("cuts", lambda c: c < v))).drop("cuts")
+    sums = n.groupBy(*group, "piece", "total").agg(F.sum("n").alias("held"))
+    sums = sums.withColumn("before", F.sum("held").over(Window.partitionBy(*group).orderBy("piece")) - F.col("held"))
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    asked = sums.select(*group, "piece", "total", "before", "held", wanted).withColumn("rank", F.col("q") * (F.col("total") - 1))
+    lo, hi = F.floor("rank"), F.ceil("rank")
+    asked = asked.where((lo < F.col("before") + F.col("held")) & (hi >= F.col("before"))).select(*group, "piece", "before", "q", "rank")
+    at = [*group, "piece"]
+    inside = null_safe(n.drop("total"), asked.select(*at, "before").distinct(), at)
+    inside = inside.withColumn("below", F.col("before") + F.sum("n").over(Window.partitionBy(*at).orderBy(v)) - F.col("n")).drop("before")
+    hit = null_safe(inside, asked.drop("before"), at)
+    of = lambda k: F.max(F.when((k >= F.col("below")) & (k < F.col("below") + F.col("n")), v))
+    out = hit.groupBy(*group, "q").agg(of(lo).alias("a"), of(hi).alias("b"), F.max("rank").alias("rank"))
+    return out.select(*group, "q", (F.col("a") + (F.col("rank") - F.floor("rank")) * (F.col("b") - F.col("a"))).alias("v"))
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """df with the position of each row within its group in order, from 1.
+
+    Rows are dealt by range over group and order, numbered within a part and
+    moved by the rows of the group in the parts before: a group is many tasks.
+    """
+    dealt = staged(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    per = dealt.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"))
+    per = per.withColumn("__before", F.sum("__n").over(Window.partitionBy(*group).orderBy("__part")) - F.col("__n")).drop("__n")
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)).cast("long"))
+    return null_safe(inside, per, ["__part", *group]).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
 def source_concentration(df: DataFrame, group: str, source: str, k: int) -> DataFrame:
@@ -72,8 +122,9 @@ def source_concentration(df: DataFrame, group: str, source: str, k: int) -> Data
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n, mean, std, min, p25, p50, p75, max) of numeric columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("x.*")
-    q = lambda p: F.percentile("v", F.lit(p))
-    return long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("v").alias("max"))
+    q = quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).groupBy("column").agg(*[F.max(F.when(F.col("q") == p, F.col("v"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    m = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return m.join(q, "column", "left").select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:

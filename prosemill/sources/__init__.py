@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,20 @@ READING = "subject string, sent_idx int, word_idx int, word string, FFD double,
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary folder only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='prosemill-')).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names; a temporary one only where all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="prosemill-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_manifest(spark: SparkSession, paths: list[str], schema: str | StructType = MANIFEST) -> DataFrame:
@@ -25,11 +37,18 @@ def read_manifest(spark: SparkSession, paths: list[str], schema: str | StructTyp
 
 
 def read_passages(spark: SparkSession, root: str) -> DataFrame:
-    """(class, passage_id, text): whole files under <class>/<id>.txt; a class folder may be named class=<class>."""
+    """(class, passage_id, text): whole files under <class>/<id>.txt or <class>/<id>/<part>.txt; a folder may be named <column>=<value>."""
     path = F.input_file_name()
     t = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    at = r"(?:class=)?([^/]+)/([^/]+)\.txt$"
-    return t.select(F.regexp_extract(path, at, 1).alias("class"), F.regexp_extract(path, at, 2).alias("passage_id"), F.col("value").alias("text"))
+    flat, deep = r"/(?:[^/=]+=)?([^/=]+)/([^/]+)\.txt$", r"/[^/=]+=([^/]+)/[^/=]+=([^/]+)/[^/]+\.txt$"
+    part = lambda i: F.when(path.rlike(deep), F.regexp_extract(path, deep, i)).otherwise(F.regexp_extract(path, flat, i))
+    return t.select(part(1).alias("class"), part(2).alias("passage_id"), F.col("value").alias("text"))
+
+
+def missing_passages(manifest: DataFrame, passages: DataFrame, label: str = "class", key: str = "passage_id") -> DataFrame:
+    """(class, files, missing): how many rows of the manifest have a file and how many have none; that is no error."""
+    there = passages.select(label, key).withColumn("__there", F.lit(1))
+    return manifest.join(there, [label, key], "left").groupBy(label).agg(F.count("__there").alias("files"), F.count_if(F.col("__there").isNull()).alias("missing"))
 
 
 def read_words(spark: SparkSession, glob: str, schema: str | StructType = READING) -> DataFrame:
@@ -77,23 +96,25 @@ def round_trip(df: DataFrame, form: str) -> DataFrame:
 
 
 def passage_files(df: DataFrame, label: str, key: str, text: str) -> DataFrame:
-    """df as a table by class, written and read again: (class, passage_id, text)."""
+    """df as a text file for each passage in a folder by class, read again: (class, passage_id, text)."""
     path = shared_path(df.sparkSession)
-    out = df.select(F.col(label).alias("class"), F.col(key).cast("string").alias("passage_id"), F.col(text).alias("text"))
-    write_passages(out, path)
-    return df.sparkSession.read.parquet(path)
+    out = df.select(F.col(label).alias("class"), F.col(key).cast("string").alias("passage_id"), F.col(text).alias("value"))
+    out.repartition("class", "passage_id").write.partitionBy("class", "passage_id").text(path)
+    return read_passages(df.sparkSession, path).withColumn("text", F.expr("left(text, length(text) - 1)"))  # the writer ends a text with a line feed
 
 
 def subject_files(df: DataFrame, subject: str) -> DataFrame:
     """df as CSV in one folder for each subject, read by a glob over all of them."""
     path = shared_path(df.sparkSession)
-    df.write.partitionBy(subject).option("header", True).csv(path)
-    schema = StructType([f for f in df.schema if f.name != subject] + [df.schema[subject]])
-    return df.sparkSession.read.option("basePath", path).csv(f"{path}/{subject}=*", header=True, schema=schema)
+    df.withColumn("__folder", F.col(subject)).write.partitionBy("__folder").option("header", True).csv(path)
+    return read_words(df.sparkSession, f"{path}/__folder=*", df.schema)
 
 
 def labelled_tokens(df: DataFrame, sentence: str, pos: str, word: str, label: str) -> DataFrame:
-    """Tokens as lines of a labelled file for each sentence, parsed again: (sent_id, pos, word, label)."""
-    lines = df.select(F.col(sentence).cast("string").alias("file"), F.col(pos).alias("line"), F.concat_ws("\t", word, F.col(label).cast("string")).alias("value"))
-    heads = df.select(F.col(sentence).cast("string").alias("file")).distinct().select("file", F.lit(0).alias("line"), F.lit("<file>").alias("value"))
-    return parsed_tokens(heads.unionByName(lines)).select(F.col("file").cast("long").alias("sent_id"), "pos", "word", "label")
+    """Tokens as lines of a labelled file for each sentence, read again: (sent_id, pos, word, label)."""
+    path = shared_path(df.sparkSession)
+    lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.concat_ws("\t", F.translate(word, "\t\n", "  "), F.col(label).cast("string")).alias("line"))))
+    files = df.groupBy(F.col(sentence).alias("sentence")).agg(F.concat_ws("\n", F.lit("<file>"), F.transform(lines, lambda x: x["line"])).alias("value"))
+    files.repartition("sentence").write.partitionBy("sentence").text(path)
+    made = read_labelled_tokens(df.sparkSession, f"{path}/sentence=*")
+    return made.select(F.regexp_extract("file", r"sentence=(-?\d+)", 1).cast("long").alias("sent_id"), "pos", "word", "label")

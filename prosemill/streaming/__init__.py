@@ -57,7 +57,25 @@ def append_unseen(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def collect_updates(counts: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """A streaming aggregate run over all that is there; of each key what the last batch that changed it says.
+
+    Each batch's changes are one folder of the table at path, so a repeated
+    batch replaces its own.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rest = [c for c in counts.columns if c not in keys]
+    last = counts.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
+    return last.select(*keys, "x.*")
+
+
 def windowed_counts(stream: DataFrame, ts: str, group: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by time window and group, with rows later than `late` left out on a stream."""
-    s = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    s = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    s = s.withWatermark(ts, late) if stream.isStreaming else s
     return s.groupBy(F.window(ts, size).alias("w"), group).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), group, "n")
