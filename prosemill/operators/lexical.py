@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +61,41 @@ def fk_grade(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str
 
 
 def lexical_features(docs: DataFrame, terms: DataFrame, stop: list[str], lexicon: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with all lexical columns."""
-    parts = [
-        density(docs, terms, 1, stop, "slopword_density", doc, text),
-        density(docs, terms, 2, stop, "slopbigram_density", doc, text),
-        density(docs, terms, 3, stop, "sloptrigram_density", doc, text),
-        pattern_rate(docs, T.NOT_X_BUT_Y, "not_x_but_y_rate", doc, text),
-        distinct_n(docs, 2, "distinct2", doc, text),
-        distinct_n(docs, 3, "distinct3", doc, text),
-        rep_topk(docs, 10, doc, text),
-        mean_word_len(docs, doc, text),
-        fk_grade(docs, lexicon, doc, text),
-        rhythm.mattr(segment.words(docs, doc, text), 50, doc),
-    ]
-    out = reduce(lambda a, b: a.join(b, doc, "left"), parts, docs.select(doc))
-    return out.select(doc, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in COLUMNS])
+    """One row for each document with all lexical columns.
+
+    Texts are split once; what needs no other row is worked out on the arrays.
+    Terms, repeated tokens and words are three long tables, summed by document.
+    """
+    t, w = F.col("t"), F.col("w")
+    spoken = F.size(F.filter(T.sentences(F.col(text)), lambda x: x.rlike(T.WORDS)))
+    split = docs.select(doc, T.tokens(F.col(text)).alias("t"), T.words(F.col(text)).alias("w"), F.regexp_count(text, F.lit(T.NOT_X_BUT_Y)).alias("hits"), F.greatest(spoken, F.lit(1)).alias("sents"))
+    some = F.greatest(F.size(t), F.lit(1))
+    distinct = lambda n: T.let(T.ngrams(t, n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0))
+    alone = split.select(
+        doc, "sents", some.alias("some"), (1000.0 * F.col("hits") / some).alias("not_x_but_y_rate"), distinct(2).alias("distinct2"), distinct(3).alias("distinct3"),
+        F.when(F.size(t) > 0, F.length(F.array_join(t, "")) / F.size(t)).alias("mean_word_len"),
+    )
+
+    content = F.filter(t, lambda x: ~x.isin(stop))
+    tagged = lambda n: F.transform(T.ngrams(t if n == 1 else content, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("term")))
+    grams = F.concat(*[tagged(n) for n in (1, 2, 3)])
+    hits = split.select(doc, F.explode(grams).alias("x")).select(doc, "x.n", "x.term").join(terms.select("n", "term"), ["n", "term"])
+    hits = hits.groupBy(doc).agg(*[F.count_if(F.col("n") == n).alias(f"h{n}") for n in (1, 2, 3)])
+
+    counts = split.select(doc, F.explode("t").alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("c"), "token")))
+    top = ranked.groupBy(doc).agg((F.sum(F.when(F.col("r") <= 10, F.col("c"))) / F.sum("c")).alias("rep_topk"))
+
+    words = split.select(doc, F.size(w).alias("n"), F.posexplode(w).alias("pos", "word")).select(doc, "n", (F.col("pos") + 1).alias("pos"), F.lower("word").alias("word"))
+    words = words.join(lexicon.select("word", "stress"), "word", "left")
+    spoken_words = words.withColumn("prev", F.coalesce(F.lag("pos").over(Window.partitionBy(doc, "word").orderBy("pos")), F.lit(0)))
+    said = spoken_words.groupBy(doc).agg(F.count("word").alias("words"), F.sum(F.coalesce(F.length("stress"), T.syllables(F.col("word")))).alias("syllables"), rhythm.type_ratio(50).alias("mattr"))
+
+    out = alone.join(hits, doc, "left").join(top, doc, "left").join(said, doc, "left")
+    n = F.greatest(F.coalesce("words", F.lit(0)), F.lit(1))
+    rate = lambda c: 1000.0 * F.coalesce(c, F.lit(0)) / F.col("some")
+    made = {"slopword_density": rate("h1"), "slopbigram_density": rate("h2"), "sloptrigram_density": rate("h3"), "fk_grade": 0.39 * (n / F.col("sents")) + 11.8 * (F.coalesce("syllables", F.lit(0)) / n) - 15.59}
+    return out.select(doc, *[F.coalesce(made.get(c, F.col(c)), F.lit(0.0)).alias(c) for c in COLUMNS])
 
 
 def mined_terms(docs: DataFrame, label: str, n: int, k: int, text: str = "text", least: int = 5) -> DataFrame:

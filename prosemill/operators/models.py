@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -13,13 +15,14 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import sampling, stats
+from prosemill.sources import staged
 
 
 def fit_logreg(df: DataFrame, cols: list[str], y: str = "y", c: float = 1.0, n: int | None = None) -> PipelineModel:
     """Logistic regression with an L2 penalty of 1 / (C n), on standardised features."""
     n = n or df.count()
     df = df.coalesce(max(1, n // 50_000))  # each of the many small steps is one task for each 50,000 rows
-    model = LogisticRegression(featuresCol="z", labelCol=y, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=25)
+    model = LogisticRegression(featuresCol="z", labelCol=y, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-8)
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), model]).fit(df)
 
 
@@ -41,13 +44,16 @@ def oof_predict(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold"
     """Rows of alt, or df, each predicted by the model of the other folds of df."""
     scored = alt if alt is not None else df
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    parts = []
-    for k in folds:
+
+    def one(k) -> DataFrame | None:
         train = df.where(F.col(fold) != k)
         if train.select(y).distinct().count() < 2:
-            continue
-        parts.append(predict(fit_logreg(train, cols, y), scored.where(F.col(fold) == k), name))
-    return reduce(DataFrame.unionByName, parts)
+            return None
+        return predict(fit_logreg(train, cols, y), scored.where(F.col(fold) == k), name)
+
+    with ThreadPool(min(8, max(1, len(folds)))) as pool:  # the fits' small jobs side by side
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), folds)
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 def paired_oof(orig: DataFrame, alt: DataFrame, cols: list[str], key: str, y: str = "y", fold: str = "fold") -> DataFrame:
@@ -61,14 +67,28 @@ def oof_accuracy(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold
     return stats.balanced_accuracy(oof_predict(df, cols, y, fold), y).first()["balanced_accuracy"]
 
 
+def oof_recall(df: DataFrame, cols: list[str], label: str, fold: str = "fold") -> float:
+    """Mean recall of all labels at once, each row predicted by the multinomial model of the other folds."""
+    labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    d = staged(df.where(F.col(label).isNotNull()).withColumn("__label", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1).cast("double")))
+    folds, parts = sorted(r[0] for r in d.select(fold).distinct().collect()), []
+    for k in folds:
+        train = d.where(F.col(fold) != k)
+        n = train.count()
+        lr = LogisticRegression(featuresCol="z", labelCol="__label", family="multinomial", regParam=1 / max(1, n), standardization=False, maxIter=100)
+        m = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), lr]).fit(train)
+        parts.append(m.transform(d.where(F.col(fold) == k)).select("__label", "prediction"))
+    p = reduce(DataFrame.unionByName, parts)
+    return p.groupBy("__label").agg(F.avg((F.col("prediction") == F.col("__label")).cast("double")).alias("r")).agg(F.avg("r")).first()[0]
+
+
 def residual_contrast(df: DataFrame, feats: list[str], covs: list[str], group: str, y: str = "y", replicates: int = 200, permutations: int = 100) -> dict[str, float]:
     """Accuracy of the features less what the covariates explain of them, with interval and p."""
-    r = stats.residualize(df, feats, covs).cache()
+    r = staged(stats.residualize(df, feats, covs))
     p = oof_predict(r, feats, y)
     ci = stats.group_bootstrap_ci(p, group, replicates, y=y).first()
     perm = stats.group_permutation_test(r, feats, "perm_group", y, replicates=permutations).first() if "perm_group" in r.columns else None
     out = {"ba": stats.balanced_accuracy(p, y).first()["balanced_accuracy"], "ci_low": ci["lo"], "ci_high": ci["hi"], "perm_p": perm["p_value"] if perm else float("nan")}
-    r.unpersist()
     return out
 
 
@@ -78,22 +98,20 @@ def contrast(df: DataFrame, sets: dict[str, list[str]], key: str, group: str, y:
     exclude: a pattern of groups to leave out, without regard to case.
     """
     d = df.where(~F.col(group).rlike(f"(?i){exclude}")) if exclude else df
-    d = d.cache()
+    d = staged(d)
     every = sorted({c for s in sets.values() for c in s})
-    preds = oof_predict(d, every, y, name="all_sets").select(key, group, y, "all_sets")
+    # Predictions have names of their own: a set may be named as a column is.
+    preds = oof_predict(d, every, y, name="p__all_sets").select(key, group, y, "p__all_sets")
     for name, cols in sets.items():
-        preds = preds.join(oof_predict(d, cols, y, name=name).select(key, name), key)
-    preds = preds.cache()
+        preds = preds.join(oof_predict(d, cols, y, name=f"p__{name}").select(key, f"p__{name}"), key)
+    preds = staged(preds)
     rows = []
     for name in [*sets, "all_sets"]:
-        ci = stats.group_bootstrap_ci(preds, group, replicates, y=y, p=name).first()
-        inc = stats.group_bootstrap_increment(preds, group, name, "all_sets", replicates, y=y).first()
-        ba = stats.balanced_accuracy(preds, y, name).first()["balanced_accuracy"]
+        ci = stats.group_bootstrap_ci(preds, group, replicates, y=y, p=f"p__{name}").first()
+        inc = stats.group_bootstrap_increment(preds, group, f"p__{name}", "p__all_sets", replicates, y=y).first()
+        ba = stats.balanced_accuracy(preds, y, f"p__{name}").first()["balanced_accuracy"]
         rows.append((name, ba, ci["lo"], ci["hi"], inc["mean"], inc["lo"], inc["hi"]))
-    out = df.sparkSession.createDataFrame(rows, "name string, ba double, lo double, hi double, increment double, inc_lo double, inc_hi double")
-    for x in (d, preds):
-        x.unpersist()
-    return out
+    return df.sparkSession.createDataFrame(rows, "name string, ba double, lo double, hi double, increment double, inc_lo double, inc_hi double")
 
 
 def baseline_margin(df: DataFrame, cols: list[str], baselines: list[str], y: str = "y") -> DataFrame:
@@ -117,18 +135,16 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str],
     """(feature, importance): mean loss of balanced accuracy when one feature is shuffled.
 
     The score is linear, so a shuffled feature moves it by its weight times the
-    difference. The shuffle is a join of the rows' ranks under two hashes.
+    difference. The shuffle is a join of the rows' ranks under two hashes, each
+    ranked in blocks.
     """
     scaler, lr = model.stages[-2], model.stages[-1]
-    w, mean, std = lr.coefficients.toArray(), scaler.mean.toArray(), scaler.std.toArray()
-    del mean
-    base = model.transform(df).select(key, y, *cols, vector_to_array("rawPrediction")[1].alias("z")).cache()
+    w, std = lr.coefficients.toArray(), scaler.std.toArray()
+    base = staged(model.transform(df).select(key, y, *cols, vector_to_array("rawPrediction")[1].alias("z")))
     real = stats.balanced_accuracy(base.select(y, (F.col("z") > 0).cast("int").alias("p")), y).first()["balanced_accuracy"]
-    reps = df.sparkSession.range(repeats).select(F.col("id").alias("r"))
-    each = base.crossJoin(reps)
-    rank = lambda s: F.row_number().over(Window.partitionBy("r").orderBy(T.md5_int(F.lit(s), F.col("r"), F.col(key)), key))
-    left = each.withColumn("i", rank(seed))
-    right = each.select("r", rank(seed + 1).alias("i"), *[F.col(c).alias(f"{c}__s") for c in cols])
+    each = base.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    left = _hash_ranks(each, ["r"], key, seed)
+    right = _hash_ranks(each, ["r"], key, seed + 1).select("r", "i", *[F.col(c).alias(f"{c}__s") for c in cols])
     both = left.join(right, ["r", "i"])
     unit = [float(w[j] / std[j]) if std[j] else 0.0 for j in range(len(cols))]
     preds = both.select("r", y, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col("z") + F.lit(unit[j]) * (F.col(f"{c}__s") - F.col(c)) > 0).cast("int").alias("p")) for j, c in enumerate(cols)])).alias("x")).select("r", y, "x.*")
@@ -136,5 +152,18 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str],
     return ba.groupBy("feature").agg((F.lit(real) - F.avg("balanced_accuracy")).alias("importance"))
 
 
+def _hash_ranks(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
+    """df with i: the rank of each row of by under a hash of seed, by and key.
+
+    Rows are ranked within blocks of the hash's range and moved by the rows of
+    the blocks before, 1,024 for each value of by, so no task ranks them all.
+    """
+    h = df.withColumn("h", T.md5_int(F.lit(seed), *[F.col(c) for c in by], F.col(key))).withColumn("block", F.floor(F.col("h") / (1 << 22)))
+    per = h.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"))
+    per = per.select(*by, "block", (F.sum("n").over(Window.partitionBy(*by).orderBy("block")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "block").orderBy("h", key))
+    return h.withColumn("i", inside).join(per, [*by, "block"]).withColumn("i", F.col("i") + F.col("before")).drop("h", "block", "before")
+
+
 def with_folds(df: DataFrame, group: str, y: str = "y", k: int = 5) -> DataFrame:
     return sampling.with_folds(df, group, y, k)

@@ -7,8 +7,6 @@ for each syllable, stressed or not. Every feature is 0 where it is undefined.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +64,11 @@ def series(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str =
     nth = F.row_number().over(Window.partitionBy(doc).orderBy("pos"))
     before = F.coalesce(F.sum(F.length("stress")).over(Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = known.select(doc, "stress", (nth - 1).alias("nth"), before.alias("before"))
-    spw = placed.select(doc, F.lit("spw").alias("name"), F.col("nth").alias("pos"), F.length("stress").alias("value"))
-    syms = placed.select(doc, "before", F.posexplode(F.split("stress", "")).alias("k", "s"))
-    syms = syms.select(doc, F.lit("syms").alias("name"), (F.col("before") + F.col("k")).alias("pos"), (F.col("s") != "0").cast("int").alias("value"))
-    made = [x.select(doc, "name", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")) for x in (counts, spw, syms)]
-    return reduce(DataFrame.unionByName, made)
+    # A word is one value of spw and one of syms for each syllable.
+    point = lambda name, pos, value: F.struct(F.lit(name).alias("name"), pos.cast("long").alias("pos"), value.cast("double").alias("value"))
+    beats = F.transform(F.split("stress", ""), lambda x, k: point("syms", F.col("before") + k, (x != "0").cast("int")))
+    both = placed.select(doc, F.explode(F.concat(F.array(point("spw", F.col("nth"), F.length("stress"))), beats)).alias("x")).select(doc, "x.*")
+    return counts.select(doc, "name", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")).unionByName(both)
 
 
 def moments(s: DataFrame, prefix: str, doc: str = "doc_id", value: str = "value", skew: bool = False) -> DataFrame:
@@ -102,19 +100,24 @@ def entropy(s: DataFrame, value: str, name: str, doc: str = "doc_id") -> DataFra
     return n.withColumn("p", p).groupBy(doc).agg((-F.sum(F.col("p") * F.log2("p"))).alias(name))
 
 
-def mattr(tokens: DataFrame, window: int = 50, doc: str = "doc_id", pos: str = "pos", word: str = "word") -> DataFrame:
-    """Mean type-token ratio over all windows; over the whole of a shorter text.
+def type_ratio(window: int, n: str = "n", pos: str = "pos", prev: str = "prev") -> Column:
+    """Mean type-token ratio over all windows, as an aggregate over words with the text's length and each word's place before (0 if none).
 
     A window counts a word where it occurs first within it, so each occurrence
-    adds the number of windows in which it is the first: one lag for each word.
+    adds the number of windows in which it is the first.
     """
+    w = F.least(F.col(n), F.lit(window))
+    first = F.greatest(F.lit(1), F.col(pos) - w + 1, F.col(prev) + 1)
+    last = F.least(F.col(pos), F.col(n) - w + 1)
+    return F.sum(F.greatest(F.lit(0), last - first + 1)) / F.first(w * (F.col(n) - w + 1))
+
+
+def mattr(tokens: DataFrame, window: int = 50, doc: str = "doc_id", pos: str = "pos", word: str = "word") -> DataFrame:
+    """Mean type-token ratio over all windows; over the whole of a shorter text."""
     n = F.count(word).over(Window.partitionBy(doc))
     prev = F.lag(pos).over(Window.partitionBy(doc, word).orderBy(pos))
     t = tokens.select(doc, F.lower(word).alias(word), pos).withColumn("n", n).withColumn("prev", F.coalesce(prev, F.lit(0)))
-    w = F.least(F.col("n"), F.lit(window))
-    first = F.greatest(F.lit(1), F.col(pos) - w + 1, F.col("prev") + 1)
-    last = F.least(F.col(pos), F.col("n") - w + 1)
-    return t.groupBy(doc).agg((F.sum(F.greatest(F.lit(0), last - first + 1)) / F.first(w * (F.col("n") - w + 1))).alias("mattr"))
+    return t.groupBy(doc).agg(type_ratio(window, "n", pos).alias("mattr"))
 
 
 def meter(syms: DataFrame, doc: str = "doc_id", pos: str = "pos", value: str = "value") -> DataFrame:
@@ -124,20 +127,48 @@ def meter(syms: DataFrame, doc: str = "doc_id", pos: str = "pos", value: str = "
     return m.withColumn("mt_var", F.col("mt_mean") * (1 - F.col("mt_mean")))
 
 
+def spread(n: Column, s1: Column, s2: Column) -> Column:
+    """Population variance from a count, a sum and a sum of squares."""
+    return F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / n)
+
+
 def rhythm_features(docs: DataFrame, lexicon: DataFrame, window: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with all rhythm features and mattr."""
-    s = series(docs, lexicon, doc, text)
-    of = lambda name: s.where(F.col("name") == name)
-    syms = of("syms")
-    parts = [
-        moments(gaps(syms, doc), "gap", doc, "gap"),
-        run_lengths(syms, doc).groupBy(doc).agg(F.var_pop("length").alias("stress_runlen_var")),
-        entropy(gaps(syms, doc), "gap", "stress_bin_entropy", doc),
-        moments(of("spw"), "spw", doc, skew=True).drop("spw_cv"),
-        moments(of("sl"), "sl", doc),
-        moments(of("phg"), "ph", doc).drop("ph_cv"),
-        meter(syms, doc),
-        mattr(segment.words(docs, doc, text), window, doc),
-    ]
-    out = reduce(lambda a, b: a.join(b, doc, "left"), parts, docs.select(doc))
-    return out.select(doc, *[or_zero(F.col(c)).alias(c) for c in GROUPS])
+    """One row for each document with all rhythm features and mattr.
+
+    The series are read once: one sort gives gaps and runs, sums by gap give
+    its histogram, and sums of these all the rest.
+    """
+    w = Window.partitionBy(doc, "name").orderBy("pos")
+    v, pos, syms = F.col("value"), F.col("pos"), F.col("name") == "syms"
+    x = series(docs, lexicon, doc, text).withColumns({
+        "prev": F.lag(v).over(w),
+        "next": F.lead(v).over(w),
+        "one": F.last(F.when(syms & (v == 1), pos), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    x = x.withColumn("begin", F.last(F.when(F.col("prev").isNull() | (F.col("prev") != v), pos), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("gap", F.when(syms & (v == 1), pos - F.col("one")).cast("double")).withColumn("run", F.when(syms & (F.col("next").isNull() | (F.col("next") != v)), pos - F.col("begin") + 1).cast("double"))
+    off = (v != F.pmod(pos, F.lit(2))).cast("double")
+    sums = {"n": F.count("value"), "s1": F.sum(v), "s2": F.sum(v * v), "s3": F.sum(v * v * v), "off": F.sum(off), "r0": F.count("run"), "r1": F.sum("run"), "r2": F.sum(F.col("run") * F.col("run")), "g": F.count("gap")}
+    by_gap = x.groupBy(doc, "name", "gap").agg(*[e.cast("double").alias(k) for k, e in sums.items()])
+    total = lambda name, c: F.sum(F.when(F.col("name") == name, F.col(c)))
+    g = F.col("g")
+    parts = {f"{name}_{c}": total(name, c) for name in ("sl", "phg", "spw") for c in ("n", "s1", "s2", "s3")} | {c: total("syms", c) for c in ("n", "off", "r0", "r1", "r2")}
+    parts |= {"gap_n": F.sum("g"), "gap_s1": F.sum(F.col("gap") * g), "gap_s2": F.sum(F.col("gap") ** 2 * g), "gap_log": F.sum(F.when(g > 0, g * F.log2(g)))}
+    t = by_gap.groupBy(doc).agg(*[e.alias(k) for k, e in parts.items()])
+    c = F.col
+    made = {}
+    for out, name in (("gap", "gap"), ("spw", "spw"), ("sl", "sl"), ("ph", "phg")):
+        n, s1, s2 = c(f"{name}_n"), c(f"{name}_s1"), c(f"{name}_s2")
+        made[f"{out}_mean"] = F.when(n > 0, s1 / n)
+        made[f"{out}_var"] = F.when(n > 0, spread(n, s1, s2))
+        made[f"{out}_cv"] = F.when((n > 0) & (s1 > 0), F.sqrt(spread(n, s1, s2)) / (s1 / n))
+    n, m, var = c("spw_n"), c("spw_s1") / c("spw_n"), spread(c("spw_n"), c("spw_s1"), c("spw_s2"))
+    made["spw_skew"] = F.when((n > 2) & (var > 0), (c("spw_s3") / n - 3 * m * c("spw_s2") / n + 2 * m * m * m) / F.pow(var, F.lit(1.5)))
+    made["stress_runlen_var"] = F.when(c("r0") > 0, spread(c("r0"), c("r1"), c("r2")))
+    made["stress_bin_entropy"] = F.when(c("gap_n") > 0, F.log2("gap_n") - c("gap_log") / c("gap_n"))
+    mean = F.least(c("off") / c("n"), 1 - c("off") / c("n"))
+    made["mt_mean"] = F.when(c("n") > 0, mean)
+    made["mt_var"] = F.when(c("n") > 0, mean * (1 - mean))
+    rows = t.select(doc, *[e.alias(k) for k, e in made.items() if k in GROUPS])
+    out = docs.select(doc).join(rows, doc, "left").join(mattr(segment.words(docs, doc, text), window, doc), doc, "left")
+    return out.select(doc, *[or_zero(F.col(k)).alias(k) for k in GROUPS])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.operators import rhythm
 
 #: The ten columns of the order row: (column, series, feature).
 ORDER = (("sl_ac1", "sl", "ac1"), ("sl_mk", "sl", "mk"), ("sl_bvr", "sl", "bvr"), ("sl_lre", "sl", "lre"), ("sl_turning", "sl", "turning"), ("spw_ac1", "spw", "ac1"), ("syms_ac1", "syms", "ac1"), ("syms_runz", "syms", "runz"), ("phg_ac1", "phg", "ac1"), ("phg_lre", "phg", "lre"))
@@ -30,11 +31,23 @@ def ac1(s: DataFrame, key: list[str]) -> DataFrame:
 
 
 def mk(s: DataFrame, key: list[str]) -> DataFrame:
-    """Mann-Kendall S over all pairs; 0 below four values. Pairs are within one document's series."""
-    n = s.groupBy(*key).agg(F.count("value").alias("n"))
-    other = s.select(*key, F.col("pos").alias("p2"), F.col("value").alias("v2"))
-    total = s.join(other, key).where("p2 > pos").groupBy(*key).agg(F.sum(F.signum(F.col("v2") - F.col("value"))).alias("t"))
-    return n.join(total, key, "left").select(*key, _zero(F.col("n") >= 4, F.col("t") / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("mk"))
+    """Mann-Kendall S over all pairs; 0 below four values.
+
+    No pair is formed. Values become ranks, and two ranks first differ in one
+    bit: for each bit, each value counts those before it that agree with it
+    above that bit and differ in it. So a series costs its length times the
+    bits of its number of distinct values.
+    """
+    all_, _ = _keys(key)
+    ranked = s.withColumn("__r", F.dense_rank().over(Window.partitionBy(*key).orderBy("value")) - 1).withColumn("__m", F.max("__r").over(all_))
+    bits = ranked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.length(F.bin("__m")) - 1)))
+    bit = F.expr("shiftright(__r, __k) & 1")
+    w = Window.partitionBy(*key, "__k", "__above").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    x = bits.withColumns({"__bit": bit, "__above": F.expr("shiftright(__r, __k + 1)")})
+    ones, before = F.coalesce(F.sum("__bit").over(w), F.lit(0)), F.count("__bit").over(w)
+    x = x.withColumn("__t", F.when(F.col("__bit") == 1, before - ones).otherwise(-ones))
+    t = x.groupBy(*key).agg(F.sum("__t").alias("t"), F.count_if(F.col("__k") == 0).alias("n"))
+    return t.select(*key, _zero(F.col("n") >= 4, F.col("t") / (F.col("n") * (F.col("n") - 1) / 2.0)).alias("mk"))
 
 
 def bvr(s: DataFrame, key: list[str]) -> DataFrame:
@@ -78,16 +91,42 @@ FEATURES = {"ac1": ac1, "mk": mk, "bvr": bvr, "lre": lre, "turning": turning, "r
 
 
 def order_features(series: DataFrame, docs: DataFrame, doc: str = "doc_id", also: list[str] | None = None) -> DataFrame:
-    """One row for each document (and value of also) with the ten order features."""
+    """One row for each document (and value of also) with the ten order features.
+
+    All but mk come from one sort of the series and sums by third of a series.
+    docs has one row for each row wanted, with the columns of also.
+    """
     key = [doc, *(also or [])]
-    parts = []
-    for feature, f in FEATURES.items():
-        cols = [(c, name) for c, name, g in ORDER if g == feature]
-        made = f(series.where(F.col("name").isin([n for _, n in cols])), [*key, "name"])
-        parts.append(made.groupBy(*key).agg(*[F.max(F.when(F.col("name") == n, F.col(feature))).alias(c) for c, n in cols]))
-    base = docs.select(*key)
-    out = reduce(lambda a, b: a.join(b, key, "left"), parts, base)
-    return out.select(*key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _, _ in ORDER])
+    all_, w = _keys([*key, "name"])
+    v, c = F.col("value"), F.col("c")
+    x = series.withColumns({"mean": F.avg(v).over(all_), "size": F.count(v).over(all_)})
+    x = x.withColumn("c", v - F.col("mean"))
+    x = x.withColumns({"l": F.lag(c).over(w), "r": F.lead(c).over(w), "i": F.row_number().over(w), "m": F.avg(c).over(w.rowsBetween(-1, 1)), "third": F.ntile(3).over(w)})
+    inner = F.when((F.col("i") > 1) & (F.col("i") < F.col("size")), F.col("m"))
+    turn = ((c > F.col("l")) & (c > F.col("r"))) | ((c < F.col("l")) & (c < F.col("r")))
+    sums = {
+        "n": F.count(v), "cl": F.sum(c * F.col("l")), "cc": F.sum(c * c), "c1": F.sum(c), "k": F.count(inner), "m1": F.sum(inner), "m2": F.sum(inner * inner), "turns": F.sum(F.coalesce(turn, F.lit(False)).cast("int")),
+        "n1": F.sum((v == 1).cast("int")), "n0": F.sum((v == 0).cast("int")), "changes": F.sum(F.coalesce(c != F.col("l"), F.lit(False)).cast("int")),
+    }
+    thirds = x.groupBy(*key, "name", "third").agg(*[e.cast("double").alias(k) for k, e in sums.items()], F.min(v).alias("lo"), F.max(v).alias("hi"))
+    thirds = thirds.withColumns({"tm": F.col("c1") / F.col("n"), "tv": rhythm.spread(F.col("n"), F.col("c1"), F.col("cc"))})
+    rows = thirds.groupBy(*key, "name").agg(*[F.sum(k).alias(k) for k in sums], F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.var_pop("tm").alias("tm"), F.avg("tv").alias("tv"))
+    n, varies = F.col("n"), F.col("hi") > F.col("lo")
+    both = 2.0 * F.col("n1") * F.col("n0")
+    var = F.when(n > 1, both * (both - n) / (n * n * (n - 1)))
+    z = (F.col("changes") + 1 - (1.0 + both / n)) / F.sqrt(var)
+    made = {
+        "ac1": _zero((n >= 3) & varies, F.col("cl") / F.col("cc")),
+        "bvr": _zero((n >= 6) & (F.col("tv") > 0), F.col("tm") / F.col("tv")),
+        "lre": _zero((n >= 6) & varies, rhythm.spread(F.col("k"), F.col("m1"), F.col("m2")) / (F.col("cc") / n)),
+        "turning": _zero(n >= 3, F.col("turns") / (n - 2)),
+        "runz": _zero((n >= 6) & (F.col("n1") > 0) & (F.col("n0") > 0) & (var > 0), F.least(F.lit(6.0), F.greatest(F.lit(-6.0), z))),
+    }
+    flat = rows.select(*key, "name", *[e.alias(k) for k, e in made.items()]).groupBy(*key).agg(*[F.max(F.when(F.col("name") == s, F.col(f))).alias(col) for col, s, f in ORDER if f != "mk"])
+    trends = [(col, s) for col, s, f in ORDER if f == "mk"]
+    trend = mk(series.where(F.col("name").isin([s for _, s in trends])), [*key, "name"]).groupBy(*key).agg(*[F.max(F.when(F.col("name") == s, F.col("mk"))).alias(col) for col, s in trends])
+    out = docs.select(*key).join(flat, key, "left").join(trend, key, "left")
+    return out.select(*key, *[F.coalesce(col, F.lit(0.0)).alias(col) for col, _, _ in ORDER])
 
 
 def shuffled(series: DataFrame, seeds: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -114,8 +153,6 @@ def null_percentile(real: DataFrame, draws: DataFrame, cols: list[str], doc: str
 
 def level_features(s: DataFrame, threshold: float = 1.0, lo: float = 0.0, hi: float = 2.0, bins: int = 5, doc: str = "doc_id") -> DataFrame:
     """Eight statistics of a score along a text: moments, runs and gaps above the threshold, entropy of its histogram, ac1. All 0 below three values."""
-    from prosemill.operators import rhythm
-
     key = [doc]
     high = s.select(doc, "pos", (F.col("value") > threshold).cast("int").alias("value"))
     m = s.groupBy(doc).agg(F.count("value").alias("n"), F.avg("value").alias("level_mean"), F.var_pop("value").alias("level_var"), rhythm.cv(F.avg("value"), F.stddev_pop("value")).alias("level_cv"))

@@ -175,7 +175,7 @@ def q_sql(k: str, src: str = "series") -> dict[str, str]:
         "bvr": f"SELECT {k}, CASE WHEN sum(c) >= 6 AND avg(v) > 0 THEN var_pop(m) / avg(v) ELSE 0 END AS bvr FROM (SELECT {k}, third, avg(value) AS m, var_pop(value) AS v, count(*) AS c FROM (SELECT *, ntile(3) OVER ({w}) AS third FROM {src}) GROUP BY {k}, third) GROUP BY {k}",
         "lre": f"SELECT {k}, CASE WHEN count(*) >= 6 AND max(value) > min(value) THEN var_pop(CASE WHEN i > 1 AND i < n THEN m END) / var_pop(value) ELSE 0 END AS lre FROM (SELECT *, count(*) OVER ({p}) AS n, row_number() OVER ({w}) AS i, avg(value) OVER ({w} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM {src}) GROUP BY {k}",
         "turning": f"SELECT {k}, CASE WHEN count(*) >= 3 THEN sum(CASE WHEN (value > a AND value > b) OR (value < a AND value < b) THEN 1.0::DOUBLE ELSE 0 END) / (count(*) - 2) ELSE 0 END AS turning FROM (SELECT *, lag(value) OVER ({w}) AS a, lead(value) OVER ({w}) AS b FROM {src}) GROUP BY {k}",
-        "runz": f"SELECT {k}, CASE WHEN n >= 6 AND n1 > 0 AND n0 > 0 AND v > 0 THEN least(6, greatest(-6, (runs - 1 - a / n) / sqrt(v))) ELSE 0 END AS runz FROM (SELECT *, a * (a - n) / (n * n * (n - 1)) AS v FROM (SELECT *, 2 * n1 * n0 AS a FROM (SELECT {k}, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE value = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) AS n0, sum(ch) + 1 AS runs FROM (SELECT *, CASE WHEN value <> lag(value) OVER ({w}) THEN 1.0::DOUBLE ELSE 0 END AS ch FROM {src}) GROUP BY {k})) WHERE n > 1) ",
+        "runz": f"SELECT {k}, CASE WHEN n >= 6 AND n1 > 0 AND n0 > 0 AND v > 0 THEN least(6, greatest(-6, (runs - 1 - a / n) / sqrt(v))) ELSE 0 END AS runz FROM (SELECT *, CASE WHEN n > 1 THEN a * (a - n) / (n * n * (n - 1)) END AS v FROM (SELECT *, 2 * n1 * n0 AS a FROM (SELECT {k}, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE value = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) AS n0, sum(ch) + 1 AS runs FROM (SELECT *, CASE WHEN value <> lag(value) OVER ({w}) THEN 1.0::DOUBLE ELSE 0 END AS ch FROM {src}) GROUP BY {k})))",
     }
 
 
@@ -193,9 +193,6 @@ def _order_query(i: int, feature: str):
     def _(spark, d):
         s = all_series(spark, d).where(F.col("name").isin(list(names)))
         out = series.FEATURES[feature](s, KEY)
-        if feature == "runz":
-            n = s.groupBy(*KEY).agg(F.count("value").alias("n")).where("n > 1").drop("n")
-            out = out.join(n, KEY)
         return out.select(*KEY, (F.round(feature, 6) + 0).alias(feature))
 
 
