@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from prosemill import streaming
 from prosemill.functions import text as T
-from prosemill.operators import gates, models, stats
+from prosemill.operators import lexical, models, rhythm, sampling, segment, series
 from prosemill.plans import jobs
-from prosemill.plans.base import Registry, lit, sql_count, sql_md5_int, sql_rules, sql_squeeze, sql_unescape, sql_upper, table
-from prosemill.plans.stat_queries import FEATS, SETS, features, reading
-from prosemill.plans.text_queries import _book, _line, _typo, chunk_sql
-from prosemill.sources import shared_path
+from prosemill.plans.base import Registry, sql_count, sql_md5_int, sql_rules, sql_squeeze, sql_unescape, sql_upper, table
+from prosemill.plans.jobs import CHI2_01
+from prosemill.plans.lexical_queries import terms_of
+from prosemill.plans.stat_queries import MODELS, reading_models
+from prosemill.plans.text_queries import STOP, _book, _line, _typo, chunk_sql
+from prosemill.sources import shared_path, staged
 
 R = Registry()
 
@@ -80,64 +82,91 @@ def _(spark, d):
     return jobs.assistant(table(spark, d, "conversations")).select("passage_id", "doc_id", F.col("words").cast("long").alias("words"))
 
 
+def style(spark, d, docs, key="doc_id"):
+    """The rhythm, lexical and order rows of docs (doc_id, text and further columns)."""
+    lexicon = staged(rhythm.rule_lexicon(segment.words(docs)))
+    texts = docs.select("doc_id", "text")
+    s = staged(rhythm.series(texts, lexicon))
+    rows = rhythm.rhythm_features(texts, lexicon).join(lexical.lexical_features(texts, staged(terms_of(spark, d)), STOP, lexicon).drop("mattr"), "doc_id").join(series.order_features(s, texts), "doc_id")
+    return staged(docs.drop("text").join(rows, "doc_id"))
+
+
+def labelled(spark, d):
+    """The labelled documents with their groups, length and label of quality."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return j.select("doc_id", "text", "lang", F.col("source").alias("grp"), F.concat_ws("#", "source", F.col("quality").cast("string")).alias("perm_group"), F.col("quality").alias("y"), T.word_count(F.col("text")).cast("double").alias("words"))
+
+
+def folded(spark, d):
+    return staged(models.with_folds(style(spark, d, labelled(spark, d)), "perm_group"))
+
+
+RHYTHM, LEXICAL, ORDER = [c for c in rhythm.GROUPS if c != "mattr"], list(lexical.COLUMNS), [c for c, _, _ in series.ORDER]
+STYLE = {"rhythm_set": RHYTHM, "lexical_set": LEXICAL}
+
+
 @R.add("pl7_essay_contrasts")
 def _(spark, d):
-    f = features(spark, d).cache()
-    c = models.contrast(f, SETS, "doc_id", "grp", replicates=100)
-    return c.crossJoin(models.baseline_margin(f, FEATS, ["words"]).where("name = 'all'").select("margin"))
+    return jobs.essays(labelled(spark, d), lambda docs: style(spark, d, docs), STYLE)
 
 
 @R.add("pl8_phase_one")
 def _(spark, d):
-    return jobs.phase_one(features(spark, d).cache(), SETS, ["ttr", "mean_len"], ["words", "sents"], "^src1$")
+    return jobs.phase_one(folded(spark, d), STYLE, RHYTHM, LEXICAL, "^src1$")
 
 
 @R.add("pl9_phase_zero")
 def _(spark, d):
-    return jobs.phase_zero(features(spark, d).cache(), FEATS, ["words", "ttr"], {"words": "length", "sents": "length", "ttr": "lexical", "mean_len": "rhythm"})
+    f = folded(spark, d)
+    groups = dict(rhythm.GROUPS) | {c: "lexical" for c in LEXICAL} | {"words": "length"}
+    era = sampling.spread_groups(models.relabel(f, "lang", "es", "fr"), "grp", "src1", "doc_id", 5)
+    return jobs.phase_zero(f.where("lang <> 'es'"), ["words", *RHYTHM, *LEXICAL], ["words", "sl_mean", "mattr"], groups, "lang", staged(era))
 
 
 @R.add("pl10_four_way")
 def _(spark, d):
-    return jobs.four_way(features(spark, d).cache(), SETS, "lang", [("en", "de"), ("fr", "es")])
+    levels = series.level_features(segment.words(labelled(spark, d)).select("doc_id", "pos", (F.pmod(T.md5_int(F.col("word")), F.lit(2001)) / 1000.0).alias("value")))
+    f = staged(folded(spark, d).join(levels, "doc_id", "left").fillna(0.0))
+    level = [c for c in levels.columns if c != "doc_id"]
+    return jobs.four_way(f, {**STYLE, "order_set": ORDER, "level_set": level}, "lang", [("en", "de"), ("en", "fr"), ("fr", "es")])
 
 
 @R.add("pl11_beyond_judge")
 def _(spark, d):
-    f = features(spark, d).withColumn("judge", (T.md5_int(F.col("doc_id")) % 100 + 30 * F.col("y")).cast("double")).cache()
-    return jobs.beyond_judge(f, ["judge"], FEATS)
+    f = folded(spark, d).withColumn("judge", (T.md5_int(F.col("doc_id")) % 100 + 30 * F.col("y")).cast("double")).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev"))
+    return jobs.beyond_judge(staged(f), {"rhythm": RHYTHM, "lexical": LEXICAL, "order": ORDER}, ["judge"])
 
 
-def rewritten(f, k):
-    noise = (T.md5_int(F.lit(k), F.col("doc_id")) % 100) / 100.0
-    return f.withColumn("ttr", F.col("ttr") * (0.7 + 0.3 * noise)).withColumn("words", F.col("words") * (0.9 + 0.2 * noise)).withColumn("mean_len", F.col("mean_len") * (0.8 + 0.4 * noise))
+def rewritten(docs, k):
+    """A rewrite of texts: typography made plain, and from 1 on also long words with the k-th vowel left out."""
+    plain = T.normalize_typography(F.col("text"))
+    new = docs.withColumn("text", plain if k == 0 else F.regexp_replace(plain, rf"(?i)\b(?=[a-z]*{'aeiou'[k]})[a-z]{{7,}}\b ?", ""))
+    return new.withColumn("words", T.word_count(F.col("text")).cast("double"))
 
 
 @R.add("pl12_robustness")
 def _(spark, d):
-    f = features(spark, d).cache()
-    return jobs.rewrite_robustness(f, [rewritten(f, 1)], ["words", "sents"], ["ttr", "mean_len"], "words")
+    return jobs.rewrite_robustness(folded(spark, d), [style(spark, d, rewritten(labelled(spark, d).where("words >= 20"), 1))], RHYTHM, LEXICAL, "words")
 
 
 @R.add("pl13_robustness_realizations")
 def _(spark, d):
-    f = features(spark, d).cache()
-    return jobs.rewrite_robustness(f, [rewritten(f, 1), rewritten(f, 2)], ["words", "sents"], ["ttr", "mean_len"], "words")
+    docs = labelled(spark, d).where("words >= 20")
+    return jobs.rewrite_robustness(folded(spark, d), [style(spark, d, rewritten(docs, k)) for k in (1, 2)], RHYTHM, LEXICAL, "words")
 
 
 @R.add("pl14_heldout_report")
 def _(spark, d):
-    f = features(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev")).cache()
-    return jobs.heldout_report(f, FEATS, "lang", [("en", "de"), ("en", "fr")])
+    f = folded(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev"))
+    return jobs.heldout_report(staged(f), [*RHYTHM, *LEXICAL], "lang")
+
 
+_block = "SELECT (SELECT (coef / se) ** 2 FROM {0} WHERE term = 'k_z')"
 
-@R.add("pl15_reading_verdict")
+
+@R.add("pl15_reading_verdict", f"WITH {MODELS}, v AS (SELECT ({_block.format('skip')}) AS skip_chi2, ({_block.format('reading_time')}) AS time_chi2) SELECT round(skip_chi2, 4) AS skip_chi2, round(time_chi2, 4) AS time_chi2, CASE WHEN skip_chi2 > {CHI2_01} OR time_chi2 > {CHI2_01} THEN 'RELATED' ELSE 'NOT-RELATED' END AS verdict FROM v")
 def _(spark, d):
-    r = reading(spark, d).cache()
-    skip = stats.logit_cluster(r, "fixated", ["wlen_z", "k_z"], ["k_z"], "user_id").limit(1).select(F.col("block_p").alias("skip_p"))
-    time = stats.ols_cluster(r.where("fixated = 1"), "log_trt", ["wlen_z", "k_z"], ["k_z"], "user_id").limit(1).select(F.col("block_p").alias("time_p"))
-    verdict = F.when((F.col("skip_p") < 0.01) | (F.col("time_p") < 0.01), "RELATED").otherwise("NOT-RELATED")
-    return skip.crossJoin(time).withColumn("verdict", verdict)
+    return jobs.reading_verdict(reading_models(spark, d), "k_z").select(F.round("skip_chi2", 4).alias("skip_chi2"), F.round("time_chi2", 4).alias("time_chi2"), "verdict")
 
 
 # --- incremental
@@ -172,7 +201,8 @@ def _is_dir(spark, path):
 
 @R.add("i3_windowed_stream", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
-    return streaming.windowed_counts(table(spark, d, "events"), "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
-
-
-_ = (gates, lit)
+    folder = f"{d}/events.parquet"
+    stream = streaming.stream_files(spark, folder if _is_dir(spark, folder) else f"{folder}*", table(spark, d, "events").schema)
+    counts = streaming.windowed_counts(stream, "ts", "event_type", late="3650 days")
+    out = streaming.collect_updates(counts, ["start", "event_type"], shared_path(spark), shared_path(spark))
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

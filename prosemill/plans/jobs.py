@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.operators import gates, models, sampling, segment, stats
-from prosemill.sources import last_turn
+from prosemill.operators import gates, models, sampling, segment, stats, tables
+from prosemill.sources import last_turn, staged
+
+#: Fixed value: the 0.01 point of chi-square with one degree of freedom.
+CHI2_01 = 6.6348966010212145
 
 
 def pile(chunks: DataFrame, label: str, source: str, n: int = 80, cap: int = 10, bins: int = 5, seed: int = 0) -> DataFrame:
@@ -64,18 +67,44 @@ def assistant(turns: DataFrame) -> DataFrame:
 # --- evaluations; df has doc_id, grp, perm_group, y, fold and the feature columns
 
 
+def essays(docs: DataFrame, features, sets: dict[str, list[str]]) -> DataFrame:
+    """Essays cut and cleaned, and how well each set tells each of the largest sources from the rest: (source, name, ba, lo, hi, ..., margin, perm_p, mean_words).
+
+    docs: doc_id, text and grp. margin is that of all columns over length alone, perm_p that of all columns.
+    """
+    chunks = segment.chunk_sentences(_cleaned(docs, T.clean_essay(F.col("text"))), lo=220, hi=320, cap=None, span=100)
+    cut = chunks.withColumn("essay", F.col("doc_id")).withColumn("doc_id", F.col("doc_id") * 10_000 + F.col("chunk"))
+    rows = features(cut.join(docs.select(F.col("doc_id").alias("essay"), "grp"), "essay").select("doc_id", "text", "grp", F.col("words").cast("double").alias("words")))
+    largest = [r["grp"] for r in rows.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(4).collect()]
+    out = None
+    for source in largest:
+        d = rows.withColumn("y", (F.col("grp") == source).cast("int"))
+        # One source is one group, so its essays are dealt to groups of their own.
+        d = staged(models.with_folds(d.withColumn("part", F.concat_ws("#", "grp", (T.md5_int(F.col("doc_id")) % 10).cast("string"))), "part"))
+        margin = models.baseline_margin(d, sorted({c for s in sets.values() for c in s}), ["words"]).where("name = 'all'").select("margin")
+        c = models.contrast(d, sets, "doc_id", "part", replicates=100).crossJoin(margin).crossJoin(d.where("y = 1").agg(F.avg("words").alias("mean_words")))
+        p = stats.group_permutation_test(d, sorted({c for s in sets.values() for c in s}), "part", "y", replicates=100).select(F.col("p_value").alias("perm_p"))
+        c = c.crossJoin(p).withColumn("source", F.lit(source))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def phase_one(df: DataFrame, sets: dict[str, list[str]], rhythm: list[str], lexical: list[str], pattern: str) -> DataFrame:
     """Contrast of the sets with and without some groups, the residual contrast, and the verdict."""
     both = models.contrast(df, sets, "doc_id", "grp").withColumn("groups", F.lit("all"))
     some = models.contrast(df, sets, "doc_id", "grp", exclude=pattern).withColumn("groups", F.lit("some"))
     r = models.residual_contrast(df, rhythm, lexical, "grp")
+    plain = stats.group_permutation_test(df, sorted({c for s in sets.values() for c in s}), "perm_group", "y", replicates=100).first()
     best = both.where("name = 'all_sets'").select("ba", F.col("lo").alias("ci_low"))
-    verdict = gates.second_gate(best.select("*", F.lit(r["perm_p"]).alias("perm_p"), F.lit(r["ci_low"]).alias("resid_ci_low"), F.lit(r["perm_p"]).alias("resid_p"))).select("verdict")
+    verdict = gates.second_gate(best.select("*", F.lit(plain["p_value"]).alias("perm_p"), F.lit(r["ci_low"]).alias("resid_ci_low"), F.lit(r["perm_p"]).alias("resid_p"))).select("verdict")
     return both.unionByName(some).crossJoin(verdict)
 
 
-def phase_zero(df: DataFrame, cols: list[str], baselines: list[str], groups: dict[str, str]) -> DataFrame:
-    """One row: accuracy with interval and p, margin over single columns, residual, a tree, the top feature group, the verdict."""
+def phase_zero(df: DataFrame, cols: list[str], baselines: list[str], groups: dict[str, str], label: str, era: DataFrame) -> DataFrame:
+    """One row: accuracy with interval and p, margin over single columns, residual, all labels at once, the re-run with a band merged in, a tree, the top feature groups, the verdict.
+
+    era: the rows of the re-run, with a further band relabelled into a class.
+    """
     p = models.oof_predict(df, cols)
     ba = stats.balanced_accuracy(p).first()
     ci = stats.row_bootstrap_ci(p, 500).first()
@@ -86,9 +115,12 @@ def phase_zero(df: DataFrame, cols: list[str], baselines: list[str], groups: dic
     resid = models.residual_contrast(df, rest, baselines, "grp")
     imp = models.permutation_importance(models.fit_logreg(df, cols), df, cols, "doc_id", repeats=5)
     lookup = df.sparkSession.createDataFrame(sorted(groups.items()), "feature string, feature_group string")
-    top = [r["feature_group"] for r in imp.join(lookup, "feature").groupBy("feature_group").agg(F.sum("importance").alias("i")).orderBy(F.desc("i")).limit(3).collect()]
-    row = (ba["balanced_accuracy"], ci["lo"], perm["p_value"], "rhythm" in top, m["margin"], m["ba"] - m["margin"], resid["ci_low"], ba["balanced_accuracy"], ",".join(top))
-    t = df.sparkSession.createDataFrame([row], "ba double, ci_low double, perm_p double, rhythm_in_top3 boolean, margin double, best_baseline double, resid_ci_low double, era_ba double, top_groups string")
+    top = [r["feature_group"] for r in imp.join(lookup, "feature").groupBy("feature_group").agg(F.sum("importance").alias("i")).orderBy(F.desc("i"), "feature_group").limit(3).collect()]
+    every = models.oof_recall(df, cols, label)
+    again = models.oof_accuracy(era, cols)
+    tree = models.tree_text(models.fit_tree(df, cols), cols)
+    row = (ba["balanced_accuracy"], ci["lo"], perm["p_value"], "rhythm" in top, m["margin"], m["ba"] - m["margin"], resid["ci_low"], again, every, tree, ",".join(top))
+    t = df.sparkSession.createDataFrame([row], "ba double, ci_low double, perm_p double, rhythm_in_top3 boolean, margin double, best_baseline double, resid_ci_low double, era_ba double, all_labels_ba double, tree string, top_groups string")
     return gates.first_gate(t)
 
 
@@ -96,45 +128,80 @@ def four_way(df: DataFrame, sets: dict[str, list[str]], label: str, pairs: list[
     """The sets compared on each pair of labels."""
     out = None
     for a, b in pairs:
-        d = df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int"))
+        d = staged(df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")))
         c = models.contrast(d, sets, "doc_id", "grp", replicates=100).withColumn("pair", F.lit(f"{a}_{b}"))
         out = c if out is None else out.unionByName(c)
     return out
 
 
-def beyond_judge(df: DataFrame, judge: list[str], cols: list[str]) -> DataFrame:
-    """What the columns add to a judge's scores, as a status."""
-    c = models.contrast(df, {"judge": judge, "features": cols}, "doc_id", "grp", replicates=200)
-    j = c.where("name = 'judge'").select(F.col("ba").alias("ba_judge"), F.col("inc_low" if "inc_low" in c.columns else "inc_lo").alias("inc_low"), F.col("inc_hi").alias("inc_high"))
-    return gates.judge_status(j)
+def beyond_judge(df: DataFrame, sets: dict[str, list[str]], judge: list[str], split: str = "split") -> DataFrame:
+    """(contrast, ba_judge, inc_low, inc_high, status, claim, heldout_ba): what each set of columns adds to a judge's scores.
+
+    The held-out rows are scored, once, only for a set that adds; the claim
+    takes the first set for primary and the last for control.
+    """
+    spark, out = df.sparkSession, None
+    dev = staged(df.where(F.col(split) == "dev"))
+    for name, cols in sets.items():
+        c = models.contrast(dev, {"judge": judge, "features": cols}, "doc_id", "grp", replicates=200)
+        j = c.where("name = 'judge'").select(F.lit(name).alias("contrast"), F.col("ba").alias("ba_judge"), F.col("inc_lo").alias("inc_low"), F.col("inc_hi").alias("inc_high"))
+        s = gates.judge_status(j)
+        ba = None
+        if s.first()["status"] == "ADDS":
+            ba = stats.balanced_accuracy(models.score_heldout(df, [*judge, *cols], split)).first()["balanced_accuracy"]
+        s = s.withColumn("heldout_ba", F.lit(ba).cast("double"))
+        out = s if out is None else out.unionByName(s)
+    out = staged(out)
+    status = {r["contrast"]: r["status"] for r in out.collect()}
+    first, last = list(sets)[0], list(sets)[-1]
+    claim = spark.createDataFrame([(status[first], status[last])], "p string, c string").select(gates.quality_claim(F.col("p"), F.col("c")).alias("claim"))
+    return out.crossJoin(claim)
 
 
 def rewrite_robustness(orig: DataFrame, rewrites: list[DataFrame], rhythm: list[str], lexical: list[str], length: str, least_n: int = 140) -> DataFrame:
-    """Whether rhythm loses less than word choice when texts are rewritten, over one or several rewrites."""
+    """Whether rhythm loses less than word choice when texts are rewritten, over one or several rewrites; of texts that all forms have."""
+    aligned = tables.align(orig, *rewrites, on="doc_id")
+    orig, rewrites = staged(aligned[0]), aligned[1:]
     preds, cols = None, {"r": rhythm, "l": lexical}
     for k, alt in enumerate(rewrites):
         for name, c in cols.items():
-            p = models.paired_oof(orig, alt, c, "doc_id").withColumnsRenamed({"p_orig": f"{name}_orig", "p_alt": f"{name}_{k}"})
+            p = models.paired_oof(orig, alt.withColumn("fold", F.lit(0)), c, "doc_id").withColumnsRenamed({"p_orig": f"{name}_orig", "p_alt": f"{name}_{k}"})
             p = p.drop(f"{name}_orig") if k else p
             preds = p if preds is None else preds.join(p.drop("y"), "doc_id")
-    preds = preds.join(orig.select("doc_id", "grp"), "doc_id").cache()
+    preds = staged(preds.join(orig.select("doc_id", "grp"), "doc_id"))
     alts = {n: [f"{n}_{k}" for k in range(len(rewrites))] for n in cols}
-    diff = stats.bootstrap_diff_over_realizations(preds, "grp", ("r_orig", alts["r"]), ("l_orig", alts["l"]), 200).first()
+    if len(rewrites) == 1:
+        diff = stats.bootstrap_diff_in_drops(preds, "grp", ("r_orig", "r_0"), ("l_orig", "l_0"), 200).first()
+    else:
+        diff = stats.bootstrap_diff_over_realizations(preds, "grp", ("r_orig", alts["r"]), ("l_orig", alts["l"]), 200).first()
     ba = lambda c: stats.balanced_accuracy(preds, p=c).first()["balanced_accuracy"]
     drop = ba("l_orig") - sum(map(ba, alts["l"])) / len(rewrites)
-    ratio = rewrites[0].select("doc_id", F.col(length).alias("new")).join(orig, "doc_id").agg(F.avg(F.col("new") / F.col(length))).first()[0]
+    ratio = rewrites[0].select("doc_id", F.col(length).alias("new")).join(orig.select("doc_id", length), "doc_id").agg(F.avg(F.col("new") / F.col(length))).first()[0]
     row = [(drop, ratio, preds.count(), diff["lo"], diff["hi"], diff["mean"])]
     t = orig.sparkSession.createDataFrame(row, "lexical_drop double, length_ratio double, n long, diff_low double, diff_high double, diff_mean double")
     return gates.robustness(t, least_n=least_n)
 
 
-def heldout_report(df: DataFrame, cols: list[str], label: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Each pair of labels: fitted on dev, scored once on held_out, with interval."""
+def heldout_report(df: DataFrame, cols: list[str], label: str, repeats: int = 20) -> DataFrame:
+    """Every pair of labels: fitted on dev, scored once on held_out, with interval, the most important columns and a tree of the dev rows."""
+    labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
     rows = []
-    for a, b in pairs:
-        d = df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int"))
-        p = models.score_heldout(d, cols).cache()
+    for a, b in ((a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]):
+        d = staged(df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")))
+        dev = d.where("split = 'dev'")
+        if dev.select("y").distinct().count() < 2:
+            continue
+        p = staged(models.score_heldout(d, cols))
         ci = stats.row_bootstrap_ci(p, 300).first()
         r = stats.balanced_accuracy(p).first()
-        rows.append((f"{a}_{b}", r["balanced_accuracy"], ci["lo"], ci["hi"], r["n"]))
-    return df.sparkSession.createDataFrame(rows, "pair string, ba double, lo double, hi double, n long")
+        imp = models.permutation_importance(models.fit_logreg(dev, cols), dev, cols, "doc_id", repeats=repeats)
+        top = [x["feature"] for x in imp.orderBy(F.desc("importance"), "feature").limit(3).collect()]
+        rows.append((f"{a}_{b}", r["balanced_accuracy"], ci["lo"], ci["hi"], r["n"], ",".join(top), models.tree_text(models.fit_tree(dev, cols), cols)))
+    return df.sparkSession.createDataFrame(rows, "pair string, ba double, lo double, hi double, n long, top_features string, tree string")
+
+
+def reading_verdict(reports: DataFrame, term: str) -> DataFrame:
+    """One row: the block statistics of the skip and the reading time model, and whether either is beyond chance at 0.01."""
+    of = lambda m: F.max(F.when((F.col("model") == m) & (F.col("term") == term), F.col("block_chi2")))
+    t = reports.agg(of("skip").alias("skip_chi2"), of("reading_time").alias("time_chi2"))
+    return t.withColumn("verdict", F.when((F.col("skip_chi2") > CHI2_01) | (F.col("time_chi2") > CHI2_01), "RELATED").otherwise("NOT-RELATED"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from prosemill.functions import text as T
 from prosemill.operators import gates, models, segment, stats
 from prosemill.operators import series as Q
-from prosemill.plans.base import SENTENCES_CTE, Registry, lit, sql_md5_int, table
-from prosemill.plans.feature_queries import SERIES, all_series, docs_and_lexicon, order_sql
+from prosemill.plans.base import SENTENCES_CTE, Registry, lit, sql_md5_int, sql_sentences, table
+from prosemill.plans.feature_queries import SERIES, all_series
 from prosemill.plans.table_queries import fold_sql, grouped
 from prosemill.plans.text_queries import STOP, sql_tokens
+from prosemill.sources import staged
 
 R = Registry()
 
@@ -103,6 +104,10 @@ def _(spark, d):
 
 
 FEATS = ["words", "sents", "ttr", "mean_len"]
+_len = "array_to_string(t, '')"
+#: The CTE f: features() in SQL.
+FEATURES = f"""{fold_sql()}, f AS (SELECT doc_id, lang, source AS grp, grp AS perm_group, y, fold, CAST(len(t) AS DOUBLE) AS words, CAST(sents AS DOUBLE) AS sents, len(list_distinct(t)) / greatest(len(t), 1) AS ttr, length({_len}) / greatest(len(t), 1) AS mean_len
+ FROM (SELECT doc_id, lang, source, {sql_tokens('text')} AS t, len({sql_sentences('text')}) AS sents FROM documents) JOIN folded USING (doc_id))"""
 
 
 def features(spark, d):
@@ -118,39 +123,96 @@ def features(spark, d):
     return models.with_folds(f, "perm_group")
 
 
+def sql_logreg(src: str, cols: list[str], name: str, held: str = "SELECT DISTINCT fold AS k FROM {}", alt: str | None = None, out: str = "p", steps: int = 12) -> str:
+    """CTEs up to <name>: rows of alt, or src, of fold k with the prediction of the model of the other folds, for each held k; -1 holds none back.
+
+    The logistic loss with half the squared weights added, on columns less
+    their mean over their sample deviation, solved by Newton's steps; each
+    solves its equations by elimination.
+    """
+    d = range(len(cols) + 1)
+    n = f"{name}_"
+    ctes = [
+        f"{n}k AS MATERIALIZED ({held.format(src)})",
+        f"{n}st AS MATERIALIZED (SELECT k, {', '.join(f'avg({c}) AS m{i}, stddev_samp({c}) AS s{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}k ON fold <> k GROUP BY k)",
+        f"{n}z AS MATERIALIZED (SELECT k, y, 1.0::DOUBLE AS z0, {', '.join(f'({c} - m{i}) / s{i} AS z{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}st ON fold <> k)",
+        f"{n}b0 AS MATERIALIZED (SELECT k, {', '.join(f'0.0::DOUBLE AS b{i}' for i in d)} FROM {n}k)",
+    ]
+    for t in range(steps):
+        eta = " + ".join(f"b{i} * z{i}" for i in d)
+        sums = [f"sum(z{i} * z{j} * p * (1 - p)){' + 1' if i == j and i else ''} AS a{i}_{j}" for i in d for j in d if j >= i] + [f"sum((y - p) * z{i}){f' - any_value(b{i})' if i else ''} AS g{i}" for i in d] + [f"any_value(b{i}) AS b{i}" for i in d]
+        body = f"SELECT k, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM {n}z JOIN {n}b{t} USING (k)) GROUP BY k"
+        for s in d:
+            keep = [f"a{i}_{j} - a{s}_{i} / a{s}_{s} * a{s}_{j} AS a{i}_{j}" for i in d if i > s for j in d if j >= i] + [f"g{i} - a{s}_{i} / a{s}_{s} * g{s} AS g{i}" for i in d if i > s]
+            old = [f"a{i}_{j}" for i in d if i <= s for j in d if j >= i] + [f"g{i}" for i in d if i <= s] + [f"b{i}" for i in d]
+            body = f"SELECT k, {', '.join(old + keep)} FROM ({body})"
+        back = []
+        for i in reversed(d):
+            back.append(f"(g{i}{''.join(f' - a{i}_{j} * x{j}' for j in d if j > i)}) / a{i}_{i} AS x{i}")
+            body = f"SELECT *, {back[-1]} FROM ({body})"
+        ctes.append(f"{n}b{t + 1} AS MATERIALIZED (SELECT k, {', '.join(f'b{i} + x{i} AS b{i}' for i in d)} FROM ({body}))")
+    score = "b0 + " + " + ".join(f"b{i} * ({c} - m{i}) / s{i}" for i, c in enumerate(cols, 1))
+    ctes.append(f"{name} AS MATERIALIZED (SELECT f.*, {score} AS {out}_z, CAST({score} > 0 AS INT) AS {out} FROM {alt or src} f JOIN {n}b{steps} ON k IN (f.fold, -1) JOIN {n}st USING (k))")
+    return ", ".join(ctes)
+
+
+def metrics_sql(frm: str, by: str = "") -> str:
+    """balanced_accuracy() of the column p of frm."""
+    k = f"{by}, " if by else ""
+    f1 = f"({_f1('p00', 'p10', 'p01')} + {_f1('p11', 'p01', 'p10')}) / 2"
+    return f"SELECT {k}round({sql_ba('p')}, 9) AS balanced_accuracy, round({f1}, 9) AS macro_f1, p00 + p01 + p10 + p11 AS n FROM (SELECT {k}{sql_cells('p')} FROM {frm} {f'GROUP BY {by}' if by else ''})"
+
+
+def rounded_metrics(df, *by):
+    return df.select(*by, F.round("balanced_accuracy", 9).alias("balanced_accuracy"), F.round("macro_f1", 9).alias("macro_f1"), "n")
+
+
+ALL_ROWS = "SELECT -1 AS k"
+
+
 @R.add("u7_group_permutation")
 def _(spark, d):
     return stats.group_permutation_test(features(spark, d), FEATS, "perm_group", "y", replicates=200)
 
 
-@R.add("u8_permutation_importance")
+def _shuffled_sql(repeats: int, seed: int = 0) -> str:
+    rank = lambda s: f"row_number() OVER (PARTITION BY r ORDER BY {sql_md5_int(str(s), 'r', 'doc_id')}, doc_id)"
+    moved = " UNION ALL ".join(f"SELECT '{c}' AS feature, a.r, a.y, CAST(a.p_z + s.b{i} / s.s{i} * (o.{c} - a.{c}) > 0 AS INT) AS p FROM a JOIN o USING (r, i) CROSS JOIN s" for i, c in enumerate(FEATS, 1))
+    return f"e AS (SELECT * FROM m, range({repeats}) t(r)), a AS (SELECT *, {rank(seed)} AS i FROM e), o AS (SELECT *, {rank(seed + 1)} AS i FROM e), s AS (SELECT * FROM m_b12 JOIN m_st USING (k)), v AS ({moved})"
+
+
+@R.add("u8_permutation_importance", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm', ALL_ROWS)}, {_shuffled_sql(10)}, w AS ({metrics_sql('v', 'feature, r')}), x AS ({metrics_sql('m')}) SELECT feature, round((SELECT balanced_accuracy FROM x) - avg(balanced_accuracy), 7) + 0 AS importance FROM w GROUP BY feature")
 def _(spark, d):
-    f = features(spark, d).cache()
-    return models.permutation_importance(models.fit_logreg(f, FEATS), f, FEATS, "doc_id", repeats=10)
+    f = staged(features(spark, d))
+    i = models.permutation_importance(models.fit_logreg(f, FEATS), f, FEATS, "doc_id", repeats=10)
+    return i.select("feature", (F.round("importance", 7) + 0).alias("importance"))
 
 
-@R.add("u9_logistic_regression")
+@R.add("u9_logistic_regression", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm', ALL_ROWS)} SELECT y, p, count(*) AS count FROM m GROUP BY y, p")
 def _(spark, d):
-    f = features(spark, d).cache()
+    f = staged(features(spark, d))
     return models.predict(models.fit_logreg(f, FEATS), f).groupBy("y", "p").count()
 
 
 @R.add("u10_decision_tree")
 def _(spark, d):
-    f = features(spark, d).cache()
+    f = staged(features(spark, d))
     m = models.fit_tree(f, FEATS)
     return models.predict(m, f).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"), F.lit(models.tree_text(m, FEATS)).alias("tree"))
 
 
-@R.add("u11_out_of_fold")
+@R.add("u11_out_of_fold", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm')} {metrics_sql('m')}")
 def _(spark, d):
-    f = features(spark, d).cache()
-    return stats.balanced_accuracy(models.oof_predict(f, FEATS))
+    f = staged(features(spark, d))
+    return rounded_metrics(stats.balanced_accuracy(models.oof_predict(f, FEATS)))
 
 
-@R.add("u12_paired_out_of_fold")
+_alt = "alt AS (SELECT * REPLACE (ttr * 0.9::DOUBLE AS ttr, words * 1.1::DOUBLE AS words) FROM f)"
+
+
+@R.add("u12_paired_out_of_fold", f"WITH {FEATURES}, {_alt}, {sql_logreg('f', FEATS, 'm')}, {sql_logreg('f', FEATS, 'x', alt='alt')} SELECT m.y, m.p AS p_orig, x.p AS p_alt, count(*) AS count FROM m JOIN x USING (doc_id) GROUP BY ALL")
 def _(spark, d):
-    f = features(spark, d).cache()
+    f = staged(features(spark, d))
     alt = f.withColumn("ttr", F.col("ttr") * 0.9).withColumn("words", F.col("words") * 1.1)
     return models.paired_oof(f, alt, FEATS, "doc_id").groupBy("y", "p_orig", "p_alt").count()
 
@@ -163,7 +225,7 @@ def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("double").alias("words"), F.col("n_chars").cast("double").alias("chars"))
     from prosemill.operators import sampling
 
-    f = docs.join(sampling.with_folds(grouped(spark, d), "grp", "y").select("doc_id", "fold"), "doc_id").cache()
+    f = staged(docs.join(sampling.with_folds(grouped(spark, d), "grp", "y").select("doc_id", "fold"), "doc_id"))
     return stats.residualize(f, ["words"], ["chars"]).select("doc_id", (F.round("words", 4) + 0).alias("words"))
 
 
@@ -176,34 +238,57 @@ def _(spark, d):
 SETS = {"length_set": ["words", "sents"], "lexical_set": ["ttr", "mean_len"]}
 
 
-@R.add("u15_contrast")
+def contrast_sql(where: str = "TRUE", reps: int = 200) -> str:
+    names = {**SETS, "all_sets": FEATS}
+    fits = ", ".join(sql_logreg("g", cols, f"c_{n}", out=n) for n, cols in names.items())
+    joined = " ".join(f"JOIN c_{n} USING (doc_id)" for n in SETS)
+    both = f"preds AS (SELECT c_all_sets.grp, c_all_sets.y, {', '.join(f'c_{n}.{n}' for n in names)} FROM c_all_sets {joined})"
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, (SELECT round({sql_ba(n)}, 9) FROM (SELECT {sql_cells(n)} FROM preds)) AS ba, round(quantile_cont({n}, 0.025), 9) AS lo, round(quantile_cont({n}, 0.975), 9) AS hi, round(avg(all_sets - {n}), 9) + 0 AS increment, round(quantile_cont(all_sets - {n}, 0.025), 9) AS inc_lo, round(quantile_cont(all_sets - {n}, 0.975), 9) AS inc_hi FROM draws"
+        for n in names
+    )
+    return f"WITH {FEATURES}, g AS (SELECT * FROM f WHERE {where}), {fits}, {both}, {sql_draws(list(names), reps, 0)} {rows}"
+
+
+def rounded_contrast(df):
+    return df.select("name", *[(F.round(c, 9) + 0).alias(c) for c in df.columns[1:]])
+
+
+@R.add("u15_contrast", contrast_sql())
 def _(spark, d):
-    return models.contrast(features(spark, d), SETS, "doc_id", "grp")
+    return rounded_contrast(models.contrast(features(spark, d), SETS, "doc_id", "grp"))
 
 
-@R.add("u16_contrast_excluding")
+@R.add("u16_contrast_excluding", contrast_sql("NOT regexp_matches(grp, '(?i)^src1$')"))
 def _(spark, d):
-    return models.contrast(features(spark, d), SETS, "doc_id", "grp", exclude="^src1$")
+    return rounded_contrast(models.contrast(features(spark, d), SETS, "doc_id", "grp", exclude="^src1$"))
+
+
+_single = {"all": FEATS, "words": ["words"], "ttr": ["ttr"]}
+_one_sql = lambda n: f"SELECT '{n}' AS name, balanced_accuracy AS ba FROM ({metrics_sql('m_' + n)})"
 
 
-@R.add("u17_baseline_margin")
+@R.add("u17_baseline_margin", f"WITH {FEATURES}, {', '.join(sql_logreg('f', c, f'm_{n}') for n, c in _single.items())}, b AS ({' UNION ALL '.join(map(_one_sql, _single))}), w AS (SELECT max(ba) FILTER (WHERE name = 'all') AS a, max(ba) FILTER (WHERE name <> 'all') AS best FROM b) SELECT name, ba, round(CASE WHEN name = 'all' THEN a - best ELSE a - ba END, 7) + 0 AS margin FROM b, w")
 def _(spark, d):
-    return models.baseline_margin(features(spark, d).cache(), FEATS, ["words", "ttr"])
+    m = models.baseline_margin(staged(features(spark, d)), FEATS, ["words", "ttr"])
+    return m.select("name", F.round("ba", 9).alias("ba"), (F.round("margin", 7) + 0).alias("margin"))
 
 
-@R.add("u18_score_heldout")
+@R.add("u18_score_heldout", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm', 'SELECT 0 AS k')}, preds AS (SELECT grp, y, p AS pa FROM m), {sql_draws(['pa'], 500, 0)}, i AS ({sql_interval('pa')}), b AS ({metrics_sql('m')}) SELECT balanced_accuracy, n, lo, hi, draws FROM i, b")
 def _(spark, d):
-    f = features(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev")).cache()
-    return interval(stats.row_bootstrap_ci(models.score_heldout(f, FEATS), 500))
+    f = staged(features(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev")))
+    p = staged(models.score_heldout(f, FEATS))
+    ci = interval(stats.group_bootstrap_ci(p, "grp", 500)).drop("mean")
+    return rounded_metrics(stats.balanced_accuracy(p)).drop("macro_f1").crossJoin(ci)
 
 
-@R.add("u19_balanced_rerun")
+@R.add("u19_balanced_rerun", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm')}, r AS (SELECT * REPLACE (CASE WHEN lang = 'es' THEN 'fr' ELSE lang END AS lang) FROM m) {metrics_sql('r', 'lang')}")
 def _(spark, d):
     from prosemill.operators import sampling
 
     f = models.relabel(features(spark, d), "lang", "es", "fr")
-    f = sampling.spread_groups(f, "grp", "src1", "doc_id", 5).cache()
-    return stats.balanced_accuracy(models.oof_predict(f, FEATS), by=["lang"])
+    f = staged(sampling.spread_groups(f, "grp", "src1", "doc_id", 5))
+    return rounded_metrics(stats.balanced_accuracy(models.oof_predict(f, FEATS), by=["lang"]), "lang")
 
 
 _m = sql_md5_int("source")
@@ -278,20 +363,81 @@ def reading(spark, d):
     return z.withColumn("fixated", (F.col("trt") > 5).cast("int")).withColumn("log_trt", F.log(F.greatest("trt", F.lit(1.0))))
 
 
-@R.add("u28_logit_cluster")
-def _(spark, d):
-    return stats.logit_cluster(reading(spark, d), "fixated", ["wlen_z", "k_z"], ["k_z"], "user_id")
+_X = ["wlen_z", "k_z"]
+READING = """r0 AS (SELECT user_id AS c, value AS trt, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(length(event_type) AS DOUBLE) AS wlen FROM events),
+ rs AS (SELECT avg(k) AS mk, stddev_samp(k) AS sk, avg(wlen) AS mw, stddev_samp(wlen) AS sw FROM r0),
+ r AS (SELECT c, trt, CASE WHEN sk > 0 THEN (k - mk) / sk ELSE k * 0 END AS k_z, CASE WHEN sw > 0 THEN (wlen - mw) / sw ELSE wlen * 0 END AS wlen_z, CAST(trt > 5 AS INT) AS fixated, ln(greatest(trt, 1.0::DOUBLE)) AS log_trt FROM r0, rs)"""
+
+
+def _solve(cols: str, d: int, body: str) -> str:
+    """x0.. of the symmetric equations a x = g in the columns a<i>_<j> (j >= i) and g<i>; the columns cols stay."""
+    n = range(d)
+    for s in n:
+        keep = [f"a{i}_{j} - a{s}_{i} / a{s}_{s} * a{s}_{j} AS a{i}_{j}" for i in n if i > s for j in n if j >= i] + [f"g{i} - a{s}_{i} / a{s}_{s} * g{s} AS g{i}" for i in n if i > s]
+        old = [f"a{i}_{j}" for i in n if i <= s for j in n if j >= i] + [f"g{i}" for i in n if i <= s]
+        body = f"SELECT {', '.join([*([cols] if cols else []), *old, *keep])} FROM ({body})"
+    for i in reversed(n):
+        body = f"SELECT *, (g{i}{''.join(f' - a{i}_{j} * x{j}' for j in n if j > i)}) / a{i}_{i} AS x{i} FROM ({body})"
+    return body
 
 
-@R.add("u29_reading_models")
+def cluster_sql(name: str, y: str, kind: str, where: str = "TRUE", steps: int = 12) -> str:
+    """CTEs up to <name> (term, coef, se, n, clusters) of a least squares or logit model of y on _X over r, clustered by c."""
+    d, n = range(3), f"{name}_"
+    out = [f"{n}d AS MATERIALIZED (SELECT c, CAST({y} AS DOUBLE) AS y, 1.0::DOUBLE AS z0, wlen_z AS z1, k_z AS z2 FROM r WHERE {where} AND {y} IS NOT NULL AND wlen_z IS NOT NULL AND k_z IS NOT NULL AND c IS NOT NULL)"]
+    out.append(f"{n}b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)")
+    weight = "p * (1 - p)" if kind == "logit" else "1"
+    of = "1 / (1 + exp(-eta))" if kind == "logit" else "eta"
+    with_p = lambda t: f"(SELECT *, {of} AS p FROM (SELECT *, b0 * z0 + b1 * z1 + b2 * z2 AS eta FROM {n}d, {n}b{t}))"
+    last = steps if kind == "logit" else 1
+    for t in range(last):
+        sums = [f"sum(z{i} * z{j} * {weight}) AS a{i}_{j}" for i in d for j in d if j >= i] + [f"sum((y - p) * z{i}) AS g{i}" for i in d] + [f"any_value(b{i}) AS b{i}" for i in d]
+        out.append(f"{n}b{t + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + x{i} AS b{i}' for i in d)} FROM ({_solve('b0, b1, b2', 3, f'SELECT {chr(44).join(sums)} FROM {with_p(last and t)}')}))")
+    # The bread's columns are solutions for unit vectors, at the weights of the last step but one for the logit, as its errors are taken there.
+    at = last - 1 if kind == "logit" else last
+    out.append(f"{n}a AS MATERIALIZED (SELECT {', '.join(f'sum(z{i} * z{j} * {weight}) AS a{i}_{j}' for i in d for j in d if j >= i)} FROM {with_p(at)})")
+    for k in d:
+        unit = ", ".join(f"{1.0 if i == k else 0.0}::DOUBLE AS g{i}" for i in d)
+        out.append(f"{n}i{k} AS MATERIALIZED (SELECT {', '.join(f'x{i} AS v{k}_{i}' for i in d)} FROM ({_solve('', 3, f'SELECT *, {unit} FROM {n}a')}))")
+    out.append(f"{n}u AS MATERIALIZED (SELECT c, {', '.join(f'sum(z{i} * (y - p)) AS u{i}' for i in d)} FROM {with_p(last)} GROUP BY c)")
+    out.append(f"{n}m AS MATERIALIZED (SELECT {', '.join(f'sum(u{i} * u{j}) AS m{i}_{j}' for i in d for j in d)}, count(*) AS g, (SELECT count(*) FROM {n}d) AS n FROM {n}u)")
+    cov = lambda a, b: " + ".join(f"v{a}_{i} * m{i}_{j} * v{b}_{j}" for i in d for j in d)
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, b{k} AS coef, sqrt((g / (g - 1)) * ((n - 1) / (n - 3)) * ({cov(k, k)})) AS se, n, g AS clusters FROM {n}b{last}, {n}i0, {n}i1, {n}i2, {n}m" for k, t in enumerate(["const", *_X]))
+    out.append(f"{name} AS ({rows})")
+    return ", ".join(out)
+
+
+def report_sql(name: str, more: str = "") -> str:
+    """The report of one model: the block is k_z alone, so its Wald statistic is the square of its t."""
+    return f"SELECT {more}term, round(coef, 6) + 0 AS coef, round(se, 6) AS se, round((SELECT (coef / se) ** 2 FROM {name} WHERE term = 'k_z'), 4) AS block_chi2, n, clusters FROM {name}"
+
+
+def report(df, *more):
+    return df.select(*more, "term", (F.round("coef", 6) + 0).alias("coef"), F.round("se", 6).alias("se"), F.round("block_chi2", 4).alias("block_chi2"), "n", "clusters")
+
+
+@R.add("u28_logit_cluster", f"WITH {READING}, {cluster_sql('l', 'fixated', 'logit')} {report_sql('l')}")
 def _(spark, d):
-    r = reading(spark, d).cache()
-    skip = stats.logit_cluster(r, "fixated", ["wlen_z", "k_z"], ["k_z"], "user_id").withColumn("model", F.lit("skip"))
-    time = stats.ols_cluster(r.where("fixated = 1"), "log_trt", ["wlen_z", "k_z"], ["k_z"], "user_id").withColumn("model", F.lit("reading_time"))
-    other = stats.ols_cluster(r.where("fixated = 1"), "trt", ["wlen_z", "k_z"], ["k_z"], "user_id").withColumn("model", F.lit("measure"))
+    return report(stats.logit_cluster(reading(spark, d), "fixated", _X, ["k_z"], "user_id"))
+
+
+_models = {"skip": ("fixated", "logit", "TRUE"), "reading_time": ("log_trt", "ols", "fixated = 1"), "measure": ("trt", "ols", "fixated = 1")}
+MODELS = f"{READING}, {', '.join(cluster_sql(k, y, kind, where) for k, (y, kind, where) in _models.items())}"
+
+
+def reading_models(spark, d):
+    r = staged(reading(spark, d))
+    skip = stats.logit_cluster(r, "fixated", _X, ["k_z"], "user_id").withColumn("model", F.lit("skip"))
+    time = stats.ols_cluster(r.where("fixated = 1"), "log_trt", _X, ["k_z"], "user_id").withColumn("model", F.lit("reading_time"))
+    other = stats.ols_cluster(r.where("fixated = 1"), "trt", _X, ["k_z"], "user_id").withColumn("model", F.lit("measure"))
     return skip.unionByName(time).unionByName(other)
 
 
+@R.add("u29_reading_models", f"WITH {MODELS} " + " UNION ALL ".join(report_sql(k, f"'{k}' AS model, ") for k in _models))
+def _(spark, d):
+    return report(reading_models(spark, d), "model")
+
+
 _core = r"regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
 _wp = f"""WITH {SENTENCES_CTE}, x AS (SELECT doc_id, sent, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM (SELECT doc_id, sent, regexp_extract_all(sentence, '\\S+') AS a FROM s)),
  y AS (SELECT *, {_core} AS core, pos - 1 AS i, count(*) OVER (PARTITION BY doc_id, sent) AS n FROM x)
@@ -336,5 +482,3 @@ def _(spark, d):
 def _(spark, d):
     return stats.embedding_spread(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean_cosine", F.round("mean_cosine", 7))
 
-
-_ = (docs_and_lexicon, order_sql)
