@@ -115,17 +115,17 @@ def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
 HOT = 2000
 
 
-def hot_keys(df: DataFrame, key: list[str], least: int = 2000) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: list[str], least: int = 100) -> DataFrame | None:
     """The keys that hold more than 1/HOT of df's rows, and more than least; None if there are none. HOT rows at most, as a local table."""
     n = df.count()
-    if n <= least:
+    if n <= 10 * least:
         return None
     per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(least, n / HOT)).select(*key)
     rows = per.collect()
     return df.sparkSession.createDataFrame(rows, per.schema) if rows else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """left joined with right on key, where left may hold very many rows of one key and right only a few of each.
 
     Hot keys of left meet their few rows of right by broadcast, so that no task
@@ -134,10 +134,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: DataFram
     """
     hot = hot if hot is not None else hot_keys(left, key)
     if hot is None:
-        return left.join(right, key)
+        return left.join(right, key, how)
     few = right.join(F.broadcast(hot), key, "left_semi")
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
-    return left.join(F.broadcast(few), key).unionByName(rest)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(rest)
 
 
 #: Bits of a sieve, and bits to a word of it: 8 MB whatever it holds.

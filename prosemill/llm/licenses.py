@@ -1,23 +1,25 @@
 """License scan: TF-IDF cosine to templates, then inheritance along paths.
 
-Lines of a file that speak of a licence make its header. Headers are compared
-with a fixed table of templates by the cosine of sparse TF-IDF vectors, each
-distinct header once. A file that is a licence file by name, or whose words are
-mostly its header, stands for its directory; files without a header of their
-own inherit from the nearest directory above that has one, by joins on paths.
+Lines of a file that speak of a licence make its header. They are compared with
+a table of templates by the cosine of sparse TF-IDF vectors, each distinct line
+once: wordings of notices, identifiers and names in the usual phrases, and the
+whole texts of short licences. A file that is a licence file by name, or whose
+words are mostly its header, is also compared as a whole, and stands for its
+directory; files without a header of their own inherit from the nearest
+directory above that has one, by joins on paths.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, same, stage
+from .common import let, same, spread_join, stage
 
 #: Wording of notices by SPDX identifier.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -42,6 +44,52 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("LicenseRef-Proprietary", "All rights reserved. No part of this work may be reproduced or distributed without prior written permission of the copyright holder."),
 )
+#: What licences are called, by SPDX identifier.
+NAMES = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license"),
+    "GPL-2.0-only": ("GNU General Public License version 2", "GNU GPL v2", "GPLv2 license"),
+    "GPL-3.0-only": ("GNU General Public License version 3", "GNU GPL v3", "GPLv3 license"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License version 2.1", "LGPL v2.1", "LGPLv2.1 license"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License version 3", "LGPL v3", "LGPLv3 license"),
+    "AGPL-3.0-only": ("GNU Affero General Public License version 3", "AGPL v3", "AGPLv3 license"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "BSD license"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0 license"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "EUPL-1.2": ("European Union Public Licence 1.2", "European Union Public Licence", "EUPL"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "OFL-1.1": ("SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Zero 1.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0"),
+    "CC-BY-NC-SA-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0"),
+    "CC-BY-NC-ND-4.0": ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0"),
+}
+#: Further SPDX identifiers, which stand for themselves.
+IDENTIFIERS = ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "Unlicense", "WTFPL", "0BSD", "PostgreSQL")
+PHRASES = ("Licensed under the {}", "Distributed under the {}", "Released under the {}", "Available under the terms of the {}", "This project is licensed under the {} see the LICENSE file for details", "License: {}", "{}")
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole texts of short licences.
+TEXTS = (
+    ("MIT", "MIT License " + _MIT_GRANT + _MIT_WARRANTY),
+    ("BSD-2-Clause", "BSD 2-Clause License " + _BSD_TERMS + _BSD_WARRANTY),
+    ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_TERMS + _BSD_THIRD + _BSD_WARRANTY),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+)
+#: All templates: notices, whole texts, and each name and identifier in the usual phrases.
+TEMPLATES = (*NOTICES, *TEXTS, *((k, f.format(x)) for k, names in NAMES.items() for x in names for f in PHRASES), *((k, f.format(k)) for k in (*NAMES, *IDENTIFIERS) for f in ("SPDX-License-Identifier: {}", "Licensed under {}", "License: {}")))
 
 #: What a sentence of a header holds, and the least cosine that counts.
 SPEAKS = r"(?i)\b(?:licen[sc]e[ds]?|copyright|spdx|all rights reserved|public domain|creative commons|permission is hereby|redistribution and use)\b"
@@ -50,6 +98,8 @@ STEMS = ("licen", "copyright", "spdx", "all rights reserved", "public domain", "
 #: A sentence; a full stop within a number doesn't end it. It is read once, without going back.
 SENTENCE = r"[^\n.!?]++(?:\.(?=\d)[^\n.!?]*+)*+"
 LEAST = 0.5
+#: A title's line and the version on the next are one.
+VERSION_LINE = r"(?i)\s*\n\s*(?=version\s+\d)"
 #: A file whose header has this share of its words stands for its directory.
 MOSTLY = 0.5
 LICENCE_NAME = r"(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.\-_].*)?$"
@@ -67,37 +117,45 @@ def _terms(text: Column) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(path, header, share) of the files that speak of a licence: the distinct sentences that do, and their share of the words."""
-    spoken = F.filter(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: x.rlike(SPEAKS))
+    """(path, said, share, stands) of the files that speak of a licence.
+
+    said has the distinct sentences that do, and the whole of a file that
+    stands for its directory; share is their share of the words.
+    """
+    text = F.regexp_replace("text", VERSION_LINE, " ")
+    spoken = F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda x: x.rlike(SPEAKS))
     said = F.transform(spoken, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     words = lambda c: F.greatest(F.regexp_count(c, F.lit(r"\S+")), F.lit(1))
     hint = let(F.lower("text"), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(s)) for s in STEMS]))
     speaking = files.where(F.col("text").isNotNull() & hint).where(F.col("text").rlike(SPEAKS)).withColumn("said", F.array_sort(F.array_distinct(F.filter(said, lambda x: x != "")))).where(F.size("said") > 0)
-    header = F.array_join("said", "\n")
-    return speaking.select("path", header.alias("header"), (words(header) / words(F.col("text"))).alias("share"))
+    share = words(F.array_join("said", "\n")) / words(F.col("text"))
+    stands = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_NAME), F.lit(False)) | (share >= MOSTLY)
+    whole = F.array(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return speaking.select("path", F.when(stands, F.array_union("said", whole)).otherwise(F.col("said")).alias("said"), share.alias("share"), stands.alias("stands"))
 
 
-def matched(found: DataFrame) -> DataFrame:
-    """(sentence, license, score): the best template of each distinct sentence of the headers, of the least cosine at least.
+def matched(found: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+    """(key, license, score): the best template of each distinct text said, of the least cosine at least; key is the text's MD5.
 
-    IDF counts all sentences of all headers, repeated ones as often as they
-    occur, and the templates. Ties go to the identifier first in order.
+    IDF counts all that is said, repeated texts as often as they occur, and the
+    templates. Ties go to the identifier first in order.
     """
     spark = found.sparkSession
-    sentences = found.select(F.explode(F.split("header", "\n")).alias("sentence")).groupBy("sentence").agg(F.count(F.lit(1)).alias("times"))
-    sentences = stage(sentences.withColumn("t", F.explode(_terms(F.col("sentence")))).groupBy("sentence", "times", "t").agg(F.count(F.lit(1)).alias("tf")))
-    fixed = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(TEMPLATES)], "i int, license string, template string")
+    said = found.select(F.explode("said").alias("text")).groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    said = stage(said.select("key", "times", F.explode(_terms(F.col("text"))).alias("t")).groupBy("key", "times", "t").agg(F.count(F.lit(1)).alias("tf")))
+    fixed = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(templates)], "i int, license string, template string")
     fixed = fixed.withColumn("t", F.explode(_terms(F.col("template")))).groupBy("i", "license", "t").agg(F.count(F.lit(1)).alias("tf"))
-    docs = sentences.select("sentence", "times").distinct().agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] + len(TEMPLATES)
-    df = sentences.select("t", "times").unionByName(fixed.select("t", F.lit(1).cast("long").alias("times"))).groupBy("t").agg(F.sum("times").alias("df"))
+    docs = said.select("key", "times").distinct().agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] + len(templates)
+    df = said.select("t", "times").unionByName(fixed.select("t", F.lit(1).cast("long").alias("times"))).groupBy("t").agg(F.sum("times").alias("df"))
+    # Only terms of templates can match; the others count for the length alone.
     df = stage(df.select("t", (F.log(F.lit(1.0 + docs) / (1 + F.col("df"))) + 1).alias("idf")))
     weigh = lambda x: x.join(df, "t").withColumn("w", F.col("tf") * F.col("idf"))
     norm = lambda x, k: x.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(k))))
-    a = norm(weigh(sentences), "sentence").select("sentence", "t", F.col("w").alias("a"))
+    a = norm(weigh(said), "key").select("key", "t", F.col("w").alias("a"))
     b = norm(weigh(fixed), "i").select("i", "license", "t", F.col("w").alias("b"))
-    score = a.join(b, "t").groupBy("sentence", "i", "license").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
-    best = score.groupBy("sentence").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "license")).alias("m"))
-    return best.select("sentence", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score")).where(F.col("score") >= LEAST)
+    score = a.join(F.broadcast(b), "t").groupBy("key", "i", "license").agg(F.sum(F.col("a") * F.col("b")).alias("score"))  # the templates are a fixed table
+    best = score.groupBy("key").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "license")).alias("m"))
+    return best.select("key", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score")).where(F.col("score") >= LEAST)
 
 
 def scan(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
@@ -106,16 +164,16 @@ def scan(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     origin is `header`, `licence file`, `inherited` or `none`. A file with
     several licences has the one with the best score, ties to the identifier
     first in order; so has a directory. Null and empty texts have no header but
-    may inherit; a null path inherits nothing. Equal paths are one file each.
+    may inherit; a null path inherits nothing. Equal paths are one file each;
+    very long texts are read whole; an empty table has no rows. Columns that
+    aren't in also aren't read, so none of them can clash.
     """
     whole = files.select(*also, "path", "text")
-    found = stage(headers(whole))
+    found = stage(headers(whole).withColumn("header", F.md5(F.array_join("said", "\n"))))
     best = matched(found)
-    per_header = found.select("header").distinct().withColumn("sentence", F.explode(F.split("header", "\n"))).join(best, "sentence")
+    per_header = found.select("header", "said").dropDuplicates(["header"]).select("header", F.explode("said").alias("x")).select("header", F.md5("x").alias("key")).join(best, "key")
     per_header = stage(per_header.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m")).select("header", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score")))
-    name = F.element_at(F.split("path", "/"), -1)
-    stands = F.coalesce(name.rlike(LICENCE_NAME), F.lit(False)) | (F.col("share") >= MOSTLY)
-    own = stage(found.join(per_header, "header").select("path", "license", "score", stands.alias("stands")))
+    own = stage(spread_join(found.select("path", "header", "stands"), per_header, ["header"]).select("path", "license", "score", "stands"))
     folder = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, r"/[^/]*$", "")).otherwise("")
     by_dir = own.where("stands AND path IS NOT NULL").groupBy(folder(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
     by_dir = stage(by_dir.select("dir", F.col("m.license").alias("dir_license"), (-F.col("m.s")).alias("dir_score")))
@@ -125,7 +183,8 @@ def scan(files: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     near = dirs.select("at", F.posexplode(ups).alias("depth", "dir")).join(by_dir, "dir").groupBy("at").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_score")).alias("m")).select("at", "m.dir", "m.dir_license", "m.dir_score")
     one = own.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "stands")).alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"), F.col("m.stands").alias("stands"))
-    rows = same(whole.select(*also, "path", folder(F.col("path")).alias("at")), one, ["path"], "left").join(near, "at", "left")
+    rows = stage(same(whole.select(*also, "path", folder(F.col("path")).alias("at")), one, ["path"], "left"))
+    rows = spread_join(rows, near, ["at"], how="left")
     origin = F.when(F.col("license").isNotNull() & F.col("stands"), "licence file").when(F.col("license").isNotNull(), "header").when(F.col("dir").isNotNull(), "inherited").otherwise("none")
     return rows.select(*also, "path", F.coalesce("license", "dir_license").alias("license"), F.coalesce("score", "dir_score").alias("score"), origin.alias("origin"), F.when(F.col("license").isNull(), F.col("dir")).alias("from_dir"))
 
@@ -140,7 +199,3 @@ def as_files(docs: DataFrame, per_dir: int = 20) -> DataFrame:
     numbered = F.concat_ws("/", F.floor(F.col("doc_id") / per_dir).cast("string"), F.col("doc_id").cast("string"))
     alone = F.concat_ws("/", F.lit("none"), F.md5(F.coalesce("text", F.lit(""))), F.lit("none"))
     return docs.select("doc_id", F.concat_ws("/", unknown("source"), unknown("lang"), F.when(F.col("doc_id").isNull(), alone).otherwise(numbered)).alias("path"), "text")
-
-
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "license string, template string")
