@@ -144,7 +144,7 @@ def links(docs: DataFrame, doc: str, text: str, nodes: DataFrame, threshold: flo
     """(a, b): links of at least the threshold between nodes that share a band, enough to connect all that such links connect."""
     each = nodes.select("node", "least", F.explode("bands").alias("bucket"))
     sizes = stage(each.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("k"), F.count("node").alias("n")).where("n > 1").select("bucket", F.col("k.node").alias("centre"), "n"))
-    frequent = sizes.where(F.col("n") > max(2000, nodes.count() * BANDS / HOT)).select("bucket").collect()  # HOT at most
+    frequent = sizes.where(F.col("n") > max(100, nodes.count() * BANDS / HOT)).select("bucket").collect()  # HOT at most
     hot = docs.sparkSession.createDataFrame(frequent, "bucket long") if frequent else None
     held = each.select("node", "bucket")
     held = stage(spread_join(held, sizes.select("bucket", "centre"), ["bucket"], hot) if hot is not None else held.join(sizes.select("bucket", "centre"), "bucket"))

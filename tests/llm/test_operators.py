@@ -52,7 +52,12 @@ def test_surrogates(spark):
     old_parts, new_parts = text.split(), new.split()
     assert len(old_parts) == len(new_parts)
     mail = next(w for w in new_parts if "@" in w)
-    assert mail in by[2]["text"]  # one replacement for one entity
+    other = by[2]["text"].split()[1]
+    assert mail != other and mail.lower() == other.lower() and other[:6].isupper()  # one replacement for one entity, in each mention's case
+    assert [len(x) for x in mail.split("@")[0].split(".")] == [4, 1] and mail.endswith(".example")
+    digits = lambda x: re.sub(r"\D", "", x)[-10:]
+    phones = re.findall(r"[+\d][\d ()-]{9,}\d", new)[:1] + re.findall(r"\d[\d -]{9,}\d", by[2]["text"])
+    assert len(phones) == 3 and len({digits(x) for x in phones}) == 1 and phones[2].startswith("1 ")
     ip = new_parts[old_parts.index("97.51.17.173.")].rstrip(".")
     assert ip in by[6]["text"] and all(0 <= int(x) < 256 for x in ip.split("."))
     card = new_parts[old_parts.index("4539578763621486,")].rstrip(",")
@@ -86,6 +91,63 @@ def test_surrogates_keep_the_script(spark):
         assert out[i] not in rows[i - 1][1] and all(low <= c <= high for c in out[i])
 
 
+def replaced(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.replaced(rows).orderBy("doc_id").collect()]
+
+
+def test_surrogates_of_people_hold_together(spark):
+    a, b, c, d = replaced(spark, "Mrs Anna Smith came. Later Anna left, and Smith's dog too. Dr. Anna Smith slept; SMITH was here, annals weren't.", "Господин Иванов и Госпожа Иванова; Ивановой нет", "Anna alone stays", "Prof Smith")
+    assert not re.search("Anna|Smith|SMITH", a) and "annals weren't" in a
+    w = re.findall(r"[\w']+", a)
+    first, last = w[1], w[2]
+    assert first.endswith("ssa") and w[4] == "Later" and w[5] == first and w[8] == last + "'s" and w[11:14] == ["Dr", first, last] and w[15] == last.upper()
+    man, woman = re.search(r"Господин (\w+)", b)[1], re.search(r"Госпожа (\w+)", b)[1]
+    assert woman == man + "а" and "Иванов и" not in b
+    assert c == "Anna alone stays" and d == f"Prof {last}"
+
+
+def test_surrogates_of_more_kinds(spark):
+    text = 'password: "hunter2xy!"; host 2001:db9::1f or fe80:0:0:0:1:2:3:4 at 12:30:45, born on 12.03.1980, DOB: 1980-03-12. std::vector'
+    (new,) = replaced(spark, text)
+    assert "hunter2" not in new and "2001:db9" not in new and "fe80" not in new and "12.03.1980" not in new and "1980-03-12" not in new
+    assert "12:30:45" in new and "std::vector" in new and new.startswith('password: "') and new.count(";") == 1
+    day, month, year = re.search(r"born on (\d\d)\.(\d\d)\.(\d{4})", new).groups()
+    assert 1 <= int(day) <= 28 and 1 <= int(month) <= 12 and re.search(r"DOB: \d{4}-\d\d-\d\d\.", new)
+    assert re.fullmatch(r"[0-9a-f:]+", re.search(r"host (\S+)", new)[1])
+
+
+def test_surrogates_of_numbers_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SHORT", 3)
+    rows = [("phone", str(i)) for i in range(10, 90)] + [("ssn", f"9{i:02d}") for i in range(60)]
+    out = pii.dictionary(spark.createDataFrame(rows, "kind string, canon string"), "key").collect()
+    assert len({(r["kind"], r["surrogate"]) for r in out}) == 140 and not {(r["kind"], r["surrogate"]) for r in out} & set(rows)
+
+
+def test_surrogates_match_brute_force(spark):
+    # Replaced by hand with the dictionary: the text's own pattern, mention by mention.
+    import regex
+
+    rng = random.Random(21)
+    make = [lambda: f"u{rng.randrange(9)}.x@mail{rng.randrange(3)}.org", lambda: f"10.0.0.{rng.randrange(9)}", lambda: f"{rng.randrange(200, 205)}-555-0{rng.randrange(100, 104)}", lambda: "%032x" % rng.getrandbits(126)]
+    texts = [" ".join([prose(rng, 5), *[rng.choice(make)() + " and" for _ in range(rng.randrange(4))]]) for _ in range(60)]
+    new = replaced(spark, *texts)
+    pattern = regex.compile(pii.PATTERN.replace(r"\p{Lu}", r"\p{Lu}"))
+    seen = {}
+    for old, got in zip(texts, new, strict=True):
+        olds = [m[0] for m in pattern.finditer(old)]
+        keep = pattern.split(old)
+        at = 0
+        for part, mention, after in zip(keep, olds, keep[1:], strict=False):
+            assert got.startswith(part, at)
+            at += len(part)
+            end = got.index(after[:5], at) if after else len(got)
+            assert seen.setdefault(mention, got[at:end]) == got[at:end]
+            at = end
+        assert got[at:] == keep[-1]
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
+
+
 def test_surrogates_odd(spark):
     assert pii.replaced(odd(spark)).count() == 9
     assert pii.replaced(empty(spark)).count() == 0
@@ -508,6 +570,61 @@ def test_licenses(spark):
     assert licenses.scan(licenses.as_files(odd(spark))).count() == 9
 
 
+@pytest.mark.parametrize(
+    "text, license",
+    [
+        ("# SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("Licensed under the EUPL", "EUPL-1.2"),
+        ("This file is under the Mozilla Public License 2.0", "MPL-2.0"), ("Distributed under GPLv2 license", "GPL-2.0-only"), ("BSD license", "BSD-3-Clause"), ("This project is licensed under the MIT License - see the LICENSE.md file for details.", "MIT"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0-only"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Copyright 2020 by me", None), ("you need a licence to drive a car in this town", None),
+    ],
+)
+def test_usual_notices(spark, text, license):
+    out = licenses.scan(spark.createDataFrame([("a/b.txt", text)], "path string, text string")).first()
+    assert out["license"] == license
+
+
+def test_all_templates_match_themselves(spark):
+    rows = [(f"d{i}/f{i}.txt", t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    out = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    told = [(s, out[p]["license"]) for (p, _), (s, t) in zip(rows, licenses.TEMPLATES, strict=True) if re.search(licenses.SPEAKS, t)]
+    assert len(told) > 300 and sum(a == b for a, b in told) >= 0.98 * len(told)
+
+
+def test_whole_licence_files(spark):
+    rows = [(f"{i}/LICENSE", "Copyright (c) 2021 Some Body\n\n" + re.sub(r"(.{1,70}) ", r"\1\n", t)) for i, (_, t) in enumerate(licenses.TEXTS)]
+    out = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [out[p] for p, _ in rows] == [s for s, _ in licenses.TEXTS]
+
+
+def test_cosines_match_brute_force(spark):
+    rng = random.Random(14)
+    templates = licenses.NOTICES + licenses.TEXTS
+    said = ["Licensed under the " + " ".join(rng.sample("MIT GPL public license version 2.0 BY apache free software terms of this".split(), 6)) for _ in range(40)]
+    found = spark.createDataFrame([([x, said[0]],) for x in said], "said array<string>")
+    got = {r["key"]: (r["license"], r["score"]) for r in licenses.matched(found, templates).collect()}
+
+    def terms(x):
+        w = re.findall(r"[a-z]+|\d+(?:\.\d+)*", x.lower())
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    from collections import Counter
+
+    docs = [x for s in said for x in (s, said[0])] + [t for _, t in templates]
+    df = Counter(t for x in docs for t in set(terms(x)))
+    vec = lambda x: {t: n * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in Counter(terms(x)).items()}
+    unit = lambda v: {t: a / math.sqrt(sum(b * b for b in v.values())) for t, a in v.items()}
+    vs = [(s, unit(vec(t))) for s, t in templates]
+    import hashlib
+
+    for x in set(said):
+        v = unit(vec(x))
+        best = min((-round(sum(a * t.get(k, 0) for k, a in v.items()), 9), s) for s, t in vs)
+        key = hashlib.md5(x.encode()).hexdigest()
+        assert (key in got) == (-best[0] >= licenses.LEAST)
+        if key in got:
+            assert got[key][0] == best[1] and math.isclose(got[key][1], -best[0], abs_tol=1e-8)
+
+
 @pytest.mark.parametrize("name", ["op1_surrogates", "op2_probminhash", "op3_pivotal_mix", "op4_language_mixture", "op7_decontaminate", "op8_minimax_shards", "op9_toxicity", "op10_licenses"])
 def test_query_on_odd_rows(spark, tmp_path, name):
     odd(spark).drop("score").write.parquet(str(tmp_path / "documents.parquet"))
