@@ -122,7 +122,7 @@ class Block:
         return doc, h
 
 
-def blocks(column: pa.Array, table: np.ndarray, latin: bool = False, most: int = 1 << 22) -> Iterator[tuple[int, Block]]:
+def blocks(column: pa.Array, table: np.ndarray, latin: bool = False, most: int = 1 << 20) -> Iterator[tuple[int, Block]]:
     """(first row, Block) of a string column, each of at most `most` bytes or one text. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
