@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import ship, spread_join, stage, unit
 
 #: Vectors that the upper tree and the split of a leaf are fitted on, branches of a node, vectors of a leaf, calibration queries, wanted recall.
-SAMPLE, SPLIT, BRANCH, LEAF, CALIBRATE, RECALL = 20_000, 4096, 16, 8, 128, 0.95
+SAMPLE, SPLIT, BRANCH, LEAF, CALIBRATE, RECALL = 20_000, 8192, 16, 8, 128, 0.95
+#: Vectors of the sample in a leaf of the upper tree, if it is split further: enough for a mean and a spread.
+UPPER = 64
 #: Numbers in the centres of all leaves: 32 MB as floats.
 MOST_NUMBERS = 1 << 23
 #: Vectors of a cell and queries that meet it at a time.
@@ -181,7 +183,7 @@ def _tree(table: DataFrame, n: int, dim: int) -> Tree:
     """The tree over the n distinct vectors of table (h, u, v)."""
     spark = table.sparkSession
     part = table.select("h", "v") if n <= SAMPLE else table.where(unit("h") < 1.2 * SAMPLE / n).orderBy(F.xxhash64("h")).limit(SAMPLE).select("h", "v")
-    tree = Tree(_units(_matrix(part.orderBy("h").toArrow()["v"], dim)))
+    tree = Tree(_units(_matrix(part.orderBy("h").toArrow()["v"], dim)), leaf=LEAF if n <= SAMPLE else UPPER)
     if n <= SAMPLE:
         return tree
     size = max(float(LEAF), n * dim / MOST_NUMBERS)
