@@ -128,8 +128,8 @@ def meter(syms: DataFrame, doc: str = "doc_id", pos: str = "pos", value: str = "
 
 
 def spread(n: Column, s1: Column, s2: Column) -> Column:
-    """Population variance from a count, a sum and a sum of squares."""
-    return F.greatest(F.lit(0.0), (s2 - s1 * s1 / n) / n)
+    """Population variance from a count, a sum and a sum of squares; of whole numbers only the division rounds."""
+    return F.greatest(F.lit(0.0), n * s2 - s1 * s1) / (n * n)
 
 
 def rhythm_features(docs: DataFrame, lexicon: DataFrame, window: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def rhythm_features(docs: DataFrame, lexicon: DataFrame, window: int = 50, doc:
         n, s1, s2 = c(f"{name}_n"), c(f"{name}_s1"), c(f"{name}_s2")
         made[f"{out}_mean"] = F.when(n > 0, s1 / n)
         made[f"{out}_var"] = F.when(n > 0, spread(n, s1, s2))
-        made[f"{out}_cv"] = F.when((n > 0) & (s1 > 0), F.sqrt(spread(n, s1, s2)) / (s1 / n))
+        made[f"{out}_cv"] = F.when((n > 0) & (s1 > 0), F.sqrt(F.greatest(F.lit(0.0), n * s2 - s1 * s1)) / s1)
     n, m, var = c("spw_n"), c("spw_s1") / c("spw_n"), spread(c("spw_n"), c("spw_s1"), c("spw_s2"))
     made["spw_skew"] = F.when((n > 2) & (var > 0), (c("spw_s3") / n - 3 * m * c("spw_s2") / n + 2 * m * m * m) / F.pow(var, F.lit(1.5)))
     made["stress_runlen_var"] = F.when(c("r0") > 0, spread(c("r0"), c("r1"), c("r2")))
