@@ -34,6 +34,8 @@ from .common import HOT, components, same, ship, sieved, spread_join, stage
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers: a pair at 0.8 shares a band with probability 0.9999.
 BANDS, ROWS = 24, 5
+#: What a text has a word by, as kernel.WORD splits it.
+SOME_WORD = r"[0-9A-Za-z]|[^\x00-\x7F]"
 #: A part of a large block, or of the texts that meet one centre: so many texts and bytes of text at most, on average.
 PART_TEXTS, PART_BYTES = 512, 4 << 20
 
@@ -120,7 +122,7 @@ def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", thres
     only has a null id. Very long texts are compared whole. An empty table has
     no rows. Other columns aren't read, so none of them can clash.
     """
-    rows = stage(docs.select(F.col(doc).cast("long").alias("doc_id"), F.md5(text).alias("digest"), F.lit(1).alias("one")).groupBy("doc_id", "digest").agg(F.count("one").alias("copies")))
+    rows = stage(docs.select(F.col(doc).cast("long").alias("doc_id"), F.md5(text).alias("digest"), F.col(text).rlike(SOME_WORD).alias("words")).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")))
     sk = stage(sketch(docs, doc, text))
     # Equal texts have equal sketches: one node for each text, numbered once and for all as its table is written.
     first = sk.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
@@ -133,11 +135,10 @@ def near_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", thres
     by_digest = spread_join(named, ids, ["comp"]).select("digest", F.col("k.least").alias("class_id"), F.col("k.digest").alias("class_digest"), "n_texts")
     # Texts without words have no node.
     some = rows.where("digest IS NOT NULL")
-    bare = some.join(nodes.select("digest"), "digest", "left_anti")
-    bare_ids = bare.groupBy("digest").agg(F.min("doc_id").alias("class_id")).select("digest", "class_id", F.col("digest").alias("class_digest"), F.lit(1).cast("long").alias("n_texts"))
+    bare_ids = some.where("NOT words").groupBy("digest").agg(F.min("doc_id").alias("class_id")).select("digest", "class_id", F.col("digest").alias("class_digest"), F.lit(1).cast("long").alias("n_texts"))
     known = spread_join(some, stage(by_digest.unionByName(bare_ids)), ["digest"])
     null = rows.where("digest IS NULL").select("digest", "doc_id", "copies", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"), F.lit(1).cast("long").alias("n_texts"))
-    return known.unionByName(null).select("doc_id", "digest", "copies", "class_id", "class_digest", "n_texts")
+    return known.drop("words").unionByName(null).select("doc_id", "digest", "copies", "class_id", "class_digest", "n_texts")
 
 
 def links(docs: DataFrame, doc: str, text: str, nodes: DataFrame, threshold: float, repeated: bool) -> DataFrame:
@@ -173,7 +174,9 @@ def _texts(docs: DataFrame, doc: str, text: str, nodes: DataFrame, wanted: DataF
     """(node, n_bytes, text) of the wanted nodes."""
     mine = stage(nodes.join(wanted, "node").select("node", "least", "digest", "n_bytes"))
     source = docs.select(F.col(doc).cast("long").alias("least"), F.md5(text).alias("digest"), F.col(text).alias("text"))
-    out = same(sieved(source, mine, "digest"), mine, ["least", "digest"]).select("node", "n_bytes", "text")
+    spot = F.xxhash64("least", "digest")  # of copies only the row that stands for the text passes the sieve
+    rows = sieved(source.where(F.col("digest").isNotNull()).withColumn("__spot", spot), mine.withColumn("__spot", spot), "__spot").drop("__spot")
+    out = same(rows, mine, ["least", "digest"]).select("node", "n_bytes", "text")
     return out.dropDuplicates(["node"]) if repeated else out  # the same doc_id and text in several rows
 
 
