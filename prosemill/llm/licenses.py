@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, same, spread_join, stage
@@ -150,10 +150,12 @@ def matched(found: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     # Only terms of templates can match; the others count for the length alone.
     df = stage(df.select("t", (F.log(F.lit(1.0 + docs) / (1 + F.col("df"))) + 1).alias("idf")))
     weigh = lambda x: x.join(df, "t").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = lambda x, k: x.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(k))))
-    a = norm(weigh(said), "key").select("key", "t", F.col("w").alias("a"))
-    b = norm(weigh(fixed), "i").select("i", "license", "t", F.col("w").alias("b"))
-    score = a.join(F.broadcast(b), "t").groupBy("key", "i", "license").agg(F.sum(F.col("a") * F.col("b")).alias("score"))  # the templates are a fixed table
+    length = lambda x, k: x.groupBy(k).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
+    a = stage(weigh(said).select("key", "t", F.col("w").alias("a")))
+    b = stage(weigh(fixed).select("i", "license", "t", "w"))
+    b = b.join(F.broadcast(length(b, "i")), "i").select("i", "license", "t", (F.col("w") / F.col("length")).alias("b"))
+    score = a.join(F.broadcast(b), "t").groupBy("key", "i", "license").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))  # the templates are a fixed table
+    score = score.join(length(a.withColumnRenamed("a", "w"), "key"), "key").select("key", "license", (F.col("dot") / F.col("length")).alias("score"))
     best = score.groupBy("key").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "license")).alias("m"))
     return best.select("key", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score")).where(F.col("score") >= LEAST)
 
