@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, htmltext, langid, licenses, minhash, mixing, pii, sharding, toxicity
+from . import ann, decontaminate, htmltext, langid, licenses, middle, minhash, mixing, pii, sharding, simhash, toxicity, variants
 from .common import stage, table
 
 
@@ -64,6 +64,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "from_dir")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.examples(table(spark, sf_dir, "documents")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, which stands at the top of the repository beside the entry points."""
     import corpus_pipeline
@@ -71,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_probminhash, op3_pivotal_mix, op4_language_mixture, op5_kmeans_tree, op6_main_text, op7_decontaminate, op8_minimax_shards, op9_toxicity, op10_licenses, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_probminhash, op3_pivotal_mix, op4_language_mixture, op5_kmeans_tree, op6_main_text, op7_decontaminate, op8_minimax_shards, op9_toxicity, op10_licenses, op11_fill_in_middle, op12_simhash, op13_spelling_variants, pipeline)}
+ORACLES = {"op11_fill_in_middle": middle.SQL, "op13_spelling_variants": variants.SQL}
