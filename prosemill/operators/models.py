@@ -1,66 +1,70 @@
-"""Classifiers on standardised features, out-of-fold predictions and contrasts, by MLlib."""
+"""Classifiers on standardised features, out-of-fold predictions and contrasts.
+
+The regressions are fits.fit_all: one call fits all sets of columns and folds that a report needs.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import sampling, stats
-from prosemill.sources import staged
+from prosemill.operators.fits import Fit, Fitted, fit_all
+from prosemill.sources import dropped, staged
+
+
+def fit_logreg(df: DataFrame, cols: list[str], y: str = "y", c: float = 1.0) -> Fitted:
+    """Logistic regression of all rows, with an L2 penalty of 1 / (2 C), on standardised features."""
+    return fit_all(df, [Fit("all", tuple(cols), y)], c=c)
 
 
-def fit_logreg(df: DataFrame, cols: list[str], y: str = "y", c: float = 1.0, n: int | None = None) -> PipelineModel:
-    """Logistic regression with an L2 penalty of 1 / (C n), on standardised features."""
-    n = n or df.count()
-    df = df.coalesce(max(1, n // 50_000))  # each of the many small steps is one task for each 50,000 rows
-    model = LogisticRegression(featuresCol="z", labelCol=y, regParam=1 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-8)
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), model]).fit(df)
+def predict(model: Fitted, df: DataFrame, name: str = "p") -> DataFrame:
+    """The rows without a null feature, with the predicted class."""
+    return model.predicted(df, {next(iter(model.fits)): name})
 
 
 def fit_tree(df: DataFrame, cols: list[str], depth: int = 3, y: str = "y") -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), DecisionTreeClassifier(featuresCol="x", labelCol=y, maxDepth=depth, seed=0)]).fit(df)
 
 
+def tree_predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
+    return model.transform(df).select(*df.columns, F.col("prediction").cast("int").alias(name))
+
+
 def tree_text(model: PipelineModel, cols: list[str]) -> str:
     """The tree with its features' names."""
     return reduce(lambda s, i: s.replace(f"feature {i} ", f"{cols[i]} "), range(len(cols) - 1, -1, -1), model.stages[-1].toDebugString)
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
-    out = model.transform(df)
-    return out.select(*df.columns, F.col("prediction").cast("int").alias(name))
-
+def oof_predict(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold", name: str = "p", alt: DataFrame | None = None, covs: list[str] = ()) -> DataFrame:
+    """Rows of alt, or df, each predicted by the model of the other folds of df; covs are taken out of the columns first, by a fit on those folds too."""
+    return fit_all(df, [Fit("oof", tuple(cols), y, tuple(covs))], fold).predicted(alt if alt is not None else df, {"oof": name})
 
-def oof_predict(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold", name: str = "p", alt: DataFrame | None = None) -> DataFrame:
-    """Rows of alt, or df, each predicted by the model of the other folds of df."""
-    scored = alt if alt is not None else df
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
 
-    def one(k) -> DataFrame | None:
-        train = df.where(F.col(fold) != k)
-        if train.select(y).distinct().count() < 2:
-            return None
-        return predict(fit_logreg(train, cols, y), scored.where(F.col(fold) == k), name)
-
-    with ThreadPool(min(8, max(1, len(folds)))) as pool:  # the fits' small jobs side by side
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), folds)
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+def oof_predict_sets(df: DataFrame, sets: dict[str, list[str]], y: str = "y", fold: str = "fold") -> DataFrame:
+    """df with p__<name> for each set of columns, all fitted together."""
+    return fit_all(df, [Fit(n, tuple(c), y) for n, c in sets.items()], fold).predicted(df, {n: f"p__{n}" for n in sets})
 
 
 def paired_oof(orig: DataFrame, alt: DataFrame, cols: list[str], key: str, y: str = "y", fold: str = "fold") -> DataFrame:
     """(key, y, p_orig, p_alt): the same models on the original and the rewritten row of each held-out key."""
-    folded = alt.drop(fold, y).join(orig.select(key, fold, y), key)
-    a = oof_predict(orig, cols, y, fold, "p_orig").select(key, y, "p_orig")
-    return a.join(oof_predict(orig, cols, y, fold, "p_alt", folded).select(key, "p_alt"), key)
+    return paired_oof_sets(orig, [alt], {"p": cols}, key, y, fold).withColumnsRenamed({"p__p": "p_orig", "p__p__0": "p_alt"})
+
+
+def paired_oof_sets(orig: DataFrame, alts: list[DataFrame], sets: dict[str, list[str]], key: str, y: str = "y", fold: str = "fold") -> DataFrame:
+    """(key, y, p__<set>, p__<set>__<i>): each set's models, fitted once on the originals, on these and on every rewrite of the held-out keys."""
+    models = fit_all(orig, [Fit(n, tuple(c), y) for n, c in sets.items()], fold)
+    out = models.predicted(orig, {n: f"p__{n}" for n in sets}).select(key, y, *[f"p__{n}" for n in sets])
+    for i, alt in enumerate(alts):
+        folded = alt.drop(fold, y).join(orig.select(key, fold, y), key)
+        out = out.join(models.predicted(folded, {n: f"p__{n}__{i}" for n in sets}).select(key, *[f"p__{n}__{i}" for n in sets]), key)
+    return out
 
 
 def oof_accuracy(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold") -> float:
@@ -70,54 +74,79 @@ def oof_accuracy(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold
 def oof_recall(df: DataFrame, cols: list[str], label: str, fold: str = "fold") -> float:
     """Mean recall of all labels at once, each row predicted by the multinomial model of the other folds."""
     labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
-    d = staged(df.where(F.col(label).isNotNull()).withColumn("__label", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1).cast("double")))
-    folds, parts = sorted(r[0] for r in d.select(fold).distinct().collect()), []
-    for k in folds:
-        train = d.where(F.col(fold) != k)
-        n = train.count()
-        lr = LogisticRegression(featuresCol="z", labelCol="__label", family="multinomial", regParam=1 / max(1, n), standardization=False, maxIter=100)
-        m = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), StandardScaler(inputCol="x", outputCol="z", withMean=True), lr]).fit(train)
-        parts.append(m.transform(d.where(F.col(fold) == k)).select("__label", "prediction"))
-    p = reduce(DataFrame.unionByName, parts)
-    return p.groupBy("__label").agg(F.avg((F.col("prediction") == F.col("__label")).cast("double")).alias("r")).agg(F.avg("r")).first()[0]
+    d = staged(df.where(F.col(label).isNotNull()).withColumn("__label", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1).cast("int")))
+    p = fit_all(d, [Fit("all", tuple(cols), "__label", classes=len(labels))], fold).predicted(d, {"all": "__p"})
+    out = p.groupBy("__label").agg(F.avg((F.col("__p") == F.col("__label")).cast("double")).alias("r")).agg(F.avg("r")).first()[0]
+    dropped(d)
+    return out
 
 
 def residual_contrast(df: DataFrame, feats: list[str], covs: list[str], group: str, y: str = "y", replicates: int = 200, permutations: int = 100) -> dict[str, float]:
-    """Accuracy of the features less what the covariates explain of them, with interval and p."""
-    r = staged(stats.residualize(df, feats, covs))
-    p = oof_predict(r, feats, y)
+    """Accuracy of the features less what the covariates explain of them, with interval and p.
+
+    For each fold the covariates are fitted on the other folds, and so are the
+    models; the permutations of the groups' labels refit both.
+    """
+    p = staged(oof_predict(df, feats, y, covs=covs).select(group, y, "p"))
     ci = stats.group_bootstrap_ci(p, group, replicates, y=y).first()
-    perm = stats.group_permutation_test(r, feats, "perm_group", y, replicates=permutations).first() if "perm_group" in r.columns else None
+    perm = stats.group_permutation_test(df, feats, "perm_group", y, covs=covs, replicates=permutations).first() if "perm_group" in df.columns else None
     out = {"ba": stats.balanced_accuracy(p, y).first()["balanced_accuracy"], "ci_low": ci["lo"], "ci_high": ci["hi"], "perm_p": perm["p_value"] if perm else float("nan")}
+    dropped(p)
     return out
 
 
 def contrast(df: DataFrame, sets: dict[str, list[str]], key: str, group: str, y: str = "y", replicates: int = 200, exclude: str | None = None) -> DataFrame:
     """(name, ba, lo, hi, increment, inc_lo, inc_hi): each set of columns, and what all of them gain over it.
 
-    exclude: a pattern of groups to leave out, without regard to case.
+    exclude: a pattern of groups to leave out, without regard to case. All sets
+    are fitted together and drawn on the same groups.
     """
     d = df.where(~F.col(group).rlike(f"(?i){exclude}")) if exclude else df
     d = staged(d)
+    names = [*sets, "all_sets"]
     every = sorted({c for s in sets.values() for c in s})
     # Predictions have names of their own: a set may be named as a column is.
-    preds = oof_predict(d, every, y, name="p__all_sets").select(key, group, y, "p__all_sets")
-    for name, cols in sets.items():
-        preds = preds.join(oof_predict(d, cols, y, name=f"p__{name}").select(key, f"p__{name}"), key)
-    preds = staged(preds)
-    rows = []
-    for name in [*sets, "all_sets"]:
-        ci = stats.group_bootstrap_ci(preds, group, replicates, y=y, p=f"p__{name}").first()
-        inc = stats.group_bootstrap_increment(preds, group, f"p__{name}", "p__all_sets", replicates, y=y).first()
-        ba = stats.balanced_accuracy(preds, y, f"p__{name}").first()["balanced_accuracy"]
-        rows.append((name, ba, ci["lo"], ci["hi"], inc["mean"], inc["lo"], inc["hi"]))
-    return df.sparkSession.createDataFrame(rows, "name string, ba double, lo double, hi double, increment double, inc_lo double, inc_hi double")
+    preds = staged(oof_predict_sets(d, {**sets, "all_sets": every}, y).select(key, group, y, *[f"p__{n}" for n in names]))
+    draws = stats.group_bootstrap(preds, group, [f"p__{n}" for n in names], replicates, 0, y)
+    gain = lambda n: F.col("p__all_sets") - F.col(f"p__{n}")
+    long = draws.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"p__{n}").alias("v"), gain(n).alias("g")) for n in names])).alias("x")).select("x.*")
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    ci = long.groupBy("name").agg(q("v", 0.025).alias("lo"), q("v", 0.975).alias("hi"), F.avg("g").alias("increment"), q("g", 0.025).alias("inc_lo"), q("g", 0.975).alias("inc_hi"))
+    each = preds.select(y, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"p__{n}").alias("p")) for n in names])).alias("x")).select(y, "x.*")
+    ba = stats.balanced_accuracy(each, y, "p", by=["name"]).select("name", F.col("balanced_accuracy").alias("ba"))
+    return ba.join(ci, "name").select("name", "ba", "lo", "hi", "increment", "inc_lo", "inc_hi")
+
+
+def pair_labels(df: DataFrame, pairs: dict[str, tuple], label: str) -> DataFrame:
+    """df with y__<name> for each pair of classes: 0 for the first, 1 for the second, null for all others."""
+    return df.withColumns({f"y__{n}": F.when(F.col(label) == a, 0).when(F.col(label) == b, 1) for n, (a, b) in pairs.items()})
+
+
+def pair_predictions(df: DataFrame, pairs: dict[str, tuple], label: str, sets: dict[str, list[str]], key: str, group: str, covs: dict[str, list[str]] | None = None, fold: str | None = "fold", on: DataFrame | None = None) -> DataFrame:
+    """(pair, key, group, y, p__<set>...): predictions of every set for the rows of every pair of classes; all pairs, sets and folds are fitted together.
+
+    covs: by set, what is taken out of its columns first. Without fold the
+    models of all rows of df predict the rows of `on`.
+    """
+    d = pair_labels(df, pairs, label)
+    made = fit_all(d, [Fit(f"{n}__{s}", tuple(c), f"y__{n}", tuple((covs or {}).get(s, ()))) for n in pairs for s, c in sets.items()], fold)
+    target = d if on is None else pair_labels(on, pairs, label)
+    scored = made.scored(target)
+    z = lambda n, s: F.col(f"z__{n}__{s}")
+    each = [F.struct(F.lit(n).alias("pair"), F.col(f"y__{n}").alias("y"), *[F.when(z(n, s).isNotNull(), (z(n, s) > 0).cast("int")).alias(f"p__{s}") for s in sets]) for n in pairs]
+    out = scored.select(key, group, F.explode(F.array(*each)).alias("x")).select("x.pair", key, group, "x.y", *[f"x.p__{s}" for s in sets])
+    for s in sets:
+        out = out.where(F.col(f"p__{s}").isNotNull())
+    return out.where(F.col("y").isNotNull())
 
 
 def baseline_margin(df: DataFrame, cols: list[str], baselines: list[str], y: str = "y") -> DataFrame:
     """(name, ba, margin): all columns, and each single baseline column; the margin over the best of these."""
-    found = {b: oof_accuracy(df, [b], y) for b in baselines}
-    full = oof_accuracy(df, cols, y)
+    sets = {"all": cols, **{f"one_{b}": [b] for b in baselines}}
+    p = oof_predict_sets(df, sets, y)
+    each = p.select(y, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"p__{n}").alias("p")) for n in sets])).alias("x")).select(y, "x.*")
+    ba = {r["name"]: r["balanced_accuracy"] for r in stats.balanced_accuracy(each, y, "p", by=["name"]).collect()}
+    full, found = ba["all"], {b: ba[f"one_{b}"] for b in baselines}
     rows = [("all", full, full - max(found.values())), *[(b, v, full - v) for b, v in sorted(found.items())]]
     return df.sparkSession.createDataFrame(rows, "name string, ba double, margin double")
 
@@ -131,23 +160,37 @@ def relabel(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     return df.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column)))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, cols: list[str], key: str, y: str = "y", repeats: int = 20, seed: int = 0) -> DataFrame:
-    """(feature, importance): mean loss of balanced accuracy when one feature is shuffled.
+def merged_band(df: DataFrame, band, y_new: int, group: str, spread: str | None, order: str, y: str = "y", parts: int = 5, k: int = 5) -> DataFrame:
+    """df with a band's rows merged into a class, regrouped and folded anew: y, group, perm_group, fold and band change.
+
+    The band's rows get the label y_new; those of the group `spread`, which is
+    all one source, are dealt to `parts` made-up groups in turn, as one group
+    could stand in one fold only.
+    """
+    d = df.withColumn("band", F.coalesce(band, F.lit(False)))
+    whole = d.where("band").withColumn(y, F.lit(y_new).cast(df.schema[y].dataType))
+    whole = sampling.spread_groups(whole, group, spread, order, parts) if spread is not None else whole
+    rows = d.where("NOT band").unionByName(whole)
+    rows = rows.withColumn("perm_group", F.concat_ws("#", group, F.col(y).cast("string"))).drop("fold")
+    return sampling.with_folds(rows, "perm_group", y, k)
+
+
+def permutation_importance(model: Fitted, df: DataFrame, cols: list[str], key: str, y: str = "y", repeats: int = 20, seed: int = 0) -> DataFrame:
+    """(feature, importance): mean loss of balanced accuracy when one feature is shuffled. model: one fit of all rows.
 
     The score is linear, so a shuffled feature moves it by its weight times the
     difference. The shuffle is a join of the rows' ranks under two hashes, each
     ranked in blocks.
     """
-    scaler, lr = model.stages[-2], model.stages[-1]
-    w, std = lr.coefficients.toArray(), scaler.std.toArray()
-    base = staged(model.transform(df).select(key, y, *cols, vector_to_array("rawPrediction")[1].alias("z")))
+    name = next(iter(model.fits))
+    w = dict(zip(model.cols, map(float, model.weights[name, None][0][1:]), strict=True))
+    base = staged(model.scored(df.select(key, y, *cols), [name]).withColumnRenamed(f"z__{name}", "z"))
     real = stats.balanced_accuracy(base.select(y, (F.col("z") > 0).cast("int").alias("p")), y).first()["balanced_accuracy"]
     each = base.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     left = _hash_ranks(each, ["r"], key, seed)
     right = _hash_ranks(each, ["r"], key, seed + 1).select("r", "i", *[F.col(c).alias(f"{c}__s") for c in cols])
     both = left.join(right, ["r", "i"])
-    unit = [float(w[j] / std[j]) if std[j] else 0.0 for j in range(len(cols))]
-    preds = both.select("r", y, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col("z") + F.lit(unit[j]) * (F.col(f"{c}__s") - F.col(c)) > 0).cast("int").alias("p")) for j, c in enumerate(cols)])).alias("x")).select("r", y, "x.*")
+    preds = both.select("r", y, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col("z") + F.lit(w[c]) * (F.col(f"{c}__s") - F.col(c)) > 0).cast("int").alias("p")) for c in cols])).alias("x")).select("r", y, "x.*")
     ba = stats.balanced_accuracy(preds, y, "p", by=["feature", "r"])
     return ba.groupBy("feature").agg((F.lit(real) - F.avg("balanced_accuracy")).alias("importance"))
 

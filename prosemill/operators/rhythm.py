@@ -130,45 +130,3 @@ def meter(syms: DataFrame, doc: str = "doc_id", pos: str = "pos", value: str = "
 def spread(n: Column, s1: Column, s2: Column) -> Column:
     """Population variance from a count, a sum and a sum of squares; of whole numbers only the division rounds."""
     return F.greatest(F.lit(0.0), n * s2 - s1 * s1) / (n * n)
-
-
-def rhythm_features(docs: DataFrame, lexicon: DataFrame, window: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with all rhythm features and mattr.
-
-    The series are read once: one sort gives gaps and runs, sums by gap give
-    its histogram, and sums of these all the rest.
-    """
-    w = Window.partitionBy(doc, "name").orderBy("pos")
-    v, pos, syms = F.col("value"), F.col("pos"), F.col("name") == "syms"
-    x = series(docs, lexicon, doc, text).withColumns({
-        "prev": F.lag(v).over(w),
-        "next": F.lead(v).over(w),
-        "one": F.last(F.when(syms & (v == 1), pos), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-    })
-    x = x.withColumn("begin", F.last(F.when(F.col("prev").isNull() | (F.col("prev") != v), pos), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("gap", F.when(syms & (v == 1), pos - F.col("one")).cast("double")).withColumn("run", F.when(syms & (F.col("next").isNull() | (F.col("next") != v)), pos - F.col("begin") + 1).cast("double"))
-    off = (v != F.pmod(pos, F.lit(2))).cast("double")
-    sums = {"n": F.count("value"), "s1": F.sum(v), "s2": F.sum(v * v), "s3": F.sum(v * v * v), "off": F.sum(off), "r0": F.count("run"), "r1": F.sum("run"), "r2": F.sum(F.col("run") * F.col("run")), "g": F.count("gap")}
-    by_gap = x.groupBy(doc, "name", "gap").agg(*[e.cast("double").alias(k) for k, e in sums.items()])
-    total = lambda name, c: F.sum(F.when(F.col("name") == name, F.col(c)))
-    g = F.col("g")
-    parts = {f"{name}_{c}": total(name, c) for name in ("sl", "phg", "spw") for c in ("n", "s1", "s2", "s3")} | {c: total("syms", c) for c in ("n", "off", "r0", "r1", "r2")}
-    parts |= {"gap_n": F.sum("g"), "gap_s1": F.sum(F.col("gap") * g), "gap_s2": F.sum(F.col("gap") ** 2 * g), "gap_log": F.sum(F.when(g > 0, g * F.log2(g)))}
-    t = by_gap.groupBy(doc).agg(*[e.alias(k) for k, e in parts.items()])
-    c = F.col
-    made = {}
-    for out, name in (("gap", "gap"), ("spw", "spw"), ("sl", "sl"), ("ph", "phg")):
-        n, s1, s2 = c(f"{name}_n"), c(f"{name}_s1"), c(f"{name}_s2")
-        made[f"{out}_mean"] = F.when(n > 0, s1 / n)
-        made[f"{out}_var"] = F.when(n > 0, spread(n, s1, s2))
-        made[f"{out}_cv"] = F.when((n > 0) & (s1 > 0), F.sqrt(F.greatest(F.lit(0.0), n * s2 - s1 * s1)) / s1)
-    n, m, var = c("spw_n"), c("spw_s1") / c("spw_n"), spread(c("spw_n"), c("spw_s1"), c("spw_s2"))
-    made["spw_skew"] = F.when((n > 2) & (var > 0), (c("spw_s3") / n - 3 * m * c("spw_s2") / n + 2 * m * m * m) / F.pow(var, F.lit(1.5)))
-    made["stress_runlen_var"] = F.when(c("r0") > 0, spread(c("r0"), c("r1"), c("r2")))
-    made["stress_bin_entropy"] = F.when(c("gap_n") > 0, F.log2("gap_n") - c("gap_log") / c("gap_n"))
-    mean = F.least(c("off") / c("n"), 1 - c("off") / c("n"))
-    made["mt_mean"] = F.when(c("n") > 0, mean)
-    made["mt_var"] = F.when(c("n") > 0, mean * (1 - mean))
-    rows = t.select(doc, *[e.alias(k) for k, e in made.items() if k in GROUPS])
-    out = docs.select(doc).join(rows, doc, "left").join(mattr(segment.words(docs, doc, text), window, doc), doc, "left")
-    return out.select(doc, *[or_zero(F.col(k)).alias(k) for k in GROUPS])

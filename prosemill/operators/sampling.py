@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import tables
+from prosemill.sources import staged
 
 
 def top_per_group(df: DataFrame, group: str | list[str], order: list[Column | str], k: int) -> DataFrame:
@@ -52,23 +53,49 @@ def number_passages(df: DataFrame, label: str, order: str, prefix: Column) -> Da
     return tables.numbered(df, [label], [order], "__nth").withColumn("passage_id", F.concat(prefix, F.lit("_"), F.lpad(nth, F.greatest(F.lit(3), F.length(nth)), "0"))).drop("__nth")
 
 
-def append_classes(old: DataFrame, new: DataFrame, label: str = "class") -> DataFrame:
-    """old with those classes of new that it lacks; nothing in old changes."""
-    return old.unionByName(new.join(old.select(label).distinct(), label, "left_anti").select(*old.columns))
+#: Groups that are placed one after the other, the largest; the others, of less than one in so many rows, are dealt.
+PLACED = 4096
 
 
-def group_folds(df: DataFrame, group: str, y: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): every group in one fold, groups of a majority label dealt back and forth by size."""
-    counts = df.groupBy(group, y).agg(F.count(F.lit(1)).alias("n"))
-    major = counts.groupBy(group).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), y)).alias("x")).select(group, "size", F.col(f"x.{y}").alias("label"))
-    h = T.md5_int(F.lit(seed), F.col(group))
-    at = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("size"), h, group)) - 1
-    turn = F.pmod(at, F.lit(2 * k))
-    return major.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+def group_folds(df: DataFrame, group: str, y: str, k: int, seed: int, placed: int = PLACED) -> DataFrame:
+    """(group, fold): every group in one fold, so that each label's rows spread evenly over the folds.
+
+    The largest groups are placed in turn, each in the fold where its labels are
+    rarest so far: that keeps the sum of the labels' squared shares least. Of
+    equal folds the smaller takes it, then the earlier. A table of more than
+    `placed` groups deals the rest, by majority label, back and forth by size.
+    Null labels are a label; null groups are one group.
+    """
+    labels = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]
+    if not labels:
+        return df.select(group).distinct().withColumn("fold", F.lit(0))
+    each = [F.count_if(F.col(y).eqNullSafe(F.lit(v))).alias(f"n{i}") for i, v in enumerate(labels)]
+    groups = staged(df.groupBy(group).agg(*each).select(group, F.array(*[f"n{i}" for i in range(len(labels))]).alias("n"), T.md5_int(F.lit(seed), F.col(group)).alias("h")))
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda s, v: s + v)
+    total = groups.agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(len(labels))]).alias("t")).first()["t"]
+    largest = groups.withColumn("size", size).orderBy(F.desc("size"), "h", group).limit(placed)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "h", F.col(group).alias("g"), "n"))), lambda x: F.struct(x["g"].alias("g"), x["n"].alias("n")))
+    zero = F.array_repeat(F.array_repeat(F.lit(0).cast("long"), len(labels)), k)
+    start = F.struct(zero.alias("held"), F.array().cast("array<int>").alias("folds"))
+
+    def place(s, g):
+        rarity = lambda c: F.aggregate(F.zip_with(F.zip_with(c, g["n"], lambda a, b: (a * b).cast("double")), F.array(*[F.lit(float(t or 1)) for t in total]), lambda v, t: v / t / t), F.lit(0.0), lambda u, v: u + v)
+        rows = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda u, v: u + v)
+        best = F.array_min(F.transform(s["held"], lambda c, i: F.struct(rarity(c).alias("r"), rows(c).alias("n"), i.alias("i"))))["i"]
+        return F.element_at(F.transform(F.array(best), lambda at: F.struct(F.transform(s["held"], lambda c, i: F.when(i == at, F.zip_with(c, g["n"], lambda a, b: a + b)).otherwise(c)).alias("held"), F.array_append(s["folds"], at).alias("folds"))), 1)
+
+    one = largest.agg(ordered.alias("gs")).select("gs", F.aggregate("gs", start, place)["folds"].alias("folds"))
+    out = one.select(F.explode(F.arrays_zip("gs", "folds")).alias("x")).select(F.col("x.gs.g").alias(group), F.col("x.folds").alias("fold"))
+    if groups.count() <= placed:
+        return out
+    small = tables.null_safe(groups, largest.select(group), [group], "left_anti").withColumns({"size": size, "label": F.array_position("n", F.array_max("n"))})
+    turn = F.pmod(F.col("__i") - 1, F.lit(2 * k))
+    dealt = tables.numbered(small.withColumn("less", -F.col("size")), ["label"], ["less", "h", group], "__i")
+    return out.unionByName(dealt.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold")))
 
 
 def with_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int = 0) -> DataFrame:
-    return df.join(group_folds(df, group, y, k, seed), group)
+    return tables.null_safe(df, group_folds(df, group, y, k, seed), [group])
 
 
 def quarantine_split(folded: DataFrame, y: str, fold: str = "fold") -> DataFrame:

@@ -51,10 +51,12 @@ def mk(s: DataFrame, key: list[str]) -> DataFrame:
 
 
 def bvr(s: DataFrame, key: list[str]) -> DataFrame:
-    """Variance of the means of thirds over the mean variance within them; 0 below six values."""
+    """Variance of the means of thirds, by their sizes, over the mean variance within them; 0 below six values."""
     _, w = _keys(key)
     thirds = s.withColumn("third", F.ntile(3).over(w)).groupBy(*key, "third").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("value").alias("c"))
-    return thirds.groupBy(*key).agg(_zero((F.sum("c") >= 6) & (F.avg("v") > 0), F.var_pop("m") / F.avg("v")).alias("bvr"))
+    whole = F.sum(F.col("m") * F.col("c")).over(Window.partitionBy(*key)) / F.sum("c").over(Window.partitionBy(*key))
+    thirds = thirds.withColumn("d", F.col("c") * (F.col("m") - whole) ** 2)
+    return thirds.groupBy(*key).agg(_zero((F.sum("c") >= 6) & (F.avg("v") > 0), F.sum("d") / F.sum("c") / F.avg("v")).alias("bvr"))
 
 
 def lre(s: DataFrame, key: list[str]) -> DataFrame:
@@ -90,55 +92,8 @@ def runz(s: DataFrame, key: list[str]) -> DataFrame:
 FEATURES = {"ac1": ac1, "mk": mk, "bvr": bvr, "lre": lre, "turning": turning, "runz": runz}
 
 
-def order_features(series: DataFrame, docs: DataFrame, doc: str = "doc_id", also: list[str] | None = None) -> DataFrame:
-    """One row for each document (and value of also) with the ten order features.
-
-    All but mk come from one sort of the series and sums by third of a series.
-    docs has one row for each row wanted, with the columns of also.
-    """
-    key = [doc, *(also or [])]
-    all_, w = _keys([*key, "name"])
-    v, c = F.col("value"), F.col("c")
-    x = series.withColumns({"mean": F.avg(v).over(all_), "size": F.count(v).over(all_)})
-    x = x.withColumn("c", v - F.col("mean"))
-    x = x.withColumns({"l": F.lag(c).over(w), "r": F.lead(c).over(w), "i": F.row_number().over(w), "m": F.avg(c).over(w.rowsBetween(-1, 1)), "third": F.ntile(3).over(w)})
-    inner = F.when((F.col("i") > 1) & (F.col("i") < F.col("size")), F.col("m"))
-    turn = ((c > F.col("l")) & (c > F.col("r"))) | ((c < F.col("l")) & (c < F.col("r")))
-    sums = {
-        "n": F.count(v), "cl": F.sum(c * F.col("l")), "cc": F.sum(c * c), "c1": F.sum(c), "k": F.count(inner), "m1": F.sum(inner), "m2": F.sum(inner * inner), "turns": F.sum(F.coalesce(turn, F.lit(False)).cast("int")),
-        "n1": F.sum((v == 1).cast("int")), "n0": F.sum((v == 0).cast("int")), "changes": F.sum(F.coalesce(c != F.col("l"), F.lit(False)).cast("int")),
-    }
-    thirds = x.groupBy(*key, "name", "third").agg(*[e.cast("double").alias(k) for k, e in sums.items()], F.min(v).alias("lo"), F.max(v).alias("hi"))
-    thirds = thirds.withColumns({"tm": F.col("c1") / F.col("n"), "tv": rhythm.spread(F.col("n"), F.col("c1"), F.col("cc"))})
-    rows = thirds.groupBy(*key, "name").agg(*[F.sum(k).alias(k) for k in sums], F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.var_pop("tm").alias("tm"), F.avg("tv").alias("tv"))
-    n, varies = F.col("n"), F.col("hi") > F.col("lo")
-    both = 2.0 * F.col("n1") * F.col("n0")
-    var = F.when(n > 1, both * (both - n) / (n * n * (n - 1)))
-    z = (F.col("changes") + 1 - (1.0 + both / n)) / F.sqrt(var)
-    made = {
-        "ac1": _zero((n >= 3) & varies, F.col("cl") / F.col("cc")),
-        "bvr": _zero((n >= 6) & (F.col("tv") > 0), F.col("tm") / F.col("tv")),
-        "lre": _zero((n >= 6) & varies, rhythm.spread(F.col("k"), F.col("m1"), F.col("m2")) / (F.col("cc") / n)),
-        "turning": _zero(n >= 3, F.col("turns") / (n - 2)),
-        "runz": _zero((n >= 6) & (F.col("n1") > 0) & (F.col("n0") > 0) & (var > 0), F.least(F.lit(6.0), F.greatest(F.lit(-6.0), z))),
-    }
-    flat = rows.select(*key, "name", *[e.alias(k) for k, e in made.items()]).groupBy(*key).agg(*[F.max(F.when(F.col("name") == s, F.col(f))).alias(col) for col, s, f in ORDER if f != "mk"])
-    trends = [(col, s) for col, s, f in ORDER if f == "mk"]
-    trend = mk(series.where(F.col("name").isin([s for _, s in trends])), [*key, "name"]).groupBy(*key).agg(*[F.max(F.when(F.col("name") == s, F.col("mk"))).alias(col) for col, s in trends])
-    out = docs.select(*key).join(flat, key, "left").join(trend, key, "left")
-    return out.select(*key, *[F.coalesce(col, F.lit(0.0)).alias(col) for col, _, _ in ORDER])
-
-
-def shuffled(series: DataFrame, seeds: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, draw, name, pos, value): each series in an order drawn from the draw, the document, the series and the position."""
-    x = series.crossJoin(seeds)  # a handful of draws for every row
-    h = T.md5_int(F.col("draw"), F.col(doc), F.col("name"), F.col("pos"))
-    new = F.row_number().over(Window.partitionBy(doc, "draw", "name").orderBy(h, "pos")) - 1
-    return x.select(doc, "draw", "name", new.cast("long").alias("pos"), "value")
-
-
 def sensitivity(real: DataFrame, control: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(feature, sensitivity): mean absolute difference of the real and the shuffled features."""
+    """(feature, sensitivity): mean absolute difference of the real and the shuffled features, over documents and draws."""
     cols = [c for c, _, _ in ORDER]
     both = real.join(control.select(doc, *[F.col(c).alias(f"{c}_shuf") for c in cols]), doc)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.col(c) - F.col(f"{c}_shuf")).alias("d")) for c in cols])).alias("x")

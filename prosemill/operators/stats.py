@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
+from prosemill.operators import tables
+from prosemill.operators.fits import Fit, confusions, fit_all
+from prosemill.sources import dropped
 
 CELLS = ("n00", "n01", "n10", "n11")
 
@@ -72,7 +75,7 @@ def drawn_groups(counts: DataFrame, group: str, replicates: int, seed: int) -> D
     counts has one row for each group; only these few columns are repeated.
     """
     n = counts.count()
-    numbered = counts.withColumn("__i", F.row_number().over(Window.orderBy(group)) - 1)
+    numbered = tables.numbered(counts, [], [group], "__i").withColumn("__i", F.col("__i") - 1)
     slots = counts.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), F.pmod("id", F.lit(n)).alias("slot"))
     picks = slots.select("replicate", F.pmod(T.md5_int(F.lit(seed), F.col("replicate"), F.col("slot")), F.lit(n)).alias("__i"))
     return picks.join(numbered, "__i").drop("__i")
@@ -125,95 +128,66 @@ def bootstrap_diff_over_realizations(preds: DataFrame, group: str, first: tuple[
 
 
 def permuted_labels(groups: DataFrame, group: str, y: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, group, label): the labels of whole groups dealt anew. groups: one row for each."""
-    r = groups.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    mixed = groups.crossJoin(r).withColumn("i", F.row_number().over(Window.partitionBy("replicate").orderBy(T.md5_int(F.lit(seed), F.col("replicate"), F.col(group)), group)))
-    fixed = groups.select(F.row_number().over(Window.orderBy(group)).alias("i"), F.col(y).alias("label"))
-    return mixed.join(fixed, "i").select("replicate", group, "label")
+    """groups with labels array<int>: the label of each, and its label in every permutation. groups: one row for each; y: 0 or 1.
+
+    A permutation gives label 1 to as many groups as have it, those of the
+    least hashes. The last of these is found by counts of blocks of the hashes'
+    range, so only one block is ordered; from then on a label is a comparison
+    within the group's own row.
+    """
+    spark = groups.sparkSession
+    ones = groups.agg(F.count_if(F.col(y) == 1)).first()[0]
+    hashed = lambda r: T.md5_int(F.lit(seed), r, F.col(group))
+    each = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("h", hashed(F.col("replicate"))).withColumn("block", F.shiftright("h", 20))
+    per = each.groupBy("replicate", "block").agg(F.count(F.lit(1)).alias("n"))  # 4,096 blocks of each
+    before = F.sum("n").over(Window.partitionBy("replicate").orderBy("block")) - F.col("n")
+    edge = per.withColumn("before", before).where((F.col("before") < ones) & (F.col("before") + F.col("n") >= ones)).select("replicate", "block", "before")
+    at = F.row_number().over(Window.partitionBy("replicate").orderBy("h", group))
+    last = each.join(F.broadcast(edge), ["replicate", "block"]).withColumn("i", at).where(F.col("i") == ones - F.col("before"))
+    bounds = [(r["replicate"], r["h"], r["g"]) for r in last.select("replicate", "h", F.col(group).alias("g")).orderBy("replicate").collect()]
+    if not bounds:
+        return groups.withColumn("labels", F.array_repeat(F.lit(0), replicates + 1))
+    kind = groups.schema[group].dataType.simpleString()
+    one = spark.createDataFrame([(bounds,)], f"__bounds array<struct<r:int,h:bigint,g:{kind}>>")
+    drawn = F.transform("__bounds", lambda b: (F.struct(hashed(b["r"]).alias("h"), F.col(group).alias("g")) <= F.struct(b["h"].alias("h"), b["g"].alias("g"))).cast("int"))
+    return groups.crossJoin(F.broadcast(one)).withColumn("labels", F.concat(F.array(F.col(y).cast("int")), drawn)).drop("__bounds")
 
 
 def threshold_permutation_test(preds: DataFrame, group: str, replicates: int = 1000, seed: int = 0, y: str = "y", p: str = "p") -> DataFrame:
-    """(ba, p_value, draws) of fixed predictions when the labels of whole groups are permuted."""
-    counts = preds.groupBy(group, y).agg(F.count_if(F.col(p) == 1).alias("n1"), F.count_if(F.col(p) == 0).alias("n0"))
-    perm = permuted_labels(counts.select(group, y), group, y, replicates, seed)
-    s = perm.join(counts.select(group, "n1", "n0"), group)
+    """(ba, p_value, draws) of fixed predictions when the labels of whole groups are permuted; a group's label is its least."""
+    counts = preds.groupBy(group).agg(F.min(y).alias("y"), F.count_if(F.col(p) == 1).alias("n1"), F.count_if(F.col(p) == 0).alias("n0"))
+    each = permuted_labels(counts, group, "y", replicates, seed).select("n0", "n1", F.posexplode("labels").alias("replicate", "label"))
     part = lambda v, n: F.sum(F.when(F.col("label") == v, F.col(n)).otherwise(0))
-    draws = s.groupBy("replicate").agg(part(0, "n0").alias("n00"), part(0, "n1").alias("n01"), part(1, "n0").alias("n10"), part(1, "n1").alias("n11")).select(ba_of().alias("d")).where("d IS NOT NULL")
-    real = confusion_counts(preds, [], y, p).select(ba_of().alias("ba"))
+    ba = each.groupBy("replicate").agg(part(0, "n0").alias("n00"), part(0, "n1").alias("n01"), part(1, "n0").alias("n10"), part(1, "n1").alias("n11")).select("replicate", ba_of().alias("d"))
+    draws, real = ba.where("replicate > 0 AND d IS NOT NULL"), ba.where("replicate = 0").select(F.col("d").alias("ba"))
     ge = F.count_if(F.col("d") >= F.col("ba") - 1e-12)
     return draws.crossJoin(real).groupBy("ba").agg(((ge + 1) / (F.count("d") + 1)).alias("p_value"), F.count("d").alias("draws"))
 
 
-def group_permutation_test(df: DataFrame, cols: list[str], group: str, y: str, fold: str = "fold", replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """(ba, p_value, draws) of a linear discriminant, fitted anew under every permutation of the groups' labels.
+def group_permutation_test(df: DataFrame, cols: list[str], group: str, y: str, fold: str = "fold", replicates: int = 1000, seed: int = 0, covs: list[str] = ()) -> DataFrame:
+    """(ba, p_value, draws): mean accuracy over the folds of a logistic regression, fitted anew under every permutation of the groups' labels.
 
-    A group's label is the same for all its rows, so the moments of a class
-    under any labels are sums of the groups' moments: one scan gives these, the
-    models of all replicates and folds are solved in parallel, and a second
-    scan scores every batch of rows against all of them at once.
+    A group's label is its least. All replicates and folds are fitted together,
+    a scan of the rows for each of Newton's steps, and one more counts what
+    they get right. The accuracy of a fold with rows of one class is the recall
+    of that; a replicate without both classes in some fold's other rows isn't
+    counted. Folds stay as they are. covs are taken out of the columns first, by
+    fits on the same rows as the models.
     """
-    spark = df.sparkSession
-    d = len(cols)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    moments = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(F.col(cols[i]).cast("double") * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]]
-    m = df.groupBy(group, fold, y).agg(*moments).orderBy(group, fold).toPandas()
-    names = sorted(m[group].unique())
-    place = {g: i for i, g in enumerate(names)}
-    at, folds = m[group].map(place).to_numpy(), m[fold].to_numpy()
-    label = m.groupby(group)[y].first().reindex(names).to_numpy()
-    n, s = m["n"].to_numpy(), m[[f"s{i}" for i in range(d)]].to_numpy()
-    second = np.zeros((len(m), d, d))
-    for i, j in pairs:
-        second[:, i, j] = second[:, j, i] = m[f"p{i}_{j}"].to_numpy()
-    parts = sorted(set(folds))
-    labels = np.stack([label, *[np.random.default_rng([seed, r]).permutation(label) for r in range(replicates)]])
-
-    def solve(frames):
-        for f in frames:
-            out = []
-            for r in f["id"]:
-                of = labels[int(r)][at]
-                for k in parts:
-                    means, cov, total = [], np.zeros((d, d)), 0.0
-                    for c in (0, 1):
-                        rows = (of == c) & (folds != k)
-                        if not n[rows].sum():
-                            break
-                        mu = s[rows].sum(axis=0) / n[rows].sum()
-                        means.append(mu)
-                        cov += second[rows].sum(axis=0) - n[rows].sum() * np.outer(mu, mu)
-                        total += n[rows].sum()
-                    if len(means) < 2:
-                        continue
-                    w = np.linalg.lstsq(cov / total + 1e-9 * np.eye(d), means[1] - means[0], rcond=None)[0]
-                    out.append((int(r), int(k), [*w.tolist(), -float(w @ (means[0] + means[1]) / 2)]))
-            yield pd.DataFrame(out, columns=["replicate", "fold", "w"])
-
-    models = spark.range(replicates + 1).repartition(spark.sparkContext.defaultParallelism).mapInPandas(solve, "replicate long, fold int, w array<double>").toPandas()
-    shared = spark.sparkContext.broadcast({k: (g["replicate"].to_numpy(), np.array(g["w"].tolist())) for k, g in models.groupby("fold")})
-
-    def score(frames):
-        for f in frames:
-            for k, rows in f.groupby("fold"):
-                if k not in shared.value:
-                    continue
-                rep, w = shared.value[k]
-                hit = (np.column_stack([rows[cols].to_numpy(dtype=float), np.ones(len(rows))]) @ w.T) > 0
-                for g, idx in rows.reset_index(drop=True).groupby("grp").groups.items():
-                    yield pd.DataFrame({"grp": g, "replicate": rep, "pos": hit[idx].sum(axis=0), "n": len(idx)})
-
-    scored = df.select(F.col(group).cast("string").alias("grp"), F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(score, "grp string, replicate long, pos long, n long")
-    sums = scored.groupBy("grp", "replicate").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toPandas()
-    at2 = sums["grp"].map({str(g): i for g, i in place.items()}).to_numpy()
-    truth = labels[sums["replicate"].to_numpy(), at2]
-    ba = np.full(replicates + 1, np.nan)
-    for r, rows in sums.assign(y=truth).groupby("replicate"):
-        a, b = rows[rows.y == 0], rows[rows.y == 1]
-        if len(a) and len(b):
-            ba[r] = ((a["n"].sum() - a["pos"].sum()) / a["n"].sum() + b["pos"].sum() / b["n"].sum()) / 2
+    labels = permuted_labels(df.groupBy(group).agg(F.min(y).alias("__y")), group, "__y", replicates, seed).select(group, F.col("labels").alias("__labels"))
+    fitted = fit_all(df.join(labels, group), [Fit("all", tuple(cols), "__labels", tuple(covs))], fold, keep=True)
+    n = confusions(fitted, "all")
+    dropped(fitted.rows)
+    a, b = n[:, :, 0] + n[:, :, 1], n[:, :, 2] + n[:, :, 3]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        recalls = np.stack([np.where(a > 0, n[:, :, 0] / a, np.nan), np.where(b > 0, n[:, :, 3] / b, np.nan)])
+    there = ~np.isnan(recalls)
+    of_fold = np.where(there, recalls, 0).sum(axis=0) / np.maximum(1, there.sum(axis=0))
+    ba = of_fold.mean(axis=1)
+    ba[np.isnan(n).any(axis=(1, 2))] = np.nan
     draws = ba[1:][~np.isnan(ba[1:])]
     p = (int((draws >= ba[0] - 1e-12).sum()) + 1) / (len(draws) + 1)
-    return spark.createDataFrame([(float(ba[0]), float(p), len(draws))], "ba double, p_value double, draws long")
+    return df.sparkSession.createDataFrame([(float(ba[0]), float(p), len(draws))], "ba double, p_value double, draws long")
 
 
 def residualize(df: DataFrame, feats: list[str], covs: list[str], fold: str = "fold") -> DataFrame:

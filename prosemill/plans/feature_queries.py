@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
-from prosemill.operators import rhythm, segment, series
+from prosemill.operators import compact, rhythm, segment, series
 from prosemill.plans.base import WORDS_CTE, Registry, lit, sql_count, sql_md5_int, sql_sentences, table
+from prosemill.sources import staged
 
 R = Registry()
 
 
 def docs_and_lexicon(spark, d):
     docs = table(spark, d, "documents")
-    return docs, rhythm.rule_lexicon(segment.words(docs))
+    return docs, staged(rhythm.rule_lexicon(segment.words(docs)))  # a table of known size, so that Spark can choose to broadcast it
 
 
 def all_series(spark, d):
@@ -126,7 +127,7 @@ ALL = f"WITH {SERIES}, {GAPS}, {GAP}, {RUNS}, {RUNV}, {ENTROPY}, {SPW}, {SL}, {P
 
 @R.add("f10_rhythm_row", f"{ALL} SELECT doc_id, " + ", ".join(f"{c} + 0 AS {c}" for c in rhythm.GROUPS) + " FROM rhythm")
 def _(spark, d):
-    f = rhythm.rhythm_features(*docs_and_lexicon(spark, d))
+    f = compact.rhythm_features(*docs_and_lexicon(spark, d))
     return f.select("doc_id", *[(F.round(c, 6) + 0).alias(c) for c in rhythm.GROUPS])
 
 
@@ -140,13 +141,13 @@ _means = ["sl_mean", "sl_var", "spw_mean", "ph_mean", "gap_mean", "mattr"]
 
 @R.add("f12_class_means", f"{ALL} SELECT quality, count(*) AS n, " + ", ".join(f"round(avg({c}), 5) AS {c}" for c in _means) + " FROM rhythm JOIN labels USING (doc_id) GROUP BY quality")
 def _(spark, d):
-    f = rhythm.rhythm_features(*docs_and_lexicon(spark, d)).join(table(spark, d, "labels"), "doc_id")
+    f = compact.rhythm_features(*docs_and_lexicon(spark, d)).join(table(spark, d, "labels"), "doc_id")
     return f.groupBy("quality").agg(F.count("doc_id").alias("n"), *[F.round(F.avg(F.round(c, 6)), 5).alias(c) for c in _means])
 
 
 @R.add("f13_feature_groups", f"{ALL}, u AS (UNPIVOT rhythm ON {', '.join(rhythm.GROUPS)} INTO NAME feature VALUE value), g AS (SELECT * FROM (VALUES {', '.join(f'({lit(k)}, {lit(v)})' for k, v in rhythm.GROUPS.items())}) AS g(feature, feature_group)) SELECT feature_group, count(DISTINCT feature) AS features, count(*) AS n FROM u JOIN g USING (feature) WHERE value > 0 GROUP BY feature_group")
 def _(spark, d):
-    f = rhythm.rhythm_features(*docs_and_lexicon(spark, d))
+    f = compact.rhythm_features(*docs_and_lexicon(spark, d))
     long = f.unpivot("doc_id", list(rhythm.GROUPS), "feature", "value").where(F.round("value", 6) > 0)
     return long.join(rhythm.feature_groups(spark), "feature").groupBy("feature_group").agg(F.countDistinct("feature").alias("features"), F.count("value").alias("n"))
 
@@ -172,7 +173,7 @@ def q_sql(k: str, src: str = "series") -> dict[str, str]:
     return {
         "ac1": f"SELECT {k}, CASE WHEN count(*) >= 3 AND max(value) > min(value) THEN sum(c * l) / sum(c * c) ELSE 0 END AS ac1 FROM (SELECT *, lag(c) OVER ({w}) AS l FROM (SELECT *, value - avg(value) OVER ({p}) AS c FROM {src})) GROUP BY {k}",
         "mk": f"SELECT {k}, CASE WHEN max(n) >= 4 THEN sum(s) / (max(n) * (max(n) - 1) / 2) ELSE 0 END AS mk FROM (SELECT a.*, count(*) OVER ({p}) AS n FROM {src} a) a LEFT JOIN LATERAL (SELECT sum(sign(b.value - a.value)) AS s FROM {src} b WHERE {' AND '.join(f'b.{x.strip()} = a.{x.strip()}' for x in k.split(','))} AND b.pos > a.pos) ON TRUE GROUP BY {k}",
-        "bvr": f"SELECT {k}, CASE WHEN sum(c) >= 6 AND avg(v) > 0 THEN var_pop(m) / avg(v) ELSE 0 END AS bvr FROM (SELECT {k}, third, avg(value) AS m, var_pop(value) AS v, count(*) AS c FROM (SELECT *, ntile(3) OVER ({w}) AS third FROM {src}) GROUP BY {k}, third) GROUP BY {k}",
+        "bvr": f"SELECT {k}, CASE WHEN sum(c) >= 6 AND avg(v) > 0 THEN sum(c * (m - g) ** 2) / sum(c) / avg(v) ELSE 0 END AS bvr FROM (SELECT *, sum(c * m) OVER ({p}) / sum(c) OVER ({p}) AS g FROM (SELECT {k}, third, avg(value) AS m, var_pop(value) AS v, count(*) AS c FROM (SELECT *, ntile(3) OVER ({w}) AS third FROM {src}) GROUP BY {k}, third)) GROUP BY {k}",
         "lre": f"SELECT {k}, CASE WHEN count(*) >= 6 AND max(value) > min(value) THEN var_pop(CASE WHEN i > 1 AND i < n THEN m END) / var_pop(value) ELSE 0 END AS lre FROM (SELECT *, count(*) OVER ({p}) AS n, row_number() OVER ({w}) AS i, avg(value) OVER ({w} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM {src}) GROUP BY {k}",
         "turning": f"SELECT {k}, CASE WHEN count(*) >= 3 THEN sum(CASE WHEN (value > a AND value > b) OR (value < a AND value < b) THEN 1.0::DOUBLE ELSE 0 END) / (count(*) - 2) ELSE 0 END AS turning FROM (SELECT *, lag(value) OVER ({w}) AS a, lead(value) OVER ({w}) AS b FROM {src}) GROUP BY {k}",
         "runz": f"SELECT {k}, CASE WHEN n >= 6 AND n1 > 0 AND n0 > 0 AND v > 0 THEN least(6, greatest(-6, (runs - 1 - a / n) / sqrt(v))) ELSE 0 END AS runz FROM (SELECT *, CASE WHEN n > 1 THEN a * (a - n) / (n * n * (n - 1)) END AS v FROM (SELECT *, 2 * n1 * n0 AS a FROM (SELECT {k}, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE value = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE value = 0) AS DOUBLE) AS n0, sum(ch) + 1 AS runs FROM (SELECT *, CASE WHEN value <> lag(value) OVER ({w}) THEN 1.0::DOUBLE ELSE 0 END AS ch FROM {src}) GROUP BY {k})))",
@@ -200,44 +201,61 @@ for _i, _f in enumerate(series.FEATURES, 1):
     _order_query(_i, _f)
 
 
-def order_sql(src: str, key: str = "doc_id") -> str:
-    """CTEs up to ord, the order row of each key from the series in src."""
+def order_sql(src: str, key: str = "doc_id", ids: str = "documents") -> str:
+    """CTEs up to ord, the order row of each doc_id of ids from the series in src."""
     out = []
     for f in series.FEATURES:
         body = q_sql(f"{key}, name", "z")[f] if f != "mk" else MK_ARR.replace("doc_id, name", f"{key}, name").replace("src", "z")
         within = ", ".join(map(lit, _names[f]))
         out.append(f"{src}_{f} AS (WITH z AS (SELECT * FROM {src} WHERE name IN ({within})) {body})")
-    cols = ", ".join(f"round(CAST(coalesce((SELECT {f} FROM {src}_{f} x WHERE x.doc_id = documents.doc_id AND x.name = '{n}'), 0) AS DOUBLE), 6) + 0 AS {c}" for c, n, f in series.ORDER)
-    return ", ".join(out) + f", {src}_ord AS (SELECT doc_id, {cols} FROM documents)"
+    cols = ", ".join(f"round(CAST(coalesce((SELECT {f} FROM {src}_{f} x WHERE x.doc_id = ids.doc_id AND x.name = '{n}'), 0) AS DOUBLE), 6) + 0 AS {c}" for c, n, f in series.ORDER)
+    return ", ".join(out) + f", {src}_ord AS (SELECT doc_id, {cols} FROM {ids} ids)"
 
 
 _cols = [c for c, _, _ in series.ORDER]
 
 
+def order_rows(spark, d):
+    out = compact.order_rows(compact.compact(*docs_and_lexicon(spark, d)))
+    return out.select("doc_id", *[(F.round(c, 6) + 0).alias(c) for c in _cols])
+
+
 @R.add("q7_order_row", f"WITH {SERIES}, {order_sql('series')} SELECT * FROM series_ord")
 def _(spark, d):
-    docs, lex = docs_and_lexicon(spark, d)
-    out = series.order_features(rhythm.series(docs, lex), docs)
-    return out.select("doc_id", *[(F.round(c, 6) + 0).alias(c) for c in _cols])
+    return order_rows(spark, d)
+
 
+DRAWS = 20
+_step = lambda frm, by, shift: f"SELECT * REPLACE ((xor(x, x >> {shift}) * {by}::UBIGINT) & 4294967295::UBIGINT AS x) FROM ({frm})"
+_seeded = f"SELECT doc_id * 100 + draw AS doc_id, name, pos, value, xor((CAST(pos AS UBIGINT) * {compact.SPREAD}::UBIGINT) & 4294967295::UBIGINT, CAST({sql_md5_int('draw', 'doc_id', 'name')} AS UBIGINT)) AS x FROM series, range({DRAWS}) t(draw)"
+#: CTEs up to shuf_ord: the order rows of all draws, with doc_id times 100 and the draw as doc_id.
+SHUF = f"shuf AS MATERIALIZED (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id, name ORDER BY xor(x, x >> 16), pos) - 1 AS pos, value FROM ({_step(_step(_seeded, compact.FIRST, 16), compact.SECOND, 13)})), shuf_ids AS (SELECT doc_id * 100 + draw AS doc_id FROM documents, range({DRAWS}) t(draw)), {order_sql('shuf', ids='shuf_ids')}"
 
-SHUF = f"shuf AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id, name ORDER BY {sql_md5_int('7', 'doc_id', 'name', 'pos')}, pos) - 1 AS pos, value FROM series)"
 
+def drawn_rows(spark, d):
+    """Real and shuffled order rows."""
+    c = staged(compact.compact(*docs_and_lexicon(spark, d)))
+    rounded_ = lambda df, *keys: df.select(*keys, *[(F.round(x, 6) + 0).alias(x) for x in _cols])
+    return rounded_(compact.order_rows(c), "doc_id"), rounded_(compact.shuffled_rows(c, DRAWS), "doc_id", "draw")
 
-@R.add("q8_shuffled_row", f"WITH {SERIES}, {SHUF}, {order_sql('shuf')} SELECT * FROM shuf_ord")
+
+@R.add("q8_shuffled_row", f"WITH {SERIES}, {SHUF} SELECT doc_id // 100 AS doc_id, count(*) AS draws, {', '.join(f'round(avg({c}), 8) + 0 AS {c}' for c in _cols)}, round(stddev_pop(sl_ac1), 5) AS sl_ac1_spread FROM shuf_ord GROUP BY doc_id // 100")
 def _(spark, d):
-    docs, lex = docs_and_lexicon(spark, d)
-    s = series.shuffled(rhythm.series(docs, lex), spark.createDataFrame([(7,)], "draw int")).drop("draw")
-    return series.order_features(s, docs).select("doc_id", *[(F.round(c, 6) + 0).alias(c) for c in _cols])
+    _, drawn = drawn_rows(spark, d)
+    return drawn.groupBy("doc_id").agg(F.count("draw").alias("draws"), *[(F.round(F.avg(c), 8) + 0).alias(c) for c in _cols], F.round(F.stddev_pop("sl_ac1"), 5).alias("sl_ac1_spread"))
 
 
-@R.add("q9_order_sensitivity", f"WITH {SERIES}, {SHUF}, {order_sql('series')}, {order_sql('shuf')}, {', '.join(f'{x}_u AS (UNPIVOT {x}_ord ON ' + ', '.join(_cols) + ' INTO NAME feature VALUE value)' for x in ('series', 'shuf'))} SELECT a.feature, round(avg(abs(a.value - b.value)), 5) AS sensitivity FROM series_u a JOIN shuf_u b ON a.doc_id = b.doc_id AND a.feature = b.feature GROUP BY a.feature")
+@R.add("q9_order_sensitivity", f"WITH {SERIES}, {order_sql('series')}, {SHUF}, s AS (SELECT * REPLACE (doc_id // 100 AS doc_id) FROM shuf_ord), {', '.join(f'{x}_u AS (UNPIVOT {x} ON ' + ', '.join(_cols) + ' INTO NAME feature VALUE value)' for x in ('series_ord',))} SELECT feature, round(avg(abs(value - CASE feature {' '.join(f'WHEN {lit(c)} THEN {c}' for c in _cols)} END)), 5) AS sensitivity FROM series_ord_u JOIN s USING (doc_id) GROUP BY feature")
 def _(spark, d):
-    docs, lex = docs_and_lexicon(spark, d)
-    real = rhythm.series(docs, lex)
-    control = series.shuffled(real, spark.createDataFrame([(7,)], "draw int")).drop("draw")
-    row = lambda s: series.order_features(s, docs).select("doc_id", *[F.round(c, 6).alias(c) for c in _cols])
-    return series.sensitivity(row(real), row(control)).withColumn("sensitivity", F.round("sensitivity", 5))
+    real, drawn = drawn_rows(spark, d)
+    return series.sensitivity(real, drawn).withColumn("sensitivity", F.round("sensitivity", 5))
+
+
+@R.add("u33_null_percentile", f"WITH {SERIES}, {order_sql('series')}, {SHUF} SELECT r.doc_id, {', '.join(f'round(avg(CASE WHEN k.{c} < r.{c} THEN 1.0::DOUBLE ELSE 0 END), 9) AS {c}' for c in _cols)} FROM series_ord r JOIN shuf_ord k ON k.doc_id // 100 = r.doc_id GROUP BY r.doc_id")
+def _(spark, d):
+    real, drawn = drawn_rows(spark, d)
+    out = series.null_percentile(real, drawn, _cols)
+    return out.select("doc_id", *[F.round(c, 9).alias(c) for c in _cols])
 
 
 _lvl = ["level_mean", "level_var", "level_cv", "level_runlen_var", "level_entropy", "level_gap_mean", "level_gap_var", "level_ac1"]

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prosemill import streaming
 from prosemill.functions import text as T
-from prosemill.operators import lexical, models, rhythm, sampling, segment, series
+from prosemill.operators import compact, lexical, models, rhythm, sampling, segment, series
 from prosemill.plans import jobs
-from prosemill.plans.base import Registry, sql_count, sql_md5_int, sql_rules, sql_squeeze, sql_unescape, sql_upper, table
+from prosemill.plans.base import SENTENCES_CTE, Registry, sql_count, sql_md5_int, sql_rules, sql_squeeze, sql_unescape, sql_upper, table
 from prosemill.plans.jobs import CHI2_01
 from prosemill.plans.lexical_queries import terms_of
-from prosemill.plans.stat_queries import MODELS, reading_models
+from prosemill.plans.stat_queries import cluster_sql
 from prosemill.plans.text_queries import STOP, _book, _line, _typo, chunk_sql
-from prosemill.sources import shared_path, staged
+from prosemill.sources import shared_path, staged, subject_files
 
 R = Registry()
 
@@ -86,8 +87,8 @@ def style(spark, d, docs, key="doc_id"):
     """The rhythm, lexical and order rows of docs (doc_id, text and further columns)."""
     lexicon = staged(rhythm.rule_lexicon(segment.words(docs)))
     texts = docs.select("doc_id", "text")
-    s = staged(rhythm.series(texts, lexicon))
-    rows = rhythm.rhythm_features(texts, lexicon).join(lexical.lexical_features(texts, staged(terms_of(spark, d)), STOP, lexicon).drop("mattr"), "doc_id").join(series.order_features(s, texts), "doc_id")
+    c = staged(compact.compact(texts, lexicon))
+    rows = compact.rhythm_rows(c).join(lexical.lexical_features(texts, staged(terms_of(spark, d)), STOP, lexicon).drop("mattr"), "doc_id").join(compact.order_rows(c), "doc_id")
     return staged(docs.drop("text").join(rows, "doc_id"))
 
 
@@ -119,7 +120,7 @@ def _(spark, d):
 def _(spark, d):
     f = folded(spark, d)
     groups = dict(rhythm.GROUPS) | {c: "lexical" for c in LEXICAL} | {"words": "length"}
-    era = sampling.spread_groups(models.relabel(f, "lang", "es", "fr"), "grp", "src1", "doc_id", 5)
+    era = models.merged_band(f, F.col("lang") == "es", 1, "grp", "src1", "doc_id")
     return jobs.phase_zero(f.where("lang <> 'es'"), ["words", *RHYTHM, *LEXICAL], ["words", "sl_mean", "mattr"], groups, "lang", staged(era))
 
 
@@ -133,8 +134,9 @@ def _(spark, d):
 
 @R.add("pl11_beyond_judge")
 def _(spark, d):
-    f = folded(spark, d).withColumn("judge", (T.md5_int(F.col("doc_id")) % 100 + 30 * F.col("y")).cast("double")).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev"))
-    return jobs.beyond_judge(staged(f), {"rhythm": RHYTHM, "lexical": LEXICAL, "order": ORDER}, ["judge"])
+    f = folded(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev"))
+    scores = f.select("doc_id", (T.md5_int(F.col("doc_id")) % 100 + 30 * (F.col("lang") == "de").cast("int")).cast("double").alias("judge"))
+    return jobs.beyond_judge(f.drop("y"), staged(scores), ["judge"], RHYTHM, "lang", {"de_en": ("en", "de"), "fr_en": ("en", "fr"), "es_fr": ("fr", "es")})
 
 
 def rewritten(docs, k):
@@ -158,15 +160,42 @@ def _(spark, d):
 @R.add("pl14_heldout_report")
 def _(spark, d):
     f = folded(spark, d).withColumn("split", F.when(F.col("fold") == 0, "held_out").otherwise("dev"))
-    return jobs.heldout_report(staged(f), [*RHYTHM, *LEXICAL], "lang")
+    return jobs.heldout_report(f, RHYTHM, LEXICAL, dict(rhythm.GROUPS) | {c: "lexical" for c in LEXICAL}, "lang")
+
+
+_len, _edge = "length(word)", "(regexp_matches(word, '[.,;:!?]$') OR i = n)"
+#: Words as read by three made-up readers: long and last words take longer, one in four is skipped.
+READ = rf"""rw AS (SELECT doc_id * 10000 + sent AS sent_idx, 'S' || (doc_id % 3) AS subject, i AS word_idx, n, word FROM (SELECT doc_id, sent, len(a) AS n, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS word FROM (SELECT doc_id, sent, list_filter(regexp_extract_all(sentence, '\S+'), lambda w: regexp_matches(w, '^[a-zA-Z]+[.,;:!?]?$')) AS a FROM s))),
+ rd AS (SELECT *, CAST({sql_md5_int('1', 'sent_idx', 'word_idx', 'word')} % 4 AS INT) AS nFix, 120.0::DOUBLE + 9 * {_len} + 20 * CAST({_edge} AS INT) + {sql_md5_int('2', 'sent_idx', 'word_idx', 'word')} % 150 AS TRT FROM (SELECT *, word_idx AS i FROM rw))"""
+
+
+def read_words(spark, d):
+    s = segment.sentences(docs_of(spark, d))
+    w = F.filter(F.regexp_extract_all("sentence", F.lit(r"\S+"), F.lit(0)), lambda x: x.rlike("^[a-zA-Z]+[.,;:!?]?$"))
+    w = s.select("doc_id", (F.col("doc_id") * 10000 + F.col("sent")).alias("sent_idx"), F.size(w).alias("n"), F.posexplode(w).alias("word_idx", "word")).withColumn("word_idx", F.col("word_idx") + 1)
+    h = lambda k: T.md5_int(F.lit(k), F.col("sent_idx"), F.col("word_idx"), F.col("word"))
+    last = (F.col("word").rlike("[.,;:!?]$") | (F.col("word_idx") == F.col("n"))).cast("int")
+    return w.select(F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string")).alias("subject"), "sent_idx", "word_idx", "word", (h(1) % 4).cast("int").alias("nFix"), (120.0 + 9 * F.length("word") + 20 * last + h(2) % 150).cast("double").alias("TRT"))
 
 
-_block = "SELECT (SELECT (coef / se) ** 2 FROM {0} WHERE term = 'k_z')"
+_core = r"regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+READING_ROWS = rf"""{READ}, rc AS (SELECT lower(word) AS low, count(*) AS c, (SELECT count(*) FROM rd) AS total FROM rd GROUP BY lower(word)),
+ r1 AS (SELECT subject, sent_idx, word_idx, nFix, TRT, CAST(length(core) AS DOUBLE) AS wlen, log10((c + 1) / total) AS logfreq, CAST(greatest(1, len(regexp_extract_all(lower(core), '[aeiouy]+'))) AS DOUBLE) AS nsyl,
+  CAST(regexp_matches(word, '[.,;:!?()—–-]$') OR word_idx = n AS INT) AS is_boundary FROM (SELECT *, {_core} AS core FROM rd) JOIN rc ON rc.low = lower(word) WHERE core <> ''),
+ r2 AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in ('wlen', 'logfreq', 'nsyl', 'is_boundary'))} FROM r1),
+ r AS MATERIALIZED (SELECT sent_idx AS c, CAST(nFix > 0 AS INT) AS fixated, CASE WHEN nFix > 0 THEN ln(greatest(TRT, 1.0::DOUBLE)) END AS log_trt, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}_z' for c in ('wlen', 'logfreq', 'nsyl', 'is_boundary'))}, CAST(subject = 'S1' AS INT) AS subject_S1, CAST(subject = 'S2' AS INT) AS subject_S2 FROM r1, r2)"""
+_x, _block = ["wlen_z", "logfreq_z", "subject_S1", "subject_S2"], ["nsyl_z", "is_boundary_z"]
+_pl15 = f"""WITH {SENTENCES_CTE}, {READING_ROWS}, {cluster_sql('skip', 'fixated', 'logit', xs=[*_x, *_block], block=_block)}, {cluster_sql('reading_time', 'log_trt', 'ols', 'fixated = 1', xs=[*_x, *_block], block=_block)},
+ v AS (SELECT (SELECT any_value(block_chi2) FROM skip) AS skip_chi2, (SELECT any_value(block_chi2) FROM reading_time) AS time_chi2, (SELECT coef FROM reading_time WHERE term = 'is_boundary_z') AS boundary, (SELECT coef / se FROM reading_time WHERE term = 'is_boundary_z') AS t)
+ SELECT round(skip_chi2, 3) AS skip_chi2, round(time_chi2, 3) AS time_chi2, round(boundary, 7) AS boundary, CASE WHEN time_chi2 > {CHI2_01} OR (t > 2.5758293035489004 AND boundary > 0) THEN 'RELATED' ELSE 'NOT-RELATED' END AS verdict FROM v"""
 
 
-@R.add("pl15_reading_verdict", f"WITH {MODELS}, v AS (SELECT ({_block.format('skip')}) AS skip_chi2, ({_block.format('reading_time')}) AS time_chi2) SELECT round(skip_chi2, 4) AS skip_chi2, round(time_chi2, 4) AS time_chi2, CASE WHEN skip_chi2 > {CHI2_01} OR time_chi2 > {CHI2_01} THEN 'RELATED' ELSE 'NOT-RELATED' END AS verdict FROM v")
+@R.add("pl15_reading_verdict", _pl15)
 def _(spark, d):
-    return jobs.reading_verdict(reading_models(spark, d), "k_z").select(F.round("skip_chi2", 4).alias("skip_chi2"), F.round("time_chi2", 4).alias("time_chi2"), "verdict")
+    words = staged(subject_files(read_words(spark, d), "subject"))
+    report = jobs.reading_report(jobs.reading_features(words, STOP, ["subject", "sent_idx"]), "subject", "sent_idx")
+    v = jobs.reading_verdict(report)
+    return v.select(F.round("skip_chi2", 3).alias("skip_chi2"), F.round("time_chi2", 3).alias("time_chi2"), F.round("boundary", 7).alias("boundary"), "verdict")
 
 
 # --- incremental
@@ -179,8 +208,8 @@ _words = sql_count("text", r"\S+")
 def _(spark, d):
     docs, path = docs_of(spark, d), shared_path(spark)
     score = lambda x: x.select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
-    streaming.resume(docs.where("lang = 'en'"), score, path, "doc_id")
-    return streaming.resume(docs, score, path, "doc_id")
+    streaming.resume(docs.where("lang = 'en'"), score, path, "doc_id", every=200)
+    return streaming.resume(docs, score, path, "doc_id", every=200, most=4)
 
 
 @R.add("i2_file_stream", f"SELECT doc_id, md5({_typo}) AS digest FROM documents")
@@ -194,6 +223,25 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
+_seen = "d AS (SELECT doc_id, lang, source || '#' || lang AS grp, lang = 'en' AND row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) > 3 AS late FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"
+
+
+@R.add("i3_sticky_split", f"""WITH {_seen}, g AS (SELECT lang, grp, count(*) FILTER (WHERE NOT late) AS n FROM d GROUP BY lang, grp),
+ s AS (SELECT lang, grp, n, CASE WHEN coalesce(sum(n) OVER (PARTITION BY lang ORDER BY {sql_md5_int('0', 'grp')}, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even(sum(n) OVER (PARTITION BY lang) * 0.2::DOUBLE, 0) THEN 'held_out' ELSE 'dev' END AS split FROM g)
+ SELECT lang, grp, split, s.n, count(*) AS n_rows FROM d JOIN s USING (lang, grp) GROUP BY ALL""")
+def _(spark, d):
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    docs = docs_of(spark, d).where("lang IS NOT NULL AND source IS NOT NULL")
+    rows = docs.select("doc_id", "lang", F.concat_ws("#", "source", "lang").alias("grp"), ((F.col("lang") == "en") & (F.row_number().over(w) > 3)).alias("late"))
+    rows = staged(rows)
+    folder, out, checkpoint = (shared_path(spark) for _ in range(3))
+    # Classes come one after the other, and with the last also more rows of known groups, which stay where these are.
+    for batch in ("lang = 'en' AND NOT late", "lang = 'de'", "lang NOT IN ('en', 'de') OR late"):
+        rows.where(batch).select("lang", "grp").write.mode("append").parquet(folder)
+        split = streaming.sticky_split(streaming.stream_files(spark, folder, "lang string, grp string", 1 << 20), "lang", "grp", out, checkpoint)
+    return rows.join(split, ["lang", "grp"]).groupBy("lang", "grp", "split", "n").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def _is_dir(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

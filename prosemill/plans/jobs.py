@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import gates, models, sampling, segment, stats, tables
-from prosemill.sources import last_turn, staged
+from prosemill.operators.residuals import Residualizer
+from prosemill.sources import dropped, last_turn, staged
 
-#: Fixed value: the 0.01 point of chi-square with one degree of freedom.
-CHI2_01 = 6.6348966010212145
+#: Fixed value: the 0.01 point of chi-square with two degrees of freedom.
+CHI2_01 = 9.21034037197618
 
 
 def pile(chunks: DataFrame, label: str, source: str, n: int = 80, cap: int = 10, bins: int = 5, seed: int = 0) -> DataFrame:
@@ -124,37 +127,61 @@ def phase_zero(df: DataFrame, cols: list[str], baselines: list[str], groups: dic
     return gates.first_gate(t)
 
 
-def four_way(df: DataFrame, sets: dict[str, list[str]], label: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """The sets compared on each pair of labels."""
-    out = None
-    for a, b in pairs:
-        d = staged(df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")))
-        c = models.contrast(d, sets, "doc_id", "grp", replicates=100).withColumn("pair", F.lit(f"{a}_{b}"))
-        out = c if out is None else out.unionByName(c)
-    return out
+def _intervals(preds: DataFrame, group: str, names: list[str], full: str, replicates: int) -> DataFrame:
+    """(name, ba, lo, hi, increment, inc_lo, inc_hi) of predictions p__<name>, and the gain of p__<full> over each, on the same draws of groups."""
+    draws = stats.group_bootstrap(preds, group, [f"p__{n}" for n in names], replicates, 0)
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    long = draws.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"p__{n}").alias("v"), (F.col(f"p__{full}") - F.col(f"p__{n}")).alias("g")) for n in names])).alias("x")).select("x.*")
+    ci = long.groupBy("name").agg(q("v", 0.025).alias("lo"), q("v", 0.975).alias("hi"), F.avg("g").alias("increment"), q("g", 0.025).alias("inc_lo"), q("g", 0.975).alias("inc_hi"))
+    each = preds.select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"p__{n}").alias("p")) for n in names])).alias("x")).select("y", "x.*")
+    ba = stats.balanced_accuracy(each, "y", "p", by=["name"]).select("name", F.col("balanced_accuracy").alias("ba"))
+    return ba.join(ci, "name").select("name", "ba", "lo", "hi", "increment", "inc_lo", "inc_hi")
+
 
+def four_way(df: DataFrame, sets: dict[str, list[str]], label: str, pairs: list[tuple[str, str]], replicates: int = 100) -> DataFrame:
+    """The sets, and all of them together, compared on each pair of labels; all are fitted together."""
+    every = {**sets, "all_sets": sorted({c for s in sets.values() for c in s})}
+    named = {f"{a}_{b}": (a, b) for a, b in pairs}
+    preds = staged(models.pair_predictions(df, named, label, every, "doc_id", "grp"))
+    rows = [_intervals(preds.where(F.col("pair") == n), "grp", list(every), "all_sets", replicates).withColumn("pair", F.lit(n)) for n in named]
+    return reduce(DataFrame.unionByName, rows)
 
-def beyond_judge(df: DataFrame, sets: dict[str, list[str]], judge: list[str], split: str = "split") -> DataFrame:
-    """(contrast, ba_judge, inc_low, inc_high, status, claim, heldout_ba): what each set of columns adds to a judge's scores.
 
-    The held-out rows are scored, once, only for a set that adds; the claim
-    takes the first set for primary and the last for control.
+def beyond_judge(df: DataFrame, scores: DataFrame, judge: list[str], feats: list[str], label: str, contrasts: dict[str, tuple], split: str = "split", replicates: int = 200, permutations: int = 50) -> DataFrame:
+    """What features add to a judge's scores on each pair of labels, and what follows.
+
+    One row for each contrast, of dev rows: (contrast, part, n, groups_a,
+    groups_b, ba_judge, ba_features, ba_both, increment, inc_low, inc_high,
+    resid_ba, resid_p, status, claim). The first contrast is the primary, the
+    last the control. Held-out rows are scored, once, only if the primary adds,
+    and only for it. scores: doc_id and the judge's columns; a row of df without
+    its scores is an error.
     """
-    spark, out = df.sparkSession, None
-    dev = staged(df.where(F.col(split) == "dev"))
-    for name, cols in sets.items():
-        c = models.contrast(dev, {"judge": judge, "features": cols}, "doc_id", "grp", replicates=200)
-        j = c.where("name = 'judge'").select(F.lit(name).alias("contrast"), F.col("ba").alias("ba_judge"), F.col("inc_lo").alias("inc_low"), F.col("inc_hi").alias("inc_high"))
-        s = gates.judge_status(j)
-        ba = None
-        if s.first()["status"] == "ADDS":
-            ba = stats.balanced_accuracy(models.score_heldout(df, [*judge, *cols], split)).first()["balanced_accuracy"]
-        s = s.withColumn("heldout_ba", F.lit(ba).cast("double"))
-        out = s if out is None else out.unionByName(s)
-    out = staged(out)
-    status = {r["contrast"]: r["status"] for r in out.collect()}
-    first, last = list(sets)[0], list(sets)[-1]
-    claim = spark.createDataFrame([(status[first], status[last])], "p string, c string").select(gates.quality_claim(F.col("p"), F.col("c")).alias("claim"))
+    spark = df.sparkSession
+    d = staged(tables.guarded(df.join(scores, "doc_id", "left"), {f"no score in {c}": F.col(c).isNull() for c in judge}, "doc_id"))
+
+    def run(rows: DataFrame, pairs: dict[str, tuple], part: str) -> DataFrame:
+        sets, covs = {"judge": judge, "features": feats, "both": [*judge, *feats], "resid": feats}, {"resid": judge}
+        preds = staged(models.pair_predictions(rows, pairs, label, sets, "doc_id", "grp", covs))
+        made = []
+        for n, (a, b) in pairs.items():
+            mine = preds.where(F.col("pair") == n)
+            x = _intervals(mine, "grp", list(sets), "both", replicates)
+            of = lambda s, c: F.max(F.when(F.col("name") == s, F.col(c)))
+            row = x.agg(of("judge", "ba").alias("ba_judge"), of("features", "ba").alias("ba_features"), of("both", "ba").alias("ba_both"), of("judge", "increment").alias("increment"), of("judge", "inc_lo").alias("inc_low"), of("judge", "inc_hi").alias("inc_high"), of("resid", "ba").alias("resid_ba"))
+            count = mine.agg(F.count("y").alias("n"), F.countDistinct(F.when(F.col("y") == 0, F.col("grp"))).alias("groups_a"), F.countDistinct(F.when(F.col("y") == 1, F.col("grp"))).alias("groups_b"))
+            both = rows.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")).withColumn("__unit", F.concat_ws("#", "grp", "y"))
+            perm = stats.group_permutation_test(both, feats, "__unit", "y", replicates=permutations, covs=judge).select(F.col("p_value").alias("resid_p"))
+            made.append(count.crossJoin(row).crossJoin(perm).select(F.lit(n).alias("contrast"), F.lit(part).alias("part"), "*"))
+        return staged(gates.judge_status(reduce(DataFrame.unionByName, made)))
+
+    dev = run(d.where(F.col(split) == "dev"), contrasts, "dev")
+    status = {r["contrast"]: r["status"] for r in dev.collect()}
+    primary, control = list(contrasts)[0], list(contrasts)[-1]
+    out = dev
+    if status[primary] == "ADDS":
+        out = dev.unionByName(run(d.where(F.col(split) == "held_out"), {primary: contrasts[primary]}, "held_out"))
+    claim = spark.createDataFrame([(status[primary], status[control])], "p string, c string").select(gates.quality_claim(F.col("p"), F.col("c")).alias("claim"))
     return out.crossJoin(claim)
 
 
@@ -162,12 +189,9 @@ def rewrite_robustness(orig: DataFrame, rewrites: list[DataFrame], rhythm: list[
     """Whether rhythm loses less than word choice when texts are rewritten, over one or several rewrites; of texts that all forms have."""
     aligned = tables.align(orig, *rewrites, on="doc_id")
     orig, rewrites = staged(aligned[0]), aligned[1:]
-    preds, cols = None, {"r": rhythm, "l": lexical}
-    for k, alt in enumerate(rewrites):
-        for name, c in cols.items():
-            p = models.paired_oof(orig, alt.withColumn("fold", F.lit(0)), c, "doc_id").withColumnsRenamed({"p_orig": f"{name}_orig", "p_alt": f"{name}_{k}"})
-            p = p.drop(f"{name}_orig") if k else p
-            preds = p if preds is None else preds.join(p.drop("y"), "doc_id")
+    cols = {"r": rhythm, "l": lexical}
+    preds = models.paired_oof_sets(orig, [alt.withColumn("fold", F.lit(0)) for alt in rewrites], cols, "doc_id")
+    preds = preds.withColumnsRenamed({f"p__{n}": f"{n}_orig" for n in cols} | {f"p__{n}__{k}": f"{n}_{k}" for n in cols for k in range(len(rewrites))})
     preds = staged(preds.join(orig.select("doc_id", "grp"), "doc_id"))
     alts = {n: [f"{n}_{k}" for k in range(len(rewrites))] for n in cols}
     if len(rewrites) == 1:
@@ -182,26 +206,66 @@ def rewrite_robustness(orig: DataFrame, rewrites: list[DataFrame], rhythm: list[
     return gates.robustness(t, least_n=least_n)
 
 
-def heldout_report(df: DataFrame, cols: list[str], label: str, repeats: int = 20) -> DataFrame:
-    """Every pair of labels: fitted on dev, scored once on held_out, with interval, the most important columns and a tree of the dev rows."""
+def heldout_report(df: DataFrame, feats: list[str], covs: list[str], groups: dict[str, str], label: str, repeats: int = 20, replicates: int = 300) -> DataFrame:
+    """Every pair of labels, fitted on dev and scored once on held_out: (pair, kind, ba, lo, hi, n, top_groups, tree).
+
+    kind is plain, of all columns, or residual, of feats less what covs explain
+    of them by a fit on dev. Intervals draw whole groups. top_groups are the
+    three groups of columns that matter most, each the sum of its columns'
+    importance on dev rows; tree is of dev rows. A pair without both labels on
+    either side has no row.
+    """
+    cols = [*feats, *covs]
     labels = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    pairs = {f"{a}_{b}": (a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]}
+    dev, held = staged(df.where("split = 'dev'")), staged(df.where("split = 'held_out'"))
+    sides = {(r[label], s) for s, d in (("dev", dev), ("held_out", held)) for r in d.select(label).distinct().collect()}
+    pairs = {n: ab for n, ab in pairs.items() if all((x, s) in sides for x in ab for s in ("dev", "held_out"))}
+    plain = staged(models.pair_predictions(dev, pairs, label, {"all": cols}, "doc_id", "grp", fold=None, on=held).select("pair", "doc_id", "grp", "y", F.col("p__all").alias("p")))
+    lookup = df.sparkSession.createDataFrame(sorted(groups.items()), "feature string, feature_group string")
     rows = []
-    for a, b in ((a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]):
-        d = staged(df.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")))
-        dev = d.where("split = 'dev'")
-        if dev.select("y").distinct().count() < 2:
-            continue
-        p = staged(models.score_heldout(d, cols))
-        ci = stats.row_bootstrap_ci(p, 300).first()
-        r = stats.balanced_accuracy(p).first()
-        imp = models.permutation_importance(models.fit_logreg(dev, cols), dev, cols, "doc_id", repeats=repeats)
-        top = [x["feature"] for x in imp.orderBy(F.desc("importance"), "feature").limit(3).collect()]
-        rows.append((f"{a}_{b}", r["balanced_accuracy"], ci["lo"], ci["hi"], r["n"], ",".join(top), models.tree_text(models.fit_tree(dev, cols), cols)))
-    return df.sparkSession.createDataFrame(rows, "pair string, ba double, lo double, hi double, n long, top_features string, tree string")
-
-
-def reading_verdict(reports: DataFrame, term: str) -> DataFrame:
-    """One row: the block statistics of the skip and the reading time model, and whether either is beyond chance at 0.01."""
-    of = lambda m: F.max(F.when((F.col("model") == m) & (F.col("term") == term), F.col("block_chi2")))
-    t = reports.agg(of("skip").alias("skip_chi2"), of("reading_time").alias("time_chi2"))
-    return t.withColumn("verdict", F.when((F.col("skip_chi2") > CHI2_01) | (F.col("time_chi2") > CHI2_01), "RELATED").otherwise("NOT-RELATED"))
+    for n, (a, b) in pairs.items():
+        y = lambda d, a=a, b=b: d.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int"))
+        mine = staged(y(dev))
+        left = Residualizer(featureCols=feats, covariateCols=covs).fit(mine)
+        resid = models.predict(models.fit_logreg(left.transform(mine), feats), left.transform(y(held))).select("grp", "y", "p")
+        imp = models.permutation_importance(models.fit_logreg(mine, cols), mine, cols, "doc_id", repeats=repeats)
+        top = imp.join(lookup, "feature").groupBy("feature_group").agg(F.sum("importance").alias("i")).orderBy(F.desc("i"), "feature_group").limit(3)
+        tops, tree = ",".join(r["feature_group"] for r in top.collect()), models.tree_text(models.fit_tree(mine, cols), cols)
+        for kind, p in (("plain", plain.where(F.col("pair") == n)), ("residual", staged(resid))):
+            ci, m = stats.group_bootstrap_ci(p, "grp", replicates).first(), stats.balanced_accuracy(p).first()
+            rows.append((n, kind, m["balanced_accuracy"], ci["lo"], ci["hi"], m["n"], tops, tree))
+        dropped(mine)
+    return df.sparkSession.createDataFrame(rows, "pair string, kind string, ba double, lo double, hi double, n long, top_groups string, tree string")
+
+
+def reading_features(words: DataFrame, stop: list[str], key: list[str]) -> DataFrame:
+    """A row for each read word with its predictors, standardised: length, log frequency, syllables, boundary, place; and fixated, log_trt.
+
+    What hangs on the word alone is worked out once for each distinct word.
+    """
+    p = stats.word_predictors(words, key, "word", "word_idx", stop)
+    n = words.count()
+    counts = words.groupBy(F.lower("word").alias("__low")).agg(F.count(F.lit(1)).alias("__n"))
+    logfreq = lambda w: w.withColumn("__low", F.lower("word")).join(counts, "__low").select("word", F.log10((F.col("__n") + 1) / F.lit(n)).alias("logfreq"))
+    p = tables.compute_distinct(p, ["word"], logfreq)
+    d = p.join(words.select(*key, "word_idx", "nFix", "TRT"), [*key, "word_idx"])
+    d = d.withColumn("fixated", (F.col("nFix") > 0).cast("int")).withColumn("log_trt", F.when((F.col("nFix") > 0) & (F.col("TRT") > 0), F.log(F.greatest("TRT", F.lit(1.0)))))
+    return tables.zscore(d, ["wlen", "logfreq", "nsyl", "is_boundary"])
+
+
+def reading_report(d: DataFrame, subject: str, cluster: str) -> DataFrame:
+    """(model, term, coef, se, p_value, block_chi2, block_p, n, clusters): whether syllables and boundaries explain skipping and reading time beyond length, frequency and the reader."""
+    coded = staged(tables.dummies(d, subject, [r[0] for r in d.select(subject).distinct().collect()]))
+    who = sorted(c for c in coded.columns if c.startswith(f"{subject}_"))
+    block, x = ["nsyl_z", "is_boundary_z"], ["wlen_z", "logfreq_z"]
+    skip = stats.logit_cluster(coded, "fixated", [*x, *who, *block], block, cluster).withColumn("model", F.lit("skip"))
+    time = stats.ols_cluster(coded.where("fixated = 1"), "log_trt", [*x, *who, *block], block, cluster).withColumn("model", F.lit("reading_time"))
+    return skip.unionByName(time)
+
+
+def reading_verdict(report: DataFrame, boundary: str = "is_boundary_z") -> DataFrame:
+    """One row: the block statistics of both models, the boundary's coefficient in the reading time model, and the verdict: RELATED if that model's block is beyond chance at 0.01, or its boundary is and slows."""
+    of = lambda m, c, t=None: F.max(F.when((F.col("model") == m) & ((F.col("term") == t) if t else F.lit(True)), F.col(c)))
+    t = report.agg(of("skip", "block_chi2").alias("skip_chi2"), of("reading_time", "block_chi2").alias("time_chi2"), of("reading_time", "block_p").alias("p"), of("reading_time", "coef", boundary).alias("boundary"), of("reading_time", "p_value", boundary).alias("bp"))
+    return t.withColumn("verdict", F.when((F.col("p") < 0.01) | ((F.col("bp") < 0.01) & (F.col("boundary") > 0)), "RELATED").otherwise("NOT-RELATED")).select("skip_chi2", "time_chi2", "boundary", "verdict")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import gates, models, segment, stats
-from prosemill.operators import series as Q
+from prosemill.operators.residuals import Residualizer, ResidualizerModel
 from prosemill.plans.base import SENTENCES_CTE, Registry, lit, sql_md5_int, sql_sentences, table
-from prosemill.plans.feature_queries import SERIES, all_series
-from prosemill.plans.table_queries import fold_sql, grouped
+from prosemill.plans.table_queries import fold_sql, grouped, sql_folds
 from prosemill.plans.text_queries import STOP, sql_tokens
-from prosemill.sources import staged
+from prosemill.sources import shared_path, staged
 
 R = Registry()
 
@@ -69,9 +70,17 @@ def _(spark, d):
     return interval(stats.group_bootstrap_ci(preds(spark, d), "grp", 500, 0, "y", "pa"))
 
 
-@R.add("u3_poisson_bootstrap")
+_poisson, _total, _at = [], 0.0, math.exp(-1)
+for _k in range(10):
+    _total += _at
+    _poisson.append(f"CAST(u >= {_total!r}::DOUBLE AS INT)")
+    _at /= _k + 1
+
+
+@R.add("u3_poisson_bootstrap", f"""WITH {PREDS}, c AS (SELECT doc_id, {sql_cells('pa')} FROM preds GROUP BY doc_id), w AS (SELECT r, c.*, {' + '.join(_poisson)} AS w FROM (SELECT r, c.*, {sql_md5_int('0', 'r', 'doc_id')} / 4294967296.0::DOUBLE AS u FROM c, range(200) t(r)) c),
+ s AS (SELECT r, {', '.join(f'sum(pa{x} * w) AS pa{x}' for x in ('00', '01', '10', '11'))} FROM w GROUP BY r), draws AS (SELECT {sql_ba('pa')} AS pa FROM s) {sql_interval('pa')}""")
 def _(spark, d):
-    return stats.poisson_bootstrap_ci(preds(spark, d), "doc_id", 200, 0, "y", "pa")
+    return interval(stats.poisson_bootstrap_ci(preds(spark, d), "doc_id", 200, 0, "y", "pa"))
 
 
 @R.add("u4_bootstrap_increment", f"WITH {PREDS}, {sql_draws(['pa', 'pc'], 500, 0)} {sql_interval('pc - pa')}")
@@ -89,11 +98,16 @@ def _(spark, d):
     return interval(stats.bootstrap_diff_over_realizations(preds(spark, d), "grp", ("pa", ["pb", "pd"]), ("pc", ["pb", "pe"]), 500, 0))
 
 
-_perm = f"""WITH {PREDS}, g AS (SELECT grp || '#' || y AS grp, y, count(*) FILTER (WHERE pc = 1) AS n1, count(*) FILTER (WHERE pc = 0) AS n0 FROM preds GROUP BY ALL),
- mixed AS (SELECT r AS replicate, grp, n1, n0, row_number() OVER (PARTITION BY r ORDER BY {sql_md5_int('0', 'r', 'grp')}, grp) AS i FROM g, range(300) t(r)), fixed AS (SELECT y AS label, row_number() OVER (ORDER BY grp) AS i FROM g),
- s AS (SELECT replicate, sum(CASE WHEN label = 0 THEN n0 ELSE 0 END) AS pc00, sum(CASE WHEN label = 0 THEN n1 ELSE 0 END) AS pc01, sum(CASE WHEN label = 1 THEN n0 ELSE 0 END) AS pc10, sum(CASE WHEN label = 1 THEN n1 ELSE 0 END) AS pc11 FROM mixed JOIN fixed USING (i) GROUP BY replicate),
- dr AS (SELECT {sql_ba('pc')} AS d FROM s), c AS (SELECT {sql_cells('pc')} FROM preds), re AS (SELECT {sql_ba('pc')} AS ba FROM c)
- SELECT round(ba, 9) AS ba, round((count(*) FILTER (WHERE d >= ba - 1e-12) + 1) / (count(d) + 1), 9) AS p_value, count(d) AS draws FROM dr, re WHERE d IS NOT NULL GROUP BY ba"""
+def sql_permuted(groups: str, reps: int, seed: int = 0) -> str:
+    """A query for (grp, replicate, label) over groups (grp, y): 0 is the truth; in the others the least hashes have label 1, as many as in truth."""
+    ranks = f"SELECT grp, r, row_number() OVER (PARTITION BY r ORDER BY {sql_md5_int(str(seed), 'r', 'grp')}, grp) AS i FROM {groups}, range({reps}) t(r)"
+    return f"SELECT grp, 0 AS replicate, y AS label FROM {groups} UNION ALL SELECT grp, CAST(r AS INT) + 1, CAST(i <= (SELECT count(*) FILTER (WHERE y = 1) FROM {groups}) AS INT) FROM ({ranks})"
+
+
+_perm = f"""WITH {PREDS}, g AS (SELECT grp || '#' || y AS grp, min(y) AS y, count(*) FILTER (WHERE pc = 1) AS n1, count(*) FILTER (WHERE pc = 0) AS n0 FROM preds GROUP BY grp, preds.y), l AS ({sql_permuted('g', 300)}),
+ s AS (SELECT replicate, sum(CASE WHEN label = 0 THEN n0 ELSE 0 END) AS pc00, sum(CASE WHEN label = 0 THEN n1 ELSE 0 END) AS pc01, sum(CASE WHEN label = 1 THEN n0 ELSE 0 END) AS pc10, sum(CASE WHEN label = 1 THEN n1 ELSE 0 END) AS pc11 FROM l JOIN g USING (grp) GROUP BY replicate),
+ dr AS (SELECT replicate, {sql_ba('pc')} AS d FROM s), re AS (SELECT d AS ba FROM dr WHERE replicate = 0)
+ SELECT round(ba, 9) AS ba, round((count(*) FILTER (WHERE d >= ba - 1e-12) + 1) / (count(d) + 1), 9) AS p_value, count(d) AS draws FROM dr, re WHERE replicate > 0 AND d IS NOT NULL GROUP BY ba"""
 
 
 @R.add("u7_threshold_permutation", _perm)
@@ -123,10 +137,23 @@ def features(spark, d):
     return models.with_folds(f, "perm_group")
 
 
-def sql_logreg(src: str, cols: list[str], name: str, held: str = "SELECT DISTINCT fold AS k FROM {}", alt: str | None = None, out: str = "p", steps: int = 12) -> str:
+def _solve(cols: str, d: int, body: str) -> str:
+    """x0.. of the symmetric equations a x = g in the columns a<i>_<j> (j >= i) and g<i>; the columns cols stay."""
+    n = range(d)
+    for s in n:
+        keep = [f"a{i}_{j} - a{s}_{i} / a{s}_{s} * a{s}_{j} AS a{i}_{j}" for i in n if i > s for j in n if j >= i] + [f"g{i} - a{s}_{i} / a{s}_{s} * g{s} AS g{i}" for i in n if i > s]
+        old = [f"a{i}_{j}" for i in n if i <= s for j in n if j >= i] + [f"g{i}" for i in n if i <= s]
+        body = f"SELECT {', '.join([*([cols] if cols else []), *old, *keep])} FROM ({body})"
+    for i in reversed(n):
+        body = f"SELECT *, (g{i}{''.join(f' - a{i}_{j} * x{j}' for j in n if j > i)}) / a{i}_{i} AS x{i} FROM ({body})"
+    return body
+
+
+def sql_logreg(src: str, cols: list[str], name: str, held: str = "SELECT DISTINCT fold AS k FROM {}", alt: str | None = None, out: str = "p", steps: int = 12, on: str = "fold <> k", mine: str = "k IN (f.fold, -1)") -> str:
     """CTEs up to <name>: rows of alt, or src, of fold k with the prediction of the model of the other folds, for each held k; -1 holds none back.
 
-    The logistic loss with half the squared weights added, on columns less
+    on and mine say which rows teach model k and which it predicts. The loss is
+    the logistic loss with half the squared weights added, on columns less
     their mean over their sample deviation, solved by Newton's steps; each
     solves its equations by elimination.
     """
@@ -134,8 +161,8 @@ def sql_logreg(src: str, cols: list[str], name: str, held: str = "SELECT DISTINC
     n = f"{name}_"
     ctes = [
         f"{n}k AS MATERIALIZED ({held.format(src)})",
-        f"{n}st AS MATERIALIZED (SELECT k, {', '.join(f'avg({c}) AS m{i}, stddev_samp({c}) AS s{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}k ON fold <> k GROUP BY k)",
-        f"{n}z AS MATERIALIZED (SELECT k, y, 1.0::DOUBLE AS z0, {', '.join(f'({c} - m{i}) / s{i} AS z{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}st ON fold <> k)",
+        f"{n}st AS MATERIALIZED (SELECT k, {', '.join(f'avg({c}) AS m{i}, stddev_samp({c}) AS s{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}k ON {on} GROUP BY k)",
+        f"{n}z AS MATERIALIZED (SELECT k, y, 1.0::DOUBLE AS z0, {', '.join(f'({c} - m{i}) / s{i} AS z{i}' for i, c in enumerate(cols, 1))} FROM {src} JOIN {n}st ON {on})",
         f"{n}b0 AS MATERIALIZED (SELECT k, {', '.join(f'0.0::DOUBLE AS b{i}' for i in d)} FROM {n}k)",
     ]
     for t in range(steps):
@@ -152,7 +179,7 @@ def sql_logreg(src: str, cols: list[str], name: str, held: str = "SELECT DISTINC
             body = f"SELECT *, {back[-1]} FROM ({body})"
         ctes.append(f"{n}b{t + 1} AS MATERIALIZED (SELECT k, {', '.join(f'b{i} + x{i} AS b{i}' for i in d)} FROM ({body}))")
     score = "b0 + " + " + ".join(f"b{i} * ({c} - m{i}) / s{i}" for i, c in enumerate(cols, 1))
-    ctes.append(f"{name} AS MATERIALIZED (SELECT f.*, {score} AS {out}_z, CAST({score} > 0 AS INT) AS {out} FROM {alt or src} f JOIN {n}b{steps} ON k IN (f.fold, -1) JOIN {n}st USING (k))")
+    ctes.append(f"{name} AS MATERIALIZED (SELECT f.*, {score} AS {out}_z, CAST({score} > 0 AS INT) AS {out} FROM {alt or src} f JOIN {n}b{steps} ON {mine} JOIN {n}st USING (k))")
     return ", ".join(ctes)
 
 
@@ -170,9 +197,21 @@ def rounded_metrics(df, *by):
 ALL_ROWS = "SELECT -1 AS k"
 
 
-@R.add("u7_group_permutation")
+def sql_permutation_test(src: str, cols: list[str], reps: int, more: str = "") -> str:
+    """CTEs up to pt (ba, p_value, draws): stats.group_permutation_test of src (doc_id, perm_group, y, fold, cols); more: the column of src whose value is the fold that the columns are made for, if they are."""
+    own = f"AND {more} = k % 100" if more else ""
+    fits = sql_logreg("pf", cols, "pm", "SELECT DISTINCT replicate * 100 + fold AS k FROM {}", on=f"replicate = k // 100 AND fold <> k % 100 {own}", mine=f"f.replicate = k // 100 AND f.fold = k % 100 {own}")
+    return f"""pg AS (SELECT perm_group AS grp, min(y) AS y FROM {src} GROUP BY perm_group), pl AS ({sql_permuted('pg', reps)}),
+ pf AS (SELECT s.* REPLACE (label AS y), replicate FROM {src} s JOIN pl ON pl.grp = s.perm_group), {fits},
+ pc AS (SELECT replicate, fold, count(*) FILTER (WHERE y = 0 AND p = 0) / nullif(count(*) FILTER (WHERE y = 0), 0) AS r0, count(*) FILTER (WHERE y = 1 AND p = 1) / nullif(count(*) FILTER (WHERE y = 1), 0) AS r1 FROM pm GROUP BY ALL),
+ pb AS (SELECT replicate, avg((coalesce(r0, r1) + coalesce(r1, r0)) / 2) AS d FROM pc GROUP BY replicate),
+ pt AS (SELECT round(x.d, 9) AS ba, round((count(*) FILTER (WHERE pb.d >= x.d - 1e-12) + 1) / (count(*) + 1), 9) AS p_value, count(*) AS draws FROM pb, (SELECT d FROM pb WHERE replicate = 0) x WHERE replicate > 0 GROUP BY x.d)"""
+
+
+@R.add("u7_group_permutation", f"WITH {FEATURES}, {sql_permutation_test('f', FEATS, 30)} SELECT * FROM pt")
 def _(spark, d):
-    return stats.group_permutation_test(features(spark, d), FEATS, "perm_group", "y", replicates=200)
+    t = stats.group_permutation_test(features(spark, d), FEATS, "perm_group", "y", replicates=30)
+    return t.select(F.round("ba", 9).alias("ba"), F.round("p_value", 9).alias("p_value"), "draws")
 
 
 def _shuffled_sql(repeats: int, seed: int = 0) -> str:
@@ -198,7 +237,7 @@ def _(spark, d):
 def _(spark, d):
     f = staged(features(spark, d))
     m = models.fit_tree(f, FEATS)
-    return models.predict(m, f).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"), F.lit(models.tree_text(m, FEATS)).alias("tree"))
+    return models.tree_predict(m, f).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"), F.lit(models.tree_text(m, FEATS)).alias("tree"))
 
 
 @R.add("u11_out_of_fold", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm')} {metrics_sql('m')}")
@@ -229,10 +268,40 @@ def _(spark, d):
     return stats.residualize(f, ["words"], ["chars"]).select("doc_id", (F.round("words", 4) + 0).alias("words"))
 
 
-@R.add("u14_residual_contrast")
+def sql_residuals(src: str, feats: list[str], covs: list[str], name: str, keys: str = "SELECT DISTINCT fold AS k FROM {}", on: str = "fold <> k") -> str:
+    """CTEs up to <name>: the rows of src once for each k, as kk, with feats less their least-squares fit on covs by the rows of src that on holds for."""
+    z = ["1.0::DOUBLE", *covs]
+    d, n = range(len(z)), f"{name}_"
+    out = [f"{n}k AS ({keys.format(src)})"]
+    for f in feats:
+        sums = [f"sum({z[i]} * {z[j]}) AS a{i}_{j}" for i in d for j in d if j >= i] + [f"sum({z[i]} * {f}) AS g{i}" for i in d]
+        out.append(f"{n}{f} AS MATERIALIZED (SELECT k, {', '.join(f'x{i}' for i in d)} FROM ({_solve('k', len(z), f'SELECT k, {chr(44).join(sums)} FROM {src} JOIN {n}k ON {on} GROUP BY k')}))")
+    left = ", ".join(f"{f} - ({' + '.join(f'{n}{f}.x{i} * {z[i]}' for i in d)}) AS {f}" for f in feats)
+    out.append(f"{name} AS MATERIALIZED (SELECT s.* REPLACE ({left}), {n}k.k AS kk FROM {src} s CROSS JOIN {n}k {' '.join(f'JOIN {n}{f} ON {n}{f}.k = {n}k.k' for f in feats)})")
+    return ", ".join(out)
+
+
+_rf, _rc = ["ttr", "mean_len"], ["words", "sents"]
+_u14 = f"""WITH {FEATURES}, {sql_residuals('f', _rf, _rc, 'rk')}, {sql_logreg('rk', _rf, 'm', 'SELECT DISTINCT kk AS k FROM {}', on='kk = k AND fold <> k', mine='f.kk = k AND f.fold = k')}, preds AS (SELECT grp, y, p AS pa FROM m), {sql_draws(['pa'], 200, 0)}, i AS ({sql_interval('pa')}), b AS ({metrics_sql('m')}),
+ {sql_permutation_test('rk', _rf, 20, 'kk')} SELECT balanced_accuracy AS ba, lo AS ci_low, hi AS ci_high, p_value AS perm_p FROM b, i, pt"""
+
+
+_on_dev = sql_residuals("f", _rf, _rc, "r", "SELECT 0 AS k", "fold <> k")
+
+
+@R.add("u13_residualizer", f"WITH {FEATURES}, {_on_dev} SELECT doc_id, round(ttr, 7) + 0 AS ttr, round(mean_len, 6) + 0 AS mean_len FROM r WHERE fold = 0")
 def _(spark, d):
-    r = models.residual_contrast(features(spark, d), ["ttr", "mean_len"], ["words", "sents"], "grp")
-    return spark.createDataFrame([tuple(map(float, r.values()))], ", ".join(f"{k} double" for k in r))
+    f = staged(features(spark, d))
+    path = shared_path(spark)
+    Residualizer(featureCols=_rf, covariateCols=_rc).fit(f.where("fold <> 0")).write().save(path)
+    held = ResidualizerModel.load(path).transform(f.where("fold = 0"))
+    return held.select("doc_id", (F.round("ttr", 7) + 0).alias("ttr"), (F.round("mean_len", 6) + 0).alias("mean_len"))
+
+
+@R.add("u14_residual_contrast", _u14)
+def _(spark, d):
+    r = models.residual_contrast(staged(features(spark, d)), _rf, _rc, "grp", permutations=20)
+    return spark.createDataFrame([tuple(round(float(v), 9) for v in r.values())], ", ".join(f"{k} double" for k in r))
 
 
 SETS = {"length_set": ["words", "sents"], "lexical_set": ["ttr", "mean_len"]}
@@ -282,13 +351,20 @@ def _(spark, d):
     return rounded_metrics(stats.balanced_accuracy(p)).drop("macro_f1").crossJoin(ci)
 
 
-@R.add("u19_balanced_rerun", f"WITH {FEATURES}, {sql_logreg('f', FEATS, 'm')}, r AS (SELECT * REPLACE (CASE WHEN lang = 'es' THEN 'fr' ELSE lang END AS lang) FROM m) {metrics_sql('r', 'lang')}")
-def _(spark, d):
-    from prosemill.operators import sampling
+_era = f"""e0 AS (SELECT f.* REPLACE (CASE WHEN lang = 'es' THEN 1 ELSE y END AS y, CASE WHEN lang = 'es' AND grp = 'src1' THEN 'src1_' || (row_number() OVER (PARTITION BY lang = 'es' AND grp = 'src1' ORDER BY doc_id) - 1) % 5 ELSE grp END AS grp), lang = 'es' AS band FROM f),
+ e1 AS (SELECT doc_id, lang, band, e0.grp AS source, e0.grp || '#' || y AS grp, y, words, sents, ttr, mean_len FROM e0), {sql_folds('e1', name='efolds', n='e')},
+ e AS (SELECT e1.*, efolds.fold FROM e1 JOIN efolds USING (grp))"""
 
-    f = models.relabel(features(spark, d), "lang", "es", "fr")
-    f = staged(sampling.spread_groups(f, "grp", "src1", "doc_id", 5))
-    return rounded_metrics(stats.balanced_accuracy(models.oof_predict(f, FEATS), by=["lang"]), "lang")
+
+@R.add("u19_balanced_rerun", f"WITH {FEATURES}, {_era}, {sql_logreg('e', FEATS, 'm')}, b AS ({metrics_sql('m')}), o AS (SELECT doc_id, y AS old_y, fold AS old_fold FROM f) SELECT fold, y, band, count(*) AS n, count(DISTINCT grp) AS n_groups, count(*) FILTER (WHERE y <> old_y) AS relabelled, count(*) FILTER (WHERE fold <> old_fold) AS moved, count(*) FILTER (WHERE p = y) AS hits, any_value(balanced_accuracy) AS balanced_accuracy FROM m JOIN o USING (doc_id), b GROUP BY fold, y, band")
+def _(spark, d):
+    f = staged(features(spark, d))
+    e = staged(models.merged_band(f, F.col("lang") == "es", 1, "grp", "src1", "doc_id"))
+    p = staged(models.oof_predict(e, FEATS).join(f.select("doc_id", F.col("y").alias("old_y"), F.col("fold").alias("old_fold")), "doc_id"))
+    b = rounded_metrics(stats.balanced_accuracy(p)).select("balanced_accuracy")
+    n = lambda c: F.count_if(c)
+    by = p.groupBy("fold", "y", "band").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("perm_group").alias("n_groups"), n(F.col("y") != F.col("old_y")).alias("relabelled"), n(F.col("fold") != F.col("old_fold")).alias("moved"), n(F.col("p") == F.col("y")).alias("hits"))
+    return by.crossJoin(b)
 
 
 _m = sql_md5_int("source")
@@ -369,47 +445,44 @@ READING = """r0 AS (SELECT user_id AS c, value AS trt, CAST(json_extract(props,
  r AS (SELECT c, trt, CASE WHEN sk > 0 THEN (k - mk) / sk ELSE k * 0 END AS k_z, CASE WHEN sw > 0 THEN (wlen - mw) / sw ELSE wlen * 0 END AS wlen_z, CAST(trt > 5 AS INT) AS fixated, ln(greatest(trt, 1.0::DOUBLE)) AS log_trt FROM r0, rs)"""
 
 
-def _solve(cols: str, d: int, body: str) -> str:
-    """x0.. of the symmetric equations a x = g in the columns a<i>_<j> (j >= i) and g<i>; the columns cols stay."""
-    n = range(d)
-    for s in n:
-        keep = [f"a{i}_{j} - a{s}_{i} / a{s}_{s} * a{s}_{j} AS a{i}_{j}" for i in n if i > s for j in n if j >= i] + [f"g{i} - a{s}_{i} / a{s}_{s} * g{s} AS g{i}" for i in n if i > s]
-        old = [f"a{i}_{j}" for i in n if i <= s for j in n if j >= i] + [f"g{i}" for i in n if i <= s]
-        body = f"SELECT {', '.join([*([cols] if cols else []), *old, *keep])} FROM ({body})"
-    for i in reversed(n):
-        body = f"SELECT *, (g{i}{''.join(f' - a{i}_{j} * x{j}' for j in n if j > i)}) / a{i}_{i} AS x{i} FROM ({body})"
-    return body
-
-
-def cluster_sql(name: str, y: str, kind: str, where: str = "TRUE", steps: int = 12) -> str:
-    """CTEs up to <name> (term, coef, se, n, clusters) of a least squares or logit model of y on _X over r, clustered by c."""
-    d, n = range(3), f"{name}_"
-    out = [f"{n}d AS MATERIALIZED (SELECT c, CAST({y} AS DOUBLE) AS y, 1.0::DOUBLE AS z0, wlen_z AS z1, k_z AS z2 FROM r WHERE {where} AND {y} IS NOT NULL AND wlen_z IS NOT NULL AND k_z IS NOT NULL AND c IS NOT NULL)"]
-    out.append(f"{n}b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)")
+def cluster_sql(name: str, y: str, kind: str, where: str = "TRUE", steps: int = 12, xs: list[str] = _X, block: list[str] = ("k_z",)) -> str:
+    """CTEs up to <name> (term, coef, se, n, clusters, block_chi2) of a least squares or logit model of y on xs over r, clustered by c."""
+    k_ = len(xs) + 1
+    d, n = range(k_), f"{name}_"
+    z = ", ".join(f"CAST({x} AS DOUBLE) AS z{i}" for i, x in enumerate(xs, 1))
+    out = [f"{n}d AS MATERIALIZED (SELECT c, CAST({y} AS DOUBLE) AS y, 1.0::DOUBLE AS z0, {z} FROM r WHERE {where} AND {y} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)} AND c IS NOT NULL)"]
+    out.append(f"{n}b0 AS MATERIALIZED (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in d)})")
     weight = "p * (1 - p)" if kind == "logit" else "1"
     of = "1 / (1 + exp(-eta))" if kind == "logit" else "eta"
-    with_p = lambda t: f"(SELECT *, {of} AS p FROM (SELECT *, b0 * z0 + b1 * z1 + b2 * z2 AS eta FROM {n}d, {n}b{t}))"
+    with_p = lambda t: f"(SELECT *, {of} AS p FROM (SELECT *, {' + '.join(f'b{i} * z{i}' for i in d)} AS eta FROM {n}d, {n}b{t}))"
     last = steps if kind == "logit" else 1
+    olds = ", ".join(f"b{i}" for i in d)
     for t in range(last):
         sums = [f"sum(z{i} * z{j} * {weight}) AS a{i}_{j}" for i in d for j in d if j >= i] + [f"sum((y - p) * z{i}) AS g{i}" for i in d] + [f"any_value(b{i}) AS b{i}" for i in d]
-        out.append(f"{n}b{t + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + x{i} AS b{i}' for i in d)} FROM ({_solve('b0, b1, b2', 3, f'SELECT {chr(44).join(sums)} FROM {with_p(last and t)}')}))")
+        out.append(f"{n}b{t + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} + x{i} AS b{i}' for i in d)} FROM ({_solve(olds, k_, f'SELECT {chr(44).join(sums)} FROM {with_p(last and t)}')}))")
     # The bread's columns are solutions for unit vectors, at the weights of the last step but one for the logit, as its errors are taken there.
     at = last - 1 if kind == "logit" else last
     out.append(f"{n}a AS MATERIALIZED (SELECT {', '.join(f'sum(z{i} * z{j} * {weight}) AS a{i}_{j}' for i in d for j in d if j >= i)} FROM {with_p(at)})")
     for k in d:
         unit = ", ".join(f"{1.0 if i == k else 0.0}::DOUBLE AS g{i}" for i in d)
-        out.append(f"{n}i{k} AS MATERIALIZED (SELECT {', '.join(f'x{i} AS v{k}_{i}' for i in d)} FROM ({_solve('', 3, f'SELECT *, {unit} FROM {n}a')}))")
+        out.append(f"{n}i{k} AS MATERIALIZED (SELECT {', '.join(f'x{i} AS v{k}_{i}' for i in d)} FROM ({_solve('', k_, f'SELECT *, {unit} FROM {n}a')}))")
     out.append(f"{n}u AS MATERIALIZED (SELECT c, {', '.join(f'sum(z{i} * (y - p)) AS u{i}' for i in d)} FROM {with_p(last)} GROUP BY c)")
     out.append(f"{n}m AS MATERIALIZED (SELECT {', '.join(f'sum(u{i} * u{j}) AS m{i}_{j}' for i in d for j in d)}, count(*) AS g, (SELECT count(*) FROM {n}d) AS n FROM {n}u)")
-    cov = lambda a, b: " + ".join(f"v{a}_{i} * m{i}_{j} * v{b}_{j}" for i in d for j in d)
-    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, b{k} AS coef, sqrt((g / (g - 1)) * ((n - 1) / (n - 3)) * ({cov(k, k)})) AS se, n, g AS clusters FROM {n}b{last}, {n}i0, {n}i1, {n}i2, {n}m" for k, t in enumerate(["const", *_X]))
+    scale = f"(g / (g - 1)) * ((n - 1) / (n - {k_}))"
+    cov = lambda a, b: f"{scale} * ({' + '.join(f'v{a}_{i} * m{i}_{j} * v{b}_{j}' for i in d for j in d)})"
+    from_ = f"{n}b{last}, {', '.join(f'{n}i{k}' for k in d)}, {n}m"
+    at_ = [xs.index(b) + 1 for b in block]
+    part = ", ".join([f"{cov(p, q)} AS a{i}_{j}" for i, p in enumerate(at_) for j, q in enumerate(at_) if j >= i] + [f"b{p} AS g{i}" for i, p in enumerate(at_)] + [f"b{p} AS w{i}" for i, p in enumerate(at_)])
+    keep = ", ".join(f"w{i}" for i in range(len(at_)))
+    out.append(f"{n}w AS MATERIALIZED (SELECT {' + '.join(f'w{i} * x{i}' for i in range(len(at_)))} AS block_chi2 FROM ({_solve(keep, len(at_), f'SELECT {part} FROM {from_}')}))")
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS term, b{k} AS coef, sqrt({cov(k, k)}) AS se, n, g AS clusters, block_chi2 FROM {from_}, {n}w" for k, t in enumerate(["const", *xs]))
     out.append(f"{name} AS ({rows})")
     return ", ".join(out)
 
 
 def report_sql(name: str, more: str = "") -> str:
-    """The report of one model: the block is k_z alone, so its Wald statistic is the square of its t."""
-    return f"SELECT {more}term, round(coef, 6) + 0 AS coef, round(se, 6) AS se, round((SELECT (coef / se) ** 2 FROM {name} WHERE term = 'k_z'), 4) AS block_chi2, n, clusters FROM {name}"
+    """The report of one model."""
+    return f"SELECT {more}term, round(coef, 6) + 0 AS coef, round(se, 6) AS se, round(block_chi2, 4) AS block_chi2, n, clusters FROM {name}"
 
 
 def report(df, *more):
@@ -466,18 +539,6 @@ def _(spark, d):
     return stats.auc(j, "n_chars", "quality").withColumn("auc", F.round("auc", 9))
 
 
-_shufs = f"shufs AS (SELECT doc_id * 100 + draw AS doc_id, name, row_number() OVER (PARTITION BY doc_id, name, draw ORDER BY {sql_md5_int('draw', 'doc_id', 'name', 'pos')}, pos) - 1 AS pos, value FROM series, range(20) t(draw) WHERE name = 'sl')"
-_turn = "SELECT doc_id, round(CASE WHEN count(*) >= 3 THEN sum(CASE WHEN (value > a AND value > b) OR (value < a AND value < b) THEN 1.0::DOUBLE ELSE 0 END) / (count(*) - 2) ELSE 0 END, 9) AS v FROM (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM {0} WHERE name = 'sl' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY doc_id"
-
-
-@R.add("u33_null_percentile", f"WITH {SERIES}, {_shufs}, r AS ({_turn.format('series')}), k AS ({_turn.format('shufs')}) SELECT r.doc_id, round(avg(CASE WHEN k.v < r.v THEN 1.0::DOUBLE ELSE 0 END), 9) AS turning FROM r JOIN k ON k.doc_id // 100 = r.doc_id GROUP BY r.doc_id")
-def _(spark, d):
-    s = all_series(spark, d).where("name = 'sl'")
-    real = Q.turning(s, ["doc_id"]).withColumn("turning", F.round("turning", 9))
-    draws = Q.turning(Q.shuffled(s, spark.range(20).select(F.col("id").cast("int").alias("draw"))), ["doc_id", "draw"]).withColumn("turning", F.round("turning", 9))
-    return Q.null_percentile(real, draws, ["turning"]).withColumn("turning", F.round("turning", 9))
-
-
 @R.add("u34_embedding_spread", "WITH v AS (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY vec_id HAVING sum(x * x) > 0), s AS (SELECT label, i, sum(x / norm) AS s, count(*) AS n FROM v JOIN n USING (vec_id) GROUP BY ALL) SELECT label, max(n) AS n, round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 7) AS mean_cosine FROM s GROUP BY label")
 def _(spark, d):
     return stats.embedding_spread(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean_cosine", F.round("mean_cosine", 7))

@@ -63,14 +63,15 @@ def _(spark, d):
     return back.groupBy("subject").agg(F.count("event_id").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@R.add("s6_labelled_tokens", f"""WITH t AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+') AS a FROM documents))
- SELECT doc_id AS sent_id, count(*) AS n, CAST(sum(least(2, greatest(0, {sql_md5_int('word')} % 5 - 1))) AS BIGINT) AS labels FROM t GROUP BY doc_id""")
+@R.add("s6_labelled_tokens", f"""WITH t AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS word FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+') AS a FROM documents)),
+ n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS nth FROM (SELECT DISTINCT doc_id FROM t))
+ SELECT nth, count(*) AS n, CAST(sum(least(2, greatest(0, {sql_md5_int('word')} % 5 - 1))) AS BIGINT) AS labels, CAST(sum(pos * length(word)) AS BIGINT) AS placed FROM t JOIN n USING (doc_id) GROUP BY nth""")
 def _(spark, d):
     from prosemill.operators import segment
 
     w = segment.words(docs_of(spark, d)).withColumn("label", (T.md5_int(F.col("word")) % 5 - 1).cast("int"))
     made = sources.labelled_tokens(w, "doc_id", "pos", "word", "label")
-    return made.groupBy("sent_id").agg(F.count("word").alias("n"), F.sum("label").cast("long").alias("labels"))
+    return made.groupBy("nth").agg(F.count("word").alias("n"), F.sum("label").cast("long").alias("labels"), F.sum((F.col("pos") + 1) * F.length("word")).cast("long").alias("placed"))
 
 
 @R.add("s7_last_turn", "SELECT conv_id, max(turn) AS turn, md5(arg_max(text, turn)) AS digest FROM conversations WHERE role IN ('assistant', 'gpt') GROUP BY conv_id")
@@ -86,9 +87,10 @@ def _(spark, d):
 
 @R.add("s9_append_classes", "WITH o AS (SELECT * FROM documents WHERE lang IN ('en', 'de')), n AS (SELECT * FROM documents WHERE lang IN ('de', 'fr')) SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE lang NOT IN (SELECT lang FROM o)) GROUP BY lang")
 def _(spark, d):
-    docs = docs_of(spark, d)
-    both = S.append_classes(docs.where("lang IN ('en', 'de')"), docs.where("lang IN ('de', 'fr')"), "lang")
-    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    docs, root = docs_of(spark, d).select("doc_id", "lang"), sources.shared_path(spark)
+    for some in (("en", "de"), ("de", "fr")):  # the second time only fr is new
+        sources.write_passages(docs.where(F.col("lang").isin(*some)), root, "lang")
+    return spark.read.parquet(root).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
 # --- projections and filters
@@ -131,6 +133,17 @@ def _(spark, d):
     return B.bad_rows(table(spark, d, "events"), ["value"]).agg(F.count(F.lit(1)).alias("bad"))
 
 
+_checks = {"not finite": "value IS NULL OR isnan(value) OR isinf(value)", "outside 1 to 100": "value IS NULL OR value NOT BETWEEN 1 AND 100"}
+
+
+@R.add("p7_checked_write", " UNION ALL ".join(f"SELECT '{k}' AS check_name, count(*) AS rows, count(*) FILTER (WHERE {c}) AS bad, min(event_id) FILTER (WHERE {c}) AS first, max(event_id) FILTER (WHERE {c}) AS last FROM events" for k, c in _checks.items()))
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "value")
+    checks = {"not finite": B.not_finite("value"), "outside 1 to 100": B.outside("value", 1, 100)}
+    r = B.write_checked(e, sources.shared_path(spark), checks, "event_id", fail=False)
+    return spark.createDataFrame([(k, v["rows"], v["bad"], v["first"], v["last"]) for k, v in r.items()], "check_name string, rows long, bad long, first long, last long")
+
+
 @R.add("p8_range_and_coverage", "SELECT (SELECT count(*) FROM events WHERE value IS NULL OR value NOT BETWEEN 1 AND 100) AS outside, (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS uncovered")
 def _(spark, d):
     a = B.out_of_range(table(spark, d, "events"), ["value"], 1, 100).agg(F.count(F.lit(1)).alias("outside"))
@@ -183,11 +196,20 @@ def _(spark, d):
     return S.top_per_group(docs_of(spark, d), "lang", ["doc_id"], 5).select("doc_id", "lang")
 
 
+def sql_folds(src: str, seed: int = 0, k: int = 5, name: str = "folds", n: str = "") -> str:
+    """CTEs up to <name> (grp, fold): sampling.group_folds of src (grp, y), y 0 or 1."""
+    zero = f"[{', '.join(['0::BIGINT'] * k)}]"
+    return f"""{n}g1 AS (SELECT grp, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM {src} GROUP BY grp),
+ {n}g2 AS (SELECT *, row_number() OVER (ORDER BY n0 + n1 DESC, {sql_md5_int(str(seed), 'grp')}, grp) AS i FROM {n}g1),
+ {n}t AS (SELECT CAST(greatest(1, sum(n0)) AS DOUBLE) AS t0, CAST(greatest(1, sum(n1)) AS DOUBLE) AS t1 FROM {n}g1),
+ {name} AS (WITH RECURSIVE s AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS grp, 0 AS fold, {zero} AS c0, {zero} AS c1
+  UNION ALL SELECT i, grp, fold, list_transform(c0, lambda v, f: CASE WHEN f = fold + 1 THEN v + n0 ELSE v END), list_transform(c1, lambda v, f: CASE WHEN f = fold + 1 THEN v + n1 ELSE v END)
+  FROM (SELECT g.i, g.grp, g.n0, g.n1, s.c0, s.c1, CAST(list_sort(list_transform(range(1, {k + 1}), lambda f: {{'r': CAST(c0[f] * n0 AS DOUBLE) / t0 / t0 + CAST(c1[f] * n1 AS DOUBLE) / t1 / t1, 'n': c0[f] + c1[f], 'i': f}}))[1].i - 1 AS INT) AS fold FROM s JOIN {n}g2 g ON g.i = s.i + 1, {n}t))
+  SELECT grp, fold FROM s WHERE i > 0)"""
+
+
 def fold_sql(seed: int = 0, k: int = 5) -> str:
-    return f"""g0 AS (SELECT doc_id, source || '#' || quality AS grp, quality AS y FROM documents JOIN labels USING (doc_id)),
- g1 AS (SELECT grp, y, count(*) AS n FROM g0 GROUP BY grp, y), g2 AS (SELECT grp, sum(n) AS size, arg_min(y, -n * 10 + y) AS label FROM g1 GROUP BY grp),
- g3 AS (SELECT grp, (row_number() OVER (PARTITION BY label ORDER BY size DESC, {sql_md5_int(str(seed), 'grp')}, grp) - 1) % {2 * k} AS turn FROM g2),
- folds AS (SELECT grp, CAST(CASE WHEN turn < {k} THEN turn ELSE {2 * k - 1} - turn END AS INT) AS fold FROM g3),
+    return f"""g0 AS (SELECT doc_id, source || '#' || quality AS grp, quality AS y FROM documents JOIN labels USING (doc_id)), {sql_folds('g0', seed, k)},
  folded AS (SELECT g0.*, fold FROM g0 JOIN folds USING (grp))"""
 
 
@@ -200,6 +222,18 @@ def _(spark, d):
     return S.group_folds(grouped(spark, d), "grp", "y", 5, 0)
 
 
+_mixed = "m0 AS (SELECT source AS grp, quality AS y FROM documents JOIN labels USING (doc_id))"
+
+
+@R.add("m8_fold_balance", f"WITH {_mixed}, {sql_folds('m0', n='m')}, s AS (SELECT fold, y, count(*) AS n FROM m0 JOIN folds USING (grp) GROUP BY ALL), t AS (SELECT y, sum(n) AS t FROM s GROUP BY y) SELECT fold, y, n, round(n / t, 9) AS share, round((SELECT max(n / t) - min(n / t) FROM s x JOIN t USING (y) WHERE x.y = s.y), 9) AS spread FROM s JOIN t USING (y)")
+def _(spark, d):
+    f = S.with_folds(labelled(spark, d).select(F.col("source").alias("grp"), F.col("quality").alias("y")), "grp", "y")
+    n = f.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("y"))  # a row for each fold
+    w = Window.partitionBy("y")
+    return n.withColumn("s", share).select("fold", "y", "n", F.round("s", 9).alias("share"), F.round(F.max("s").over(w) - F.min("s").over(w), 9).alias("spread"))
+
+
 QUAR = f"{fold_sql()}, held AS (SELECT min(fold) AS held FROM (SELECT fold FROM folded GROUP BY fold HAVING count(DISTINCT y) = (SELECT count(DISTINCT y) FROM folded))), split AS (SELECT doc_id, grp, y, CASE WHEN fold = held THEN 'held_out' ELSE 'dev' END AS split FROM folded CROSS JOIN held)"
 
 
@@ -317,6 +351,15 @@ def _(spark, d):
     return docs_of(spark, d).groupBy("lang").agg(F.countDistinct("source").alias("sources"))
 
 
+@R.add("a3_distinct_sketch", "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS within_2_percent FROM events GROUP BY event_type")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    daily = B.distinct_sketches(e, ["event_type", "day"], "user_id")
+    merged = B.merged_distinct(daily, ["event_type"])  # no row of events is read again
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(merged, "event_type").select("event_type", "users", (F.abs(F.col("distinct") - F.col("users")) <= 0.02 * F.col("users")).alias("within_2_percent"))
+
+
 @R.add("a4_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY l_returnflag")
 def _(spark, d):
     q = B.quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.975])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,32 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by staged() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if re.fullmatch(r"[0-9a-f]{32}", folder.getName()):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once per application, as --py-files does; functions that run there need it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_prosemill_library", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    to = os.path.join(tempfile.mkdtemp(prefix="prosemill-code-"), "prosemill_library.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "prosemill")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), root))
+    sc.addPyFile(to)
+    sc._prosemill_library = True
+
+
 def read_manifest(spark: SparkSession, paths: list[str], schema: str | StructType = MANIFEST) -> DataFrame:
     """One or several CSV files with a header as one table."""
     return spark.read.csv(paths, header=True, schema=schema, multiLine=True, escape='"')
@@ -59,21 +87,21 @@ def read_words(spark: SparkSession, glob: str, schema: str | StructType = READIN
 def read_labelled_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent_id, pos, word, label) of files of word<TAB>label lines; a line <file> begins a sentence.
 
-    Lines of another form are skipped and labels brought within 0 and 2. The
-    line's place in its file is its order, so each file is read whole by a task.
+    Lines of another form are skipped and labels brought within 0 and 2. A file
+    is read in splits, as many tasks as it has: a line's place is its split's
+    offset and its order there, and sums over the splits before give the number
+    of its sentence.
     """
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parsed_tokens(t)
-
-
-def parsed_tokens(lines: DataFrame) -> DataFrame:
-    """From (file, line, value)."""
-    w = Window.partitionBy("file").orderBy("line")
-    marked = lines.withColumn("sent_id", F.sum((F.trim("value") == "<file>").cast("long")).over(w))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    begins = (F.trim("value") == "<file>").cast("long")
+    per = lines.groupBy("file", "block").agg(F.sum(begins).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # a row for each split
+    inside = F.sum(begins).over(Window.partitionBy("file", "block").orderBy("line"))
+    marked = lines.withColumn("inside", inside).join(per.select("file", "block", before.alias("before")), ["file", "block"]).withColumn("sent_id", F.col("inside") + F.col("before"))
     parts = F.split("value", "\t")
     label = F.expr("try_cast(trim(get(split(value, '\\t'), 1)) AS int)")
     ok = marked.where(F.size(parts) == 2).withColumn("word", F.get(parts, F.lit(0))).withColumn("label", label).where("label IS NOT NULL")
-    pos = F.row_number().over(Window.partitionBy("file", "sent_id").orderBy("line")) - 1
+    pos = F.row_number().over(Window.partitionBy("file", "sent_id").orderBy("block", "line")) - 1
     return ok.select("file", "sent_id", pos.alias("pos"), "word", F.greatest(F.lit(0), F.least(F.lit(2), F.col("label"))).alias("label"))
 
 
@@ -82,9 +110,27 @@ def last_turn(turns: DataFrame, conv: str, turn: str, role: str, roles: tuple[st
     return turns.where(F.col(role).isin(*roles)).groupBy(conv).agg(F.max(turn).alias(turn), F.max_by(text, turn).alias(text))
 
 
-def write_passages(df: DataFrame, root: str, label: str = "class", text: str = "text") -> None:
-    """Parquet by class; a class can be read alone."""
-    df.write.partitionBy(label).parquet(root)
+def write_passages(df: DataFrame, root: str, label: str = "class") -> list[str]:
+    """Add the classes of df that the table at root lacks, as Parquet by class, and return their folders' names.
+
+    Files of classes that are there are neither read nor written. New classes
+    are written beside the table and moved into it one by one, so a class is
+    there whole or not at all and a repeated call changes nothing.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = lambda at: {x.getPath().getName() for x in fs.listStatus(path(at)) if x.isDirectory() and x.getPath().getName().startswith(f"{label}=")} if fs.exists(path(at)) else set()
+    there, new = folders(root), f"{root}/_new-{uuid.uuid4().hex}"
+    known = [x.partition("=")[2] for x in there]
+    rows = df.where(F.col(label).isNull() | ~F.col(label).cast("string").isin(known)) if known else df
+    fs.mkdirs(path(root))
+    rows.write.partitionBy(label).parquet(new)
+    added = sorted(folders(new) - there)
+    for name in added:  # a name for each class
+        fs.rename(path(f"{new}/{name}"), path(f"{root}/{name}"))
+    fs.delete(path(new), True)
+    return added
 
 
 def round_trip(df: DataFrame, form: str) -> DataFrame:
@@ -111,10 +157,12 @@ def subject_files(df: DataFrame, subject: str) -> DataFrame:
 
 
 def labelled_tokens(df: DataFrame, sentence: str, pos: str, word: str, label: str) -> DataFrame:
-    """Tokens as lines of a labelled file for each sentence, read again: (sent_id, pos, word, label)."""
+    """Tokens as lines of labelled files, many sentences to a file, read again: (nth, pos, word, label), nth the sentence's place in order, from 1."""
     path = shared_path(df.sparkSession)
     lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.concat_ws("\t", F.translate(word, "\t\n", "  "), F.col(label).cast("string")).alias("line"))))
-    files = df.groupBy(F.col(sentence).alias("sentence")).agg(F.concat_ws("\n", F.lit("<file>"), F.transform(lines, lambda x: x["line"])).alias("value"))
-    files.repartition("sentence").write.partitionBy("sentence").text(path)
-    made = read_labelled_tokens(df.sparkSession, f"{path}/sentence=*")
-    return made.select(F.regexp_extract("file", r"sentence=(-?\d+)", 1).cast("long").alias("sent_id"), "pos", "word", "label")
+    told = df.groupBy(F.col(sentence).alias("sentence")).agg(F.concat_ws("\n", F.lit("<file>"), F.transform(lines, lambda x: x["line"])).alias("value"))
+    told.repartitionByRange("sentence").sortWithinPartitions("sentence").select("value").write.text(path)
+    made = read_labelled_tokens(df.sparkSession, path)
+    per = made.groupBy("file").agg(F.max("sent_id").alias("n"))
+    before = per.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row for each file
+    return made.join(before, "file").select((F.col("sent_id") + F.col("before")).alias("nth"), "pos", "word", "label")

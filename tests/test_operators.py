@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from prosemill import sources, streaming
 from prosemill.functions import text as T
-from prosemill.operators import lexical, rhythm, sampling, segment, stats, tables
+from prosemill.operators import compact, fits, lexical, models, residuals, rhythm, sampling, segment, stats, tables
 from prosemill.operators import series as Q
 
 WAVES = [round(10 + 6 * math.sin(i / 2.1) + i % 4) for i in range(18)]
@@ -17,10 +18,17 @@ CASES = {1: [], 2: [4], 3: [8, 8], 4: [2, 2, 2], 5: [11] * 7, 6: [2, 9, 2, 7], 7
 
 @pytest.fixture(scope="module")
 def order(spark):
-    rows = [(k, name, i, float(v)) for k, xs in CASES.items() for name in ("sl", "spw", "syms", "phg") for i, v in enumerate(xs)]
-    s = spark.createDataFrame(rows, "doc_id long, name string, pos long, value double")
-    docs = spark.createDataFrame([(k,) for k in CASES], "doc_id long")
-    return {r["doc_id"]: r.asDict() for r in Q.order_features(s, docs).collect()}
+    names = [c for c, _, _ in Q.ORDER]
+    return {k: {"doc_id": k, **dict(zip(names, compact.order_row(dict.fromkeys(("sl", "spw", "syms", "phg"), np.array(xs)), str(k), [None])[0], strict=True))} for k, xs in CASES.items()}
+
+
+def test_order_rows_equal_windows(spark, order):
+    rows = [(k, i, float(v)) for k, xs in CASES.items() for i, v in enumerate(xs)]
+    s = spark.createDataFrame(rows, "doc_id long, pos long, value double")
+    for c, name, f in Q.ORDER:
+        if name in ("sl", "syms"):
+            for r in Q.FEATURES[f](s, ["doc_id"]).collect():
+                assert math.isclose(order[r["doc_id"]][c], r[f], abs_tol=1e-9)
 
 
 def test_order_features_are_finite(order):
@@ -49,12 +57,23 @@ def test_extremes(order):
     assert order[13]["sl_mk"] == 1.0 and order[14]["sl_mk"] == -1.0
 
 
-def test_shuffle_repeats(spark):
-    s = spark.createDataFrame([(64317, "sl", i, float(v)) for i, v in enumerate(WAVES)], "doc_id long, name string, pos long, value double")
-    draws = spark.createDataFrame([(3,)], "draw int")
-    one = [r["value"] for r in Q.shuffled(s, draws).orderBy("pos").collect()]
-    two = [r["value"] for r in Q.shuffled(s.repartition(3), draws).orderBy("pos").collect()]
-    assert one == two and sorted(one) == sorted(WAVES) and one != WAVES
+def test_draws_repeat_and_differ():
+    series = dict.fromkeys(("sl", "spw", "syms", "phg"), np.array(WAVES))
+    rows = compact.order_row(series, "5", [None, *range(20)])
+    again = compact.order_row(series, "5", [3, None])
+    assert again == [rows[4], rows[0]] and len({tuple(r) for r in rows}) == 21
+    keys = compact.order_keys("5", "sl", 3, 1000)
+    assert len(np.unique(keys)) == 1000 and abs(np.corrcoef(np.argsort(keys), np.arange(1000))[0, 1]) < 0.1
+    assert compact.order_row(series, "5", list(range(7))) == rows[1:8]
+
+
+def test_compact_rows_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (4, "one two. three four five; six"), (None, "some words here"), (6, "word " * 30000)], "doc_id long, text string")
+    c = compact.compact(docs, rhythm.rule_lexicon(segment.words(docs)))
+    rows = {r["doc_id"]: r.asDict() for r in compact.rhythm_rows(c).join(compact.order_rows(c), "doc_id").collect()}
+    assert set(rows) == {1, 2, 3, 4, 6} and all(math.isfinite(v) for r in rows.values() for v in r.values())
+    assert all(v == 0 for k in (1, 2) for c, v in rows[k].items() if c != "doc_id") and rows[4]["sl_mean"] == 3
+    assert compact.shuffled_rows(c, 3).count() == 18
 
 
 def test_metronome_has_no_dispersion(spark):
@@ -208,15 +227,22 @@ def test_regression_matches_numpy(spark):
         assert math.isclose(got[term]["coef"], beta[i], rel_tol=1e-9) and math.isclose(got[term]["se"], math.sqrt(v[i, i]), rel_tol=1e-9)
 
 
-def test_checks_raise(spark):
-    df = spark.createDataFrame([(1, 1.0), (2, float("nan"))], "id long, v double")
-    with pytest.raises(ValueError):
-        tables.assert_finite(df, ["v"], "id")
-    with pytest.raises(ValueError):
-        tables.assert_range(df, ["v"], 1, 100)
-    with pytest.raises(ValueError):
-        tables.assert_covers(df.where("id = 1"), df.select("id"), "id")
-    assert tables.assert_finite(df.where("id = 1"), ["v"], "id").count() == 1
+def test_checks_in_the_writing_scan(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 400.0), (4, None)], "id long, v double")
+    checks = {"finite": tables.not_finite("v"), "range": tables.outside("v", 1, 100)}
+    with pytest.raises(ValueError, match="finite: 2 of 4 rows, id from 2 to 4; range: 3 of 4 rows, id from 2 to 4"):
+        tables.write_checked(df, str(tmp_path / "a"), checks, "id")
+    assert not (tmp_path / "a").exists()
+    assert tables.write_checked(df, str(tmp_path / "b"), checks, "id", fail=False)["range"]["bad"] == 3
+    good = df.where("id = 1")
+    assert tables.write_checked(good, str(tmp_path / "c"), checks, "id")["finite"] == {"rows": 1, "bad": 0, "first": None, "last": None}
+    with pytest.raises(Exception, match=": id 2"):
+        tables.guarded(df.where("id < 3"), checks, "id").collect()
+    assert tables.guarded(good, checks, "id").collect() == good.collect()
+    lacks = tables.covered(good, df.select("id"), "id")
+    with pytest.raises(ValueError, match="covered: 3 of 4 rows, id from 2 to 4"):
+        tables.write_checked(lacks, str(tmp_path / "d"), {"covered": F.col("__lacks")}, "id")
+    assert tables.write_checked(df.limit(0), str(tmp_path / "e"), checks, "id")["range"]["rows"] == 0
 
 
 def test_passage_files_and_tokens(spark, tmp_path):
@@ -231,10 +257,92 @@ def test_passage_files_and_tokens(spark, tmp_path):
     assert got == [(1, 0, "a", 1), (1, 1, "b", 2), (2, 0, "d", 0)]
 
 
+def test_splits_of_a_labelled_file(spark, tmp_path):
+    lines = []
+    for i in range(700):
+        lines += ["<file>", *(f"w{i}_{k}\t{k % 5 - 1}" for k in range(i % 6)), *(["no label"] if i % 7 == 0 else [])]
+    (tmp_path / "t.tsv").write_text("before\t1\n" + "\n".join(lines) + "\n")
+    whole = sources.read_labelled_tokens(spark, str(tmp_path)).drop("file").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        cut = sources.read_labelled_tokens(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert sorted(map(tuple, cut.drop("file").collect())) == sorted(map(tuple, whole))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(i + 1, k, f"w{i}_{k}", min(2, max(0, k % 5 - 1))) for i in range(700) for k in range(i % 6)]
+    assert sorted(map(tuple, whole)) == [(0, 0, "before", 1), *want]
+
+
+def test_classes_are_added_and_never_touched(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = [(1, "a"), (2, "b"), (3, "c"), (4, None)]
+    df = spark.createDataFrame(rows, "id long, class string")
+    assert sources.write_passages(df.where("id < 3"), root) == ["class=a", "class=b"]
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert sources.write_passages(df.withColumn("id", F.col("id") + 10), root) == ["class=__HIVE_DEFAULT_PARTITION__", "class=c"]
+    assert sources.write_passages(df, root) == []
+    assert {p: p.stat().st_mtime_ns for p in times} == times
+    assert sorted((r["id"], r["class"]) for r in spark.read.parquet(root).collect()) == [(1, "a"), (2, "b"), (13, "c"), (14, None)]
+
+
+def test_distinct_sketches_merge(spark):
+    df = spark.range(60_000).select((F.col("id") % 7).alias("day"), (F.col("id") % 2).alias("kind"), (F.col("id") % 20_011).alias("user"))
+    got = {r["kind"]: r["distinct"] for r in tables.merged_distinct(tables.distinct_sketches(df, ["kind", "day"], "user"), ["kind"]).collect()}
+    want = {r["kind"]: r["n"] for r in df.groupBy("kind").agg(F.countDistinct("user").alias("n")).collect()}
+    assert all(abs(got[k] - n) <= 0.02 * n for k, n in want.items())
+
+
+def test_folds_balance_labels(spark):
+    rows = [(f"g{g}", int((i * 7 + g * g) % 10 < (g % 10))) for g in range(60) for i in range(5 + g % 13)]
+    df = spark.createDataFrame(rows, "grp string, y int")
+    for placed in (4096, 20):  # some groups placed in turn, the others dealt
+        folds = {r["grp"]: r["fold"] for r in sampling.group_folds(df, "grp", "y", 5, 0, placed).collect()}
+        assert len(folds) == 60
+        n = np.zeros((5, 2))
+        for g, y in rows:
+            n[folds[g], y] += 1
+        share = n / n.sum(axis=0)
+        assert share.max() < (0.22 if placed > 60 else 0.28) and share.min() > (0.18 if placed > 60 else 0.13)
+    assert sampling.group_folds(df.limit(0), "grp", "y", 5, 0).count() == 0
+
+
 def test_resume_scores_once(spark, tmp_path):
-    rows = spark.createDataFrame([(i,) for i in range(6)], "id long")
-    score = lambda x: x.withColumn("s", F.col("id") * 2)
+    rows = spark.createDataFrame([(i,) for i in range(60)], "id long")
     path = str(tmp_path / "scores")
-    streaming.resume(rows.where("id < 4"), score, path, "id")
-    assert streaming.resume(rows, score, path, "id").count() == 6
-    assert streaming.resume(rows, score, path, "id").count() == 6
+
+    @F.udf("long")
+    def broken(b):
+        raise RuntimeError("out of credit")
+
+    calls = []
+
+    def failing(x):  # fails in the third bucket, after some of its rows have been written
+        calls.append(1)
+        return x.withColumn("s", broken("id") if len(calls) == 3 else F.lit(1).cast("long"))
+
+    with pytest.raises(Exception, match="out of credit"):
+        streaming.resume(rows, failing, path, "id", every=10)
+    first = {r["id"] for r in spark.read.parquet(*streaming.committed(spark, path)).collect()}
+    assert len(calls) == 3 and 0 < len(first) < 60
+    out = streaming.resume(rows, lambda x: x.withColumn("s", F.lit(2).cast("long")), path, "id", every=10)
+    got = {r["id"]: r["s"] for r in out.collect()}
+    assert out.count() == 60 and all(got[i] == (1 if i in first else 2) for i in range(60))
+    assert streaming.resume(rows, failing, path, "id").count() == 60 and len(calls) == 3  # nothing left to score
+
+
+def test_sticky_split_over_batches(spark, tmp_path):
+    rows = [("a", f"a{i}", k) for i in range(20) for k in range(1 + i % 4)] + [("b", f"b{i}", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "label string, grp string, k int")
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    seen = []
+    for some in ("label = 'a' AND k = 0 AND grp < 'a15'", "label = 'b'", "k > 0 OR grp >= 'a15'"):
+        df.where(some).select("label", "grp").write.mode("append").parquet(folder)
+        split = streaming.sticky_split(streaming.stream_files(spark, folder, "label string, grp string", 1000), "label", "grp", out, check)
+        seen.append({r["grp"]: r["split"] for r in split.collect()})
+    assert [len(x) for x in seen] == [len({g for _, g, k in rows if g < "a15" and k == 0 and g[0] == "a"}), len({g for _, g, k in rows if g[0] == "b" or g < "a15"}), 30]
+    assert all(later[g] == s for now, later in zip(seen, seen[1:], strict=False) for g, s in now.items())  # no group changes sides
+    none = spark.createDataFrame([], "k int, split string")
+    whole = df.where("label = 'b'").withColumn("id", F.monotonically_increasing_id())
+    at_once = sampling.carry_forward(none.withColumnRenamed("k", "id"), whole, "id", "label", "grp").join(whole, "id")
+    assert {r["grp"]: r["split"] for r in at_once.collect()} == {g: s for g, s in seen[2].items() if g[0] == "b"}
