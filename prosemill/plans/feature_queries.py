@@ -201,14 +201,14 @@ for _i, _f in enumerate(series.FEATURES, 1):
     _order_query(_i, _f)
 
 
-def order_sql(src: str, key: str = "doc_id", ids: str = "documents") -> str:
+def order_sql(src: str, key: str = "doc_id", ids: str = "documents", digits: int = 6) -> str:
     """CTEs up to ord, the order row of each doc_id of ids from the series in src."""
     out = []
     for f in series.FEATURES:
         body = q_sql(f"{key}, name", "z")[f] if f != "mk" else MK_ARR.replace("doc_id, name", f"{key}, name").replace("src", "z")
         within = ", ".join(map(lit, _names[f]))
         out.append(f"{src}_{f} AS (WITH z AS (SELECT * FROM {src} WHERE name IN ({within})) {body})")
-    cols = ", ".join(f"round(CAST(coalesce((SELECT {f} FROM {src}_{f} x WHERE x.doc_id = ids.doc_id AND x.name = '{n}'), 0) AS DOUBLE), 6) + 0 AS {c}" for c, n, f in series.ORDER)
+    cols = ", ".join(f"round(CAST(coalesce((SELECT {f} FROM {src}_{f} x WHERE x.doc_id = ids.doc_id AND x.name = '{n}'), 0) AS DOUBLE), {digits}) + 0 AS {c}" for c, n, f in series.ORDER)
     return ", ".join(out) + f", {src}_ord AS (SELECT doc_id, {cols} FROM {ids} ids)"
 
 
@@ -229,13 +229,13 @@ DRAWS = 20
 _step = lambda frm, by, shift: f"SELECT * REPLACE ((xor(x, x >> {shift}) * {by}::UBIGINT) & 4294967295::UBIGINT AS x) FROM ({frm})"
 _seeded = f"SELECT doc_id * 100 + draw AS doc_id, name, pos, value, xor((CAST(pos AS UBIGINT) * {compact.SPREAD}::UBIGINT) & 4294967295::UBIGINT, CAST({sql_md5_int('draw', 'doc_id', 'name')} AS UBIGINT)) AS x FROM series, range({DRAWS}) t(draw)"
 #: CTEs up to shuf_ord: the order rows of all draws, with doc_id times 100 and the draw as doc_id.
-SHUF = f"shuf AS MATERIALIZED (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id, name ORDER BY xor(x, x >> 16), pos) - 1 AS pos, value FROM ({_step(_step(_seeded, compact.FIRST, 16), compact.SECOND, 13)})), shuf_ids AS (SELECT doc_id * 100 + draw AS doc_id FROM documents, range({DRAWS}) t(draw)), {order_sql('shuf', ids='shuf_ids')}"
+SHUF = f"shuf AS MATERIALIZED (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id, name ORDER BY xor(x, x >> 16), pos) - 1 AS pos, value FROM ({_step(_step(_seeded, compact.FIRST, 16), compact.SECOND, 13)})), shuf_ids AS (SELECT doc_id * 100 + draw AS doc_id FROM documents, range({DRAWS}) t(draw)), {order_sql('shuf', ids='shuf_ids', digits=9)}"
 
 
 def drawn_rows(spark, d):
     """Real and shuffled order rows."""
     c = staged(compact.compact(*docs_and_lexicon(spark, d)))
-    rounded_ = lambda df, *keys: df.select(*keys, *[(F.round(x, 6) + 0).alias(x) for x in _cols])
+    rounded_ = lambda df, *keys: df.select(*keys, *[(F.round(x, 9) + 0).alias(x) for x in _cols])
     return rounded_(compact.order_rows(c), "doc_id"), rounded_(compact.shuffled_rows(c, DRAWS), "doc_id", "draw")
 
 
@@ -245,13 +245,13 @@ def _(spark, d):
     return drawn.groupBy("doc_id").agg(F.count("draw").alias("draws"), *[(F.round(F.avg(c), 8) + 0).alias(c) for c in _cols], F.round(F.stddev_pop("sl_ac1"), 5).alias("sl_ac1_spread"))
 
 
-@R.add("q9_order_sensitivity", f"WITH {SERIES}, {order_sql('series')}, {SHUF}, s AS (SELECT * REPLACE (doc_id // 100 AS doc_id) FROM shuf_ord), {', '.join(f'{x}_u AS (UNPIVOT {x} ON ' + ', '.join(_cols) + ' INTO NAME feature VALUE value)' for x in ('series_ord',))} SELECT feature, round(avg(abs(value - CASE feature {' '.join(f'WHEN {lit(c)} THEN {c}' for c in _cols)} END)), 5) AS sensitivity FROM series_ord_u JOIN s USING (doc_id) GROUP BY feature")
+@R.add("q9_order_sensitivity", f"WITH {SERIES}, {order_sql('series', digits=9)}, {SHUF}, s AS (SELECT * REPLACE (doc_id // 100 AS doc_id) FROM shuf_ord), {', '.join(f'{x}_u AS (UNPIVOT {x} ON ' + ', '.join(_cols) + ' INTO NAME feature VALUE value)' for x in ('series_ord',))} SELECT feature, round(avg(abs(value - CASE feature {' '.join(f'WHEN {lit(c)} THEN {c}' for c in _cols)} END)), 5) AS sensitivity FROM series_ord_u JOIN s USING (doc_id) GROUP BY feature")
 def _(spark, d):
     real, drawn = drawn_rows(spark, d)
     return series.sensitivity(real, drawn).withColumn("sensitivity", F.round("sensitivity", 5))
 
 
-@R.add("u33_null_percentile", f"WITH {SERIES}, {order_sql('series')}, {SHUF} SELECT r.doc_id, {', '.join(f'round(avg(CASE WHEN k.{c} < r.{c} THEN 1.0::DOUBLE ELSE 0 END), 9) AS {c}' for c in _cols)} FROM series_ord r JOIN shuf_ord k ON k.doc_id // 100 = r.doc_id GROUP BY r.doc_id")
+@R.add("u33_null_percentile", f"WITH {SERIES}, {order_sql('series', digits=9)}, {SHUF} SELECT r.doc_id, {', '.join(f'round(avg(CASE WHEN k.{c} < r.{c} THEN 1.0::DOUBLE ELSE 0 END), 9) AS {c}' for c in _cols)} FROM series_ord r JOIN shuf_ord k ON k.doc_id // 100 = r.doc_id GROUP BY r.doc_id")
 def _(spark, d):
     real, drawn = drawn_rows(spark, d)
     out = series.null_percentile(real, drawn, _cols)
