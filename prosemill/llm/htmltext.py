@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,10 +50,14 @@ LABELLED = (
 )
 
 #: HTML's elements by what they do to a flow of text.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _AROUND = frozenset("nav header footer aside form button select option menu dialog noscript iframe object figcaption".split())
-_SILENT = frozenset("head title template svg math canvas audio video textarea".split())
+_SILENT = frozenset("head title template svg canvas audio video textarea".split())
+#: Elements whose names tell where they stand; a heading's or paragraph's don't.
+_CONTAINERS = frozenset("div section ul ol dl table tbody tr td th main article aside nav header footer form fieldset details".split())
+#: Further parts that compound names of what stands around an article have: ad-slot, related-posts, site-header; but not social-history.
+_FURNITURE = frozenset("slot slots box bar bars list lists link links button buttons icon icons section block area container wrap wrapper inner outer unit body item items post posts entry entries article articles story stories site page global main primary secondary top bottom left right small large big mobile desktop fixed sticky overlay field thread holder group row col column panel content text message form wp js".split())
 #: Parts of class names: what stands around an article; of these, what holds items that are articles themselves; what an article is named.
 _NAMES = re.compile(r"ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comment\w*|replies|reply|disqus|respond|widget\w*|pagination|pager|toolbar|login|search", re.I)
 _LISTS = re.compile(r"ad|ads|advert\w*|promo\w*|sponsor\w*|related|recommend\w*|comment\w*|replies|reply|disqus|respond", re.I)
@@ -60,11 +66,78 @@ _ARTICLE_NAMES = re.compile(r"article|content|post|entry|story|main|body", re.I)
 _NEGATIONS = frozenset("has no not non with without".split())
 _STATES = frozenset("open opened closed enabled disabled collapsed expanded visible layout page".split())
 _WRAPPERS = frozenset("wrap wrapper container grid inner outer".split())
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+#: A quoted value is this long at most; beyond, its quote is a stray character and the tag ends at the first >.
+QUOTED = 1 << 16
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_OPEN_A = re.compile(r"\S+")
+
+
+def _tag_end(page: str, at: int, stops: dict[str, int]) -> int:
+    """Where the tag whose name ends at `at` has its >, outside quotes if these are closed. stops: where each mark is known to be absent from on."""
+    i = at
+    while i < stops[">"] and (m := _STOP.search(page, i)):
+        if m[0] == ">":
+            return m.start()
+        if m.start() >= stops[m[0]]:
+            break
+        end = page.find(m[0], m.start() + 1, m.start() + 1 + QUOTED)
+        if end < 0:
+            if page.find(m[0], m.start() + 1) < 0:
+                stops[m[0]] = m.start()
+            break
+        i = end + 1
+    return page.find(">", at)
+
+
+def parts_of(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """("text", text, "", "") and ("tag", "/" or "", name, attributes) in page order, without comments, declarations, scripts and styles.
+
+    One pass forward: what isn't closed is a comment, script or style to the
+    end, a tag that isn't is text.
+    """
+    n, at, seen = len(page), 0, 0
+    last = page.rfind(">")
+    stops = {">": last + 1, '"': n, "'": n}
+    while (i := page.find("<", at)) >= 0:
+        end = None
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", i):
+            end = i + 9
+        elif i > last:
+            break  # no tag is closed from here on, but a comment may still begin
+        elif page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i) + 1
+        elif m := _NAME.match(page, i + 1):
+            stop = _tag_end(page, m.end(), stops)
+            if i > seen:
+                yield "text", page[seen:i], "", ""
+            name = m[2].lower()
+            at = seen = stop + 1
+            if name in _CLOSE and not m[1]:
+                closed = _CLOSE[name].search(page, at)
+                at = seen = closed.end() if closed else n
+                yield "text", " ", "", ""
+            else:
+                yield "tag", m[1], name, page[m.end() : stop]
+            continue
+        if end is None:
+            at = i + 1
+            continue
+        if i > seen:
+            yield "text", page[seen:i], "", ""
+        at = seen = end
+    tail = page[seen:]
+    if (c := tail.find("<!--")) >= 0:
+        tail = tail[:c]
+    if m := re.search(r"<[a-zA-Z/]", tail):
+        tail = tail[: m.start()]  # a tag that is cut off
+    if tail:
+        yield "text", tail, "", ""
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -93,52 +166,43 @@ def _named(names: str) -> tuple[bool, bool, bool]:
             continue
         # The header of a post holds its title.
         found = [x for x in parts if _NAMES.fullmatch(x) and not (x == "header" and of_article)]
-        around |= bool(found)
+        if not found or any(x not in _FURNITURE and not _NAMES.fullmatch(x) and not x.isdigit() for x in parts):
+            continue
+        around = True
         lists |= any(_LISTS.fullmatch(x) for x in found)
     return around, lists, article
 
 
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, words in links, place) of each flat block with text, in page order."""
-    page = _DROP.sub(" ", page)
     out: list[tuple[str, int, int, float]] = []
-    stack: list[tuple[str, float | None, bool]] = []
+    #: Open elements, each with what holds inside it: silent, in an article, around, loosely around.
+    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []
+    open_: Counter = Counter()
     parts: list[str] = []
     in_link = linked = 0
-    place, silent = PLAIN, False
-    in_article = False
+    now = (False, False, False, False)
 
     def end() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not silent:
+            if text and not now[0]:
                 words = len(text.split(" "))
-                out.append((text, words, min(linked, words), place))
+                out.append((text, words, min(linked, words), AROUND if now[2] or now[3] else ARTICLE if now[1] else PLAIN))
         parts, linked = [], 0
 
-    def settle() -> None:
-        nonlocal place, silent, in_article
-        silent = any(x[2] for x in stack)
-        in_article = around = loose = False
-        for tag, mark, _ in stack:
-            if mark == ARTICLE:
-                in_article = True
-                loose = loose and tag not in ("article", "main")
-            around |= mark == AROUND
-            loose |= mark == LOOSE
-        place = AROUND if around or loose else ARTICLE if in_article else PLAIN
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
+    def pop() -> None:
+        nonlocal now
+        open_[stack.pop()[0]] -= 1
+        now = stack[-1][1] if stack else (False, False, False, False)
+
+    for kind, close, name, attrs in parts_of(page):
+        if kind == "text":
+            parts.append(close)
             if in_link:
-                linked += len(text.split())
-        at = m.end()
-        close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        name = name.lower()
+                linked += len(close.split())
+            continue
         if name == "a":
             in_link = 0 if close else 1
         if name in _INLINE:
@@ -149,18 +213,17 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         if name in _VOID:
             continue
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    in_link = 0
-                    settle()
-                    break
+            if open_[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+                in_link = 0
             continue
         mark = None
         given = _attributes(attrs) if attrs and not attrs.isspace() else {}
         hidden = name in _SILENT or bool(given and _hidden(given))
-        around, lists, article = _named(" ".join([given.get("class", ""), given.get("id", ""), given.get("role", "")])) if given else (False, False, False)
-        if name in _AROUND and not (name in ("header", "figcaption") and in_article):
+        around, lists, article = _named(" ".join([given.get("class", ""), given.get("id", ""), given.get("role", "")])) if given and name in _CONTAINERS else (False, False, False)
+        if name in _AROUND and not (name in ("header", "figcaption") and now[1]):
             mark = AROUND
         elif name in ("article", "main"):
             mark = AROUND if name == "article" and lists else ARTICLE
@@ -169,16 +232,14 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                 mark = AROUND if lists else LOOSE
             elif article and name in ("div", "section", "td"):
                 mark = ARTICLE
-        if name == "p":  # a paragraph ends the one that is open
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-        elif name in ("li", "td", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
-            stack.pop()
-        stack.append((name, mark, hidden))
-        if mark is not None or hidden or name in ("p", "li", "td", "tr", "option", "dt", "dd"):
-            settle()
-    if at < len(page):
-        parts.append(page[at:] if not re.match(r"<[a-zA-Z/]", page[at:]) else "")
+        # A paragraph ends the one that is open; so does an item or a cell.
+        if name in ("p", "li", "td", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
+            pop()
+        silent, inside, far, loose = now
+        loose = loose and not (mark == ARTICLE and name in ("article", "main")) or mark == LOOSE
+        now = (silent or hidden, inside or mark == ARTICLE, far or mark == AROUND, loose)
+        stack.append((name, now))
+        open_[name] += 1
     end()
     return out
 

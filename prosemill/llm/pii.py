@@ -30,7 +30,7 @@ from .common import discard, let, spread_join, stage
 #: Forms of address by gender.
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Doña", "Госпожа")
-NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Доктор", "Профессор")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Доктор", "Профессор", "[Mm]y name is", "[Ii]ch heiße", "[Jj]e m['’]appelle", "[Mm]e llamo", "[Мм]еня зовут")
 #: Syllables of made-up names by script, and how first names end by gender.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se".split(),
@@ -47,17 +47,18 @@ POSSESSIVE = r"['’]s$"
 #: Rounds of drawing after which a name has one more syllable, and syllables added at most; rounds after which a number gets longer.
 LONGER, MORE, SHORT = 3, 16, 12
 
-_TITLE = r"(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?[ \t](?:(?:Dr|Prof)\.?[ \t])*"
-_PERSON = r"(?<![\p{L}])" + _TITLE + r"\p{Lu}[\p{L}'’-]{1,30}(?:[ \t]\p{Lu}[\p{L}'’-]{1,30})?"
+# Repeated groups are possessive: Java matches others by recursion, which a long text would overflow.
+_TITLE = r"(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?[ \t](?:(?:Dr|Prof)\.?[ \t])*+"
+_PERSON = r"(?<![\p{L}])" + _TITLE + r"\p{Lu}[\p{L}'’-]++(?:[ \t]\p{Lu}[\p{L}'’-]++)?"
 _NAMED = f"^({_TITLE})" + r"(\S+)(?:([ \t])(\S+))?$"
 #: What a password or a date of birth follows.
-_KEYWORD = r"(?<![\p{L}\p{N}])(?i:(?:password|passwd|passphrase|pwd|api[_-]?key|secret[_-]?key|access[_-]?token)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
-_CREDENTIAL = _KEYWORD + r"[^\s\"',;<>]{6,64}"
+_KEYWORD = r"(?<![\p{L}\p{N}])(?i:(?:password|passwd|passphrase|pwd|api[_-]?key|secret[_-]?key|access[_-]?token|passport(?:[ _-]?(?:no|number))?\.?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+_CREDENTIAL = _KEYWORD + r"[^\s\"',;<>]{6,}+"
 _BIRTH = r"(?<![\p{L}\p{N}])(?i:(?:born(?: on)?|date of birth|birth ?date|dob|geboren(?: am)?|née? le|nacid[oa] el)\s{0,2}:?\s{1,3})"
 _BORN = _BIRTH + r"(?:\d{4}[./-]\d{1,2}[./-]\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4})(?!\d)"
 _IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})+"
-_HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
+_HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+)(?![0-9A-Za-z])"
 _IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -67,7 +68,7 @@ _PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,
 KINDS = (("email", _EMAIL), ("credential", _CREDENTIAL), ("secret", _HEX), ("iban", _IBAN), ("ip6", _IP6), ("ip", _IP), ("born", _BORN), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE), ("person", _PERSON))
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What a text needs to hold any entity; cheap to search.
-HINT = r"[@0-9]|(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?[ \t]\p{Lu}|[0-9A-Fa-f]{32}|(?i:passw|passphrase|pwd|api.?key|secret.?key|access.?token)"
+HINT = r"[@0-9]|(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?[ \t]\p{Lu}|[0-9A-Fa-f]{32}|(?i:passw|passphrase|pwd|api.?key|secret.?key|access.?token|passport)"
 
 _PART = "struct<kind:string,raw:string,canon:string>"
 
@@ -140,32 +141,36 @@ def _drawn(kind: Column, canon: Column, attempt: Column, key: str, h: Column, mo
     # A date in the mention's order: a year of four digits from 1900 on, later ones the more often it was drawn, or one of two; a month; a day that all months have.
     number = lambda i, m: F.conv(F.substring(h, i, 6), 16, 10).cast("int") % m
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    year = F.when(canon.rlike(r"^\d{1,2}\D\d{1,2}\D\d{2}$") & (attempt < SHORT), two(number(1, 100))).otherwise((number(1, F.least(F.lit(8000), 120 + 60 * attempt)) + 1900).cast("string"))
+    year = F.when(canon.rlike(r"^\d{1,2}\D\d{1,2}\D\d{2}$") & (attempt < SHORT), two(number(1, 100))).otherwise((number(1, 120 + 60 * attempt) + 1900).cast("string"))
     day, month, mark = two(number(8, 28) + 1), two(number(15, 12) + 1), F.regexp_extract(canon, r"\D", 0)
     born = F.when(canon.rlike(r"^\d{4}"), F.concat(year, mark, month, mark, day)).otherwise(F.concat(day, mark, month, mark, year))
     # Secrets and accounts: each character one of its own class.
     chars = F.split(canon, "")
     is_hex = canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     head = F.when(kind == "iban", 2).when(canon.rlike("^AKIA"), 4).when(canon.rlike("^gh[pousr]_"), 4).when(canon.rlike("^sk-"), 3).otherwise(0)
+    of = F.struct(head.alias("head"), is_hex.alias("hex"), (is_hex & canon.rlike("[A-F]")).alias("upper"))  # looked at once, not for each character
 
-    def of_class(c, i):
-        x = F.substring(more, F.pmod(i, F.lit(128)) + 1, 1)
-        return (
-            F.when(i < head, c).when(is_hex & canon.rlike("[A-F]"), F.upper(x)).when(is_hex | (kind == "ip6") & c.rlike("[0-9a-f]"), x)
-            .when(c.rlike(r"\d"), F.translate(x, "abcdef", "274859"))
-            .when(c.rlike("[A-Z]"), F.translate(x, "0123456789abcdef", "GHJKLMNPQRSTUVWX"))
-            .when(c.rlike(r"\p{L}"), F.translate(x, "0123456789abcdef", "ghjkmnpqrstuvwxy"))
-            .otherwise(c)
-        )
+    def masked_by(k):
+        def of_class(c, i):
+            x = F.substring(more, F.pmod(i, F.lit(128)) + 1, 1)
+            return (
+                F.when(i < k["head"], c).when(k["upper"], F.upper(x)).when(k["hex"] | (kind == "ip6") & c.rlike("[0-9a-f]"), x)
+                .when(c.rlike(r"\d"), F.translate(x, "abcdef", "274859"))
+                .when(c.rlike("[A-Z]"), F.translate(x, "0123456789abcdef", "GHJKLMNPQRSTUVWX"))
+                .when(c.rlike(r"\p{L}"), F.translate(x, "0123456789abcdef", "ghjkmnpqrstuvwxy"))
+                .otherwise(c)
+            )
+
+        return F.array_join(F.transform(chars, of_class), "")
 
     added = F.substring(F.translate(more, "0123456789", "ghjkmnpqrs"), F.lit(64), longer)
-    masked = F.concat(F.array_join(F.transform(chars, of_class), ""), F.when(kind == "ip6", "").otherwise(added))
+    masked = F.concat(let(of, masked_by), F.when(kind == "ip6", "").otherwise(added))
     # Of a mail address the name part by the address, the rest by the domain; it ends in a name that is no one's.
     of_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256)
     letter = lambda x, c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.translate(F.substring(x, F.pmod(i, F.length(x)) + 1, 1), "0123456789abcdef", "aeiouklmnprstvbd")).otherwise(c)
     spelt = lambda text, x: F.array_join(F.transform(F.split(text, ""), lambda c, i: letter(x, c, i)), "")
     local = F.concat(spelt(F.substring_index(canon, "@", 1), more), F.substring(F.translate(more, "0123456789", "aeiouklmnp"), F.lit(64), F.floor(attempt / LONGER).cast("int")))
-    email = F.concat(local, F.lit("@"), spelt(F.regexp_replace(F.substring_index(canon, "@", -1), r"\.[^.]*$", ""), of_domain), F.lit(".example"))
+    email = F.concat(local, F.lit("@"), let(of_domain, lambda x: spelt(F.regexp_replace(F.substring_index(canon, "@", -1), r"\.[^.]*$", ""), x)), F.lit(".example"))
     script, gender, is_last = F.get(F.split(kind, ":"), F.lit(1)), F.get(F.split(kind, ":"), F.lit(2)), kind.startswith("last")
     by_script = lambda value: F.coalesce(*[F.when(script == k, value(k)) for k in SYLLABLES])
     chosen = by_script(lambda k: F.array(*[F.lit(s) for s in SYLLABLES[k]]))
@@ -217,7 +222,8 @@ def _in_format(kind: Column, raw: Column, new: Column) -> Column:
 
     code = F.regexp_replace(raw, r"\D", "")
     whole = F.when((kind == "phone") & F.length(code).between(11, 13), F.concat(F.substr(code, F.lit(1), F.length(code) - 10), new)).otherwise(new)
-    by_case = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.coalesce(F.get(F.split(raw, ""), i), F.lit("")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    cased = lambda old: F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.coalesce(F.get(old, i), F.lit("")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    by_case = let(F.split(raw, ""), cased)
     return F.when(kind.isin("card", "phone", "ssn", "iban"), let(F.split(whole, ""), dressed)).when(kind.isin("email", "ip6"), by_case).when(kind.rlike("^(first|last)"), _name(raw, new)).otherwise(new)
 
 

@@ -61,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")), also=("doc_id",))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "origin", "from_dir")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "license", F.array_join("licenses", ",").alias("licenses"), F.round("score", 6).alias("score"), "origin", "from_dir")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
