@@ -239,10 +239,10 @@ def drawn_rows(spark, d):
     return rounded_(compact.order_rows(c), "doc_id"), rounded_(compact.shuffled_rows(c, DRAWS), "doc_id", "draw")
 
 
-@R.add("q8_shuffled_row", f"WITH {SERIES}, {SHUF} SELECT doc_id // 100 AS doc_id, count(*) AS draws, {', '.join(f'round(avg({c}), 8) + 0 AS {c}' for c in _cols)}, round(stddev_pop(sl_ac1), 5) AS sl_ac1_spread FROM shuf_ord GROUP BY doc_id // 100")
+@R.add("q8_shuffled_row", f"WITH {SERIES}, {SHUF} SELECT doc_id // 100 AS doc_id, count(*) AS draws, {', '.join(f'round(avg({c}) + 1e-12, 6) + 0 AS {c}' for c in _cols)}, round(stddev_pop(sl_ac1), 5) AS sl_ac1_spread FROM shuf_ord GROUP BY doc_id // 100")
 def _(spark, d):
     _, drawn = drawn_rows(spark, d)
-    return drawn.groupBy("doc_id").agg(F.count("draw").alias("draws"), *[(F.round(F.avg(c), 8) + 0).alias(c) for c in _cols], F.round(F.stddev_pop("sl_ac1"), 5).alias("sl_ac1_spread"))
+    return drawn.groupBy("doc_id").agg(F.count("draw").alias("draws"), *[(F.round(F.avg(c) + 1e-12, 6) + 0).alias(c) for c in _cols], F.round(F.stddev_pop("sl_ac1"), 5).alias("sl_ac1_spread"))  # no mean is just half way
 
 
 @R.add("q9_order_sensitivity", f"WITH {SERIES}, {order_sql('series', digits=9)}, {SHUF}, s AS (SELECT * REPLACE (doc_id // 100 AS doc_id) FROM shuf_ord), {', '.join(f'{x}_u AS (UNPIVOT {x} ON ' + ', '.join(_cols) + ' INTO NAME feature VALUE value)' for x in ('series_ord',))} SELECT feature, round(avg(abs(value - CASE feature {' '.join(f'WHEN {lit(c)} THEN {c}' for c in _cols)} END)), 5) AS sensitivity FROM series_ord_u JOIN s USING (doc_id) GROUP BY feature")
