@@ -25,6 +25,35 @@ def sentences(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     return exploded(df, T.sentences(F.col(text)), "sentence", doc, "sent")
 
 
+#: Stands for a full stop that doesn't end a sentence while a text is cut.
+INNER = "\u2024"
+
+
+def abbreviations(df: DataFrame, text: str = "text", least: int = 5, share: float = 0.9, longest: int = 5, evidence: float = 10.83) -> DataFrame:
+    """(word, n, dots, ll): short words of ASCII letters that a full stop follows nearly always, more often than chance has it.
+
+    ll is the log-likelihood ratio of the word's share of full stops against
+    that of all words; 10.83 is exceeded by chance once in a thousand words.
+    Words are counted in lower case, over all texts.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+\.?"), F.lit(0))).alias("w")
+    per = df.select(word).groupBy(F.regexp_replace("w", r"\.$", "").alias("word")).agg(F.count("w").alias("n"), F.count_if(F.col("w").endswith(".")).alias("dots"))
+    p = per.agg((F.sum("dots") / F.sum("n")).alias("p"))
+    n, k = F.col("n").cast("double"), F.col("dots").cast("double")
+    term = lambda x, y: F.when(x > 0, x * F.log(y)).otherwise(0.0)
+    ll = 2 * (term(k, k / n / F.col("p")) + term(n - k, (1 - k / n) / (1 - F.col("p"))))
+    some = per.where((F.col("dots") >= least) & (F.col("dots") >= share * F.col("n")) & F.col("word").rlike(f"^[a-z]{{1,{longest}}}$"))
+    return some.crossJoin(F.broadcast(p)).select("word", "n", "dots", ll.alias("ll")).where((F.col("ll") >= evidence) & (F.col("dots") > F.col("p") * F.col("n")))
+
+
+def learned_sentences(df: DataFrame, known: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, sent, sentence): sentences that neither a known abbreviation nor a full stop within a number ends."""
+    held = F.regexp_replace(text, r"(\d)\.(?=\d)", f"$1{INNER}")
+    if known:
+        held = F.regexp_replace(held, rf"(?i)(^|[^\p{{L}}])({'|'.join(sorted(known))})\.", f"$1$2{INNER}")
+    return exploded(df, F.transform(T.sentences(held), lambda s: F.replace(s, F.lit(INNER), F.lit("."))), "sentence", doc, "sent")
+
+
 def ngrams(df: DataFrame, n: int, doc: str = "doc_id", text: str = "text", stop: list[str] | None = None) -> DataFrame:
     """(doc, pos, gram); with stop words these go before the n-grams are formed."""
     t = T.tokens(F.col(text))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import text as T
 from prosemill.operators import segment
 from prosemill.plans.base import SENTENCES_CTE, TOKENS_CTE, WORDS_CTE, Registry, lit, sql_count, sql_md5_int, sql_rules, sql_sentences, sql_squeeze, sql_strip, sql_tokens, sql_unescape, sql_upper, table
+from prosemill.sources import staged
 
 R = Registry()
 
@@ -97,6 +98,36 @@ def _(spark, d):
     return s.select("doc_id", F.col("sent").cast("long").alias("sent"), F.md5("sentence").alias("digest"), F.regexp_count("sentence", F.lit(T.WORDS)).cast("long").alias("words"))
 
 
+#: Documents, some of which name a doctor and a number first.
+_titled = "p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Dr. Wolf ran 3.5 km. ' || text ELSE text END AS text FROM documents)"
+_learned = rf"""WITH {_titled}, w AS (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}+\.?')) AS w FROM p), c AS (SELECT regexp_replace(w, '\.$', '') AS word, count(*) AS n, count(*) FILTER (WHERE ends_with(w, '.')) AS dots FROM w GROUP BY 1),
+ t AS (SELECT sum(dots) / sum(n) AS p FROM c), ll AS (SELECT word, n, dots, 2 * (CASE WHEN dots > 0 THEN dots * ln(dots / n / p) ELSE 0 END + CASE WHEN n > dots THEN (n - dots) * ln((1 - dots / n) / (1 - p)) ELSE 0 END) AS ll, p FROM c, t WHERE dots >= 5 AND dots >= 0.9::DOUBLE * n AND regexp_matches(word, '^[a-z]{{1,5}}$')),
+ a AS (SELECT word, n, dots, ll FROM ll WHERE ll >= 10.83 AND dots > p * n)"""
+
+
+@R.add("t3_abbreviations", f"{_learned} SELECT word, n, dots, round(ll, 6) AS ll FROM a")
+def _(spark, d):
+    return segment.abbreviations(titled(spark, d)).withColumn("ll", F.round("ll", 6))
+
+
+_held = r"regexp_replace(text, '(\d)\.(\d)', '\1․\2', 'g')"
+_held = _held.replace("(text,", f"({_held},", 1)  # twice, as neighbours share a digit
+_kept = rf"regexp_replace({_held}, '(?i)(^|[^\p{{L}}])(' || (SELECT string_agg(word, '|' ORDER BY word) FROM a) || ')\.', '\1\2․', 'g')"
+
+
+@R.add("t3_learned_sentences", f"{_learned}, k AS (SELECT doc_id, {sql_sentences(_kept)} AS s FROM p) SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(replace(array_to_string(s, '|'), '․', '.')) AS digest FROM k WHERE len(s) > 0")
+def _(spark, d):
+    docs = staged(titled(spark, d))
+    known = [r["word"] for r in segment.abbreviations(docs).orderBy(F.desc("ll"), "word").limit(10_000).collect()]  # short words: a bounded list
+    s = segment.learned_sentences(docs, known)
+    return s.groupBy("doc_id").agg(F.count("sent").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "sentence"))), lambda x: x["sentence"]), "|")).alias("digest"))
+
+
+def titled(spark, d):
+    first = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Dr. Wolf ran 3.5 km. "), "text")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", first.alias("text"))
+
+
 @R.add("t5_lengths", f"SELECT doc_id, CAST({sql_count('text', chr(92) + 'S+')} AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), F.length("text").cast("long").alias("chars"))
