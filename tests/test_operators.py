@@ -258,14 +258,14 @@ def test_passage_files_and_tokens(spark, tmp_path):
 
 
 def test_learned_boundaries_keep_abbreviations(spark):
-    rows = [(i, f"Dr. Wolf saw no. {i} at 3.5 km. The river was high. She spoke with Prof. Stone in the garden. It was late, no doubt.") for i in range(12)]
+    rows = [(i, f"Dr. Wolf saw no. {i} at 3.5 km. The river was high. She spoke with Prof. Stone in the garden. It was late, no doubt. One km of high doubt stood there again and again.") for i in range(12)]
     docs = spark.createDataFrame([*rows, (90, None), (91, ""), (92, "Version 1.2.3 ended. Dr. Who.")], "doc_id long, text string")
     known = sorted(r["word"] for r in segment.abbreviations(docs).collect())
     assert "dr" in known and "prof" in known and "river" not in known and "no" not in known
     got = {}
     for r in segment.learned_sentences(docs, known).orderBy("doc_id", "sent").collect():
         got.setdefault(r["doc_id"], []).append(r["sentence"])
-    assert got[0][-3:] == ["The river was high.", "She spoke with Prof. Stone in the garden.", "It was late, no doubt."] and got[0][0] == "Dr. Wolf saw no."
+    assert got[0] == ["Dr. Wolf saw no.", "0 at 3.5 km.", "The river was high.", "She spoke with Prof. Stone in the garden.", "It was late, no doubt.", "One km of high doubt stood there again and again."]
     assert got[92] == ["Version 1.2.3 ended.", "Dr. Who."] and 90 not in got and 91 not in got
     assert segment.abbreviations(docs.limit(0)).count() == 0 and segment.learned_sentences(docs, []).count() > 0
 
