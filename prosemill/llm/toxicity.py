@@ -4,7 +4,7 @@ Voters are words and word beginnings of a lexicon mined from the training rows,
 a few seed words and surface patterns. A generative label model of the true
 label estimates each voter's accuracy from the votes by
 expectation-maximisation, the given labels being one more, noisy voter, and
-discounts voters that correlate beyond what the label explains. A linear
+discounts other voters that correlate beyond what the label explains. A linear
 classifier is then trained on the posterior labels and scores every text.
 
 Counting covers all training rows; only the label model and the classifier are
@@ -182,7 +182,9 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
 
     Each voter fires with a rate of its own given the label. Voters that fire
     together more than the label explains have their evidence divided by one
-    plus their positive conditional correlations.
+    plus their positive conditional correlations. The last column holds the
+    given labels: it shares no words with the others, so what they have in
+    common isn't discounted from it.
     """
     q, w = start, np.ones(votes.shape[1])
     rates = None
@@ -195,6 +197,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             rho = np.clip(cov / sd[:, None] / sd[None, :], 0, 1) - np.eye(len(sd))
             w = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
+            w[-1] = 1
         on = w * np.log(rates[:, 1] / rates[:, 0])
         off = w * np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
         z = np.log(prior / (1 - prior)) + votes @ (on - off) + off.sum()
