@@ -17,10 +17,10 @@ Rules = tuple[tuple[str, str], ...]
 # Fixed values, from here to NOT_X_BUT_Y: patterns and formats that results depend on.
 SPACES: Rules = ((r"\s+", " "),)
 
-#: Forum posts: marks of markdown, links to their label, tags such as [WP].
+#: Forum posts: marks of markdown, links to their label, tags such as [WP]. A link keeps to its line and nests nothing, so that texts are read once.
 FORUM: Rules = (
     (r"http\S+", ""),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"\[([^\[\]\n]+)\]\([^()\n]+\)", "$1"),
     (r"\[[A-Za-z]{2,4}\]", ""),
     (r"\*\*|__|~~|`", ""),
     (r"(?m)^\s*[>#]+", ""),

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
 from prosemill.operators import rhythm, segment
+from prosemill.sources import staged
 
 #: Columns of the lexical row, by group.
 SLOP, DIVERSITY, STYLE = ("slopword_density", "slopbigram_density", "sloptrigram_density", "not_x_but_y_rate"), ("distinct2", "distinct3", "rep_topk", "mattr"), ("mean_word_len", "fk_grade")
 COLUMNS = (*SLOP, *DIVERSITY, *STYLE)
+#: An n-gram that more texts than this hold doesn't make pairs of texts.
+HOT = 256
 
 
 def totals(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,13 +133,6 @@ def shingle_table(df: DataFrame, key: str, n: int = 5, text: str = "text") -> Da
     return df.select(key, F.explode(F.array_distinct(T.ngrams(T.tokens(F.col(text)), n))).alias("g")).select(key, F.xxhash64("g").alias("shingle"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """(left, right, jaccard) of the sets in two shingle tables, for pairs that share a shingle."""
-    na, nb = a.groupBy(left).agg(F.count("shingle").alias("na")), b.groupBy(right).agg(F.count("shingle").alias("nb"))
-    both = a.join(b, "shingle").groupBy(left, right).agg(F.count("shingle").alias("c"))
-    return both.join(na, left).join(nb, right).select(left, right, (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
-
-
 def near_duplicates(docs: DataFrame, threshold: float, n: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, jaccard): pairs of documents with different texts of the threshold at least, by an exact join.
 
@@ -159,8 +155,32 @@ def near_duplicates(docs: DataFrame, threshold: float, n: int = 5, doc: str = "d
     return c.select("a", "b", (F.col("c") / (F.col("m") + F.col("mb") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def leakage(a: DataFrame, b: DataFrame, left: str, right: str, n: int = 5, text: str = "text") -> DataFrame:
-    """(right, left, jaccard): the text of a that overlaps each text of b most."""
-    o = overlaps(shingle_table(a, left, n, text), shingle_table(b, right, n, text), left, right)
-    r = F.row_number().over(Window.partitionBy(right).orderBy(F.desc("jaccard"), left))
-    return o.withColumn("r", r).where("r = 1").select(right, left, "jaccard")
+def leakage(a: DataFrame, b: DataFrame, left: str, right: str, n: int = 5, text: str = "text", hot: int = HOT) -> DataFrame:
+    """(right, left, jaccard): the text of a whose n-grams overlap those of each text of b most; of equal ones the least left.
+
+    A text of b that shares no n-gram has no row; null and short texts share
+    none. Equal texts are one. Only n-grams that at most `hot` texts of a hold
+    make pairs of texts. A text that shares none of these with a text of b
+    can't do better than the share of hot ones in the latter, so only where
+    that reaches the best of the pairs are the texts of a compared by their
+    sets of hot n-grams, each set once, for the shortest text that has it.
+    """
+    grams = F.transform(F.array_distinct(T.ngrams(T.tokens(F.col(text)), n)), lambda g: F.xxhash64(g))
+    one = lambda d, key: d.groupBy(F.md5(text).alias("h")).agg(F.min(key).alias("id"), F.first(text).alias(text)).select("h", "id", F.array_distinct(grams).alias("g"))
+    sb = staged(one(b, right).select("h", F.size("g").alias("nb"), F.explode("g").alias("shingle")))
+    sa = one(a, left).select(F.col("id").alias("la"), F.size("g").alias("na"), F.explode("g").alias("shingle"))
+    sa = staged(sa.join(sb.select("shingle").distinct(), "shingle", "left_semi"))
+    common = staged(sa.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > hot).select("shingle"))
+    sets = lambda s, key, size: s.join(common, "shingle", "left_semi").groupBy(key, size).agg(F.sort_array(F.collect_list("shingle")).alias(f"hot_{size}"))
+    ha, hb = staged(sets(sa, "la", "na")), staged(sets(sb, "h", "nb"))
+    score = (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard")
+    best = lambda rows: rows.groupBy("h").agg(F.min(F.struct((-F.col("jaccard")).alias("x"), "la")).alias("best"))
+    pairs = sa.join(common, "shingle", "left_anti").join(sb, "shingle").groupBy("h", "la", "na", "nb").agg(F.count(F.lit(1)).alias("cold"))
+    pairs = pairs.join(ha.drop("na"), "la", "left").join(hb.drop("nb"), "h", "left")
+    near = staged(best(pairs.withColumn("c", F.col("cold") + F.coalesce(F.size(F.array_intersect("hot_na", "hot_nb")), F.lit(0))).select("h", "la", score)))
+    reach = F.size("hot_nb") / F.col("nb") >= F.coalesce(-F.col("best.x"), F.lit(0.0))
+    open_ = hb.join(near, "h", "left").where(reach).select("h", "nb", F.explode("hot_nb").alias("shingle"))
+    shortest = ha.groupBy("hot_na").agg(F.min(F.struct("na", "la")).alias("s")).select("s.*", F.explode("hot_na").alias("shingle"))
+    far = best(shortest.join(open_, "shingle").groupBy("h", "la", "na", "nb").agg(F.count(F.lit(1)).alias("c")).select("h", "la", score))
+    found = near.unionByName(far).groupBy("h").agg(F.min("best").alias("best"))
+    return b.select(F.col(right), F.md5(text).alias("h")).join(found, "h").select(right, F.col("best.la").alias(left), (-F.col("best.x")).alias("jaccard"))

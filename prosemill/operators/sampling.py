@@ -21,10 +21,15 @@ def dedup_exact(df: DataFrame, text: str = "text", order: str = "doc_id") -> Dat
     return top_per_group(df.withColumn("__h", F.sha2(text, 256)), "__h", [order], 1).drop("__h")
 
 
+def tail_of_groups(df: DataFrame, group: str, score: str, q: float) -> DataFrame:
+    """The rows of each group at or below its q-quantile."""
+    cut = tables.quantiles(df, [group], score, [q]).select(group, F.col("v").alias("cut"))
+    return df.join(cut, group).where(F.col(score) <= F.col("cut"))
+
+
 def tail_by_group(df: DataFrame, group: str, score: str, q: float, k: int, tie: str) -> DataFrame:
     """The k worst rows of each group at or below its q-quantile, worst first, with rank."""
-    cut = tables.quantiles(df, [group], score, [q]).select(group, F.col("v").alias("cut"))
-    tail = df.join(cut, group).where(F.col(score) <= F.col("cut"))
+    tail = tail_of_groups(df, group, score, q)
     return tail.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(score, tie))).where(F.col("rank") <= k)
 
 

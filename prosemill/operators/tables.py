@@ -95,9 +95,9 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
 
 def compute_distinct(df: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """df with what compute makes of each distinct key, worked out once. Hashes stand for the keys in the join, and null keys match."""
+    """df with what compute makes of each distinct key, worked out once. Hashes stand for the keys in grouping and in the join, and null keys match."""
     hashed = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
-    made = compute(df.select(*keys).distinct())
+    made = compute(df.select(*keys, hashed.alias("__key")).dropDuplicates(["__key"]).drop("__key"))
     new = [c for c in made.columns if c not in keys]
     return df.withColumn("__key", hashed).join(made.select(hashed.alias("__key"), *new), "__key").drop("__key")
 

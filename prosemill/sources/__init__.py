@@ -150,9 +150,13 @@ def passage_files(df: DataFrame, label: str, key: str, text: str) -> DataFrame:
 
 
 def subject_files(df: DataFrame, subject: str) -> DataFrame:
-    """df as CSV in one folder for each subject, read by a glob over all of them."""
+    """df as CSV in one folder for each subject, read by a glob over all of them.
+
+    A subject's rows are brought together first, in several tasks where they
+    are many, so that a folder has few files however many tasks df has.
+    """
     path = shared_path(df.sparkSession)
-    df.withColumn("__folder", F.col(subject)).write.partitionBy("__folder").option("header", True).csv(path)
+    df.withColumn("__folder", F.col(subject)).hint("rebalance", "__folder").write.partitionBy("__folder").option("header", True).csv(path)
     return read_words(df.sparkSession, f"{path}/__folder=*", df.schema)
 
 

@@ -1,6 +1,8 @@
 """Invariants of the operators on small literal inputs."""
 
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -155,6 +157,37 @@ def test_cleaning(spark):
     assert one(T.page_text, "<style>x</style><p>a &lt; b</p><script>1</script>") == "a < b"
 
 
+def test_links_of_very_long_posts(spark):
+    df = spark.createDataFrame([(1, "[a](" * 50_000), (2, "[" * 200_000), (3, "see [the post](there) and [x](" + "y" * 200_000)], "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r["x"] for r in df.select("doc_id", T.clean_forum(F.col("text")).alias("x")).collect()}
+    assert time.time() - start < 20  # rereading to the end for each bracket takes minutes
+    assert got[1] == "[a](" * 50_000 and got[2] == "[" * 200_000
+    assert got[3].startswith("see the post and [x](y")
+
+
+def test_leakage_equals_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    usual = [" ".join(rng.choices(words, k=9)) for _ in range(3)]  # passages that most texts hold
+    some = lambda: " ".join([rng.choice(usual), *rng.choices(words, k=rng.randrange(8)), rng.choice(usual)][: rng.randrange(1, 12)])
+    a = [(i, some()) for i in range(120)] + [(200, None), (201, ""), (202, usual[0])]
+    b = [(f"t{i}", some()) for i in range(40)] + [("rare", "none of these words is there at all"), ("null", None), ("one", usual[0]), ("two", usual[0])]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want = {}
+    for name, t in b:
+        x = grams(t)
+        scores = [(-len(x & grams(s)) / len(x | grams(s)), i) for i, s in a if x & grams(s)]
+        if scores:
+            want[name] = min(scores)
+    left, right = spark.createDataFrame(a, "doc_id long, text string"), spark.createDataFrame(b, "item string, text string")
+    for hot in (0, 2, 20, 1000):
+        got = {r["item"]: (-r["jaccard"], r["doc_id"]) for r in lexical.leakage(left, right, "doc_id", "item", hot=hot).collect()}
+        assert got == want
+    assert len(want) > 25 and "one" in want and "rare" not in want
+    assert lexical.leakage(left.limit(0), right, "doc_id", "item").count() == 0
+
+
 def test_chunks_keep_to_their_lengths(spark):
     text = " ".join("word " * 20 + "end." for _ in range(60))
     df = spark.createDataFrame([(1, text), (2, "short."), (3, None), (4, "x " * 900 + ".")], "doc_id long, text string")
