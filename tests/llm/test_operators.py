@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -600,6 +601,37 @@ def test_toxicity(spark):
     assert toxicity.predict(empty(spark), model).count() == 0
 
 
+def test_label_model_equals_plain_loops():
+    rng = random.Random(11)
+    truth = [int(i % 4 == 0) for i in range(160)]
+    # Two voters that always agree, one apart, one rare, and the given labels, some of them wrong.
+    rows = []
+    for y in truth:
+        twin = int(rng.random() < (0.8 if y else 0.05))
+        rows.append([twin, twin, int(rng.random() < (0.6 if y else 0.1)), int(y and rng.random() < 0.2), y if rng.random() < 0.95 else 1 - y])
+    n, m, prior = len(rows), len(rows[0]), sum(r[-1] for r in rows) / len(rows)
+    q = [0.95 if r[-1] else 0.05 for r in rows]
+    start, w = list(q), [1.0] * m
+    for turn in range(20):
+        n1 = sum(q)
+        rate = [((sum((1 - q[i]) * rows[i][j] for i in range(n)) + 0.05) / (n - n1 + 1), (sum(q[i] * rows[i][j] for i in range(n)) + 0.05) / (n1 + 1)) for j in range(m)]
+        if turn in (2, 8):
+            left = [[rows[i][j] - (1 - q[i]) * rate[j][0] - q[i] * rate[j][1] for j in range(m)] for i in range(n)]
+            cov = lambda j, k: sum(x[j] * x[k] for x in left) / n  # noqa: E731, B023
+            rho = [[min(1.0, cov(j, k) / math.sqrt(cov(j, j) * cov(k, k))) for k in range(m)] for j in range(m)]
+            w = [1 / (1 + sum(rho[j][k] for k in range(m) if k != j and rho[j][k] > 0.1)) for j in range(m)]
+            w[-1] = 1.0
+        for i in range(n):
+            z = math.log(prior / (1 - prior))
+            for j in range(m):
+                p0, p1 = rate[j] if rows[i][j] else (1 - rate[j][0], 1 - rate[j][1])
+                z += w[j] * math.log(p1 / p0)
+            q[i] = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    got, rates, weights = toxicity.label_model(np.array(rows, dtype=float), np.array(start), prior)
+    assert np.allclose(got, q, atol=1e-9) and np.allclose(rates, rate) and np.allclose(weights, w)
+    assert weights[0] < 0.6 and weights[-1] == 1
+
+
 def test_toxicity_partitions(spark):
     # "plainword" is as frequent under either label, but few partitions hold it under label 1.
     rng = random.Random(10)
