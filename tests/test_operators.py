@@ -12,6 +12,7 @@ from prosemill import sources, streaming
 from prosemill.functions import text as T
 from prosemill.operators import compact, fits, lexical, models, residuals, rhythm, sampling, segment, stats, tables
 from prosemill.operators import series as Q
+from prosemill.plans import jobs
 
 WAVES = [round(10 + 6 * math.sin(i / 2.1) + i % 4) for i in range(18)]
 MIXED = WAVES[::2][::-1] + WAVES[1::2]
@@ -127,6 +128,21 @@ def test_quantiles_and_numbers(spark):
     assert nth == sorted((str(g), i + 1, i) for g, i, _ in rows)
 
 
+def test_quantiles_cut_by_one_draw_of_approximate_ones(spark):
+    """Merged in another order the approximate ones differ, so a plan that works them out twice cuts pieces in two ways."""
+    out = tables.quantiles(spark.createDataFrame([("a", 1.0), ("a", 4.0)], "g string, v double"), ["g"], "v", [0.5])
+    assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first()["v"] == 2.5
+
+
+def test_worst_counts_null_texts_and_groups(spark):
+    text = " ".join(["word"] * 199) + " end."
+    rows = [(1, None, "en", "s", 1), (2, f"A {text}", "en", "s", 2), (3, f"B {text}", "en", "s", 9), (4, f"C {text}", "en", "s", 9), (5, f"D {text}", "en", "s", 9), (6, f"E {text}", "en", None, 5), (7, f"F {text}", "en", "s", None), (8, f"G {text}", "de", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in jobs.worst(docs).collect()) == [2, 6]
+    assert sorted(r["doc_id"] for r in sampling.tail_of_groups(docs, "source", "n_chars", 0.25).collect()) == [1, 2, 8]
+
+
 def test_distinct_work_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "id long, k string")
     out = tables.compute_distinct(df, ["k"], lambda keys: keys.withColumn("n", F.coalesce(F.length("k"), F.lit(-1))))
