@@ -70,6 +70,16 @@ def test_draws_repeat_and_differ():
     assert compact.order_row(series, "5", list(range(7))) == rows[1:8]
 
 
+def test_all_draws_are_ranked_at_once(monkeypatch):
+    rows = np.stack([np.random.default_rng(i).permutation(np.arange(40) % 9) for i in range(20)]).astype(float)
+    want = [sum(np.sign(r[j + 1 :] - r[j]).sum() for j in range(40)) / 780 for r in rows]
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    assert np.allclose(compact._mk(rows), want, atol=1e-12) and len(calls) == 1
+    x = np.arange(500)
+    assert all((a == x[np.argsort(compact.order_keys("5", "sl", d, 500), kind="stable")]).all() for d, a in zip([0, 7], compact.shuffled(x, "5", "sl", [0, 7])))
+
+
 def test_compact_rows_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (4, "one two. three four five; six"), (None, "some words here"), (6, "word " * 30000)], "doc_id long, text string")
     c = compact.compact(docs, rhythm.rule_lexicon(segment.words(docs)))
