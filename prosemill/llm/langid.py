@@ -25,8 +25,8 @@ MODEL_SIZE = 1 << 22
 UNIT_WORDS, ROUNDS, ALPHA = 8, 12, 0.05
 #: Languages that are learned at most, those of the most texts.
 MOST_LANGUAGES = 4096
-#: Units times languages that are worked on at once, and languages of a longer text that stay in its mixture, those that explain most of it.
-CELLS, CONTENDERS = 1 << 22, 64
+#: Units times languages that are held at once; a longer text is worked on in parts.
+CELLS = 1 << 22
 
 
 def _grams(block: kernel.Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +127,80 @@ def mixtures_step(like: np.ndarray, top: np.ndarray, doc: np.ndarray, share: np.
     return share, np.bincount(doc, fit, n)
 
 
-def _contenders(table: np.ndarray, gram: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
-    """Of very many languages those that explain the units of one long text best, each unit counting for its best one."""
-    top, best = np.full(units, -np.inf), np.zeros(units, dtype=np.int64)
+def mixture_in_parts(table: np.ndarray, gram: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
+    """The shares that mixtures() finds for one text, from the buckets of its n-grams and their units, in order.
+
+    No more than CELLS likelihoods are held. If those of the languages still in
+    the mixture are more, each round works them out anew, part by part; no
+    language is left out for that.
+    """
+    top = np.full(units, -np.inf)
     for j in range(len(table)):
-        x = np.bincount(unit, table[j][gram], units)
-        best[x > top] = j
-        top = np.maximum(top, x)
-    n = np.bincount(best, minlength=len(table))
-    return np.sort(np.argsort(-n, kind="stable")[:CONTENDERS])
+        top = np.maximum(top, np.bincount(unit, table[j][gram], units))
+
+    def parts(among: np.ndarray):
+        step = max(1, CELLS // len(among))
+        for lo in range(0, units, step):
+            hi = min(units, lo + step)
+            i, j = np.searchsorted(unit, (lo, hi))
+            ll = np.stack([np.bincount(unit[i:j] - lo, table[x][gram[i:j]], hi - lo) for x in among], axis=1)
+            yield np.exp(ll - top[lo:hi, None]), top[lo:hi]
+
+    def em(share: np.ndarray) -> tuple[np.ndarray, float]:
+        among = np.flatnonzero(share > 0)
+        held = list(parts(among)) if units * len(among) <= CELLS else None
+        s = share[among]
+        for _ in range(ROUNDS):
+            new = np.zeros(len(among))
+            for like, _ in held or parts(among):
+                r = like * s
+                new += (r / np.maximum(r.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
+            s = new / units
+        out = np.zeros(len(share))
+        out[among] = s
+        return out, sum(float((np.log(np.maximum((like * s).sum(axis=1), 1e-300)) + t).sum()) for like, t in held or parts(among))
+
+    penalty = 0.5 * np.log(max(units, 2)) + 2
+    share, value = em(np.full(len(table), 1 / len(table)))
+    share[(share < 0.5 / units) & (share < share.max())] = 0
+    share, value = em(share / share.sum())
+    while (share > 0).sum() > 1:
+        trial = share.copy()
+        trial[len(share) - 1 - np.where(share > 0, share, np.inf)[::-1].argmin()] = 0
+        trial, reached = em(trial / trial.sum())
+        if reached + penalty <= value:
+            break
+        share, value = trial, reached
+    return share
+
+
+def block_shares(table: np.ndarray, block: kernel.Block) -> np.ndarray:
+    """(texts, languages) shares of a block's texts, some texts at a time, so that units times languages stay bounded."""
+    k = len(table)
+    share = np.zeros((block.n, k))
+    if not len(block.s):
+        return share
+    pos, h = _grams(block, table.shape[1])
+    word = np.searchsorted(block.s, pos, "right") - 1
+    per = -(-block.counts // UNIT_WORDS)
+    ends = np.cumsum(per)
+    base = ends - per
+    unit = base[block.doc] + (np.arange(len(block.doc)) - block.first[:-1][block.doc]) // UNIT_WORDS
+    u = unit[word]
+    owner = np.repeat(np.arange(block.n), per)
+    cut = np.searchsorted(u, np.append(base, ends[-1]))
+    d = 0
+    while d < block.n:
+        e = max(d + 1, int(np.searchsorted(ends, base[d] + CELLS // k, "right")))
+        lo, hi = int(base[d]), int(ends[e - 1])
+        part, at_unit = h[cut[d] : cut[e]], u[cut[d] : cut[e]] - lo
+        if (hi - lo) * k > CELLS and hi - lo > 1:
+            share[d] = mixture_in_parts(table, part, at_unit, hi - lo)
+        else:
+            ll = np.stack([np.bincount(at_unit, table[j][part], hi - lo) for j in range(k)], axis=1)
+            share[d:e] = mixtures(ll, owner[lo:hi] - d, e - d)
+        d = e
+    return share
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
@@ -166,27 +231,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], doc: str = "do
             share = np.zeros((batch.num_rows, k))
             if k:
                 for at, block in kernel.blocks(batch.column(batch.num_columns - 2), kernel.LETTERS, latin=True):
-                    if not len(block.s):
-                        continue
-                    pos, h = _grams(block, table.shape[1])
-                    word = np.searchsorted(block.s, pos, "right") - 1
-                    per = -(-block.counts // UNIT_WORDS)
-                    base = np.cumsum(per) - per
-                    unit = base[block.doc] + (np.arange(len(block.doc)) - block.first[:-1][block.doc]) // UNIT_WORDS
-                    n_units = int(per.sum())
-                    u = unit[word]
-                    owner = np.repeat(np.arange(block.n), per)
-                    # Some texts at a time, so that units times languages stay bounded.
-                    cut = np.searchsorted(u, np.append(base, n_units))
-                    d = 0
-                    while d < block.n:
-                        e = max(d + 1, int(np.searchsorted(base, base[d] + CELLS // k, "right")) - 1) if base[-1] > base[d] + CELLS // k else block.n
-                        lo, hi = int(base[d]), int(base[e]) if e < block.n else n_units
-                        part, at_unit = h[cut[d] : cut[e]], u[cut[d] : cut[e]] - lo
-                        among = _contenders(table, part, at_unit, hi - lo) if (hi - lo) * k > CELLS else np.arange(k)
-                        ll = np.stack([np.bincount(at_unit, table[j][part], hi - lo) for j in among], axis=1)
-                        share[at + d : at + e, among] = mixtures(ll, owner[lo:hi] - d, e - d)
-                        d = e
+                    share[at : at + block.n] = block_shares(table, block)
             share[~ok] = 0
             best = share.argmax(axis=1) if k else np.zeros(batch.num_rows, dtype=int)
             score = share[np.arange(batch.num_rows), best] if k else np.zeros(batch.num_rows)

@@ -322,6 +322,28 @@ def test_language_mixture_of_many_and_short(spark, monkeypatch):
     assert len(langid.fit(df)[0]) == 5
 
 
+def test_long_texts_keep_all_languages(monkeypatch):
+    """A text above CELLS is worked on in parts; it has 80 languages, and 64 contenders would lose some."""
+    import pyarrow as pa
+
+    from prosemill.llm import kernel
+
+    words = [a + b + a + b for a in "abcdefghij" for b in "klmnopqr"]
+    text = " ".join(" ".join([w] * langid.UNIT_WORDS) for w in words)
+    shorter = " ".join(" ".join([w] * langid.UNIT_WORDS) for w in words[:3])
+    (_, block), = kernel.blocks(pa.array([shorter, text, "", words[7], text]), kernel.LETTERS, latin=True)
+    counts = np.zeros((80, 4096))
+    for j, w in enumerate(words):
+        (_, one), = kernel.blocks(pa.array([" ".join([w] * 50)]), kernel.LETTERS, latin=True)
+        counts[j] = np.bincount(langid._grams(one, 4096)[1], minlength=4096)
+    table = np.log((counts + langid.ALPHA) / (counts.sum(axis=1, keepdims=True) + langid.ALPHA * 4096)).astype(np.float32)
+    whole = langid.block_shares(table, block)
+    monkeypatch.setattr(langid, "CELLS", 1 << 11)
+    parts = langid.block_shares(table, block)
+    assert np.allclose(whole, parts, atol=1e-9)
+    assert [(r > 0).sum() for r in parts] == [3, 80, 0, 1, 80]
+
+
 # --- 5
 
 
