@@ -337,6 +337,14 @@ def test_passages_share_files(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, sources.missing_passages(manifest, back).collect()), key=str) == [("1", 30, 0), ("a=b/c", 30, 0), (None, 30, 1)]
 
 
+def test_subjects_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "shared_path", lambda s: str(tmp_path / "s"))
+    rows = [(None if i % 40 == 7 else f"s{i % 40}", i, i / 3) for i in range(400)]
+    back = sources.subject_files(spark.createDataFrame(rows, "subject string, n long, value double").repartition(3), "subject")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert len(list((tmp_path / "s").rglob("part-*"))) <= 4
+
+
 def test_learned_boundaries_keep_abbreviations(spark):
     rows = [(i, f"Dr. Wolf saw no. {i} at 3.5 km. The river was high. She spoke with Prof. Stone in the garden. It was late, no doubt. One km of high doubt stood there again and again.") for i in range(12)]
     docs = spark.createDataFrame([*rows, (90, None), (91, ""), (92, "Version 1.2.3 ended. Dr. Who.")], "doc_id long, text string")
