@@ -183,6 +183,19 @@ def test_nfkc(spark):
     assert spark.createDataFrame([("ﬁne ①",)], "t string").select(T.nfkc("t")).first()[0] == "fine 1"
 
 
+def test_nfkc_holds_one_slice_of_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["ﬁ" + "x" * 50_000 + str(i) if i % 9 else None for i in range(900)])
+    tracemalloc.start()
+    out = T._nfkc.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and out.null_count == 100 and out[1].as_py() == "fi" + "x" * 50_000 + "1" and len(out) == 900
+
+
 def test_cleaning(spark):
     one = lambda f, t: spark.createDataFrame([(t,)], "t string").select(f(F.col("t"))).first()[0]
     assert one(T.clean_forum, "[WP] A **bold** [link](/x.y) &amp; more\n> quoted\nEDIT: thanks\nlast") == "A bold link & more quoted last"
