@@ -279,6 +279,31 @@ def test_lexical_terms_are_found(spark):
     assert not set(lexical.SLOP) & set(rhythm.GROUPS)
 
 
+def test_frequent_terms_and_lexical_rows_without_shuffles(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) + rng.choice(["", "'", "'x"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    docs = spark.createDataFrame([(1000, None), (1001, "''' !"), *enumerate(texts)], "doc_id long, text string")
+    stop = ["a", "bb"]
+    for frequent in (2, 4096):  # with two words, more have to be taken
+        got = {(r["n"], r["term"]) for r in lexical.frequent_terms(docs, stop, 5, frequent).collect()}
+        for n in (1, 2, 3):
+            c = segment.ngrams(docs, n, stop=stop).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(5)
+            assert {r["gram"] for r in c.collect()} == {t for k, t in got if k == n}
+    terms = spark.createDataFrame([(t, n) for n, t in got], "term string, n int")
+    found = lexical.lexical_features(docs, terms, stop, rhythm.rule_stress)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = {r["doc_id"]: r.asDict() for r in found.collect()}
+    lexicon = rhythm.rule_lexicon(segment.words(docs))
+    each = [lexical.density(docs, terms, n, stop, c) for n, c in zip((1, 2, 3), lexical.SLOP, strict=False)]
+    each += [lexical.distinct_n(docs, 2, "distinct2"), lexical.distinct_n(docs, 3, "distinct3"), lexical.rep_topk(docs), lexical.mean_word_len(docs), rhythm.mattr(segment.words(docs)), lexical.fk_grade(docs, lexicon)]
+    for df in each:
+        for r in df.where("doc_id < 1000").collect():
+            name = df.columns[1]
+            assert rows[r["doc_id"]][name] == pytest.approx(r[name], abs=1e-9), name
+    assert len(rows) == 42 and all(math.isfinite(v) for r in rows.values() for v in r.values())
+
+
 def test_folds_and_splits_do_not_leak(spark):
     rows = [(i, f"g{i % 23}", i % 23 % 2) for i in range(400)]
     f = sampling.with_folds(spark.createDataFrame(rows, "id long, grp string, y int"), "grp", "y").cache()
