@@ -1,5 +1,6 @@
 """Batched regressions, permutations that refit, and residuals against NumPy."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -183,3 +184,35 @@ def test_a_merged_band_is_folded_anew(spark, data):
     assert all(folds.setdefault(r["perm_group"], r["fold"]) == r["fold"] for r in rows)
     was = {r["id"]: (r["y"], r["fold"]) for r in d.collect()}
     assert any(was[r["id"]][0] != r["y"] for r in rows) and any(was[r["id"]][1] != r["fold"] for r in rows)
+
+
+def test_importances_of_several_fits_rank_numbers_only(spark, data, monkeypatch):
+    df, x, y, g = data
+    d = df.withColumns({"y__p": F.when(F.col("three") < 2, F.col("y")), "y__q": F.col("y")})
+    ranked, plain = [], models._hash_ranks
+    monkeypatch.setattr(models, "_hash_ranks", lambda rows, *a: ranked.append(rows.columns) or plain(rows, *a))
+    made = fits.fit_all(d, [Fit(n, tuple("abd"), f"y__{n}") for n in "pq"])
+    got = {(r["name"], r["feature"]): r["importance"] for r in models.permutation_importances(made, d, {n: f"y__{n}" for n in "pq"}, list("abd"), "id", 3).collect()}
+    assert all(set(c) == {"key", "row", "m", "r"} for c in ranked)
+    three = np.array([r["three"] for r in df.orderBy("id").select("three").collect()])
+    for n, m in (("p", three < 2), ("q", three < 3)):
+        rows = np.flatnonzero(m)
+        w = made.weights[n, None][0]
+        z = w[0] + x[rows] @ np.array([w[1 + made.cols.index(c)] if c in made.cols else 0 for c in "abcd"])
+        ba = lambda s: np.mean([(s[y[rows] == 0] <= 0).mean(), (s[y[rows] == 1] > 0).mean()])  # noqa: E731, B023
+        order = lambda s, r: sorted(range(len(rows)), key=lambda i: (int(hashlib.md5(f"{s}:{r}:{rows[i]}".encode()).hexdigest()[:8], 16), rows[i]))  # noqa: E731, B023
+        for c in "abd":
+            v, losses = x[rows, "abcd".index(c)], []
+            for r in range(3):
+                s = np.empty(len(rows))
+                s[order(0, r)] = v[order(1, r)]
+                losses.append(ba(z) - ba(z + w[1 + made.cols.index(c)] * (s - v)))
+            assert math.isclose(got[n, c], np.mean(losses), abs_tol=1e-9)
+
+
+def test_draws_by_pair_equal_those_of_each(spark, data):
+    df = data[0].withColumns({"p": F.col("y"), "q": (F.col("a") > 0).cast("int")})
+    by = {(r["three"], r["replicate"]): (r["p"], r["q"]) for r in stats.group_bootstrap_by(df, "three", "grp", ["p", "q"], 20, 0).collect()}
+    for k in range(3):
+        one = stats.group_bootstrap(df.where(F.col("three") == k), "grp", ["p", "q"], 20, 0).collect()
+        assert {(k, r["replicate"]): (r["p"], r["q"]) for r in one} == {x: v for x, v in by.items() if x[0] == k}
