@@ -304,6 +304,18 @@ def test_frequent_terms_and_lexical_rows_without_shuffles(spark):
     assert len(rows) == 42 and all(math.isfinite(v) for r in rows.values() for v in r.values())
 
 
+def test_frequent_terms_are_counted_by_numbers(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["b", "b'b", "ba", "c", "the"]) for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    want = {(n, r["gram"]) for n in (1, 2, 3) for r in segment.ngrams(docs, n, stop=["the"]).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(4).collect()}
+    seen, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, of, schema, *a: seen.append(schema) or plain(df, of, schema, *a))
+    for held in (lexical.HELD, 3):  # beyond, n-grams are counted as they are
+        monkeypatch.setattr(lexical, "HELD", held)
+        assert {(r["n"], r["term"]) for r in lexical.frequent_terms(docs, ["the"], 4, 2).collect()} == want
+    assert seen and "string" not in seen[0]
+
+
 def test_folds_and_splits_do_not_leak(spark):
     rows = [(i, f"g{i % 23}", i % 23 % 2) for i in range(400)]
     f = sampling.with_folds(spark.createDataFrame(rows, "id long, grp string, y int"), "grp", "y").cache()
