@@ -316,6 +316,26 @@ def test_frequent_terms_are_counted_by_numbers(spark, monkeypatch):
     assert seen and "string" not in seen[0]
 
 
+def test_style_and_level_rows_in_one_pass(spark):
+    texts = [None, "", "' !", "One two. Three, four five six! Not so dull but fine; seven. Eight nine ten eleven."] + [" ".join(random.Random(i).choice(["river ", "a, ", "bb. ", "it's ", "Éa "]) for _ in range(50)) for i in range(4)]
+    docs = spark.createDataFrame([(i, x, f"g{i}") for i, x in enumerate(texts)], "doc_id long, text string, grp string")
+    terms = spark.createDataFrame([("river", 1), ("bb river", 2)], "term string, n int")
+    made = lexical.style_features(docs, terms, ["a"], rhythm.rule_stress)
+    level = lambda w: F.pmod(T.md5_int(w), F.lit(2001)) / 1000.0
+    rows = compact.level_rows(docs, F.transform(T.words(F.col("text")), level))
+    for df in (made, rows):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Generate"))
+    lex = lexical.lexical_features(docs, terms, ["a"], rhythm.rule_stress).drop("mattr")
+    want = docs.drop("text").join(compact.style_rows(compact.compact(docs, rhythm.rule_stress)).join(lex, "doc_id"), "doc_id")
+    assert made.columns == want.columns and sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    old = {r["doc_id"]: r for r in Q.level_features(segment.words(docs).select("doc_id", "pos", level(F.col("word")).alias("value"))).collect()}
+    got = rows.collect()
+    assert len(got) == len(old) == 5
+    for r in got:
+        assert tuple(r) == pytest.approx(tuple(old[r["doc_id"]]), abs=1e-9)
+
+
 def test_folds_and_splits_do_not_leak(spark):
     rows = [(i, f"g{i % 23}", i % 23 % 2) for i in range(400)]
     f = sampling.with_folds(spark.createDataFrame(rows, "id long, grp string, y int"), "grp", "y").cache()
