@@ -535,3 +535,34 @@ def test_sticky_split_over_batches(spark, tmp_path):
     whole = df.where("label = 'b'").withColumn("id", F.monotonically_increasing_id())
     at_once = sampling.carry_forward(none.withColumnRenamed("k", "id"), whole, "id", "label", "grp").join(whole, "id")
     assert {r["grp"]: r["split"] for r in at_once.collect()} == {g: s for g, s in seen[2].items() if g[0] == "b"}
+
+
+def test_rows_alike_are_one_in_clustered_fits(spark):
+    rows = [(i // 3, (i * 7) % 3, (i * 5) % 2, int((i * 11) % 7 > (i * 5) % 2 + 2), float((i * 13) % 17)) for i in range(120)]
+    df = spark.createDataFrame(rows, "g long, a int, b int, y int, t double")
+    for fit, y in ((stats.logit_cluster, "y"), (stats.ols_cluster, "t")):
+        one, many = (fit(df, y, ["a", "b"], ["b"], "g", repeated=r).collect() for r in (True, False))
+        for p, q in zip(one, many, strict=True):
+            assert p["term"] == q["term"] and p["n"] == q["n"] == 120 and p["clusters"] == q["clusters"] == 40
+            assert p["coef"] == pytest.approx(q["coef"]) and p["se"] == pytest.approx(q["se"]) and p["block_chi2"] == pytest.approx(q["block_chi2"])
+
+
+def test_reading_features_of_frequent_and_rare_words(spark, monkeypatch):
+    from prosemill.plans import job_queries
+
+    words = [("S0", 1, i, w, i % 2, 100.0 + i) for i, w in enumerate(["The", "river,", "the", "..", "stone"], 1)] + [("S1", 1, 1, "the", 1, 90.0), ("S1", 1, 2, "--", 0, 50.0)]
+    df = spark.createDataFrame(words, "subject string, sent_idx long, word_idx int, word string, nFix int, TRT double")
+    cols = ["subject", "wlen", "nsyl", "is_boundary", "fixated"]
+    want = [("S0", 3, 1, 0, 1), ("S0", 3, 1, 0, 1), ("S0", 5, 2, 1, 0), ("S0", 5, 2, 1, 1), ("S1", 3, 1, 0, 1)]
+    for told in (1 / 50_000, 0.2, 1.0):  # all words frequent, some, none
+        monkeypatch.setattr(jobs, "TOLD", told)
+        got = jobs.reading_features(df, job_queries.STOP, ["subject", "sent_idx"])
+        assert sorted(map(tuple, got.select(cols).collect())) == want
+        assert sorted(round(r["logfreq"], 9) for r in got.collect()) == sorted([round(math.log10(n / 7), 9) for n in (4, 4, 4, 2, 2)])
+    # A sentence's words are made once, not once for each of its words.
+    docs = spark.createDataFrame([(1, "One two. Three four 5 six")], "doc_id long, text string")
+    monkeypatch.setattr(job_queries, "docs_of", lambda s, d: docs)
+    made = job_queries.read_words(spark, "")
+    assert [r["word"] for r in made.orderBy("sent_idx", "word_idx").collect()] == ["One", "two.", "Three", "four", "six"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and all("S+" not in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Project"))
