@@ -537,6 +537,43 @@ def test_sticky_split_over_batches(spark, tmp_path):
     assert {r["grp"]: r["split"] for r in at_once.collect()} == {g: s for g, s in seen[2].items() if g[0] == "b"}
 
 
+def test_marks_within_lines_are_no_sentences(spark, tmp_path):
+    lines = ["x\t1<file>", "a<file>b\t1", " <file> ", "c\t2", "", "d\t0\t1", "e\t 1 ", "f\t1.5", "<file>", "<file>", "g\t-7", "h\t2<file>", "i\t1"]
+    (tmp_path / "odd.tsv").write_text("\n".join(lines))
+    (tmp_path / "crlf.tsv").write_bytes(b"<file>\r\nj\t1\r\n<file>\r\nk\t9\r\n")
+    got = sources.read_labelled_tokens(spark, str(tmp_path)).withColumn("file", F.regexp_extract("file", r"([a-z]+)\.tsv", 1))
+    want = [("crlf", 1, 0, "j", 1), ("crlf", 2, 0, "k", 2), ("odd", 0, 0, "a<file>b", 1), ("odd", 1, 0, "c", 2), ("odd", 1, 1, "e", 1), ("odd", 3, 0, "g", 0), ("odd", 3, 1, "i", 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def _exchanged(plan, names):
+    """The lines of a plan that deal rows by one of these columns."""
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and any(f"{n}#" in line for n in names)]
+
+
+def test_labelled_tokens_cross_once_as_texts(spark):
+    docs = spark.createDataFrame([(5, "a b"), (3, "c"), (9, ""), (None, "x"), (7, "<file> d\te"), (1, None)], "id long, text string").repartition(3)
+    tokens = F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.length(w).alias("label")))
+    made = sources.labelled_tokens(docs, "id", tokens)
+    assert sorted(map(tuple, made.collect())) == [(1, 0, "c", 1), (2, 0, "a", 1), (2, 1, "b", 1), (3, 0, "<file>", 2), (3, 1, "d e", 2)]
+    plain = sources.labelled_tokens(docs.where("id < 6"), "id", tokens)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and not _exchanged(plain._jdf.queryExecution().executedPlan().toString(), ["word", "label", "value"])
+
+
+def test_surprisal_of_pairs(spark):
+    texts = {1: "The cat saw the cat. The dog", 2: "dog", 3: "the the the", 4: "", 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    toks = {k: (t or "").lower().replace(".", "").split() for k, t in texts.items()}
+    pairs = [p for t in toks.values() for p in zip(t, t[1:], strict=False)]
+    v = len({w for t in toks.values() for w in t})
+    bits = lambda p: -math.log2((pairs.count(p) + 0.1) / (sum(x[0] == p[0] for x in pairs) + 0.1 * v))
+    want = sorted((k, i + 2, b, round(bits((a, b)), 9)) for k, t in toks.items() for i, (a, b) in enumerate(zip(t, t[1:], strict=False)))
+    s = lexical.surprisal(docs)
+    assert sorted((r["doc_id"], r["pos"], r["token"], round(r["surprisal"], 9)) for r in s.collect()) == want
+    assert "Window" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_alike_are_one_in_clustered_fits(spark):
     rows = [(i // 3, (i * 7) % 3, (i * 5) % 2, int((i * 11) % 7 > (i * 5) % 2 + 2), float((i * 13) % 17)) for i in range(120)]
     df = spark.createDataFrame(rows, "g long, a int, b int, y int, t double")
@@ -566,27 +603,3 @@ def test_reading_features_of_frequent_and_rare_words(spark, monkeypatch):
     assert [r["word"] for r in made.orderBy("sent_idx", "word_idx").collect()] == ["One", "two.", "Three", "four", "six"]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and all("S+" not in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Project"))
-
-
-def test_marks_within_lines_are_no_sentences(spark, tmp_path):
-    lines = ["x\t1<file>", "a<file>b\t1", " <file> ", "c\t2", "", "d\t0\t1", "e\t 1 ", "f\t1.5", "<file>", "<file>", "g\t-7", "h\t2<file>", "i\t1"]
-    (tmp_path / "odd.tsv").write_text("\n".join(lines))
-    (tmp_path / "crlf.tsv").write_bytes(b"<file>\r\nj\t1\r\n<file>\r\nk\t9\r\n")
-    got = sources.read_labelled_tokens(spark, str(tmp_path)).withColumn("file", F.regexp_extract("file", r"([a-z]+)\.tsv", 1))
-    want = [("crlf", 1, 0, "j", 1), ("crlf", 2, 0, "k", 2), ("odd", 0, 0, "a<file>b", 1), ("odd", 1, 0, "c", 2), ("odd", 1, 1, "e", 1), ("odd", 3, 0, "g", 0), ("odd", 3, 1, "i", 1)]
-    assert sorted(map(tuple, got.collect())) == want
-
-
-def _exchanged(plan, names):
-    """The lines of a plan that deal rows by one of these columns."""
-    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and any(f"{n}#" in line for n in names)]
-
-
-def test_labelled_tokens_cross_once_as_texts(spark):
-    docs = spark.createDataFrame([(5, "a b"), (3, "c"), (9, ""), (None, "x"), (7, "<file> d\te"), (1, None)], "id long, text string").repartition(3)
-    tokens = F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.length(w).alias("label")))
-    made = sources.labelled_tokens(docs, "id", tokens)
-    assert sorted(map(tuple, made.collect())) == [(1, 0, "c", 1), (2, 0, "a", 1), (2, 1, "b", 1), (3, 0, "<file>", 2), (3, 1, "d e", 2)]
-    plain = sources.labelled_tokens(docs.where("id < 6"), "id", tokens)
-    plan = plain._jdf.queryExecution().optimizedPlan().toString()
-    assert "row_number" not in plan and not _exchanged(plain._jdf.queryExecution().executedPlan().toString(), ["word", "label", "value"])
