@@ -615,3 +615,18 @@ def test_reading_features_of_frequent_and_rare_words(spark, monkeypatch):
     assert [r["word"] for r in made.orderBy("sent_idx", "word_idx").collect()] == ["One", "two.", "Three", "four", "six"]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in plan and all("S+" not in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Project"))
+
+
+def test_beyond_judge_scores_all_held_out_rows(spark):
+    """Held-out rows may be one fold, and those of every contrast are scored; the rule that reports them is a column."""
+    rows = [(i, f"g{i % 10}", "abc"[i % 3], 0 if i % 10 < 4 else 1 + i % 2, "held_out" if i % 10 < 4 else "dev", (i % 3) + (i * 7 % 5) / 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, grp string, lang string, fold int, split string, f double")
+    scores = spark.createDataFrame([(i, i % 3 + (i * 13 % 7) / 2) for i, *_ in rows], "doc_id long, judge double")
+    contrasts = {"primary": ("a", "b"), "control": ("b", "c")}
+    out = {(r["contrast"], r["part"]): r for r in jobs.beyond_judge(df, scores, ["judge"], ["f"], "lang", contrasts, replicates=10, permutations=2).collect()}
+    assert set(out) == {(n, p) for n in contrasts for p in ("dev", "held_out")}
+    for (n, part), r in out.items():
+        assert r["n"] == sum(x[4] == part and x[2] in contrasts[n] for x in rows)
+        assert r["ba_features"] == 1.0 and r["groups_a"] == r["groups_b"] == (6 if part == "dev" else 4)
+    assert out["primary", "dev"]["status"] == "ADDS"
+    assert {k for k, r in out.items() if r["reported"]} == {("primary", "dev"), ("control", "dev"), ("primary", "held_out")}
