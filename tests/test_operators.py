@@ -630,3 +630,49 @@ def test_beyond_judge_scores_all_held_out_rows(spark):
         assert r["ba_features"] == 1.0 and r["groups_a"] == r["groups_b"] == (6 if part == "dev" else 4)
     assert out["primary", "dev"]["status"] == "ADDS"
     assert {k for k, r in out.items() if r["reported"]} == {("primary", "dev"), ("control", "dev"), ("primary", "held_out")}
+
+
+def _written_by_shuffles(spark):
+    """Bytes by stage."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_near_duplicates_are_exact(spark, monkeypatch):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    texts, shared = [None, "", "a b c d"], [word() for _ in range(30)]
+    for _ in range(40):
+        t = [word() for _ in range(draw.randrange(5, 150))]
+        t[:0] = shared * draw.randrange(2)
+        texts.append(" ".join(t))
+        for _ in range(draw.randrange(5)):
+            u = [w for w in t if draw.random() > 0.01]
+            texts += [" ".join(u + [word() for _ in range(draw.randrange(12))])] * draw.randrange(1, 3)
+    base = [f"x{c}" for c in "abcdefghijklmn"]  # ten shingles; eight of these and no other: 0.8
+    texts += [" ".join(base), " ".join(base[:12]), " ".join(base[:11])]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(30, texts[30]), (None, texts[31])]
+    first = {}
+    for i, t in rows:
+        if t is not None and i is not None:
+            first.setdefault(t, i)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for t, i in first.items() for w in [t.split()]}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for threshold, changed in ((0.8, {}), (0.5, {}), (0.8, {"BLOCK": 2, "FEW": 0, "CROWD": 2, "MORE": 3, "SLOTS": 64})):
+        for k, v in changed.items():
+            monkeypatch.setattr(lexical, k, v)
+        got = {(r["a"], r["b"]): r["jaccard"] for r in lexical.near_duplicates(docs, threshold).collect()}
+        assert got == {p: j for p, j in want.items() if j >= threshold} and len(got) > 20
+
+
+def test_near_duplicates_shuffle_little(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    apart = spark.createDataFrame([(i, " ".join(word() for _ in range(400))) for i in range(300)], "doc_id long, text string").repartition(2).localCheckpoint()
+    before = _written_by_shuffles(spark)
+    assert lexical.near_duplicates(apart, 0.8).count() == 0
+    after = _written_by_shuffles(spark)
+    assert sum(n for k, n in after.items() if k not in before) < 8 * 300 * 396
